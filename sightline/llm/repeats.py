@@ -7,14 +7,16 @@ The plan is that of the difference-cover construction of suffix arrays, cut off
   position s(p) of the least hash of 8 bytes among the first WINDOW of its string. Consecutive starts with one s(p) are
   a run, and a run is named by a triple: the core (the bytes from s that all strings of the run share), and what
   lies to the left and to the right of it up to the ends of the run's strings.
-* Sort the triples and name them. Runs whose core occurs once hold no repeat. Runs with equal names are repeats at all
-  their starts, and if all runs of a core have one name there is nothing more to do.
+* Sort the triples and name them. Runs whose core occurs once hold no repeat and are left out at once. Runs with equal
+  names are repeats at all their starts, and if all runs of a core have one name there is nothing more to do.
 * Recurse on the names that are left: cores with several names, where copies begin, end or differ. Of each name one run
   is taken, and its starts - the remaining suffixes - are merged by (core, name of the 400-byte prefix) and compared
-  with their neighbours of equal prefix.
+  with their neighbours of equal prefix. Strings of one run overlap, so its first and last repeated start say what is
+  covered.
 
 Names are 64-bit hashes; a name counts only together with its core's, so that equal names have 128 equal bits.
-Documents that are byte for byte equal have equal rows throughout, and nothing gathers a group of copies.
+Documents that are byte for byte equal have equal rows throughout, and nothing gathers a group of copies. Texts are moved
+once, and those of documents with repeats a second time.
 
 A null text is empty; texts under 400 bytes are kept whole; a long text is one row of many runs; repeated rows are
 copies of each other; an empty table gives an empty one; only id and text are read, so that no other column can clash.
@@ -22,21 +24,27 @@ copies of each other; an empty table gives an empty one; only id and text are re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sightline.llm._common import append_columns, materialize, slices
+from sightline.llm._common import materialize, slices
 
 LENGTH, WINDOW, GRAM = 400, 256, 8
 #: A hot core's names are dealt over this many partitions.
 SALTS = 16
+#: Names of one core that are compared in one place; a core with more is split by the distance of starts from the core.
+CROWD = 256
+#: What is known of a run: all its starts are repeats; its starts are open; it is one of many with its name.
+WHOLE, OPEN, PARTNER = range(3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,17 +63,25 @@ def sample(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> np.ndarray
     return (least[: len(raw) - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def runs(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(first start, end of starts, core, name) of each run of starts with one sampled position."""
-    if len(raw) < length:
-        return []
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cores(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> list[tuple[int]]:
+    """The core of each run."""
+    h, core = xxhash.xxh64_intdigest, length - window + 1
+    s = sample(raw, length, window)
+    return [(_signed(h(raw[at : at + core])),) for at in s[np.flatnonzero(np.r_[True, s[1:] != s[:-1]])].tolist()]
+
+
+def runs(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """(first start, end of starts, sampled position, core, name) of each run of starts with one sampled position."""
     s = sample(raw, length, window)
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     h, core = xxhash.xxh64_intdigest, length - window + 1
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     out = []
     for a, b, at in zip(first.tolist(), [*first[1:].tolist(), len(s)], s[first].tolist(), strict=True):
-        out.append((a, b, signed(h(raw[at : at + core])), signed(h(raw[a : b + length - 1]))))
+        out.append((a, b, at, _signed(h(raw[at : at + core])), _signed(h(raw[a : b + length - 1]))))
     return out
 
 
@@ -79,7 +95,7 @@ def _flat(df: DataFrame, work, schema: T.StructType, carry: list[str]) -> DataFr
                 rows: list[tuple] = []
                 for text, *values in zip(part.column("text").to_pylist(), *(part.column(c).to_pylist() for c in carry), strict=True):
                     rows += work(text.encode(), *values)
-                    if len(rows) > 50_000:
+                    if len(rows) > 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                         rows = []
                 if rows:
@@ -88,39 +104,61 @@ def _flat(df: DataFrame, work, schema: T.StructType, carry: list[str]) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """From (key, size, text) the rows (key, size, starts): intervals of starts whose string occurs elsewhere too."""
-    long_enough = docs.where(F.col("size") >= length)
-    schema = T.StructType.fromDDL("key long, size long, a int, b int, core long, name long")
-    all_runs = _flat(long_enough, lambda raw, key, size: [(key, size, *r) for r in runs(raw, length, window)], schema, ["key", "size"])
-    all_runs = materialize(all_runs, "runs")
+def named_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """From (key, size, text) the rows (key, size, info) of texts with runs whose core occurs elsewhere; info holds
+    structs (a, b, at, core, name, names, kind)."""
+    docs = docs.where(F.col("size") >= length).select("key", "size", "text")
+    only_cores = _flat(docs, lambda raw: cores(raw, length, window), T.StructType.fromDDL("core long"), [])
+    twice = materialize(only_cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
+    schema = T.StructType.fromDDL("key long, size long, a int, b int, at int, core long, name long")
+    rows = _flat(docs, lambda raw, key, size: [(key, size, *r) for r in runs(raw, length, window)], schema, ["key", "size"])
+    rows = materialize(rows.join(twice, "core", "left_semi"), "runs")
 
-    names = all_runs.groupBy("core", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "a", "b")).alias("one"))
-    names = materialize(names, "names")
-    cores = names.groupBy("core").agg(F.count("*").alias("names"), F.sum("n").alias("total")).where("total > 1")
+    names = rows.groupBy("core", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "a", "b", "at")).alias("one"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shared = names.withColumn("salt", F.pmod("name", F.lit(SALTS)).cast("int")).join(cores.select("core", "names", salts), ["core", "salt"])
-    shared = materialize(shared.select("core", "name", "n", "names", "one.*"), "shared")
-
-    whole = all_runs.join(shared.where("n > 1").select("core", "name"), ["core", "name"], "left_semi").select("key", "size", "a", "b")
-
-    mixed = shared.where("names > 1").groupBy("key", "size").agg(F.collect_list(F.struct("a", "b", "core", (F.col("n") == 1).alias("open"))).alias("open_runs"))
-
-    def prefixes(raw, key, size, open_runs):
-        h = xxhash.xxh64_intdigest
-        for r in open_runs:
-            for p in range(r["a"], r["b"]):
-                x = h(raw[p : p + length])
-                yield key, size, p, r["open"], r["core"], x - (1 << 64) if x >> 63 else x
-
-    schema = T.StructType.fromDDL("key long, size long, p int, open boolean, core long, prefix long")
-    rest = _flat(long_enough.join(mixed, ["key", "size"]), prefixes, schema, ["key", "size", "open_runs"])
-    rest = materialize(rest, "suffixes")
-    place = F.struct("key", "size", "p")
-    twice = rest.groupBy("core", "prefix").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    twice = materialize(twice.select("core", "prefix"), "twice")
-    single = rest.where("open").join(twice, ["core", "prefix"], "left_semi").select("key", "size", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
-    return whole.union(single).groupBy("key", "size").agg(F.collect_set(F.struct("a", "b")).alias("starts"))
+    per_core = names.groupBy("core").agg(F.count("*").cast("int").alias("names")).select("core", "names", salts)
+    named = names.withColumn("salt", F.pmod("name", F.lit(SALTS)).cast("int")).join(per_core, ["core", "salt"])
+    named = materialize(named.where("n > 1 or names > 1").select("core", "name", "n", "names", "one.*"), "names")
+
+    info = lambda names, kind: F.struct("a", "b", "at", "core", "name", names.alias("names"), F.lit(kind).alias("kind")).alias("i")
+    whole = rows.join(named.where("n > 1").select("core", "name"), ["core", "name"], "left_semi").select("key", "size", info(F.lit(1), WHOLE))
+    mixed = named.where("names > 1")
+    single = mixed.where("n = 1").select("key", "size", info(F.col("names"), OPEN))
+    partner = mixed.where("n > 1").select("key", "size", info(F.col("names"), PARTNER))
+    return whole.union(single).union(partner).groupBy("key", "size").agg(F.collect_set("i").alias("info"))
+
+
+def _parts(length: int, window: int):
+    """Yields the string of each run to compare, in as many parts as its core has crowds; a part covers starts at certain
+    distances from the sampled position, alike in all runs of the core."""
+
+    def work(raw, key, size, info):
+        for r in info:
+            if r["kind"] == WHOLE:
+                continue
+            width = window
+            while width > 1 and r["names"] * width > CROWD * window:
+                width //= 2
+            for lot in range((r["at"] - r["b"] + 1) // width, (r["at"] - r["a"]) // width + 1):
+                a, b = max(r["a"], r["at"] - (lot + 1) * width + 1), min(r["b"], r["at"] - lot * width + 1)
+                yield r["core"], r["name"], lot, r["kind"] == OPEN, key, size, r["a"], a, raw[a : b + length - 1]
+
+    return work
+
+
+def open_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """From (key, size, text, info) the rows (key, size, starts): of each open run with repeated starts the interval from
+    the first to the last of them."""
+    schema = T.StructType.fromDDL("core long, name long, lot int, open boolean, key long, size long, run int, a int, part binary")
+    parts = _flat(docs.where(F.exists("info", lambda i: i["kind"] != WHOLE)), _parts(length, window), schema, ["key", "size", "info"])
+    others = [c for c in parts.columns if c not in ("core", "name", "lot")]
+    one = parts.groupBy("core", "name", "lot").agg(F.max(F.struct(*others)).alias("x")).select("core", "lot", "x.*")
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("part") - length), lambda i: F.xxhash64(F.substr("part", i + 1, F.lit(length))))
+    starts = one.repartition("core", "lot").select("core", "lot", "open", "key", "size", "run", "a", F.posexplode(prefixes).alias("i", "prefix"))
+    n = F.count("*").over(W.partitionBy("core", "lot", "prefix"))
+    again = starts.withColumn("n", n).where("n > 1 and open").select("key", "size", "run", (F.col("a") + F.col("i")).alias("p"))
+    ends = again.groupBy("key", "size", "run").agg(F.min("p").alias("a"), (F.max("p") + 1).alias("b"))
+    return ends.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
 
 
 def cover(starts: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]]:
@@ -134,23 +172,30 @@ def cover(starts: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]
     return out
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """Return doc_id, n_bytes, n_removed, spans (array of removed [begin, end) byte runs) and kept (the other bytes)."""
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, with_kept: bool = True) -> DataFrame:
+    """Return doc_id, n_bytes, n_removed, spans (array of removed [begin, end) byte runs), kept_sha256 (of the other bytes)
+    and kept (these bytes; null without with_kept, which spares moving them)."""
     if not 0 < window <= length - GRAM or window & (window - 1):
         raise ValueError("window must be a power of two and leave room for a gram")
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("key"), F.octet_length(body).cast("long").alias("size"))
-    starts = repeated_starts(docs.select("key", "size", "text"), length, window)
+    known = docs.withColumn("whole_sha256", F.sha2("text", 256)).join(named_runs(docs, length, window), ["key", "size"], "left")
+    if not with_kept:
+        known = known.withColumn("text", F.when(F.col("info").isNotNull(), F.col("text")))
+    known = materialize(known, "known")
+    starts = open_starts(known.where("info is not null"), length, window)
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
-    def strip(raw, key, found):
-        spans = cover([(r["a"], r["b"]) for r in found or ()], length)
+    def strip(raw, key, info, found):
+        spans = cover([(r["a"], r["b"]) for r in info if r["kind"] == WHOLE] + [(r["a"], r["b"]) for r in found or ()], length)
         kept, at = [], 0
         for a, b in spans:
             kept.append(raw[at:a])
             at = b
         rest = b"".join([*kept, raw[at:]])
-        yield key, len(raw), len(raw) - len(rest), [{"begin": a, "end": b} for a, b in spans], rest
+        yield key, len(raw), len(raw) - len(rest), [{"begin": a, "end": b} for a, b in spans], hashlib.sha256(rest).hexdigest(), rest if with_kept else None
 
-    return _flat(docs.join(starts, ["key", "size"], "left"), strip, schema, ["doc_id", "starts"])
+    some = _flat(known.where("info is not null").join(starts, ["key", "size"], "left"), strip, schema, ["doc_id", "info", "starts"])
+    none = known.where("info is null").select("doc_id", F.col("size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(span).alias("spans"), F.col("whole_sha256").alias("kept_sha256"), (F.col("text") if with_kept else F.lit(None)).cast("binary").alias("kept"))
+    return some.unionByName(none)
