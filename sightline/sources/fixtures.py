@@ -48,10 +48,11 @@ def filters(spark: SparkSession) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 5000")
-    return li.select(
+    """Pixels of 8 by 8 crops, one crop per order."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("region_id"),
-        F.col("l_linenumber").alias("px_id"),
+        (F.col("l_partkey") % 8).cast("int").alias("px_x"),
+        (F.col("l_suppkey") % 8).cast("int").alias("px_y"),
         (F.col("l_quantity") * 5).cast("int").alias("r"),
         (F.col("l_partkey") * 37 % 256).cast("int").alias("g"),
         (F.col("l_suppkey") * 101 % 256).cast("int").alias("b"),
