@@ -23,9 +23,13 @@ def _case(column: str, values: dict, other):
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_of(table(spark, sf_dir, "events"))
+
+
+def detections_of(events: DataFrame) -> DataFrame:
     """One row per detection; the device is the user, a frame is a device's day."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf_dir, "events").withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = events.withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
     row = F.floor(F.col("k") / 10).cast("int")
     bits = F.pmod(F.col("event_id") * 2654435 + F.col("k") * 40503, F.lit(67108864))
     return e.select(
@@ -60,8 +64,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("seq"), _case("event_type", SERIES_OF, "cache.references").alias("series"), F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return datapoints_of(table(spark, sf_dir, "events"))
+
+
+def datapoints_of(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("seq"), _case("event_type", SERIES_OF, "cache.references").alias("series"), F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,12 @@ from sightline.operators.tracking import KEYS, OUT, Rules, Tracker
 
 
 def read_table(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """A Parquet file or folder as a stream, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A Parquet folder, or a single file, as a stream with the schema of what is there."""
+    now = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    single = any(f.rpartition("/")[2] == name for f in now.inputFiles()[:1])
+    reader = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", per_trigger)
+    return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, late: str) -> DataFrame:
@@ -24,11 +28,11 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lat
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-def track(observed: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def track(observed: DataFrame, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
     """Confirmation events of a stream of observations (as operators.tracking.observations gives them).
 
     The state of a key is its live tracks as JSON, and its rows of a trigger come in any order, so they are sorted; triggers
-    are expected in order of time. A key whose tracks outlive their ttl without a detection is forgotten."""
+    are expected in order of time. A key is forgotten when the watermark has passed the last track's ttl."""
     settings = asdict(rules)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,11 +43,13 @@ def track(observed: DataFrame, rules: Rules = Rules()) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["seconds", "det_id"]).to_dict("records")
         out = [e for r in rows for e in machine.detection(r)]
         state.update((json.dumps(machine.tracks),))
-        state.setTimeoutDuration(int(rules.ttl * 1000))
+        ends = max(r["seconds"] for r in rows) + rules.ttl
+        state.setTimeoutTimestamp(max(int(ends * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return observed.groupBy(*KEYS).applyInPandasWithState(step, OUT, "tracks string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = observed.withColumn("at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long"))).withWatermark("at", late)
+    return timed.groupBy(*KEYS).applyInPandasWithState(step, OUT, "tracks string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, checkpoint: str, mode: str = "append", **sink) -> None:
