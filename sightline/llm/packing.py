@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,36 +23,48 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sightline.llm._common import slices
-from sightline.llm.tokens import KEPT, Splitter
+from sightline.llm.tokens import PRE_TOKEN, Splitter, byte_symbols
 
 #: Bytes of ids in one Arrow batch of pieces.
 OUT_BYTES = 8 << 20
+LONG_RUN = 2000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes; distinct pre-tokens go through the tokenizers library once."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    The vocabulary file's own entries drive tiktoken's merging, which takes the pair of least id first; that is the file's
+    rule as long as its merges come in the order of their ids, which is checked. Texts with a stretch of more than
+    LONG_RUN characters with or without white space, where that merging is slow, go through the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.split = Splitter(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        pieces = [self.split.pieces(t) for t in texts]
-        new = [p for p in set(chain.from_iterable(pieces)) if p not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(set(chain.from_iterable(pieces)))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        for p in pieces:
-            yield b"".join(map(get, p))
+        vocab = self.split.spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in self.split.spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("merges must come in the order of their ids")
+        byte_of = {c: i for i, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.split.added}
+        self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids(self, text: str) -> bytes:
+        words = text.split()
+        sizes = list(map(len, words))
+        if max(sizes, default=0) > LONG_RUN or len(text) - sum(sizes) - len(sizes) > LONG_RUN:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not any(s in text for s in self.split.added):
+            return self._ids(text)
+        return b"".join(array("I", [self.split.added[t]]).tobytes() if special else self._ids(t) for t, special in self.split.segments(text))
 
 
 def binary_lengths(n: int, max_len: int) -> list[int]:
@@ -97,9 +108,8 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids_of = encode(part.column("text").to_pylist())
-                for key, ids in zip(part.column("doc_id").to_pylist(), ids_of, strict=True):
-                    ids += end
+                for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = encode(text) + end
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, max_len):
                         rows.append((key, start, length, length.bit_length() - 1, ids[4 * start : 4 * (start + length)], n))

@@ -47,18 +47,21 @@ class Splitter:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest_first))) if self.added else None
 
+    def segments(self, text: str) -> list[tuple[str, bool]]:
+        """Non-empty parts of a text, and whether each is a special string."""
+        out: list[tuple[str, bool]] = []
+        at = 0
+        for m in self.special.finditer(text):
+            out += [(text[at : m.start()], False), (m.group(), True)]
+            at = m.end()
+        return [x for x in (*out, (text[at:], False)) if x[0]]
+
     def pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
         if not any(s in text for s in self.added):
             return self.find(text)
-        out: list[str] = []
-        at = 0
-        for m in self.special.finditer(text):
-            out += self.find(text[at : m.start()])
-            out.append(m.group())
-            at = m.end()
-        return out + self.find(text[at:])
+        return [p for t, special in self.segments(text) for p in ([t] if special else self.find(t))]
 
 
 class RankMerger:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from sightline.llm import packing, queries, tokens
 
-ODD = ["", " ", "  a", "a  \n\n b", "it's we'LL", "ééé日本語\U0001f600", "aaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 5000, "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endo", "12345,67.8", "  x", "é", "\x00\x01", "abababababab" * 40, "\r\n\t" * 9, "²³ ½ Ⅷ", "   <|endoftext|>   "]
+ODD = ["", " ", "  a", "a  \n\n b", "it's we'LL", "ééé日本語\U0001f600", "aaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 5000, "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endo", "12345,67.8", "  x", "é", "\x00\x01", "abababababab" * 40, "\r\n\t" * 9, "²³ ½ Ⅷ", " " * 3000 + "x", "y" * 3000 + "<|endoftext|>z", "\u2028\u0085 a", "   <|endoftext|>   "]
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def library(path):
 
 def test_odd_texts(path, library):
     assert tokens.TokenCounter(path)(ODD) == [len(library.encode(t, add_special_tokens=False).ids) for t in ODD]
-    assert [list(array("I", x)) for x in packing.Encoder(path)(ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
+    assert [list(array("I", x)) for x in map(packing.Encoder(path), ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
 def test_counts(spark, sf, rows, library):
