@@ -1,0 +1,12 @@
+from types import SimpleNamespace
+
+from sightline.llm import _common
+
+
+def test_shared_folder():
+    conf = {"spark.checkpoint.dir": "file:///shared"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d)), sparkContext=SimpleNamespace(applicationId="a"))
+    assert _common.shared_dir(session) == "file:///shared"
+    conf.clear()
+    first = _common.shared_dir(session)
+    assert first.startswith("file:///") and _common.shared_dir(session) == first
