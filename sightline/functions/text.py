@@ -71,3 +71,18 @@ def telemetry(line: Column) -> dict[str, Column]:
         "power_avg_mw": found(r"VDD_IN (\d+)mW/(\d+)mW", 2).cast("long"),
         "cpu_gpu_power_mw": found(r"VDD_CPU_GPU_CV (\d+)mW").cast("long"),
     }
+
+
+def two_decimals(share: Column) -> Column:
+    """A number from 0 to 1 with two decimals, rounded by its exact binary value (ties to even), as printf in C does; Spark's
+    own formatting rounds the shortest decimal form. The number times 2**62 is a whole number."""
+    one = 1 << 62
+    hundred = F.expr("decimal(100)") * (share * float(one)).cast("long").cast("decimal(20,0)")
+    whole = F.floor(hundred / F.lit(one).cast("decimal(20,0)")).cast("long")
+    rest = hundred - whole.cast("decimal(20,0)") * F.lit(one).cast("decimal(20,0)")
+    whole = F.when(rest < 0, whole - 1).otherwise(whole)
+    rest = F.when(rest < 0, rest + F.lit(one).cast("decimal(20,0)")).otherwise(rest)
+    half = F.lit(one // 2).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    n = whole + up.cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.text import two_decimals
 from sightline.operators.history import last_n, latest
 
 SNAPSHOT_CONFIDENCE = 0.01
@@ -40,7 +41,7 @@ def crop_name(ts: Column, label: Column, confidence: Column, attributes: Column,
     """File name of a crop: time, label, confidence, names of true attributes, colours as part-name."""
     names = F.map_keys(F.map_filter(attributes, lambda _, v: v))
     shades = F.transform(F.map_entries(colors), lambda e: F.concat_ws("-", e["key"], e["value"]))
-    return F.concat(F.concat_ws("_", F.date_format(ts, "yyyyMMdd_HHmmss"), label, F.format_string("%.2f", confidence), F.array_join(names, "_"), F.array_join(shades, "_")), F.lit(".jpg"))
+    return F.concat(F.concat_ws("_", F.date_format(ts, "yyyyMMdd_HHmmss"), label, two_decimals(confidence), F.array_join(names, "_"), F.array_join(shades, "_")), F.lit(".jpg"))
 
 
 def merge_latest(path: str, keys: list[str], order: list[str], n: int = 1):
