@@ -51,6 +51,6 @@ def lower(df: DataFrame, response: str = "response") -> DataFrame:
 
 
 def mask_names(mask: Column, vocabulary: tuple[str, ...]) -> Column:
-    """Names of the enabled slots."""
-    picked = F.filter(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.coalesce(F.get(mask, i), F.lit(False)))
-    return F.transform(picked, lambda i: F.get(F.array(*map(F.lit, vocabulary)), i))
+    """Names of the enabled slots (none for a null mask). The mask stands outside of any lambda, so it is made once a row."""
+    slots = F.coalesce(mask, F.array().cast("array<boolean>"))
+    return F.array_compact(F.zip_with(slots, F.array(*map(F.lit, vocabulary)), lambda on, name: F.when(on, name)))
