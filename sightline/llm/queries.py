@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,55 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_simhash_near_dedup, op4_pii, op5_url_filters, op6_packing, op7_language_id, op8_chat_formatting, op9_quality_rules, op10_benchmark_decontamination)}
 
 
+def _oracle_repeats() -> str:
+    n = repeats.LENGTH
+    part = lambda a, z: f"CASE WHEN {z} >= {a} THEN hex(b[{a}:{z}]) ELSE '' END"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT row, b, unnest(range(1, octet_length(b) - {n - 2})) AS i FROM docs WHERE octet_length(b) >= {n}),
+strings AS (SELECT row, i, md5(b[i:i + {n - 1}]) AS string FROM starts),
+twice AS (SELECT row, i FROM strings QUALIFY count(*) OVER (PARTITION BY string) > 1),
+apart AS (SELECT row, i, coalesce(i > lag(i) OVER (PARTITION BY row ORDER BY i) + {n}, true) AS opens FROM twice),
+numbered AS (SELECT row, i, count_if(opens) OVER (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM apart),
+spans AS (SELECT row, min(i) AS a, max(i) + {n - 1} AS z FROM numbered GROUP BY row, span),
+gaps AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) + 1 AS since FROM spans),
+cut AS (SELECT row, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) + 1 AS rest, string_agg({part('since', '(a - 1)')}, '' ORDER BY a) AS before
+    FROM gaps JOIN docs USING (row) GROUP BY row)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(before || {part('rest', 'octet_length(b)')})) END AS kept_sha256
+FROM docs LEFT JOIN cut USING (row)"""
+
+
+def _oracle_urls() -> str:
+    upper, lower, size = string.ascii_uppercase, string.ascii_lowercase, urls.SIZE
+    fits = {r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')" for r in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))}
+    chosen = lambda what: "CASE " + " ".join(f"WHEN {c} THEN '{what(r)}'" for r, c in fits.items()) + " END"
+    smooth = lambda low: f"CASE WHEN of_all > 0 THEN (n + kinds * {low}) / (of_all + kinds) ELSE {low} END"
+    return f"""
+WITH rests AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+ruled AS (SELECT *, {chosen(lambda r: r[1] + r[2])} AS rule, {chosen(lambda r: r[0])} AS ruling FROM parts),
+folded AS (SELECT row, ruling, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {urls.FOLDS} = 0 AS held,
+    '^^' || regexp_replace(translate(host || path, '{upper}{string.digits}', '{lower}{'0' * 10}'), '[^a-z0./_-]', '*', 'g') || '$' AS s FROM ruled WHERE host <> ''),
+places AS (SELECT row, ruling, held, s, unnest(range(1, length(s) - 1)) AS i FROM folded),
+symbols AS (SELECT row, ruling, held, instr('{urls.ALPHABET}', s[i]) - 1 AS a, instr('{urls.ALPHABET}', s[i + 1]) - 1 AS b, instr('{urls.ALPHABET}', s[i + 2]) - 1 AS c FROM places),
+seen AS (SELECT ruling = 'allow' AS yes, a, b, c, count(*) AS n FROM symbols WHERE ruling IS NOT NULL AND NOT held GROUP BY ALL),
+letters AS (SELECT unnest(range({size})) AS x),
+grid AS (SELECT yes, a.x AS a, b.x AS b, c.x AS c FROM (VALUES (true), (false)) AS t(yes), letters AS a, letters AS b, letters AS c),
+three AS (SELECT grid.*, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM grid LEFT JOIN seen USING (yes, a, b, c)),
+one AS (SELECT yes, c, (sum(n) + 1) / (sum(sum(n)) OVER (PARTITION BY yes) + {size}) AS p1 FROM three GROUP BY yes, c),
+pairs AS (SELECT yes, b, c, sum(n) AS n FROM three GROUP BY yes, b, c),
+pairs_of AS (SELECT *, sum(n) OVER (PARTITION BY yes, b) AS of_all, count_if(n > 0) OVER (PARTITION BY yes, b) AS kinds FROM pairs),
+two AS (SELECT yes, b, c, {smooth('p1')} AS p2 FROM pairs_of JOIN one USING (yes, c)),
+three_of AS (SELECT *, sum(n) OVER (PARTITION BY yes, a, b) AS of_all, count_if(n > 0) OVER (PARTITION BY yes, a, b) AS kinds FROM three),
+whole AS (SELECT yes, a, b, c, {smooth('p2')} AS p3 FROM three_of JOIN two USING (yes, b, c)),
+ratios AS (SELECT a, b, c, round(sum(CASE WHEN yes THEN ln(p3) ELSE -ln(p3) END), 5) AS r FROM whole GROUP BY a, b, c),
+scores AS (SELECT row, any_value(ruling) AS ruling, any_value(held) AS held, round(sum(r) / count(*), 9) AS score FROM symbols JOIN ratios USING (a, b, c) GROUP BY row),
+cuts AS (SELECT CASE WHEN bool_or(ruling = 'allow') AND bool_or(ruling = 'block') THEN quantile_disc(score, {urls.FALSE_REJECTION}) FILTER (ruling = 'allow' AND held) END AS cut FROM scores)
+SELECT page_id, host, path, rule, coalesce(ruled.ruling, CASE WHEN score < cut THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores USING (row) CROSS JOIN cuts"""
+
+
 def _oracle_chat() -> str:
     escaped = "{}"
     for plain, entity in chat.ENTITIES:
@@ -195,6 +246,8 @@ FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)"""
 
 
 ORACLE_SQL = {
+    "op1_suffix_array_dedup": _oracle_repeats(),
+    "op5_url_filters": _oracle_urls(),
     "op8_chat_formatting": _oracle_chat(),
     "op9_quality_rules": _oracle_quality(),
     "op10_benchmark_decontamination": _oracle_decontamination(),

@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sightline.llm import queries, urls
 
 
@@ -69,7 +71,7 @@ def test_split_and_rules(pages):
 
 
 def test_scores_against_a_plain_model(spark, pages):
-    held = {r.page_id for r in pages.selectExpr("page_id", f"pmod(xxhash64(url), {urls.FOLDS}) = 0 AS held").collect() if r.held}
+    held = {r.page_id for r in pages.select("page_id", urls.held_out(F.col("url")).alias("held")).collect() if r.held}
     known = {True: [], False: []}
     for r in pages.collect():
         verdict = rule_of(*split(r.url))[1]
