@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,3 +20,12 @@ def rollback(versioned: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     old = versioned.join(requests.withColumnRenamed("to_version", "version"), [key, "version"])
     note = F.concat(F.lit("Rollback to version "), F.col("version").cast("string"))
     return old.join(top, key).select(*(c for c in versioned.columns if c not in ("version", "is_active")), note.alias("description"), (F.col("top") + 1).alias("version"), F.lit(True).alias("is_active"))
+
+
+def region(setting: Column, default: tuple[float, float] = (0.0, 1.0)) -> tuple[Column, Column]:
+    """Begin and end of a region written in JSON as [begin, end] or {"start": begin, "end": end}; a bound that is left out
+    or can't be read has its default."""
+    pair, named = F.from_json(setting, "array<double>"), F.from_json(setting, "start double, end double")
+    is_pair = F.startswith(F.ltrim(setting), F.lit("["))
+    bound = lambda i, name: F.coalesce(F.when(is_pair, F.get(pair, F.lit(i))).otherwise(named[name]), F.lit(default[i]))
+    return bound(0, "start"), bound(1, "end")

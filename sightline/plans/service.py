@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions import text
-from sightline.operators import configs, devices, history, requests, trees
+from sightline.operators import configs, devices, flow, history, requests, trees
 from sightline.plans.base import MESSAGES, query
 from sightline.sources import bus, fixtures
 from sightline.vocab import ATTRIBUTES, CATEGORIES
@@ -50,8 +51,6 @@ def admin_devices(spark, sf_dir):
     first = history.page(out, [F.desc_nulls_first("last_seen"), F.col("device_id")], 50)
     live = devices.is_alive(F.col("last_seen"), F.lit(_AS_OF).cast("timestamp"), 86400)
     rows = first.select("device_id", devices.normal_status(F.col("status")).alias("status"), live.alias("alive"), "last_seen")
-    from pyspark.sql import Window as W
-
     return rows.select("device_id", "status", "alive", F.row_number().over(W.orderBy(F.desc_nulls_first("last_seen"), "device_id")).cast("long").alias("place"))
 
 
@@ -321,3 +320,57 @@ def map_merge(spark, sf_dir):
 def prompt_source(spark, sf_dir):
     parts = F.explode(F.split(F.concat("p_name", F.lit(", "), "p_brand"), ",")).alias("w")
     return _table(spark, sf_dir, "part").select("p_partkey", parts).select("p_partkey", F.trim("w").alias("prompt"))
+
+
+@query("""SELECT 'large' AS label, event_id, user_id FROM events WHERE value > 100 UNION ALL SELECT 'click' AS label, event_id, user_id FROM events WHERE event_type = 'click'""")
+def flow_fork_merge(spark, sf_dir):
+    """Two branches of one source, each under a contract; an event that reaches the merge twice counts once per label."""
+    needs = {"event_id": "bigint", "value": "double", "event_type": "string"}
+    keep = lambda where: flow.contract(needs, {"event_id": "bigint"})(lambda df: df.where(where).select("event_id", "user_id"))
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    forked = flow.fork(events, {"large": keep("value > 100"), "click": keep("event_type = 'click'")})
+    again = flow.fork(events, {"click": keep("event_type = 'click' AND value > 100")})
+    return flow.merge([forked, again], ["event_id"]).select("label", "event_id", "user_id")
+
+
+@query(f"""WITH {MESSAGES}, placed AS (SELECT msg_id, topic, split_part(topic, '/', 2) AS device, split_part(topic, '/', 3) AS kind, row_number() OVER (PARTITION BY topic ORDER BY ts DESC, msg_id DESC) AS place FROM messages)
+SELECT device, kind, msg_id, place FROM placed WHERE place <= CASE kind WHEN 'click' THEN 200 WHEN 'view' THEN 50 WHEN 'purchase' THEN 20 ELSE 3 END""")
+def client_caps(spark, sf_dir):
+    """What a device's page shows: the newest detections, metric points, chart points and alerts, each kind to its cap."""
+    parts = F.split("topic", "/")
+    rows = fixtures.messages(spark, sf_dir).select("msg_id", "ts", F.get(parts, F.lit(1)).alias("device"), F.get(parts, F.lit(2)).alias("kind"))
+    cap = F.when(F.col("kind") == "click", 200).when(F.col("kind") == "view", 50).when(F.col("kind") == "purchase", 20).otherwise(3)
+    return history.last_n(rows, ["device", "kind"], ["ts", "msg_id"], 200).where(F.col("place") <= cap).select("device", "kind", "msg_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT user_id, event_id, CAST(count_if(event_type <> 'view') OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS position FROM events")
+def masked_positions(spark, sf_dir):
+    """Positions of the tokens of a sequence: the running sum of its mask."""
+    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    on = (F.col("event_type") != "view").cast("long")
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(on).over(w).alias("position"))
+
+
+_REGION = """CASE p_partkey % 4 WHEN 0 THEN '[0.1, 0.4]' WHEN 1 THEN '{"start": 0.2, "end": 0.5}' WHEN 2 THEN '{"end": 0.3}' END"""
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0.0 END::DOUBLE AS region_begin, CASE p_partkey % 4 WHEN 0 THEN 0.4 WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 1.0 END::DOUBLE AS region_end FROM part""")
+def region_settings(spark, sf_dir):
+    """A configured region is a pair or an object with start and end; what is left out has its default."""
+    settings = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_REGION).alias("region"))
+    begin, end = configs.region(F.col("region"))
+    return settings.select("p_partkey", begin.alias("region_begin"), end.alias("region_end"))
+
+
+@query(f"WITH {_CFG} SELECT owner, save_id, CAST(version AS INT) AS version FROM cfg WHERE owner = 7 ORDER BY version DESC LIMIT 10")
+def config_history_page(spark, sf_dir):
+    """The newest versions of one owner's configuration."""
+    mine = _configs(spark, sf_dir).where("owner = 7").select("owner", "save_id", "version")
+    return history.page(mine, [F.desc("version")], 10)
+
+
+@query("SELECT p_partkey AS term_id, p_name AS search_string, p_size AS priority FROM part ORDER BY p_size DESC, p_partkey LIMIT 50 OFFSET 50")
+def search_terms_page(spark, sf_dir):
+    """The second page of search terms."""
+    terms = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term_id"), F.col("p_name").alias("search_string"), F.col("p_size").alias("priority"))
+    return history.page(terms, [F.desc("priority"), F.col("term_id")], 50, 50)

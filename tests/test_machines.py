@@ -3,9 +3,10 @@
 import math
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import clusters, filters, history, metrics, routing, spatial, tracking
+from sightline.operators import clusters, configs, filters, flow, history, metrics, routing, spatial, tracking
 from sightline.operators.tracking import Rules, Tracker
 from sightline.plans.registry import QUERIES
 from sightline.sources import fixtures, images
@@ -160,3 +161,25 @@ def test_image_folder_order(spark, tmp_path):
 def test_disjoint_categories_only():
     nodes = [clusters.Node([i], (0.0, 0.0, 10.0, 10.0), 100.0, 0, {0}, 1, 0.5) for i in range(4)]
     assert len(clusters.agglomerate(nodes, 0, 0.0, 10)) == 4 and len(list(combinations(nodes, 2))) == 6
+
+
+def test_flow_contracts(spark):
+    df = spark.range(3)
+    double = flow.contract({"id": "bigint"}, {"twice": "bigint"})(lambda d: d.select((F.col("id") * 2).alias("twice")))
+    assert [r.twice for r in flow.chain(df, double).orderBy("twice").collect()] == [0, 2, 4]
+    with pytest.raises(TypeError, match="requires id bigint"):
+        flow.chain(df.selectExpr("cast(id AS string) AS id"), double)
+    with pytest.raises(TypeError, match="must produce other"):
+        flow.contract({}, {"other": "int"})(lambda d: d)(df)
+
+
+def test_flow_merge_counts_an_item_once_per_label(spark):
+    forked = flow.fork(spark.range(4), {"even": lambda d: d.where("id % 2 = 0"), "all": lambda d: d})
+    merged = flow.merge([forked, forked], ["id"])
+    assert sorted((r.label, r.id) for r in merged.collect()) == [("all", 0), ("all", 1), ("all", 2), ("all", 3), ("even", 0), ("even", 2)]
+
+
+def test_region_settings(spark):
+    rows = spark.createDataFrame([("[0.1, 0.2]",), ('{"start": 0.3}',), (None,), ("nonsense",), ("[]",)], "s string")
+    begin, end = configs.region(F.col("s"))
+    assert [tuple(r) for r in rows.select(begin, end).collect()] == [(0.1, 0.2), (0.3, 1.0), (0.0, 1.0), (0.0, 1.0), (0.0, 1.0)]
