@@ -23,12 +23,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.bit_count(a.bitwiseAND(b)) / F.sqrt(n.cast("double")))
 
 
-def has_category(category: Column, bits: Column) -> Column:
-    """Whether a bit mask enables the category; ids outside 0 to 62 never are (use mask arrays for those)."""
-    inside = category.between(0, 62)
-    return inside & (F.when(inside, F.call_function("getbit", bits, category)).otherwise(F.lit(0)) == 1)
-
-
 def in_mask(category: Column, mask: Column, wrap: bool = False) -> Column:
     """Whether a mask array enables the category. wrap: -1 reads the last slot, as indexing from the end would."""
     at = F.when((category < 0) & F.lit(wrap), F.size(mask) + category).otherwise(category)

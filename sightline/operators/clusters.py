@@ -80,9 +80,9 @@ def cluster(det: DataFrame, filters: list[dict], threshold: float = MERGE_THRESH
         def close(self):
             free = self.rows
             for f in filters:
-                wanted = lambda r, bits=f["cat_bits"]: 0 <= r["category_id"] < 63 and bits >> r["category_id"] & 1
+                wanted = lambda r, mask=f["cat_mask"]: 0 <= r["category_id"] < len(mask) and mask[r["category_id"]]
                 claimed = [r for r in free if wanted(r)]
-                if f["cat_bits"].bit_count() >= 2 and len(claimed) >= 2:
+                if sum(map(bool, f["cat_mask"])) >= 2 and len(claimed) >= 2:
                     free = [r for r in free if not wanted(r)]
                     for n in agglomerate([Node.of(r) for r in claimed], f["attr_mask"], threshold, most):
                         yield *self.key, f["filter_id"], n.members, n.category, *n.box, n.confidence, n.cost

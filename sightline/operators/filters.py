@@ -1,7 +1,7 @@
 """Search filters applied to detections.
 
-A filter is a row (filter_id, cat_bits, attr_mask, ord); a detection has category_id and attr_bits. Filters are exploded
-to their categories, so that matching is an equi-join that Catalyst may broadcast or not by the measured size.
+A filter is a row (filter_id, cat_mask, attr_mask, ord), cat_mask an array with a boolean for each category of the
+vocabulary (as requests.lower makes it); a detection has category_id and attr_bits. Filters are exploded to their categories, so that matching is an equi-join that Catalyst may broadcast or not by the measured size.
 """
 
 from __future__ import annotations
@@ -9,32 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.attributes import all_present, has_category, score
-from sightline.vocab import ATTRIBUTE_MATCH, PERSON, REMATCH, UNKNOWN
+from sightline.functions.attributes import all_present, in_mask, score
+from sightline.vocab import ATTRIBUTE_MATCH, CATEGORIES, PERSON, REMATCH, UNKNOWN
 
 
-def bits_of(mask: Column, size: int = 63) -> Column:
+def bits_of(mask: Column, size: int) -> Column:
     """Numbers of the set bits of a mask."""
     return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("getbit", mask, i) == 1)
 
 
+def enabled(mask: Column) -> Column:
+    """Numbers of the enabled slots of a mask array."""
+    return F.filter(F.transform(mask, lambda on, i: F.when(on, i)), lambda i: i.isNotNull())
+
+
 def merged_mask(filters: DataFrame) -> DataFrame:
-    """One row: the categories that any filter enables."""
-    return filters.agg(F.coalesce(F.bit_or("cat_bits"), F.lit(0)).cast("long").alias("cat_bits"))
+    """One row: the categories that any filter enables, as a mask array."""
+    ids = filters.select(F.explode(enabled(F.col("cat_mask"))).alias("i")).agg(F.collect_set("i").alias("ids"))
+    return ids.select(F.transform(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - 1)), lambda i: F.array_contains("ids", i)).alias("cat_mask"))
 
 
 def by_category(filters: DataFrame) -> DataFrame:
-    return filters.select("*", F.explode(bits_of(F.col("cat_bits"))).alias("category_id"))
+    return filters.select("*", F.explode(enabled(F.col("cat_mask"))).alias("category_id"))
 
 
 def route_by_category(det: DataFrame, filters: DataFrame) -> DataFrame:
     """Detections whose category any filter enables; unknown ones never are."""
-    return det.where(has_category(F.col("category_id"), merged_mask(filters).scalar()))
+    return det.where(in_mask(F.col("category_id"), merged_mask(filters).scalar()))
 
 
 def with_placeholders(det: DataFrame, filters: DataFrame, frame: list[str]) -> DataFrame:
     """Kept detections, and one of unknown category without confidence for each frame that lost all of its own."""
-    kept = has_category(F.col("category_id"), merged_mask(filters).scalar())
+    kept = in_mask(F.col("category_id"), merged_mask(filters).scalar())
     marked = det.withColumn("kept", kept)
     empty = marked.groupBy(*frame).agg(F.bool_or("kept").alias("any")).where("not any").drop("any")
     blank = empty.withColumns({"category_id": F.lit(UNKNOWN), "confidence": F.lit(0.0)})
@@ -43,7 +49,7 @@ def with_placeholders(det: DataFrame, filters: DataFrame, frame: list[str]) -> D
 
 def pairs(det: DataFrame, filters: DataFrame) -> DataFrame:
     """Detections with each filter that enables their category, and the attribute score (1 for other than persons)."""
-    by = by_category(filters.select("filter_id", "cat_bits", "attr_mask", "ord"))
+    by = by_category(filters.select("filter_id", "cat_mask", "attr_mask", "ord"))
     rated = F.when(F.col("category_id") == PERSON, score(F.col("attr_bits"), F.col("attr_mask"))).otherwise(F.lit(1.0))
     return det.join(by, "category_id").withColumn("attr_score", rated)
 

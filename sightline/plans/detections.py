@@ -47,7 +47,10 @@ def router_placeholder(spark, sf_dir):
 
 @query(f"{ALL_DET} SELECT CAST(bit_or(cat_bits) AS BIGINT) AS cat_bits FROM filters")
 def merged_category_mask(spark, sf_dir):
-    return filters.merged_mask(fixtures.filters(spark))
+    """The merged mask as one number, bit by category; a number beyond 63 bits is an error, not cut."""
+    ids = filters.enabled(F.col("cat_mask"))
+    bits = F.aggregate(ids, F.lit(0).cast("decimal(38,0)"), lambda s, i: (s + F.pow(F.lit(2.0), i).cast("decimal(30,0)")).cast("decimal(38,0)"))
+    return filters.merged_mask(fixtures.filters(spark)).select(bits.cast("long").alias("cat_bits"))
 
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
@@ -58,8 +61,8 @@ _ATTRS = "[" + ", ".join(f"'{a}'" for a in ATTRIBUTES) + "]"
 coalesce((SELECT string_agg({_ATTRS}[i + 1], ',' ORDER BY i) FROM (SELECT unnest(range(26)) AS i) WHERE attr_mask >> i & 1 = 1), '') AS attributes,
 CAST(bit_count(attr_mask) AS BIGINT) AS n_attributes FROM filters""")
 def mask_to_names(spark, sf_dir):
-    name = lambda bits, size, words: F.array_join(F.transform(filters.bits_of(bits, size), lambda i: F.get(F.array(*map(F.lit, words)), i)), ",")
-    return fixtures.filters(spark).select("filter_id", name(F.col("cat_bits"), 63, CATEGORIES).alias("categories"), name(F.col("attr_mask"), 26, ATTRIBUTES).alias("attributes"), F.bit_count("attr_mask").cast("long").alias("n_attributes"))
+    name = lambda ids, words: F.array_join(F.transform(ids, lambda i: F.get(F.array(*map(F.lit, words)), i)), ",")
+    return fixtures.filters(spark).select("filter_id", name(filters.enabled(F.col("cat_mask")), CATEGORIES).alias("categories"), name(filters.bits_of(F.col("attr_mask"), 26), ATTRIBUTES).alias("attributes"), F.bit_count("attr_mask").cast("long").alias("n_attributes"))
 
 
 @query(f"{ALL_DET} SELECT det_id, filter_id FROM pairs WHERE attr_bits & attr_mask = attr_mask")
@@ -200,7 +203,7 @@ def unclaimed_detections(spark, sf_dir):
     """What no filter of several categories can cluster: the anti-join that clustering leaves as it is. (No two such filters of
     the fixture share a category.)"""
     det, flt = _both(spark, sf_dir)
-    pairs = filters.pairs(det, flt.where(F.bit_count("cat_bits") >= 2))
+    pairs = filters.pairs(det, flt.where(F.size(filters.enabled(F.col("cat_mask"))) >= 2))
     several = pairs.groupBy(*FRAME, "filter_id").agg(F.count("*").alias("n")).where("n >= 2")
     claimed = pairs.join(several, [*FRAME, "filter_id"], "left_semi")
     return det.join(claimed.select("det_id"), "det_id", "left_anti").select("det_id")

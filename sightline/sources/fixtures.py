@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.vocab import CATEGORIES
+
 #: (filter_id, name, category bits, attribute bits, order)
 FILTERS = (("f1", "two attrs", 1, 129, 1), ("f2", "person+car", 5, 0, 2), ("f3", "animals", 98304, 0, 3), ("f4", "car only", 4, 0, 4), ("f5", "four attrs", 1, 5249, 5))
 CATEGORY_OF = {"click": 0, "view": 2, "purchase": 15, "signup": 16}
@@ -48,7 +50,8 @@ def detections_of(events: DataFrame) -> DataFrame:
 
 
 def filters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILTERS), "filter_id string, name string, cat_bits long, attr_mask int, ord int")
+    rows = [(i, n, [bool(bits >> c & 1) for c in range(len(CATEGORIES))], a, o) for i, n, bits, a, o in FILTERS]
+    return spark.createDataFrame(rows, "filter_id string, name string, cat_mask array<boolean>, attr_mask int, ord int")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
