@@ -70,7 +70,7 @@ def _shared(spark) -> str:
 def stream_last_n(spark, sf_dir):
     """Newest point by device and series, kept by a stream over all that is there."""
     base = _shared(spark)
-    events = live.read_table(spark, f"{sf_dir}/events.parquet")
+    events = live.read_table(spark, f"{sf_dir}/events.parquet", per_trigger=1)
     points = fixtures.datapoints_of(events)
     live.run_once(points, f"{base}/checkpoint", foreach=merge_latest(f"{base}/state", ["device_id", "series"], ["ts", "seq"]))
     from sightline.operators.history import latest

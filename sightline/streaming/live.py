@@ -14,12 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sightline.operators.tracking import KEYS, OUT, Rules, Tracker
 
 
-def read_table(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """A Parquet folder, or a single file, as a stream with the schema of what is there."""
+def read_table(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """A Parquet folder, or a single file, as a stream with the schema of what is there.
+
+    All that is there comes in one trigger unless per_trigger limits its files. Files need not be cut by time, so under a
+    watermark a limit would drop the rows of later files that lie before the newest of earlier ones."""
     now = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     single = any(f.rpartition("/")[2] == name for f in now.inputFiles()[:1])
-    reader = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", per_trigger)
+    reader = spark.readStream.schema(now.schema)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
     return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
