@@ -1,16 +1,41 @@
-"""Detections nested in detections, as (id, parent_id) rows, walked level by level in a recursive query."""
+"""Detections nested in detections, as (id, parent_id) rows, walked by pointer doubling.
+
+A round joins all upward paths of 2^k steps with the finished ones and with each other, so that rounds grow with the
+logarithm of the depth; neither rows nor depth are limited. As in a recursive query, a node gives a row for each of its
+paths from a root, nodes below a missing parent or in a circle without a root give none, and a circle below a root, which
+has endless paths, is an error.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def walk(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def walk(nodes: DataFrame) -> DataFrame:
     """From (id, parent_id) the rows (id, root, depth) of everything reachable from a node without parent."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE t(id, root, depth) MAX RECURSION LEVEL {depth} AS (
-            SELECT id, id, 0 FROM {nodes} WHERE parent_id IS NULL
-            UNION ALL SELECT n.id, t.root, t.depth + 1 FROM t JOIN {nodes} n ON n.parent_id = t.id)
-        SELECT * FROM t""".replace("{depth}", str(max_depth)),
-        nodes=nodes,
-    )
+    spark = nodes.sparkSession
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='sightline-')}/walk-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    found = stored(nodes.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "roots")
+    up = stored(nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("top")), "up0")
+    total, steps, k = up.count(), 1, 0
+    while True:
+        above = found.select(F.col("id").alias("top"), "root", (F.col("depth") + F.lit(steps)).alias("depth"))
+        more = stored(up.join(above, "top").select("id", "root", "depth"), f"found{k}")
+        # the paths of a length are the paths one longer without their first step: where none ends here, none is longer
+        if more.isEmpty():
+            return found
+        if steps > total:
+            raise ValueError("a node reachable from a root is its own ancestor")
+        found = found.union(more)
+        further = up.select(F.col("id").alias("top"), F.col("top").alias("next"))
+        up = stored(up.join(further, "top").select("id", F.col("next").alias("top")), f"up{k + 1}")
+        steps, k = 2 * steps, k + 1
