@@ -3,7 +3,8 @@
 Accepted and rejected URLs (those that a rule decides) give one Markov model each: characters after contexts of two, one
 and no characters, every order smoothed by the next lower one in proportion to the number of different continuations. A
 URL's score is the log-likelihood difference per character. The cut is calibrated on a fold of the accepted URLs that the
-models did not see: at most FALSE_REJECTION of them lie below it.
+models did not see: at most FALSE_REJECTION of them lie below it. It is the exact score of that rank, found by counting
+scores in ranges and then in the parts of the one range that holds the rank.
 
 Characters are folded to an alphabet of SIZE symbols, so a model has SIZE**3 numbers (under 40,000), whatever the input;
 these numbers are fetched once and stand in the scoring expression as a constant array, so that scoring moves no row.
@@ -15,17 +16,23 @@ each for itself; an empty table gives an empty one; only id and url are read, so
 
 from __future__ import annotations
 
+import math
 import string
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm._common import materialize
+
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, and the longest rule that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Folded alphabet: begin, end, letters, any digit, punctuation, anything else.
 ALPHABET = "^$" + string.ascii_lowercase + "0" + "./-_" + "*"
 SIZE = len(ALPHABET)
 FALSE_REJECTION, FOLDS = 0.01, 5
+#: Ranges of scores in a unit, as powers of two, from coarse to finer than the 9 digits of a score.
+RANGES = (8, 19, 30)
 _PLAIN = string.ascii_lowercase + "./-_"
 
 
@@ -82,6 +89,25 @@ def log_ratios(train: DataFrame) -> DataFrame:
     return three.agg(F.sort_array(F.collect_list(F.struct("code", ratio.alias("r")))).alias("m")).select(F.transform("m", lambda x: x["r"]).alias("m"))
 
 
+def exact_quantile(scores: DataFrame, share: float) -> float | None:
+    """The least of the values in (score, n) rows, n their counts, that has this share of all values at or below it.
+
+    Log ratios are small numbers, so that the coarse ranges are some thousand and the parts of a range 2,048 at most; only
+    these are fetched."""
+    rows = scores.where("score is not null")
+    total = rows.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return None
+    rank = max(1, math.ceil(Fraction(str(share)) * total))
+    for value in (*(F.floor(F.col("score") * float(1 << k)) for k in RANGES), F.col("score")):
+        for at, n in sorted(tuple(r) for r in rows.groupBy(value.alias("at")).agg(F.sum("n").alias("n")).collect()):
+            if rank <= n:
+                break
+            rank -= n
+        rows = rows.where(value == F.lit(at))
+    return at
+
+
 def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """Return page_id, host, path, rule, score (log-likelihood difference per character; null without host) and verdict."""
     host, path = split_url(F.col("url"))
@@ -92,12 +118,10 @@ def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES
     model = log_ratios(known.where("not held").select("accepted", F.explode("g").alias("code")))
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in model.first()["m"])), ",").cast("array<double>")
     score = lambda g: F.round(F.aggregate(g, F.lit(0.0), lambda s, code: s + F.get(ratios, code)) / F.size(g), 9)
-    cut = known.agg(
-        F.percentile_approx(F.when(F.col("held") & F.col("accepted"), score(F.col("g"))), F.lit(FALSE_REJECTION), F.lit(10000)).alias("cut"),
-        F.bool_or("accepted").alias("yes"),
-        F.bool_or(~F.col("accepted")).alias("no"),
-    ).first()
-    cut = cut["cut"] if cut["yes"] and cut["no"] else None
+    counted = known.select("accepted", F.when(F.col("held") & F.col("accepted"), score(F.col("g"))).alias("score")).groupBy("accepted", "score").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "scores")
+    sides = counted.agg(F.bool_or("accepted").alias("yes"), F.bool_or(~F.col("accepted")).alias("no")).first()
+    cut = exact_quantile(counted, FALSE_REJECTION) if sides["yes"] and sides["no"] else None
     scored = pages.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("host") != "", score(grams(F.col("host"), F.col("path")))).alias("score"))
     below = F.coalesce(F.col("score") < F.lit(cut).cast("double"), F.lit(False))
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(below, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

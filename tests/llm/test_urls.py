@@ -94,3 +94,16 @@ def test_query(spark, sf):
         assert (r.host, r.path, r.rule) == (*split(url[r.page_id]), rule) and r.verdict in ("allow", "block")
         assert verdict in (None, r.verdict)
     assert urls.judge(spark.read.parquet(f"{sf}/pages.parquet").limit(0)).count() == 0
+
+
+def test_cut_is_exact(spark):
+    """The score of the exact rank, of many values on any partitioning, where the approximate percentile is off."""
+    value = F.round((F.xxhash64("id") % 1000003) / 271828.0 - (F.col("id") % 7) / 9, 9)
+    rows = spark.range(200000, numPartitions=7).select(value.alias("score"))
+    want = sorted(r.score for r in rows.collect())[1999]
+    assert rows.agg(F.percentile_approx("score", F.lit(0.01), F.lit(10000))).first()[0] != want
+    for counted in (rows.select("score", F.lit(1).alias("n")), rows.repartition(3).groupBy("score").agg(F.count("*").alias("n"))):
+        assert urls.exact_quantile(counted, 0.01) == want
+    few = lambda *v: spark.createDataFrame([(float(x), n) for x, n in v], "score double, n long")
+    assert urls.exact_quantile(few((-1.5, 1), (0, 98), (-0.5, 2)), 0.01) == -0.5 and urls.exact_quantile(few((3, 1)), 0.01) == 3.0
+    assert urls.exact_quantile(few((1, 1)).limit(0), 0.01) is None
