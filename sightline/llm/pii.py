@@ -1,13 +1,16 @@
 """Personal data with a skip-chain conditional random field.
 
-Patterns with checks give the base spans. The nodes of the field are the document's tokens with a digit or an "@"; a node
-that a base span covers has that label, one in a match that failed its check has none. Neighbouring tokens are joined by
-chain edges, and tokens that are equal or alike (the same digits, the same letters and digits, an address and its local
-part) by skip edges however far apart, each occurrence to the next. Loopy message passing over all edges of a slice of
+Patterns with checks give the base spans. The nodes of the field are the base spans, each whole and with its label; the
+document's mentions of their values, which are open: words equal to an address's local part (letters and digits compared,
+5 at least, or else the whole word, which must not be letters alone), and numbers over adjacent groups of digits that equal
+a card's digits or the last 7 or more of a phone's, with or without leading zeros; and the other tokens with a digit or an
+"@", which have no label in a match that failed its check and else are open. Neighbouring nodes are joined by chain edges,
+and nodes that are equal or alike by skip edges however far apart, each occurrence to the next. Loopy message passing over all edges of a slice of
 documents carries a document's certain entities to its other mentions; those become added spans.
 
 Unary weights are a softmax over shape features and edge weights are smoothed log ratios of label pairs, both learned
-from the base labels of a bounded sample of documents (TRAIN_DOCS).
+from the base labels of a bounded sample of documents (TRAIN_DOCS). Mentions have no label to learn from, nor have skip
+edges to open nodes; other open tokens count as none.
 
 A null text is empty; whole texts are searched, however long; spans of several kinds may overlap and are all returned;
 repeated rows are judged each for itself; an empty table gives an empty one (an untrained field adds nothing); columns
@@ -17,6 +20,7 @@ that clash with the added ones are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +44,11 @@ _HIT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[^0-9]+")
 _PLAIN = re.compile(r"[^0-9a-z]+")
+_WORD = re.compile(r"[A-Za-z0-9._%+-]+")
+_GROUP = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[\x20().-]{1,3}")
+#: Digits that a mention of a phone number shares with it, at least, and that a mention may have, at most.
+LEAST_SHARED, MOST_DIGITS = 7, 21
 
 
 def luhn(digits: str) -> bool:
@@ -113,6 +122,55 @@ def form(token: str) -> str | None:
     return plain if len(plain) >= 5 else None
 
 
+def _name(local: str) -> str | None:
+    """What an address and the mentions of its local part have in common."""
+    plain = _PLAIN.sub("", local)
+    if len(plain) >= 5:
+        return plain
+    return "." + local if local and not local.isalpha() else None
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(begin, end, key) of what equals a value of a base span; may overlap base spans."""
+    names, numbers, out = set(), {}, []
+    for a, k, b in base:
+        if k == 0:
+            names.add(_name(text[a:b].partition("@")[0].lower().strip("._%+-")))
+        elif k > 1:
+            d = _DIGITS.sub("", text[a:b])
+            numbers[d] = d
+            for n in range(LEAST_SHARED, len(d)) if k == 3 else ():
+                numbers.setdefault(d[-n:], d)
+    names.discard(None)
+    free = lambda i: not (0 <= i < len(text) and text[i].isalnum())
+    for m in _WORD.finditer(text) if names else ():
+        word = m.group().lower()
+        core = word.strip("._%+-")
+        key = _name(core)
+        if key in names and free(m.start() - 1) and free(m.end()) and text[m.end() : m.end() + 1] != "@":
+            a = m.start() + word.index(core)
+            out.append((a, a + len(core), key))
+    groups = [m.span() for m in _GROUP.finditer(text)] if numbers else []
+    tight = lambda i, j: 0 <= i < len(text) and 0 <= j < len(text) and text[i] in ".-" and text[j] in "0123456789"
+    for i, (_, end) in enumerate(groups):
+        if not free(end) or tight(end, end + 1):
+            continue
+        digits, best = "", None
+        for j in range(i, -1, -1):
+            a, b = groups[j]
+            if len(digits) + b - a > MOST_DIGITS or j < i and not _GAP.fullmatch(text, b, groups[j + 1][0]):
+                break
+            digits = text[a:b] + digits
+            plain = digits.lstrip("0")
+            whole = numbers.get(digits) or (numbers.get(plain) if len(plain) >= LEAST_SHARED else None)
+            if whole and free(a - 1) and not tight(a - 1, a - 2):
+                before = text[a - 1 : a]
+                best = a - (before == "+" or before == "(" and ")" in text[a:end]), end, whole
+        if best:
+            out.append(best)
+    return out
+
+
 def _bucket(n: int, limits: tuple[int, ...]) -> int:
     return sum(n >= x for x in limits)
 
@@ -139,39 +197,64 @@ class Graph:
     def __init__(self, texts: list[str]):
         self.base: list[list[tuple[int, int, int]]] = []
         self.nodes: list[tuple[int, int, int]] = []
-        rows, label, edges = [], [], []
+        rows, label, edges, equal = [], [], [], []
         for d, text in enumerate(texts):
             base, failed = base_spans(text) if text else ([], [])
             self.base.append(base)
-            spans = tokens(text) if base else []  # without a certain entity there is nothing to carry over
             last: dict[str, int] = {}
-            i = j = 0
             failed.sort()
-            end_before = -9
-            for a, b in spans:
+            end_before, j = -9, 0
+            for a, b, cover, keys, value in self._spans(text, base):
                 k = len(self.nodes)
-                while i < len(base) and base[i][2] <= a and all(x[2] <= a for x in base[i : i + 4]):
-                    i += 1
                 while j < len(failed) and failed[j][1] <= a:
                     j += 1
-                cover = next((x[1] + 1 for x in base[i : i + 4] if x[0] < b and x[2] > a), None)
-                if cover is None and j < len(failed) and failed[j][0] < b:
+                if cover is None and not value and j < len(failed) and failed[j][0] < b:
                     cover = 0
                 label.append(-1 if cover is None else cover)
+                equal.append(value)
                 rows.append(features(text, a, b))
                 self.nodes.append((d, a, b))
                 if a - end_before <= 3:
                     edges.append((k - 1, k, 0))
                 end_before = b
-                f = form(text[a:b])
-                if f in last:
-                    edges.append((last[f], k, 1))
-                if f:
-                    last[f] = k
+                edges.extend((i, k, 1) for i in {last[f] for f in keys if f in last})
+                last.update(dict.fromkeys(keys, k))
         self.x = np.array(rows).reshape(-1, N_FEATURES)
         self.label = np.array(label, np.int64)
+        self.equal = np.array(equal, bool)
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
 
+    @staticmethod
+    def _spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None, set[str], bool]]:
+        """(begin, end, label, keys of alike nodes, whether by its value) of disjoint nodes: base spans, of overlapping ones
+        the first; mentions, of overlapping ones the longest; and tokens."""
+        if not base:  # without a certain entity there is nothing to carry over
+            return []
+        out: list[tuple[int, int, int | None, set[str], bool]] = []
+        for a, k, b in base:
+            if not out or a >= out[-1][1]:
+                t = text[a:b]
+                keys = {_name(t.partition("@")[0].lower().strip("._%+-"))} if k == 0 else {_DIGITS.sub("", t)} if k > 1 else {form(t)}
+                out.append((a, b, k + 1, keys - {None}, False))
+        taken = [(a, b) for a, _, b in base]
+
+        def add(spans):
+            """Those that overlap none of the taken spans, nor an earlier one of theirs."""
+            begins, ends, most = [a for a, _ in taken], [], 0
+            for _, b in taken:
+                ends.append(most := max(most, b))
+            end = 0
+            for s in spans:
+                i = bisect_right(begins, s[1] - 1)
+                if s[0] >= end and (not i or ends[i - 1] <= s[0]):
+                    out.append(s)
+                    end = s[1]
+
+        add(sorted(((a, b, None, {key}, True) for a, b, key in mentions(text, base)), key=lambda s: (s[0], -s[1])))
+        taken = sorted(taken + [s[:2] for s in out])
+        add([(a, b, None, {form(text[a:b])} - {None}, False) for a, b in tokens(text)])
+        return sorted(out, key=lambda s: s[:2])
+
 
 class Field:
     def __init__(self, unary: np.ndarray, pair: np.ndarray):
@@ -184,17 +267,19 @@ class Field:
         if not len(g.label):
             return None
         y, size = np.maximum(g.label, 0), len(KINDS) + 1
-        target = np.eye(size)[y]
+        used = np.flatnonzero(~g.equal)
+        x, target = g.x[used], np.eye(size)[y[used]]
         w = np.zeros((N_FEATURES, size))
         for _ in range(steps):
-            z = g.x @ w
+            z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w -= rate * (g.x.T @ (p - target) / len(y) + decay * w)
-        share = (np.bincount(y, minlength=size) + 1.0) / (len(y) + size)
+            w -= rate * (x.T @ (p - target) / len(x) + decay * w)
+        share = (np.bincount(y[used], minlength=size) + 1.0) / (len(x) + size)
         pair = np.zeros((2, size, size))
         for kind in (0, 1):
             e = g.edges[g.edges[:, 2] == kind]
+            e = e[(g.label[e[:, :2]] >= 0).all(1)] if kind else e[~g.equal[e[:, :2]].any(1)]
             seen = np.zeros((size, size))
             np.add.at(seen, (y[e[:, 0]], y[e[:, 1]]), 1)
             # smoothed by independence for the chain, by agreement for alike tokens

@@ -72,3 +72,19 @@ def test_hard_rows(hard):
     assert all(not base(r.m) for r in masked if r.m is not None) and any("<email>" in (r.m or "") for r in masked)
     empty = hard.limit(0)
     assert pii.find(empty, pii.train(empty)).count() == 0
+
+
+def test_field_carries_labels_over_groups_and_names():
+    train = [f"mail me user.{i % 7}name{i}@mail.example.com or call +1 555 {200 + i} {1000 + i} or +4930{1234567 + i} today" for i in range(60)]
+    train += [f"pay with 4111 1111 1111 1111 from 10.0.{i}.1 by anna.{'bcdef'[i % 5]}@x.org" for i in range(60)]
+    train += [f"order {i}{i + 7}99 of {i} items on page {i}, code {123456 + i} and {9876543210 + i} sold" for i in range(60)]
+    field = pii.Field.learn(train)
+
+    def added(text):
+        return [(text[a:b], pii.KINDS[k]) for a, k, b in field.added(pii.Graph([text]))[0]]
+
+    assert added("write to maria.keller@x.org now . later maria.keller or Maria.Keller, said mariakellers") == [("maria.keller", "email"), ("Maria.Keller", "email")]
+    assert added("call +1 555 123 4567 today , or 555-123-4567 or (555) 123-4567 or 123 4567 . not 555 123 4568") == [("555-123-4567", "phone"), ("(555) 123-4567", "phone"), ("123 4567", "phone")]
+    assert added("call +15551234567 today , then 24 items , 1 555 123 4567 again") == [("1 555 123 4567", "phone")]
+    assert added("call +49 30 1234567 today , at home 030 1234567") == [("030 1234567", "phone")]
+    assert added("pay 4111 1111 1111 1111 now , card 4111.1111.1111.1111 there") == [("4111.1111.1111.1111", "card")]
