@@ -1,18 +1,16 @@
-"""Removal of byte strings that occur elsewhere, by naming sampled suffixes and merging the remaining ones.
+"""Removal of byte strings that occur elsewhere, by hash names of content-defined samples.
 
-The plan is that of the difference-cover construction of suffix arrays, cut off at the length of a repeat (400 bytes):
+This stands in for a difference-cover suffix sort, of whose steps it keeps the sample alone; a repeat has 400 bytes.
 
 * Sample. Any two equal strings of that length must have a sampled position at the same offset. A cover of residues
   would sample several percent of all bytes; here the cover follows from content: a start p is represented by the
   position s(p) of the least hash of 8 bytes among the first WINDOW of its string. Consecutive starts with one s(p) are
-  a run, and a run is named by a triple: the core (the bytes from s that all strings of the run share), and what
-  lies to the left and to the right of it up to the ends of the run's strings.
-* Sort the triples and name them. Runs whose core occurs once hold no repeat and are left out at once. Runs with equal
-  names are repeats at all their starts, and if all runs of a core have one name there is nothing more to do.
-* Recurse on the names that are left: cores with several names, where copies begin, end or differ. Of each name one run
-  is taken, and its starts - the remaining suffixes - are merged by (core, name of the 400-byte prefix) and compared
-  with their neighbours of equal prefix. Strings of one run overlap, so its first and last repeated start say what is
-  covered.
+  a run. Its core are the bytes from s that all strings of the run share, its name is the hash of its whole string.
+* Group by core and name. Runs whose core occurs once hold no repeat and are left out at once. Runs with equal names are
+  repeats at all their starts, and if all runs of a core have one name there is nothing more to do.
+* Count prefixes where a core has several names, where copies begin, end or differ. Of each name one run is taken, and
+  its starts are counted by (core, hash of the 400-byte prefix) in hash partitions. Strings of one run overlap, so its
+  first and last repeated start say what is covered.
 
 Names are 64-bit hashes; a name counts only together with its core's, so that equal names have 128 equal bits.
 Documents that are byte for byte equal have equal rows throughout, and nothing gathers a group of copies. Texts are moved
