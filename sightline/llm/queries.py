@@ -21,7 +21,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(read(spark, sf_dir, "documents"), with_kept=False)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_repeated")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,199 +1,346 @@
-"""Removal of byte strings that occur elsewhere, by hash names of content-defined samples.
-
-This stands in for a difference-cover suffix sort, of whose steps it keeps the sample alone; a repeat has 400 bytes.
-
-* Sample. Any two equal strings of that length must have a sampled position at the same offset. A cover of residues
-  would sample several percent of all bytes; here the cover follows from content: a start p is represented by the
-  position s(p) of the least hash of 8 bytes among the first WINDOW of its string. Consecutive starts with one s(p) are
-  a run. Its core are the bytes from s that all strings of the run share, its name is the hash of its whole string.
-* Group by core and name. Runs whose core occurs once hold no repeat and are left out at once. Runs with equal names are
-  repeats at all their starts, and if all runs of a core have one name there is nothing more to do.
-* Count prefixes where a core has several names, where copies begin, end or differ. Of each name one run is taken, and
-  its starts are counted by (core, hash of the 400-byte prefix) in hash partitions. Strings of one run overlap, so its
-  first and last repeated start say what is covered.
-
-Names are 64-bit hashes; a name counts only together with its core's, so that equal names have 128 equal bits.
-Documents that are byte for byte equal have equal rows throughout, and nothing gathers a group of copies. Texts are moved
-once, and those of documents with repeats a second time.
-
-A null text is empty; texts under 400 bytes are kept whole; a long text is one row of many runs; repeated rows are
+"""Removal of byte strings that occur elsewhere: suffix sorting by a difference cover, as far as prefixes of a bounded length.
+
+* Sample. Positions whose residue lies in a difference cover D modulo v are sampled. Any two starts p and q have a
+  distance d < v at which both p + d and q + d are sampled, so that two equal strings of `short` bytes have aligned samples
+  that agree on the next w = short - v + 1 bytes, their triple (of three characters of w / 3 bytes).
+* Sort and name. Triples are dealt by ranges of their fingerprints and sorted there; equal neighbours get one name. A
+  sample with a name of its own takes part in no repeat and goes no further.
+* Recurse on names. A sampled position p is followed by the samples p + v, p + 2v ...; the sequence of their names is the
+  next level's triple, and the same sort tells which of these repeat. Long sequences cover so much more than `length` bytes
+  that all starts up to the next sample are settled, and a repeat's inside with them, by ranks of samples alone.
+* Merge the remaining suffixes: starts that a repeated shorter sequence begins close after and that the ranks don't settle
+  (they lie near the ends of repeats). They are sorted by their prefixes of `length` bytes, together with the settled starts
+  of one sample of each repeated long sequence, which stands for all of its kind.
+* Compare adjacent prefixes: equal neighbours in that order are repeats; covered bytes are the union of their strings.
+
+Names are fingerprints, as only equality of neighbours counts here, not which of two texts sorts first: 48 bits and the
+number of the range for the first filter, 80 bits and the range for what decides.
+
+The unit is a distinct text: byte-equal documents are recognised by two hashes of the whole text, are covered whole, and
+one of them stands for all against other texts. A name that a task meets several times is settled there and sent once, so
+that a passage in a third of all documents gives one row a flush, not one a document.
+
+A null text is empty; texts under `length` bytes are kept whole; a long text is one row of many samples; repeated rows are
 copies of each other; an empty table gives an empty one; only id and text are read, so that no other column can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sightline.llm._common import materialize, slices
 
-LENGTH, WINDOW, GRAM = 400, 256, 8
-#: A hot core's names are dealt over this many partitions.
-SALTS = 16
-#: Names of one core that are compared in one place; a core with more is split by the distance of starts from the core.
-CROWD = 256
-#: What is known of a run: all its starts are repeats; its starts are open; it is one of many with its name.
-WHOLE, OPEN, PARTNER = range(3)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def sample(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> np.ndarray:
-    """s(p) for each start p of a string of the given length: where the least gram hash lies, the first of equals."""
-    n = len(raw) - GRAM + 1
-    grams = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()
-    grams *= _MIX
-    grams ^= grams >> np.uint64(29)
-    grams *= _MIX
-    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    step = 1
-    while step < window:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    return (least[: len(raw) - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def cores(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> list[tuple[int]]:
-    """The core of each run."""
-    h, core = xxhash.xxh64_intdigest, length - window + 1
-    s = sample(raw, length, window)
-    return [(_signed(h(raw[at : at + core])),) for at in s[np.flatnonzero(np.r_[True, s[1:] != s[:-1]])].tolist()]
-
-
-def runs(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(first start, end of starts, sampled position, core, name) of each run of starts with one sampled position."""
-    s = sample(raw, length, window)
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    h, core = xxhash.xxh64_intdigest, length - window + 1
-    out = []
-    for a, b, at in zip(first.tolist(), [*first[1:].tolist(), len(s)], s[first].tolist(), strict=True):
-        out.append((a, b, at, _signed(h(raw[at : at + core])), _signed(h(raw[a : b + length - 1]))))
-    return out
-
-
-def _flat(df: DataFrame, work, schema: T.StructType, carry: list[str]) -> DataFrame:
-    """Rows that work(raw text, *carried values) yields, one document at a time."""
+#: Repeats of LENGTH bytes are removed; repeats of SHORT bytes (a passage of some 45 words) are noticed.
+LENGTH, SHORT = 400, 256
+#: Perfect difference sets by modulus (every non-zero residue is the difference of exactly one pair).
+COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
+#: Samples that a task holds before it sends them.
+HELD = 1_000_000
+#: Ranges of fingerprints per shuffle partition.
+RANGES = 4
+#: Added to the positions of long sequences, and of starts that stand for others; texts are shorter.
+OUTER = STANDS = 1 << 31
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("settled", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "name4", "name2", "check", "pos0", "pos1"))])
+_FOUND = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("pos", T.BinaryType()), T.StructField("name", T.BinaryType())])
+_SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+class Cover:
+    """The sampling and what follows from it for strings of short and of length bytes."""
+
+    def __init__(self, length: int, short: int):
+        fit = [v for v in COVERS if 4 * v <= short]
+        if not fit or short > length:
+            raise ValueError("short must be at most length and at least 12")
+        self.length, self.short = length, short
+        self.v = max(fit)
+        self.residues = np.array(COVERS[self.v], np.int64)
+        self.w = short - self.v + 1
+        gap = int(np.diff(np.r_[self.residues, self.v]).max())
+        #: Names in a sequence that every string of length bytes has within its first v, and in one that settles all starts
+        #: up to the next sample.
+        self.inner = 1 + (length - self.short) // self.v
+        self.outer = 1 + max(1, -(-(length + gap - 1 - self.w) // self.v))
+        self.settles = (self.outer - 1) * self.v + self.w - length
+
+    def sample(self, n: int) -> np.ndarray:
+        at = (np.arange(0, n, self.v)[:, None] + self.residues).ravel()
+        return at[: np.searchsorted(at, n - self.w, "right")]
+
+    def starts(self, n: int, sequences: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the starts in a text of n bytes those that are settled as repeats, that are open, and that stand for others."""
+        m = max(0, n - self.length + 1)
+
+        def spread(at: np.ndarray, before: int, after: int) -> np.ndarray:
+            step = np.zeros(m + 1, np.int32)
+            np.add.at(step, np.clip(at - before, 0, m), 1)
+            np.add.at(step, np.clip(at + after + 1, 0, m), -1)
+            return np.cumsum(step)[:-1] > 0
+
+        at, lead = _positions(sequences)
+        outer = at >= OUTER
+        known = spread(at[outer] - OUTER, 0, self.settles)
+        maybe = spread(at[~outer], self.v - 1, 0)
+        leads = spread(at[outer & (lead > 0)] - OUTER, 0, self.settles)
+        return np.flatnonzero(known), np.flatnonzero(maybe & ~known), np.flatnonzero(leads)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _K2
+    return x ^ x >> np.uint64(32)
+
+
+class Sender:
+    """Collects named positions of texts and packs them by ranges of names."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n, self.parts = bits, 0, []
+
+    def add(self, k1: int, k2: int, pos: np.ndarray, name: np.ndarray, check: np.ndarray | None = None) -> bool:
+        """Whether it is time to flush."""
+        if len(pos):
+            self.parts.append((k1, k2, pos, name, check))
+            self.n += len(pos)
+        return self.n >= HELD
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        sizes = [len(p[2]) for p in self.parts]
+        k1, k2 = (np.repeat(np.array([p[i] for p in self.parts], np.int64), sizes) for i in (0, 1))
+        pos = np.concatenate([p[2] for p in self.parts]).astype(np.uint32)
+        name = np.concatenate([p[3] for p in self.parts]) >> np.uint64(16 - self.bits)
+        check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else np.zeros(len(pos), np.uint32)
+        with_check = self.parts[0][4] is not None
+        self.n, self.parts = 0, []
+        order = np.lexsort((check, name)) if with_check else np.argsort(name, kind="stable")
+        new = _new(name[order], check[order])
+        many = np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1
+        settled = np.zeros(len(pos), bool)
+        settled[order] = np.repeat(many, np.diff(np.r_[np.flatnonzero(new), len(new)]))
+        sent = np.zeros(len(pos), bool)
+        sent[order[new]] = True  # one of each name
+        rows: list[tuple] = []
+        for which, done in ((sent, False), (settled, True)):
+            at = np.flatnonzero(which)
+            slot = (name[at] >> np.uint64(48)).astype(np.int32)
+            at = at[np.argsort(slot, kind="stable")]
+            slot = (name[at] >> np.uint64(48)).astype(np.int32)
+            cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(at) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(cuts) else ():
+                i = at[a:b]
+                first = np.flatnonzero(np.r_[True, (k1[i][1:] != k1[i][:-1]) | (k2[i][1:] != k2[i][:-1])])
+                low = name[i]
+                rows.append((int(slot[a]), done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint32).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
+                if len(rows) == 256:
+                    yield _batch(rows, _PACKED)
+                    rows = []
+        if rows:
+            yield _batch(rows, _PACKED)
+
+
+def _new(name: np.ndarray, check: np.ndarray) -> np.ndarray:
+    return np.r_[True, (name[1:] != name[:-1]) | (check[1:] != check[:-1])] if len(name) else np.zeros(0, bool)
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def _compare(table: pa.Table, leads: bool) -> pa.Table:
+    """Sort one range of names and compare neighbours: the positions whose name another position has too, by text, with
+    their names, or with 1 for one position of each name and 0 for others."""
+    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    n = whole("n", np.uint32)
+    k1, k2 = np.repeat(whole("k1", np.int64), n), np.repeat(whole("k2", np.int64), n)
+    slot = np.uint64(table.column("slot")[0].as_py())
+    name = slot << np.uint64(48) | whole("name2", np.uint16).astype(np.uint64) << np.uint64(32) | whole("name4", np.uint32)
+    pos = whole("pos0", np.uint16).astype(np.uint32) | whole("pos1", np.uint16).astype(np.uint32) << np.uint32(16)
+    check = whole("check", np.uint32)
+    check = check if len(check) else np.zeros(len(name), np.uint32)
+    of_row = [len(x) // 2 for x in table.column("name2").to_pylist()]
+    settled = np.repeat(np.array(table.column("settled").to_pylist(), bool), of_row)
+    order = np.lexsort((check, name))
+    new = _new(name[order], check[order])
+    begins = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    lead = order[begins][run]
+    other = (k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (pos[order] != pos[lead])
+    found = settled.copy()
+    first_sent = np.zeros(len(pos), bool)
+    if len(begins):
+        found[order] |= np.logical_or.reduceat(other | settled[order], begins)[run]
+        sent = order[~settled[order]]
+        first_sent[sent[_new(name[sent], check[sent])]] = True
+    value = first_sent.astype(np.uint64) if leads else name
+    at = np.flatnonzero(found)
+    at = at[np.lexsort((~first_sent[at], pos[at], k2[at], k1[at]))]
+    at = at[np.r_[True, (k1[at][1:] != k1[at][:-1]) | (k2[at][1:] != k2[at][:-1]) | (pos[at][1:] != pos[at][:-1])]] if len(at) else at
+    first = np.flatnonzero(np.r_[True, (k1[at][1:] != k1[at][:-1]) | (k2[at][1:] != k2[at][:-1])]) if len(at) else at
+    rows = [(int(k1[at[a]]), int(k2[at[a]]), pos[at[a:b]].tobytes(), value[at[a:b]].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)] if len(at) else []
+    arrow = to_arrow_schema(_FOUND)
+    return pa.Table.from_batches([_batch(rows, _FOUND)] if rows else [], arrow)
+
+
+def _repeated(df: DataFrame, make: Callable[[Sender], Callable[[dict], bool]], label: str, leads: bool = False) -> DataFrame:
+    """make(sender) gives a function that adds the names of a row's positions; the repeated of these, a row (k1, k2, label)
+    per text, where label is an array of (pos, name) parts."""
+    bits = max(4, (RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    columns, large = df.columns, "text" if "text" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(min(bits, 16))
+        add = make(sender)
+        for batch in batches:
+            for part in slices(batch, large) if large else [batch]:
+                for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                    if add(dict(zip(columns, row, strict=True))):
+                        yield from sender.flush()
+        yield from sender.flush()
+
+    found = df.mapInArrow(run, _PACKED).groupBy("slot").applyInArrow(lambda t: _compare(t, leads), _FOUND)
+    return materialize(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "name")).alias(label)), label)
+
+
+def _positions(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and names, sorted by position."""
+    pos = np.frombuffer(b"".join(f["pos"] for f in found or ()), np.uint32).astype(np.int64)
+    name = np.frombuffer(b"".join(f["name"] for f in found or ()), np.uint64)
+    pos, at = np.unique(pos, return_index=True)
+    return pos, name[at]
+
+
+def _name_triples(cover: Cover):
+    def make(sender: Sender):
+        h = xxhash.xxh3_64_intdigest
+        seen: set[tuple[int, int]] = set()
+
+        def add(row: dict) -> bool:
+            if not sender.parts:
+                seen.clear()
+            if (row["k1"], row["k2"]) in seen:
+                return False
+            seen.add((row["k1"], row["k2"]))
+            raw, w = row["text"].encode(), cover.w
+            at = cover.sample(len(raw))
+            names = np.fromiter((h(raw[p : p + w]) for p in at.tolist()), np.uint64, len(at))
+            return sender.add(row["k1"], row["k2"], at, names)
+
+        return add
+
+    return make
+
+
+def _name_sequences(cover: Cover):
+    def make(sender: Sender):
+        def add(row: dict) -> bool:
+            pos, name = _positions(row["named"])
+            full, whole, mark = False, np.ones(len(pos), bool), 0
+            a, b = np.full(len(pos), _K1), np.full(len(pos), _K2)
+            for k in range(cover.outer):
+                at = np.minimum(np.searchsorted(pos, pos + k * cover.v), len(pos) - 1)
+                whole &= pos[at] == pos + k * cover.v
+                a, b = _mix(a * _K1 + name[at]), _mix((b ^ name[at]) * _K1 + _K2)
+                if k + 1 in (cover.inner, cover.outer):
+                    full = sender.add(row["k1"], row["k2"], pos[whole] + mark, a[whole], (b[whole] >> np.uint64(32)).astype(np.uint32))
+                    mark = OUTER
+            return full
+
+        return add
+
+    return make
+
+
+def _name_remaining(cover: Cover):
+    def make(sender: Sender):
+        h = xxhash.xxh3_128_digest
+
+        def add(row: dict) -> bool:
+            raw, full = row["text"].encode(), False
+            _, unsettled, leads = cover.starts(len(raw), row["sequences"])
+            for at, mark in ((unsettled, 0), (leads, STANDS)):
+                both = np.frombuffer(b"".join([h(raw[p : p + cover.length]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
+                full = sender.add(row["k1"], row["k2"], at + mark, both[:, 0], (both[:, 1] >> np.uint64(32)).astype(np.uint32))
+            return full
+
+        return add
+
+    return make
+
+
+def _covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal covered runs [begin, end) of the strings at these (sorted) starts."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > length)
+    return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
+
+
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, short: int = SHORT, with_kept: bool = True) -> DataFrame:
+    """Return doc_id, n_bytes, n_removed, spans (array of removed [begin, end) byte runs), kept_sha256 (of the other bytes),
+    n_repeated (bytes in triples that recur, which any passage of `short` bytes that occurs elsewhere has, and none of under
+    w bytes; they stay) and kept (the other bytes; null without with_kept, which spares moving them)."""
+    cover = Cover(length, short)
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = df.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.octet_length("text").cast("long").alias("size"))
+    long = docs.where(F.col("size") >= short)
+    key = ["k1", "k2"]
+    named = _repeated(long.select("k1", "k2", "text"), _name_triples(cover), "named")
+    sequences = _repeated(named, _name_sequences(cover), "sequences", leads=True)
+    # one text of each group of copies, with what is known of its samples
+    one = long.groupBy(key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    work = materialize(one.join(named.join(sequences, key, "left"), key), "work")
+    merged = _repeated(work.where("sequences is not null").select("k1", "k2", "text", "sequences"), _name_remaining(cover), "merged")
+
+    schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 long, n_removed long").fields, T.StructField("spans", _SPAN), *T.StructType.fromDDL("kept_sha256 string, n_repeated long, kept binary").fields])
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[tuple] = []
-                for text, *values in zip(part.column("text").to_pylist(), *(part.column(c).to_pylist() for c in carry), strict=True):
-                    rows += work(text.encode(), *values)
-                    if len(rows) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-                        rows = []
+                rows = []
+                for r in part.to_pylist():
+                    raw = r["text"].encode()
+                    known, _, _ = cover.starts(len(raw), r["sequences"])
+                    more = _positions(r["merged"])[0]
+                    spans = _covered(np.union1d(known, more[more < STANDS]), length)
+                    at, kept = 0, []
+                    for a, b in spans:
+                        kept.append(raw[at:a])
+                        at = b
+                    rest = b"".join([*kept, raw[at:]])
+                    noticed = sum(b - a for a, b in _covered(_positions(r["named"])[0], cover.w))
+                    rows.append((r["k1"], r["k2"], len(raw) - len(rest), [{"begin": a, "end": b} for a, b in spans], hashlib.sha256(rest).hexdigest(), noticed, rest if with_kept else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def named_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """From (key, size, text) the rows (key, size, info) of texts with runs whose core occurs elsewhere; info holds
-    structs (a, b, at, core, name, names, kind)."""
-    docs = docs.where(F.col("size") >= length).select("key", "size", "text")
-    only_cores = _flat(docs, lambda raw: cores(raw, length, window), T.StructType.fromDDL("core long"), [])
-    twice = materialize(only_cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
-    schema = T.StructType.fromDDL("key long, size long, a int, b int, at int, core long, name long")
-    rows = _flat(docs, lambda raw, key, size: [(key, size, *r) for r in runs(raw, length, window)], schema, ["key", "size"])
-    rows = materialize(rows.join(twice, "core", "left_semi"), "runs")
-
-    names = rows.groupBy("core", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "a", "b", "at")).alias("one"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    per_core = names.groupBy("core").agg(F.count("*").cast("int").alias("names")).select("core", "names", salts)
-    named = names.withColumn("salt", F.pmod("name", F.lit(SALTS)).cast("int")).join(per_core, ["core", "salt"])
-    named = materialize(named.where("n > 1 or names > 1").select("core", "name", "n", "names", "one.*"), "names")
-
-    info = lambda names, kind: F.struct("a", "b", "at", "core", "name", names.alias("names"), F.lit(kind).alias("kind")).alias("i")
-    whole = rows.join(named.where("n > 1").select("core", "name"), ["core", "name"], "left_semi").select("key", "size", info(F.lit(1), WHOLE))
-    mixed = named.where("names > 1")
-    single = mixed.where("n = 1").select("key", "size", info(F.col("names"), OPEN))
-    partner = mixed.where("n > 1").select("key", "size", info(F.col("names"), PARTNER))
-    return whole.union(single).union(partner).groupBy("key", "size").agg(F.collect_set("i").alias("info"))
-
-
-def _parts(length: int, window: int):
-    """Yields the string of each run to compare, in as many parts as its core has crowds; a part covers starts at certain
-    distances from the sampled position, alike in all runs of the core."""
-
-    def work(raw, key, size, info):
-        for r in info:
-            if r["kind"] == WHOLE:
-                continue
-            width = window
-            while width > 1 and r["names"] * width > CROWD * window:
-                width //= 2
-            for lot in range((r["at"] - r["b"] + 1) // width, (r["at"] - r["a"]) // width + 1):
-                a, b = max(r["a"], r["at"] - (lot + 1) * width + 1), min(r["b"], r["at"] - lot * width + 1)
-                yield r["core"], r["name"], lot, r["kind"] == OPEN, key, size, r["a"], a, raw[a : b + length - 1]
-
-    return work
-
-
-def open_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """From (key, size, text, info) the rows (key, size, starts): of each open run with repeated starts the interval from
-    the first to the last of them."""
-    schema = T.StructType.fromDDL("core long, name long, lot int, open boolean, key long, size long, run int, a int, part binary")
-    parts = _flat(docs.where(F.exists("info", lambda i: i["kind"] != WHOLE)), _parts(length, window), schema, ["key", "size", "info"])
-    others = [c for c in parts.columns if c not in ("core", "name", "lot")]
-    one = parts.groupBy("core", "name", "lot").agg(F.max(F.struct(*others)).alias("x")).select("core", "lot", "x.*")
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("part") - length), lambda i: F.xxhash64(F.substr("part", i + 1, F.lit(length))))
-    starts = one.repartition("core", "lot").select("core", "lot", "open", "key", "size", "run", "a", F.posexplode(prefixes).alias("i", "prefix"))
-    n = F.count("*").over(W.partitionBy("core", "lot", "prefix"))
-    again = starts.withColumn("n", n).where("n > 1 and open").select("key", "size", "run", (F.col("a") + F.col("i")).alias("p"))
-    ends = again.groupBy("key", "size", "run").agg(F.min("p").alias("a"), (F.max("p") + 1).alias("b"))
-    return ends.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
-
-
-def cover(starts: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]]:
-    """Maximal removed runs [begin, end) from intervals of starts."""
-    out: list[list[int]] = []
-    for a, b in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b - 1 + length)
-        else:
-            out.append([a, b - 1 + length])
-    return out
-
-
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, with_kept: bool = True) -> DataFrame:
-    """Return doc_id, n_bytes, n_removed, spans (array of removed [begin, end) byte runs), kept_sha256 (of the other bytes)
-    and kept (these bytes; null without with_kept, which spares moving them)."""
-    if not 0 < window <= length - GRAM or window & (window - 1):
-        raise ValueError("window must be a power of two and leave room for a gram")
-    body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("key"), F.octet_length(body).cast("long").alias("size"))
-    known = docs.withColumn("whole_sha256", F.sha2("text", 256)).join(named_runs(docs, length, window), ["key", "size"], "left")
-    if not with_kept:
-        known = known.withColumn("text", F.when(F.col("info").isNotNull(), F.col("text")))
-    known = materialize(known, "known")
-    starts = open_starts(known.where("info is not null"), length, window)
-    span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-
-    def strip(raw, key, info, found):
-        spans = cover([(r["a"], r["b"]) for r in info if r["kind"] == WHOLE] + [(r["a"], r["b"]) for r in found or ()], length)
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(raw[at:a])
-            at = b
-        rest = b"".join([*kept, raw[at:]])
-        yield key, len(raw), len(raw) - len(rest), [{"begin": a, "end": b} for a, b in spans], hashlib.sha256(rest).hexdigest(), rest if with_kept else None
-
-    some = _flat(known.where("info is not null").join(starts, ["key", "size"], "left"), strip, schema, ["doc_id", "info", "starts"])
-    none = known.where("info is null").select("doc_id", F.col("size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(span).alias("spans"), F.col("whole_sha256").alias("kept_sha256"), (F.col("text") if with_kept else F.lit(None)).cast("binary").alias("kept"))
-    return some.unionByName(none)
+                    yield _batch(rows, schema)
+
+    known = work.where("copies = 1").join(merged, key, "left").select("k1", "k2", "text", "named", "sequences", "merged").mapInArrow(strip, schema)
+    twice = long.groupBy(key).agg(F.count("*").alias("copies"), F.first("size").alias("size")).where("copies > 1")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")))
+    gone = F.col("size") >= length
+    nothing = F.array().cast(_SPAN)
+    copies = twice.select("k1", "k2", F.when(gone, F.col("size")).otherwise(F.lit(0)).alias("n_removed"), F.when(gone, whole).otherwise(nothing).alias("spans"), F.when(gone, F.sha2(F.lit(""), 256)).alias("kept_sha256"), F.col("size").alias("n_repeated"), F.when(gone, F.lit("")).cast("binary").alias("kept"))
+    # written, so that this join has two plain sides and hot groups of copies can be split over tasks
+    result = materialize(known.unionByName(copies), "result")
+    own = docs.select("doc_id", "k1", "k2", "size", F.sha2("text", 256).alias("whole"), (F.col("text") if with_kept else F.lit(None)).cast("binary").alias("all"))
+    joined = own.join(result, key, "left")
+    return joined.select(
+        "doc_id",
+        F.col("size").alias("n_bytes"),
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("spans", nothing).alias("spans"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+        F.coalesce("kept", "all").alias("kept"),
+    )

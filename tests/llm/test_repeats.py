@@ -31,8 +31,9 @@ def test_random_copies(spark):
         texts = ["".join(rng.choices(pool, k=rng.randint(0, 4))) + "".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(150)]
         texts += [texts[3], texts[3], None, "", "a" * 300, "ab" * 100, "a" * 15]
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        want = Counter((i, *w) for i, w in enumerate(brute(texts, 16)))
-        assert shown(repeats.remove_repeats(df, length=16, window=8)) == want
+        for length, short in ((16, 12), (16, 16), (30, 28), (60, 52)):
+            want = Counter((i, *w) for i, w in enumerate(brute(texts, length)))
+            assert shown(repeats.remove_repeats(df, length=length, short=short)) == want
 
 
 def test_production_length(spark, sf, rows):
