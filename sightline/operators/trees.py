@@ -8,17 +8,16 @@ has endless paths, is an error.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.session import new_folder
+
 
 def walk(nodes: DataFrame) -> DataFrame:
     """From (id, parent_id) the rows (id, root, depth) of everything reachable from a node without parent."""
     spark = nodes.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='sightline-')}/walk-{uuid.uuid4().hex}"
+    base = new_folder(spark, "walk")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")

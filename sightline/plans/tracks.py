@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sightline.operators import filters, routing, tracking
 from sightline.plans.base import POINTS, query
+from sightline.session import new_folder
 from sightline.sources import fixtures
 from sightline.sources.sinks import merge_latest
 from sightline.streaming import live
@@ -58,18 +57,10 @@ def verifier_outcomes(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "events").where(published).select("event_id", status.alias("vlm_status"))
 
 
-def _shared(spark) -> str:
-    """A new folder below the shared one that the session names."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sightline-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {POINTS} SELECT device_id, series, max(seq) AS seq FROM points GROUP BY 1, 2")
 def stream_last_n(spark, sf_dir):
     """Newest point by device and series, kept by a stream over all that is there."""
-    base = _shared(spark)
+    base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet", per_trigger=1)
     points = fixtures.datapoints_of(events)
     live.run_once(points, f"{base}/checkpoint", foreach=merge_latest(f"{base}/state", ["device_id", "series"], ["ts", "seq"]))
@@ -83,7 +74,7 @@ def stream_last_n(spark, sf_dir):
 @query("SELECT event_type, strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts < date_trunc('day', (SELECT max(ts) FROM events)) GROUP BY 1, 2")
 def stream_windowed_counts(spark, sf_dir):
     """Closed daily windows of a stream with a watermark: all but the newest day."""
-    base = _shared(spark)
+    base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     live.run_once(live.windowed_counts(events, "ts", ["event_type"], "1 day", "1 hour"), f"{base}/checkpoint", path=f"{base}/out")
     out = spark.read.schema("event_type string, begin timestamp, n long").parquet(f"{base}/out")
@@ -93,7 +84,7 @@ def stream_windowed_counts(spark, sf_dir):
 @query()
 def stream_tracker(spark, sf_dir):
     """The tracker as a stream; the same events as track_confirmations."""
-    base = _shared(spark)
+    base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet")
     found = filters.match(fixtures.detections_of(events), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
     live.run_once(live.track(tracking.observations(found), RULES), f"{base}/checkpoint", path=f"{base}/out")

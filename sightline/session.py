@@ -1,6 +1,19 @@
-"""Session defaults for local use; on a cluster the submitter's settings hold."""
+"""Session defaults for local use (on a cluster the submitter's settings hold), and folders that all machines share."""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
+
+import atexit
+import contextlib
+import tempfile
+import uuid
+import weakref
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of this process by application, and where written tables lie.
+_OWN: dict[str, str] = {}
+_BASE: dict[tuple[str, str], str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def session(cores: int = 8, app: str = "sightline") -> SparkSession:
@@ -15,3 +28,56 @@ def session(cores: int = 8, app: str = "sightline") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is
+    set, a temporary one for a local master; elsewhere executors would write to disks of their own, so that it is an error."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if path:
+        return path
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sightline-")
+    return _OWN[app]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a new folder below the shared one; all of an application's folders are deleted when the process ends."""
+    base = shared_dir(spark)
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _BASE:
+        _BASE[key] = f"{base}/sightline-{uuid.uuid4().hex}"
+        atexit.register(_sweep, spark, _BASE[key])
+    return f"{_BASE[key]}/{label}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the context may be gone by now
+        delete(spark, path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing will read again."""
+    for df in written:
+        path = _PATHS.pop(df, None)
+        if path:
+            delete(df.sparkSession, path)
