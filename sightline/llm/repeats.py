@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sightline.llm._common import materialize, slices
+from sightline.llm._common import materialize, release, slices
 
 #: Repeats of LENGTH bytes are removed; repeats of SHORT bytes (a passage of some 45 words) are noticed.
 LENGTH, SHORT = 400, 256
@@ -45,13 +45,11 @@ LENGTH, SHORT = 400, 256
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 #: Samples that a task holds before it sends them.
 HELD = 1_000_000
-#: Ranges of fingerprints per shuffle partition.
-RANGES = 4
 #: Added to the positions of long sequences, and of starts that stand for others; texts are shorter.
 OUTER = STANDS = 1 << 31
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("settled", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "name4", "name2", "check", "pos0", "pos1"))])
-_FOUND = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("pos", T.BinaryType()), T.StructField("name", T.BinaryType())])
+_FOUND = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("pos", T.BinaryType()), T.StructField("name", T.BinaryType())])
 _SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -117,7 +115,7 @@ class Sender:
         if not self.parts:
             return
         sizes = [len(p[2]) for p in self.parts]
-        k1, k2 = (np.repeat(np.array([p[i] for p in self.parts], np.int64), sizes) for i in (0, 1))
+        k1, k2 = (np.repeat(np.array([p[i] for p in self.parts], kind), sizes) for i, kind in ((0, np.int64), (1, np.int32)))
         pos = np.concatenate([p[2] for p in self.parts]).astype(np.uint32)
         name = np.concatenate([p[3] for p in self.parts]) >> np.uint64(16 - self.bits)
         check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else np.zeros(len(pos), np.uint32)
@@ -139,9 +137,10 @@ class Sender:
             cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(at) else np.zeros(0, np.int64)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(cuts) else ():
                 i = at[a:b]
-                first = np.flatnonzero(np.r_[True, (k1[i][1:] != k1[i][:-1]) | (k2[i][1:] != k2[i][:-1])])
-                low = name[i]
-                rows.append((int(slot[a]), done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint32).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
+                new = np.r_[True, (k1[i][1:] != k1[i][:-1]) | (k2[i][1:] != k2[i][:-1])]
+                new[:: 1 << 15] = True  # counts have 16 bits
+                first, low = np.flatnonzero(new), name[i]
+                rows.append((int(slot[a]), done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
                 if len(rows) == 256:
                     yield _batch(rows, _PACKED)
                     rows = []
@@ -162,8 +161,8 @@ def _compare(table: pa.Table, leads: bool) -> pa.Table:
     """Sort one range of names and compare neighbours: the positions whose name another position has too, by text, with
     their names, or with 1 for one position of each name and 0 for others."""
     whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    n = whole("n", np.uint32)
-    k1, k2 = np.repeat(whole("k1", np.int64), n), np.repeat(whole("k2", np.int64), n)
+    n = whole("n", np.uint16)
+    k1, k2 = np.repeat(whole("k1", np.int64), n), np.repeat(whole("k2", np.int32), n)
     slot = np.uint64(table.column("slot")[0].as_py())
     name = slot << np.uint64(48) | whole("name2", np.uint16).astype(np.uint64) << np.uint64(32) | whole("name4", np.uint32)
     pos = whole("pos0", np.uint16).astype(np.uint32) | whole("pos1", np.uint16).astype(np.uint32) << np.uint32(16)
@@ -196,11 +195,11 @@ def _compare(table: pa.Table, leads: bool) -> pa.Table:
 def _repeated(df: DataFrame, make: Callable[[Sender], Callable[[dict], bool]], label: str, leads: bool = False) -> DataFrame:
     """make(sender) gives a function that adds the names of a row's positions; the repeated of these, a row (k1, k2, label)
     per text, where label is an array of (pos, name) parts."""
-    bits = max(4, (RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    bits = min(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
     columns, large = df.columns, "text" if "text" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(min(bits, 16))
+        sender = Sender(bits)
         add = make(sender)
         for batch in batches:
             for part in slices(batch, large) if large else [batch]:
@@ -294,7 +293,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     cover = Cover(length, short)
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.octet_length("text").cast("long").alias("size"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.octet_length("text").cast("long").alias("size"))
     long = docs.where(F.col("size") >= short)
     key = ["k1", "k2"]
     named = _repeated(long.select("k1", "k2", "text"), _name_triples(cover), "named")
@@ -302,9 +301,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     # one text of each group of copies, with what is known of its samples
     one = long.groupBy(key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     work = materialize(one.join(named.join(sequences, key, "left"), key), "work")
+    release(named, sequences)
     merged = _repeated(work.where("sequences is not null").select("k1", "k2", "text", "sequences"), _name_remaining(cover), "merged")
 
-    schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 long, n_removed long").fields, T.StructField("spans", _SPAN), *T.StructType.fromDDL("kept_sha256 string, n_repeated long, kept binary").fields])
+    schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 int, n_removed long").fields, T.StructField("spans", _SPAN), *T.StructType.fromDDL("kept_sha256 string, n_repeated long, kept binary").fields])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,6 +333,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     copies = twice.select("k1", "k2", F.when(gone, F.col("size")).otherwise(F.lit(0)).alias("n_removed"), F.when(gone, whole).otherwise(nothing).alias("spans"), F.when(gone, F.sha2(F.lit(""), 256)).alias("kept_sha256"), F.col("size").alias("n_repeated"), F.when(gone, F.lit("")).cast("binary").alias("kept"))
     # written, so that this join has two plain sides and hot groups of copies can be split over tasks
     result = materialize(known.unionByName(copies), "result")
+    release(work, merged)
     own = docs.select("doc_id", "k1", "k2", "size", F.sha2("text", 256).alias("whole"), (F.col("text") if with_kept else F.lit(None)).cast("binary").alias("all"))
     joined = own.join(result, key, "left")
     return joined.select(
