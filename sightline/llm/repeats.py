@@ -49,6 +49,7 @@ HELD = 1_000_000
 OUTER = STANDS = 1 << 31
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("settled", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "name4", "name2", "check", "pos0", "pos1"))])
+_PARTS = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "pos", "name"))])
 _FOUND = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("pos", T.BinaryType()), T.StructField("name", T.BinaryType())])
 _SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -75,7 +76,7 @@ class Cover:
         at = (np.arange(0, n, self.v)[:, None] + self.residues).ravel()
         return at[: np.searchsorted(at, n - self.w, "right")]
 
-    def starts(self, n: int, sequences: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def starts(self, n: int, sequences: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the starts in a text of n bytes those that are settled as repeats, that are open, and that stand for others."""
         m = max(0, n - self.length + 1)
 
@@ -134,13 +135,9 @@ class Sender:
             slot = (name[at] >> np.uint64(48)).astype(np.int32)
             at = at[np.argsort(slot, kind="stable")]
             slot = (name[at] >> np.uint64(48)).astype(np.int32)
-            cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(at) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(cuts) else ():
-                i = at[a:b]
-                new = np.r_[True, (k1[i][1:] != k1[i][:-1]) | (k2[i][1:] != k2[i][:-1])]
-                new[:: 1 << 15] = True  # counts have 16 bits
-                first, low = np.flatnonzero(new), name[i]
-                rows.append((int(slot[a]), done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
+            for k, i in zip(*_runs(slot, at), strict=True):
+                first, low = np.flatnonzero(_cut(_texts(k1[i], k2[i]))), name[i]
+                rows.append((k, done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
                 if len(rows) == 256:
                     yield _batch(rows, _PACKED)
                     rows = []
@@ -157,44 +154,78 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
-def _compare(table: pa.Table, leads: bool) -> pa.Table:
-    """Sort one range of names and compare neighbours: the positions whose name another position has too, by text, with
-    their names, or with 1 for one position of each name and 0 for others."""
-    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    n = whole("n", np.uint16)
-    k1, k2 = np.repeat(whole("k1", np.int64), n), np.repeat(whole("k2", np.int32), n)
+def _whole(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _texts(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Where a new text begins."""
+    return np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])] if len(k1) else np.zeros(0, bool)
+
+
+def _cut(new: np.ndarray) -> np.ndarray:
+    """Where a new count begins; counts have 16 bits."""
+    new[:: 1 << 15] = True
+    return new
+
+
+def _runs(key: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Sorted keys, and the values of each."""
+    if not len(key):
+        return [], []
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[at].tolist(), np.split(values, at[1:])
+
+
+def _compare(table: pa.Table, leads: bool, bits: int) -> pa.Table:
+    """Sort one range of names and compare neighbours: the positions whose name another position has too, with their names
+    or, for leads, 1 for one position of each name and 0 for others; a row for each of as many parts of the texts as there
+    are ranges."""
+    n = _whole(table, "n", np.uint16)
+    k1, k2 = np.repeat(_whole(table, "k1", np.int64), n), np.repeat(_whole(table, "k2", np.int32), n)
     slot = np.uint64(table.column("slot")[0].as_py())
-    name = slot << np.uint64(48) | whole("name2", np.uint16).astype(np.uint64) << np.uint64(32) | whole("name4", np.uint32)
-    pos = whole("pos0", np.uint16).astype(np.uint32) | whole("pos1", np.uint16).astype(np.uint32) << np.uint32(16)
-    check = whole("check", np.uint32)
+    name = slot << np.uint64(48) | _whole(table, "name2", np.uint16).astype(np.uint64) << np.uint64(32) | _whole(table, "name4", np.uint32)
+    pos = _whole(table, "pos0", np.uint16).astype(np.uint32) | _whole(table, "pos1", np.uint16).astype(np.uint32) << np.uint32(16)
+    check = _whole(table, "check", np.uint32)
     check = check if len(check) else np.zeros(len(name), np.uint32)
     of_row = [len(x) // 2 for x in table.column("name2").to_pylist()]
     settled = np.repeat(np.array(table.column("settled").to_pylist(), bool), of_row)
     order = np.lexsort((check, name))
     new = _new(name[order], check[order])
-    begins = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
+    begins, run = np.flatnonzero(new), np.cumsum(new) - 1
     lead = order[begins][run]
     other = (k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (pos[order] != pos[lead])
-    found = settled.copy()
-    first_sent = np.zeros(len(pos), bool)
+    found, first_sent = settled.copy(), np.zeros(len(pos), bool)
     if len(begins):
         found[order] |= np.logical_or.reduceat(other | settled[order], begins)[run]
         sent = order[~settled[order]]
         first_sent[sent[_new(name[sent], check[sent])]] = True
     value = first_sent.astype(np.uint64) if leads else name
     at = np.flatnonzero(found)
-    at = at[np.lexsort((~first_sent[at], pos[at], k2[at], k1[at]))]
-    at = at[np.r_[True, (k1[at][1:] != k1[at][:-1]) | (k2[at][1:] != k2[at][:-1]) | (pos[at][1:] != pos[at][:-1])]] if len(at) else at
-    first = np.flatnonzero(np.r_[True, (k1[at][1:] != k1[at][:-1]) | (k2[at][1:] != k2[at][:-1])]) if len(at) else at
-    rows = [(int(k1[at[a]]), int(k2[at[a]]), pos[at[a:b]].tobytes(), value[at[a:b]].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)] if len(at) else []
-    arrow = to_arrow_schema(_FOUND)
-    return pa.Table.from_batches([_batch(rows, _FOUND)] if rows else [], arrow)
+    at = at[np.lexsort((~first_sent[at], pos[at], k2[at], k1[at].view(np.uint64)))]
+    at = at[_texts(k1[at], k2[at]) | np.r_[True, pos[at][1:] != pos[at][:-1]]] if len(at) else at
+    part = (k1[at].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    rows = []
+    for k, i in zip(*_runs(part, at), strict=True):
+        first = np.flatnonzero(_cut(_texts(k1[i], k2[i])))
+        rows.append((k, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), pos[i].tobytes(), value[i].tobytes()))
+    return pa.Table.from_batches([_batch(rows, _PARTS)] if rows else [], to_arrow_schema(_PARTS))
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The positions of each text of a part of the texts, from all ranges, sorted."""
+    n = _whole(table, "n", np.uint16)
+    k1, k2 = np.repeat(_whole(table, "k1", np.int64), n), np.repeat(_whole(table, "k2", np.int32), n)
+    pos, name = _whole(table, "pos", np.uint32), _whole(table, "name", np.uint64)
+    order = np.lexsort((pos, k2, k1))
+    new = _texts(k1[order], k2[order])
+    rows = [(int(k1[i[0]]), int(k2[i[0]]), pos[i].tobytes(), name[i].tobytes()) for i in np.split(order, np.flatnonzero(new)[1:])] if len(order) else []
+    return pa.Table.from_batches([_batch(rows, _FOUND)] if rows else [], to_arrow_schema(_FOUND))
 
 
 def _repeated(df: DataFrame, make: Callable[[Sender], Callable[[dict], bool]], label: str, leads: bool = False) -> DataFrame:
     """make(sender) gives a function that adds the names of a row's positions; the repeated of these, a row (k1, k2, label)
-    per text, where label is an array of (pos, name) parts."""
+    per text, where label has sorted positions and their names."""
     bits = min(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
     columns, large = df.columns, "text" if "text" in df.columns else None
 
@@ -208,16 +239,16 @@ def _repeated(df: DataFrame, make: Callable[[Sender], Callable[[dict], bool]], l
                         yield from sender.flush()
         yield from sender.flush()
 
-    found = df.mapInArrow(run, _PACKED).groupBy("slot").applyInArrow(lambda t: _compare(t, leads), _FOUND)
-    return materialize(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "name")).alias(label)), label)
+    parts = df.mapInArrow(run, _PACKED).groupBy("slot").applyInArrow(lambda t: _compare(t, leads, bits), _PARTS)
+    found = parts.groupBy("part").applyInArrow(_gather, _FOUND)
+    return materialize(found.select("k1", "k2", F.struct("pos", "name").alias(label)), label)
 
 
-def _positions(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and names, sorted by position."""
-    pos = np.frombuffer(b"".join(f["pos"] for f in found or ()), np.uint32).astype(np.int64)
-    name = np.frombuffer(b"".join(f["name"] for f in found or ()), np.uint64)
-    pos, at = np.unique(pos, return_index=True)
-    return pos, name[at]
+def _positions(found: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted positions and their names."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.frombuffer(found["pos"], np.uint32).astype(np.int64), np.frombuffer(found["name"], np.uint64)
 
 
 def _name_triples(cover: Cover):
@@ -298,11 +329,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     key = ["k1", "k2"]
     named = _repeated(long.select("k1", "k2", "text"), _name_triples(cover), "named")
     sequences = _repeated(named, _name_sequences(cover), "sequences", leads=True)
+    twice = materialize(long.groupBy(key).agg(F.count("*").alias("copies"), F.first("size").alias("size")).where("copies > 1"), "copies")
     # one text of each group of copies, with what is known of its samples
-    one = long.groupBy(key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    work = materialize(one.join(named.join(sequences, key, "left"), key), "work")
-    release(named, sequences)
-    merged = _repeated(work.where("sequences is not null").select("k1", "k2", "text", "sequences"), _name_remaining(cover), "merged")
+    one = long.groupBy(key).agg(F.first("text").alias("text"))
+    work = materialize(one.join(named.join(sequences, key), key), "work")
+    merged = _repeated(work.select("k1", "k2", "text", "sequences"), _name_remaining(cover), "merged")
 
     schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 int, n_removed long").fields, T.StructField("spans", _SPAN), *T.StructType.fromDDL("kept_sha256 string, n_repeated long, kept binary").fields])
 
@@ -325,15 +356,23 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 if rows:
                     yield _batch(rows, schema)
 
-    known = work.where("copies = 1").join(merged, key, "left").select("k1", "k2", "text", "named", "sequences", "merged").mapInArrow(strip, schema)
-    twice = long.groupBy(key).agg(F.count("*").alias("copies"), F.first("size").alias("size")).where("copies > 1")
+    def notice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["k1"], r["k2"], 0, [], None, sum(b - a for a, b in _covered(_positions(r["named"])[0], cover.w)), None) for r in batch.to_pylist()]
+            if rows:
+                yield _batch(rows, schema)
+
+    single = lambda df: df.join(twice.select(key), key, "left_anti")
+    known = single(work.join(merged, key, "left")).select("k1", "k2", "text", "named", "sequences", "merged").mapInArrow(strip, schema)
+    # texts that have no more than triples in common with others stay whole
+    noticed = single(named.join(sequences.select(key), key, "left_anti")).mapInArrow(notice, schema)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")))
     gone = F.col("size") >= length
     nothing = F.array().cast(_SPAN)
     copies = twice.select("k1", "k2", F.when(gone, F.col("size")).otherwise(F.lit(0)).alias("n_removed"), F.when(gone, whole).otherwise(nothing).alias("spans"), F.when(gone, F.sha2(F.lit(""), 256)).alias("kept_sha256"), F.col("size").alias("n_repeated"), F.when(gone, F.lit("")).cast("binary").alias("kept"))
     # written, so that this join has two plain sides and hot groups of copies can be split over tasks
-    result = materialize(known.unionByName(copies), "result")
-    release(work, merged)
+    result = materialize(known.unionByName(noticed).unionByName(copies), "result")
+    release(named, sequences, twice, work, merged)
     own = docs.select("doc_id", "k1", "k2", "size", F.sha2("text", 256).alias("whole"), (F.col("text") if with_kept else F.lit(None)).cast("binary").alias("all"))
     joined = own.join(result, key, "left")
     return joined.select(
