@@ -2,7 +2,9 @@
 
 A text is cut into pre-tokens; the distinct pre-tokens of a slice of rows that were not met before are held as one
 ragged numpy array of symbols. In every round each pre-token's lowest-ranked pair is merged, at all its places and in
-all pre-tokens at once; a pre-token without a known pair is done and its surviving symbols are counted.
+all pre-tokens at once; a pre-token without a known pair is done and its surviving symbols are counted. Pre-tokens that
+outlast ROUNDS rounds (unbroken strings of many different pairs) go on in the same order with their places queued by rank,
+so that a round touches the places of one rank and their neighbours alone.
 
 Null texts count as empty, empty texts have no tokens, repeated rows are counted each for itself, an empty table gives
 an empty table, and columns that clash with the added ones are replaced.
@@ -10,6 +12,7 @@ an empty table, and columns that clash with the added ones are replaced.
 
 from __future__ import annotations
 
+import heapq
 import json
 from itertools import chain
 
@@ -24,6 +27,8 @@ from sightline.llm._common import append_columns
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose result a task keeps; beyond it the memory starts afresh.
 KEPT = 400_000
+#: Rounds over the whole array of a batch.
+ROUNDS = 48
 _NONE = np.int64(1 << 40)
 
 
@@ -85,7 +90,9 @@ class RankMerger:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         seq = np.repeat(np.arange(len(words)), sizes)
-        while len(sym):
+        for _ in range(ROUNDS):
+            if not len(sym):
+                return out
             begins = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             rank = np.full(len(sym), _NONE)
             key = sym[:-1] << 32 | sym[1:]
@@ -107,6 +114,62 @@ class RankMerger:
             stay = each < _NONE
             stay[where + 1] = False
             sym, seq = sym[stay], seq[stay]
+        return self._queued(sym, seq, out)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (_NONE if unknown) and product of each pair of symbols."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], _NONE), self.made[at]
+
+    def _queued(self, sym: np.ndarray, seq: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Go on with what is left. A rule ranks after the rules that make its parts, so that ranks only ascend, and all
+        sequences can take their turns by one queue."""
+        n = len(sym)
+        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        sym, alive = np.r_[sym, 0], np.ones(n, bool)
+        seq = np.r_[seq, -1]
+        queue: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def offer(at: np.ndarray) -> None:
+            to = following[at]
+            rank, _ = self._ranks(sym[at], sym[to])
+            good = (rank < _NONE) & (seq[at] == seq[to])
+            at, rank = at[good], rank[good]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True) if len(rank) else ():
+                r = int(rank[a])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(at[a:b])
+
+        offer(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at]]
+            rank, made = self._ranks(sym[at], sym[following[at]])
+            good = (rank == r) & (seq[at] == seq[following[at]])
+            at, made = at[good], made[good]
+            if not len(at):
+                continue
+            # a run of the same symbol has overlapping pairs: every second one counts, from the left
+            first = np.r_[True, following[at[:-1]] != at[1:]]
+            place = np.arange(len(at))
+            take = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+            at, made = at[take], made[take]
+            gone = following[at]
+            sym[at], alive[gone] = made, False
+            following[at] = following[gone]
+            inside = following[at] < n
+            before[following[at][inside]] = at[inside]
+            left = before[at]
+            offer(np.unique(np.r_[at, left[left >= 0]]))
+        np.add.at(out, seq[:n][alive], 1)
         return out
 
 
