@@ -2,8 +2,9 @@
 
 A document of n ids (its text's tokens and an end id) is split into pieces whose lengths are the powers of two of n's
 binary digits, with as many pieces of max_len as fit first. Every piece is a sequence of its own, so that no sequence
-crosses documents and none is padded; sequences of equal length share a bucket, and training batches are drawn from
-one bucket. No row is moved: the pieces stay in the task that tokenized them.
+crosses documents and none is padded. Sequences of equal length share a bucket: every task gives its pieces bucket by
+bucket with running numbers, so that batches of one length are consecutive sequences. No row is moved: the pieces stay
+in the task that tokenized them, and a common length is no hot spot.
 
 A null text is an empty document (one piece with the end id alone); very long texts become many pieces of max_len;
 repeated rows are packed each for itself; an empty table gives no pieces. Columns other than id and text are not
@@ -12,11 +13,11 @@ carried, so that none can clash.
 
 from __future__ import annotations
 
-import os
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,22 +28,20 @@ from sightline.llm.tokens import PRE_TOKEN, Splitter, byte_symbols
 
 #: Bytes of ids in one Arrow batch of pieces.
 OUT_BYTES = 8 << 20
-LONG_RUN = 2000
+#: White space so long that the pattern's look-ahead would outgrow the matcher's stack; the pattern makes one piece of all
+#: of it but the last character before a word.
+_BLANK = regex.compile(r"\s{100000,}")
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     The vocabulary file's own entries drive tiktoken's merging, which takes the pair of least id first; that is the file's
-    rule as long as its merges come in the order of their ids, which is checked. Texts with a stretch of more than
-    LONG_RUN characters with or without white space, where that merging is slow, go through the tokenizers library."""
+    rule as long as its merges come in the order of their ids, which is checked."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
         self.split = Splitter(path)
         vocab = self.split.spec["model"]["vocab"]
         made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in self.split.spec["model"]["merges"]]
@@ -51,13 +50,16 @@ class Encoder:
         byte_of = {c: i for i, c in enumerate(byte_symbols())}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.split.added}
         self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.one = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
-        words = text.split()
-        sizes = list(map(len, words))
-        if max(sizes, default=0) > LONG_RUN or len(text) - sum(sizes) - len(sizes) > LONG_RUN:
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+        out, at = [], 0
+        for m in _BLANK.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += [self.fast.encode_to_numpy(text[at : m.start()], disallowed_special=()), self.one.encode_to_numpy(text[m.start() : end], disallowed_special=())]
+            at = end
+        out.append(self.fast.encode_to_numpy(text[at:], disallowed_special=()))
+        return b"".join(x.tobytes() for x in out)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -81,7 +83,8 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
     """Return a row per piece: doc_id, start, length, bucket (log2 of length), input_ids (little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset.
 
-    sequence_id is unique over the whole result and depends only on how the input is split into tasks.
+    sequence_id is unique over the whole result, ascends by bucket within a task's part of it, and depends only on how the
+    input is split into tasks.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
@@ -121,9 +124,10 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
             yield flush()
 
     pieces = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    pieces = pieces.sortWithinPartitions("bucket")
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write sequences of equal length side by side; every task writes its own files, so a common length is no hot spot."""
+    """Write each bucket to a folder of its own; every task writes its own files."""
     packed.write.partitionBy("bucket").parquet(path)

@@ -1,3 +1,4 @@
+import random
 import zlib
 from array import array
 from collections import Counter
@@ -20,6 +21,24 @@ def test_odd_texts(path, library):
     assert [list(array("I", x)) for x in map(packing.Encoder(path), ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_long_pieces(path, library):
+    """Unbroken strings of 100 kB and 1 MB."""
+    rng = random.Random(8)
+    say = lambda chars, k: "".join(rng.choices(chars, k=k))
+    texts = [say("abcdefghijklmnopqrstuvwxyz", 100_000), "a" * 300_001, say("漢字仮名交文日本語", 30_000), "aab" * 70_000, " " * 1_000_000 + "x", "x " + "\n" * 150_000, "ab" + " \n\t\x0b" * 60_000 + "  c", say("etaoin", 1_000_000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.TokenCounter(path)(texts) == list(map(len, want))
+    assert [list(array("I", x)) for x in map(packing.Encoder(path), texts)] == want
+
+
+def test_queue_of_ranks(path, library, monkeypatch):
+    """Pre-tokens that go on by the queue after few rounds."""
+    monkeypatch.setattr(tokens, "ROUNDS", 2)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcé ï漢 0\U0001f600eee", k=rng.randint(0, 300))) for _ in range(1500)]
+    assert tokens.TokenCounter(path)(texts) == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts(spark, sf, rows, library):
     want = {}
     for r in rows:
@@ -45,6 +64,13 @@ def test_packing(spark, sf, rows, library):
         assert at == len(ids)
 
 
+def test_sequences_come_bucket_by_bucket(spark, docs, path):
+    parts = packing.pack(docs.repartition(3), path).select("sequence_id", "bucket").orderBy("sequence_id").collect()
+    for a, b in zip(parts, parts[1:], strict=False):
+        assert a.bucket <= b.bucket or a.sequence_id >> 33 < b.sequence_id >> 33
+    assert len({p.bucket for p in parts}) > 3
+
+
 def test_hard_rows(hard, path, library):
     want = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in hard.collect())
     out = tokens.token_counts(hard, path)
