@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,14 +23,15 @@ from pyspark.sql import types as T
 
 from sightline.llm._common import append_columns, materialize
 
-#: Training documents per language at most, and bytes of dictionary per language.
-TRAIN_DOCS, DICT_BYTES = 256, 512 << 10
+#: Training documents per language at most, bytes of dictionary per language, and of all dictionaries together: with very
+#: many languages each has a smaller one.
+TRAIN_DOCS, DICT_BYTES, ALL_BYTES = 256, 512 << 10, 64 << 20
 #: Texts are compressed in blocks of this many bytes, so that a long text is always judged by the dictionaries.
 BLOCK = 4096
 #: Reject when the winner saves less than this share of the runner-up's size.
 MIN_MARGIN = 0.004
 LEVEL = 6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -40,7 +42,8 @@ def plain(text: str) -> bytes:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from a bounded sample: per language the docs texts of least hash, cut to size bytes together.
 
-    Languages come in order of their number of training texts."""
+    Languages come in order of their number of training texts. All dictionaries together have at most ALL_BYTES; of a text
+    no more is fetched than a dictionary holds."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     keyed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
     keyed = materialize(keyed, "languages")
@@ -49,9 +52,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int
     chosen = keyed.groupBy("lang").agg(F.sum("n").alias("n")).join(least, "lang").orderBy(F.desc("n"), "lang").collect()
     if not chosen:
         return {}
+    size = min(size, ALL_BYTES // len(chosen))
+    docs = min(docs, max(1, size // 1024))
     pick = reduce(lambda a, b: a | b, ((F.col("lang") == r["lang"]) & (F.xxhash64("text") <= r["last"]) for r in chosen))
     found: dict[str, set[str]] = {}
-    for r in rows.where(pick).distinct().collect():
+    for r in rows.where(pick).select("lang", F.substring("text", 1, max(size, 1)).alias("text")).distinct().collect():
         found.setdefault(r["lang"], set()).add(r["text"])
     out = {}
     for name in (r["lang"] for r in chosen):

@@ -24,3 +24,35 @@ def test_hard_rows(hard):
     assert language.train(hard.limit(0)) == {}
     assert {r.lang_pred for r in language.identify(hard, {}).collect()} == {"und"}
     assert language.identify(hard.limit(0), {"en": b"the quick brown fox"}).count() == 0
+
+
+def test_letters_are_of_category_l(spark):
+    texts = ["²", "½ Ⅳ", "١٢", "_ _", "ª", "字", "é", "12 a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred == "und" for r in language.identify(df, {"en": b"the quick brown fox", "de": b"der schnelle braune fuchs"}).collect()}
+    assert [got[i] for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
+
+
+def test_against_plain_compression(docs):
+    """The same choice by a compressor made anew for every text and block."""
+    import zstandard
+
+    dictionaries = language.train(docs)
+    for r in language.identify(docs.limit(60), dictionaries).collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            continue
+        raw = language.plain(r.text)
+        sizes = []
+        for d in dictionaries.values():
+            content = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)))
+        best, second = sorted(sizes)[:2]
+        assert r.lang_pred == list(dictionaries)[sizes.index(best)]
+        assert abs(r.score - (second - best) / second) < 1e-12 and r.rejected == ((second - best) / second < language.MIN_MARGIN)
+
+
+def test_many_languages_share_the_dictionary_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language, "ALL_BYTES", 64_000)
+    rows = [(f"l{i:03}", f"word{i} " * 400 + str(k)) for i in range(200) for k in range(3)]
+    found = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(found) == 200 and sum(map(len, found.values())) <= 64_000
