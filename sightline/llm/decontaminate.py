@@ -7,7 +7,9 @@ suffix positions. All benchmark windows are searched backward at once, their pla
 sampled position, and overlapping places are merged to spans.
 
 Windows are n consecutive words of an item; a shorter item is one window; an item without words has none. The benchmark
-is used in blocks of at most BLOCK_BYTES of text, one after the other, so that what every task receives is bounded.
+is used in blocks of about BLOCK_BYTES of text (some 45 MB of windows), one after the other, so that what every task
+receives is bounded. With several blocks each reads the texts but writes the rows with hits alone (row number, hits, items),
+which are joined to the documents once, after the last.
 
 Null and empty texts have no words; long texts are a shard of their own; repeated rows are judged each for itself; items
 with equal ids count as one item, and a null item id is written as an empty string; empty tables on either side give no
@@ -17,6 +19,7 @@ hits; columns that clash with the added ones are replaced.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from sightline.llm._common import append_columns, materialize
 
-WINDOW, BLOCK_BYTES = 10, 16 << 20
+WINDOW, BLOCK_BYTES = 10, 4 << 20
 #: Every SAMPLE-th text position keeps its place in the suffix array.
 SAMPLE = 16
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -244,47 +247,61 @@ def merge_spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"begin": places[r[0]][0], "end": places[r[-1]][1]} for r in np.split(hit, cut)]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
-    """The benchmark's items in blocks of about limit bytes, each collected on its own."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[DataFrame]:
+    """The benchmark's items (item, text) in blocks of about limit bytes."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // limit))
-    for k in range(n):
-        yield [(r["item"], words_of(r["text"])) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _search(docs: DataFrame, block: DataFrame, text: str, window: int, fields: list[T.StructField], drop: tuple = ()) -> DataFrame:
+    """Add the fields (of n_words, hits, items and spans) for one block of items."""
+    items = [(r["item"], words_of(r["text"])) for r in block.collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(vars(Patterns(items, window)))
+    wanted = [f.name for f in fields]
+
+    def make():
+        shard = Shard(Patterns.of(sent.value))
+
+        def work(texts):
+            words = [words_of(t) for t in texts]
+            found = shard(words)
+            what = {
+                "n_words": lambda: [len(w) for w in words],
+                "hits": lambda: [h.tolist() for h, _ in found],
+                "items": lambda: [i for _, i in found],
+                "spans": lambda: [merge_spans(t or "", h) for t, (h, _) in zip(texts, found, strict=True)],
+            }
+            return [what[name]() for name in wanted]
+
+        return work
+
+    return append_columns(docs, text, fields, make, drop)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_words, hits (numbers of the hit words), items (ids as strings, sorted) and spans (character spans)."""
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)]
-    out = None
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        session = docs.sparkSession
-        sent = session.sparkContext.broadcast(vars(Patterns(items, window)))
-
-        def make(sent=sent):
-            shard = Shard(Patterns.of(sent.value))
-
-            def work(texts):
-                words = [words_of(t) for t in texts]
-                found = shard(words)
-                return [[len(w) for w in words], [h.tolist() for h, _ in found], [i for _, i in found], [merge_spans(t or "", h) for t, (h, _) in zip(texts, found, strict=True)]]
-
-            return work
-
-        if out is None:
-            out = append_columns(docs, text, fields, make)
-        else:  # a further block: keep what the blocks before it found, written so that one block at a time is held
-            before = materialize(out.withColumnsRenamed({"hits": "hits_", "items": "items_"}), "decontamination")
-            both = append_columns(before, text, fields, make)
-            both = both.withColumn("hits", F.array_sort(F.array_union("hits", "hits_"))).withColumn("items", F.array_sort(F.array_union("items", "items_")))
-            out = _respan(both.drop("hits_", "items_"), text, span)
-    return out
-
-
-def _respan(df: DataFrame, text: str, span) -> DataFrame:
-    spans = F.pandas_udf(lambda t, h: t.combine(h, lambda a, b: merge_spans(a or "", np.array(b, np.int64))), span)
-    return df.withColumn("spans", spans(F.col(text), F.col("hits")))
+    n_words, hits, items, spans = (T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span))
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        return _search(docs, blocks[0], text, window, [n_words, hits, items, spans])
+    added = {"n_words", "hits", "items", "spans", "row_"}
+    rows = docs.select(*(c for c in docs.columns if c.lower() not in added)).withColumn("row_", F.monotonically_increasing_id())
+    rows = materialize(rows, "rows")
+    found = [materialize(_search(rows.select("row_", text), b, text, window, [hits, items], (text,)).where("size(hits) > 0"), "hits") for b in blocks]
+    each = reduce(DataFrame.unionByName, found)
+    joined = each.groupBy("row_").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")))
+    both = rows.join(materialize(joined, "hits"), "row_", "left").drop("row_")
+    both = both.withColumns({c.name: F.coalesce(c.name, F.array().cast(c.dataType)) for c in (hits, items)})
+
+    def make_words():
+        return lambda texts: [[len(words_of(t)) for t in texts]]
+
+    show = F.pandas_udf(lambda t, h: t.combine(h, lambda a, b: merge_spans(a or "", np.array(b, np.int64))), span)
+    counted = append_columns(both, text, [n_words], make_words)
+    return counted.withColumn("spans", F.when(F.size("hits") > 0, show(F.col(text), F.col("hits"))).otherwise(F.array().cast(span)))
 
 
 def remove_spans(text, spans):
