@@ -228,8 +228,6 @@ class Graph:
     def _spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None, set[str], bool]]:
         """(begin, end, label, keys of alike nodes, whether by its value) of disjoint nodes: base spans, of overlapping ones
         the first; mentions, of overlapping ones the longest; and tokens."""
-        if not base:  # without a certain entity there is nothing to carry over
-            return []
         out: list[tuple[int, int, int | None, set[str], bool]] = []
         for a, k, b in base:
             if not out or a >= out[-1][1]:
@@ -262,8 +260,8 @@ class Field:
 
     @classmethod
     def learn(cls, texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> Field | None:
-        """Piecewise training on the base labels; an open token counts as none."""
-        g = Graph(texts)
+        """Piecewise training on the base labels of texts that have any; an open token counts as none."""
+        g = Graph([t for t in texts if base_spans(t)[0]])
         if not len(g.label):
             return None
         y, size = np.maximum(g.label, 0), len(KINDS) + 1
