@@ -1,15 +1,15 @@
 """Quality rules with risk-controlled thresholds, in built-in functions only.
 
-Every rule rejects documents whose figure lies above a cutoff. Per stratum (language) and rule the cutoffs are tried from
-the loosest to the strictest on the labelled documents of good quality: the exact binomial probability of seeing so few
-rejections if the true rate were above RISK / rules must be at most ERROR / (strata x rules), and the last cutoff before
-the first failure is taken. So, with probability 1 - ERROR over all strata and rules together (Bonferroni; within a
-sequence no further correction is due), every stratum loses at most RISK of its good documents to the rules. Where the
-labels are too few to show it, a rule rejects nothing.
+Every rule rejects documents whose figure lies above its cutoff. The cutoffs of all rules are tried together, in LEVELS
+fixed steps from the loosest to the strictest, per stratum (language), on the labelled documents of good quality: the exact
+binomial probability of seeing so few of them rejected by any rule, if the true rate were above RISK, must be at most
+ERROR / strata, and the last step before the first failure is taken. So, with probability 1 - ERROR over all strata
+(Bonferroni; within a sequence of a fixed order no further correction is due), every stratum loses at most RISK of its
+good documents to the rules. Where the labels are too few to show it, the rules reject nothing there.
 
 Strata are the STRATA - 1 most labelled languages, and one for all others and for null, which bounds the table of cutoffs.
-Labels that contradict each other count as not good; several rows of one labelled id count once, with their highest
-figures; null ids are not labelled. Null texts have no words; empty, very long and repeated texts need no care; an empty
+Labels that contradict each other count as not good; several rows of one labelled id count once, as rejected where any
+of them is; null ids are not labelled. Null texts have no words; empty, very long and repeated texts need no care; an empty
 table gives an empty one, empty labels no cutoffs. Only the named columns are read, so that others can't clash.
 """
 
@@ -24,13 +24,14 @@ from sightline.llm._common import materialize
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 MIN_WORDS, MAX_REPEATED = 50, 50
 RISK, ERROR, STRATA = 0.02, 0.05, 256
-#: Figure and its cutoffs from loose to strict.
+#: Figure and its cutoffs from loose to strict, a step of the sequence each.
 RULES = {
     "symbol_ratio": (1.0, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03),
-    "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "repeat_ratio": (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05),
-    "mean_word_chars": (40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0),
+    "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "repeat_ratio": (0.5, 0.45, 0.4, 0.35, 0.3, 0.27, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05),
+    "mean_word_chars": (40.0, 35.0, 30.0, 25.0, 22.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0),
 }
+LEVELS = len(RULES["symbol_ratio"])
 OTHER = ""
 
 
@@ -104,26 +105,24 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row with a map from stratum to its struct of cutoffs (null: the rule rejects nothing)."""
+    """One row with a map from stratum to its struct of cutoffs (null: the rules reject nothing)."""
     names = list(RULES)
     good = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("q", F.lit(0))).alias("q")).where("q = 1")
     shown = measured.select("doc_id", F.coalesce("lang", F.lit(OTHER)).alias("lang"), *(c.alias(k) for k, c in figures().items()))
-    held = shown.join(good, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"), *(F.max(k).alias(k) for k in names))
-    over = [F.count_if(F.col(k) > c).alias(f"{k}_{i}") for k in names for i, c in enumerate(RULES[k])]
-    by_lang = held.groupBy("lang").agg(F.count("*").alias("n"), *over)
+    # the first level that rejects a document; with several rows of one id the least
+    passes = lambda k: F.size(F.filter(F.array(*map(F.lit, RULES[k])), lambda c: F.col(k) <= c))
+    level = F.least(*map(passes, names))
+    held = shown.join(good, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min(level).alias("level"))
+    counts = held.groupBy("lang").agg(F.count("*").alias("n"), *(F.count_if(F.col("level") <= i).alias(f"k{i}") for i in range(LEVELS)))
     place = F.row_number().over(W.orderBy(F.desc("n"), "lang"))
-    folded = by_lang.withColumn("stratum", F.when(place < STRATA, F.col("lang")).otherwise(F.lit(OTHER)))
-    summed = folded.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.sum(f"{k}_{i}").alias(f"{k}_{i}") for k in names for i in range(len(RULES[k]))))
-    size = summed.agg(F.count("*").alias("m"))
-    tests = summed.crossJoin(size)
-    level = F.lit(error) / (F.col("m") * len(names))
-    chosen = []
-    for k in names:
-        passed = F.array(*(binomial_tail(F.col(f"{k}_{i}"), F.col("n"), risk / len(names)) <= level for i in range(len(RULES[k]))))
-        # the cutoffs before the first that fails
-        upto = F.array_position(F.concat(passed, F.array(F.lit(False))), False) - 1
-        chosen.append(F.when(upto > 0, F.get(F.array(*map(F.lit, RULES[k])), (upto - 1).cast("int"))).alias(k))
-    return tests.select("stratum", F.struct(*chosen).alias("cut")).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
+    folded = counts.withColumn("stratum", F.when(place < STRATA, F.col("lang")).otherwise(F.lit(OTHER)))
+    summed = folded.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.sum(f"k{i}").alias(f"k{i}") for i in range(LEVELS)))
+    tests = summed.crossJoin(summed.agg(F.count("*").alias("m")))
+    passed = F.array(*(binomial_tail(F.col(f"k{i}"), F.col("n"), risk) <= F.lit(error) / F.col("m") for i in range(LEVELS)))
+    # the steps before the first that fails
+    upto = F.array_position(F.concat(passed, F.array(F.lit(False))), False) - 1
+    cut = F.struct(*(F.when(upto > 0, F.get(F.array(*map(F.lit, RULES[k])), (upto - 1).cast("int"))).alias(k) for k in names))
+    return tests.select("stratum", cut.alias("cut")).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label_id: str = "doc_id", quality: str = "quality") -> DataFrame:

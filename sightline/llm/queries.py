@@ -42,7 +42,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.train(docs), keep_text=False)
     of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = map(of_kind, pii.KINDS)
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +139,15 @@ def _oracle_urls() -> str:
     upper, lower, size = string.ascii_uppercase, string.ascii_lowercase, urls.SIZE
     fits = {r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')" for r in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))}
     chosen = lambda what: "CASE " + " ".join(f"WHEN {c} THEN '{what(r)}'" for r, c in fits.items()) + " END"
+    number = lambda what: "CASE " + " ".join(f"WHEN {c} THEN {what(r)}" for r, c in fits.items()) + " ELSE 0 END"
     smooth = lambda low: f"CASE WHEN of_all > 0 THEN (n + kinds * {low}) / (of_all + kinds) ELSE {low} END"
     return f"""
 WITH rests AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
-ruled AS (SELECT *, {chosen(lambda r: r[1] + r[2])} AS rule, {chosen(lambda r: r[0])} AS ruling FROM parts),
+ruled AS (SELECT *, {chosen(lambda r: r[1] + r[2])} AS rule, {chosen(lambda r: r[0])} AS ruling,
+    host[1:length(host) - {number(lambda r: len(r[1]))}] || path[{number(lambda r: len(r[2]))} + 1:] AS rest FROM parts),
 folded AS (SELECT row, ruling, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {urls.FOLDS} = 0 AS held,
-    '^^' || regexp_replace(translate(host || path, '{upper}{string.digits}', '{lower}{'0' * 10}'), '[^a-z0./_-]', '*', 'g') || '$' AS s FROM ruled WHERE host <> ''),
+    '^^' || regexp_replace(translate(rest, '{upper}{string.digits}', '{lower}{'0' * 10}'), '[^a-z0./_-]', '*', 'g') || '$' AS s FROM ruled WHERE host <> ''),
 places AS (SELECT row, ruling, held, s, unnest(range(1, length(s) - 1)) AS i FROM folded),
 symbols AS (SELECT row, ruling, held, instr('{urls.ALPHABET}', s[i]) - 1 AS a, instr('{urls.ALPHABET}', s[i + 1]) - 1 AS b, instr('{urls.ALPHABET}', s[i + 2]) - 1 AS c FROM places),
 seen AS (SELECT ruling = 'allow' AS yes, a, b, c, count(*) AS n FROM symbols WHERE ruling IS NOT NULL AND NOT held GROUP BY ALL),
@@ -190,9 +192,8 @@ def _oracle_quality() -> str:
     rules = list(quality.RULES)
     names = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "mean_word_chars": ("word_chars", "n_words")}
     ratios = ", ".join(f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END AS {k}" for k, (a, b) in names.items())
-    grid = ", ".join(f"('{k}', {i}, CAST({c} AS DOUBLE))" for k in rules for i, c in enumerate(quality.RULES[k]))
-    rate = quality.RISK / len(rules)
-    value = "CASE rule " + " ".join(f"WHEN '{k}' THEN {k}" for k in rules) + " END"
+    grid = ", ".join(f"({i}, {', '.join(f'CAST({quality.RULES[k][i]} AS DOUBLE)' for k in rules)})" for i in range(quality.LEVELS))
+    rate = quality.RISK
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '{quality.OTHER}') AS lang, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT *, list_filter(regexp_split_to_array(text, '{letters}'), lambda x: x <> '') AS w,
@@ -210,13 +211,13 @@ held AS (SELECT doc_id, min(lang) AS lang, {', '.join(f'max({k}) AS {k}' for k i
 strata AS (SELECT lang AS old, CASE WHEN row_number() OVER (ORDER BY count(*) DESC, lang) < {quality.STRATA} THEN lang ELSE '{quality.OTHER}' END AS lang FROM held GROUP BY lang),
 folded AS (SELECT held.* REPLACE (strata.lang AS lang) FROM held JOIN strata ON held.lang = strata.old),
 sized AS (SELECT lang, count(*) AS n, (SELECT count(DISTINCT lang) FROM folded) AS m FROM folded GROUP BY lang),
-grid AS (SELECT * FROM (VALUES {grid}) AS t(rule, i, cut)),
-tried AS (SELECT lang, rule, i, any_value(cut) AS cut, CAST(count_if({value} > cut) AS BIGINT) AS k FROM folded, grid GROUP BY lang, rule, i),
+grid AS (SELECT * FROM (VALUES {grid}) AS t(i, {', '.join(f'max_{k}' for k in rules)})),
+tried AS (SELECT lang, i, CAST(count_if({' OR '.join(f'{k} > max_{k}' for k in rules)}) AS BIGINT) AS k FROM folded, grid GROUP BY lang, i),
 tested AS (SELECT tried.*, CASE WHEN k > n * {rate!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r})))) END <= {quality.ERROR!r} / (m * {len(rules)}) AS passed
+        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r})))) END <= {quality.ERROR!r} / m AS passed
     FROM tried JOIN sized USING (lang)),
-certified AS (SELECT lang, rule, min(cut) AS cut FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY i) AS so_far FROM tested) WHERE so_far GROUP BY lang, rule),
-limits AS (SELECT lang, {', '.join(f"max(cut) FILTER (rule = '{k}') AS max_{k}" for k in rules)} FROM sized LEFT JOIN certified USING (lang) GROUP BY lang),
+certified AS (SELECT lang, max(i) AS i FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY i) AS so_far FROM tested) WHERE so_far GROUP BY lang),
+limits AS (SELECT * FROM sized LEFT JOIN certified USING (lang) LEFT JOIN grid USING (i)),
 judged AS (SELECT figures.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
     {' OR '.join(f'coalesce({k} > max_{k}, false)' for k in rules)} AS failed
     FROM figures LEFT JOIN limits ON limits.lang = CASE WHEN figures.lang IN (SELECT lang FROM limits) THEN figures.lang ELSE '{quality.OTHER}' END)

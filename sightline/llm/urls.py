@@ -1,6 +1,7 @@
 """URL filtering: rules, and for the other URLs a character language-model ratio, in built-in functions only.
 
-Accepted and rejected URLs (those that a rule decides) give one Markov model each: characters after contexts of two, one
+Accepted and rejected URLs (those that a rule decides, without the parts of host and path that the rule asks for, as these
+say nothing about URLs that no rule fits) give one Markov model each: characters after contexts of two, one
 and no characters, every order smoothed by the next lower one in proportion to the number of different continuations. A
 URL's score is the log-likelihood difference per character. The cut is calibrated on a fold of the accepted URLs that the
 models did not see: at most FALSE_REJECTION of them lie below it. It is the exact score of that rank, found by counting
@@ -45,13 +46,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """Rule (host and path) and its verdict; null where none fits. Of equally long rules the first listed wins."""
+def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column, Column, Column]:
+    """Rule (host and path), its verdict, and host and path without what the rule asks for (whole where none fits). Of
+    equally long rules the first listed wins."""
     rule = verdict = F.lit(None).cast("string")
+    host_rest, path_rest = host, path
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    return rule, verdict
+        host_rest = F.when(fits, F.substr(host, F.lit(1), F.length(host) - len(h))).otherwise(host_rest)
+        path_rest = F.when(fits, F.substr(path, F.lit(len(p) + 1))).otherwise(path_rest)
+    return rule, verdict, host_rest, path_rest
 
 
 def grams(host: Column, path: Column) -> Column:
@@ -112,9 +117,9 @@ def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES
     """Return page_id, host, path, rule, score (log-likelihood difference per character; null without host) and verdict."""
     host, path = split_url(F.col("url"))
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
-    rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
-    pages = pages.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    known = pages.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), held_out(F.col("url")).alias("held"), grams(F.col("host"), F.col("path")).alias("g"))
+    rule, verdict, host_rest, path_rest = apply_rules(F.col("host"), F.col("path"), rules)
+    pages = pages.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"), host_rest.alias("host_rest"), path_rest.alias("path_rest"))
+    known = pages.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), held_out(F.col("url")).alias("held"), grams(F.col("host_rest"), F.col("path_rest")).alias("g"))
     model = log_ratios(known.where("not held").select("accepted", F.explode("g").alias("code")))
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in model.first()["m"])), ",").cast("array<double>")
     score = lambda g: F.round(F.aggregate(g, F.lit(0.0), lambda s, code: s + F.get(ratios, code)) / F.size(g), 9)

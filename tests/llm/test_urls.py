@@ -76,7 +76,9 @@ def test_scores_against_a_plain_model(spark, pages):
     for r in pages.collect():
         verdict = rule_of(*split(r.url))[1]
         if verdict and r.page_id not in held:
-            known[verdict == "allow"].append(symbols(*split(r.url)))
+            host, path = split(r.url)
+            fit = next(x for x in urls.RULES if x[1] + x[2] == rule_of(host, path)[0])
+            known[verdict == "allow"].append(symbols(host[: -len(fit[1])], path[len(fit[2]) :]))
     yes, no = model(known[True]), model(known[False])
     url = {r.page_id: r.url for r in pages.collect()}
     for r in urls.judge(pages).where("host <> ''").collect():
