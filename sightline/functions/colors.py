@@ -56,6 +56,15 @@ def matches_rgb(r: Column, g: Column, b: Column, target: tuple[int, int, int], t
     return F.sqrt(sum(F.pow(c - t, F.lit(2)) for c, t in zip((r, g, b), target, strict=True))) <= tolerance
 
 
+def like_rgb(pixel: tuple[Column, ...], target: tuple[Column, ...], tolerance: float = 100, spread: int = 40) -> Column:
+    """matches_rgb for targets that are columns."""
+    bright, want = (sum(c[1:], c[0]) / 3 for c in (pixel, target))
+    near = F.when(want > 200, bright >= 100).otherwise(F.abs(bright - want) <= tolerance)
+    gray = (F.greatest(*pixel) - F.least(*pixel) <= spread) & near
+    far = F.sqrt(sum((F.pow(c - t, F.lit(2)) for c, t in zip(pixel[1:], target[1:], strict=True)), F.pow(pixel[0] - target[0], F.lit(2))))
+    return F.when(F.greatest(*target) - F.least(*target) < 30, gray).otherwise(far <= tolerance)
+
+
 def matches_hsv(h: Column, s: Column, v: Column, target: tuple[float, float, float], hue: float = 20, sat: float = 50, val: float = 50) -> Column:
     """Whether a colour is within tolerances of a target; hue wraps and does not count for grey targets."""
     near = (F.abs(s - target[1]) <= sat) & (F.abs(v - target[2]) <= val)

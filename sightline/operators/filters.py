@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.attributes import all_present, in_mask, score
+from sightline.operators import pixels
 from sightline.vocab import ATTRIBUTE_MATCH, CATEGORIES, PERSON, REMATCH, UNKNOWN
 
 
@@ -75,6 +76,20 @@ def rematch(det: DataFrame, filters: DataFrame, threshold: float = REMATCH) -> D
     return pairs(det, filters).where((F.col("category_id") != PERSON) | (F.col("attr_score") >= threshold))
 
 
+def match_colors(matched: DataFrame, requirements: DataFrame, px: DataFrame, width: int, height: int, least: float = 20.0) -> DataFrame:
+    """Of matched pairs those whose colours fit too: the filter asks for none in the detection's category, or the crop shows
+    any of those it asks for. A detection without pixels never fits.
+
+    requirements: filter_id, category_id, region, r, g, b; px: det_id, px_x, px_y, r, g, b."""
+    asked = requirements.select("filter_id", "category_id", "region", F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"))
+    pictured = matched.join(px.select("det_id").distinct(), "det_id", "left_semi")
+    free = pictured.join(asked, ["filter_id", "category_id"], "left_anti")
+    wanted = pictured.select("det_id", "filter_id", "category_id").join(asked, ["filter_id", "category_id"])
+    met = pixels.regions_met(px, wanted, width, height, least)
+    shown = wanted.join(met, ["det_id", "region", "red", "green", "blue"], "left_semi").select("det_id", "filter_id")
+    return free.unionByName(pictured.join(shown, ["det_id", "filter_id"], "left_semi"))
+
+
 def details(matched: DataFrame, filters: DataFrame) -> DataFrame:
     """A row per matched filter id with the filter's columns."""
     return matched.select("det_id", F.explode("matched_filters").alias("filter_id")).join(filters, "filter_id")

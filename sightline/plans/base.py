@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.sources.fixtures import CATEGORY_OF, FILTERS, SERIES_OF
+from sightline.sources.fixtures import CATEGORY_OF, FILTERS, OTHERS, OTHERS_OF, SERIES_OF
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,21 +20,21 @@ def query(sql: str | None = None):
     return add
 
 
-def _case(values: dict, other) -> str:
+def _case(values: dict, other, column: str = "event_type") -> str:
     show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
-    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN {show(v)}" for k, v in values.items()) + f" ELSE {show(other)} END"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {show(v)}" for k, v in values.items()) + f" ELSE {other if str(other).startswith("CASE") else show(other)} END"
 
 
 _K = "CAST(json_extract(props, '$.k') AS INT)"
 DET = f"""det AS (
-    SELECT event_id AS det_id, user_id AS device_id, ts, date_trunc('day', ts) AS frame_ts, {_case(CATEGORY_OF, -1)} AS category_id,
+    SELECT event_id AS det_id, user_id AS device_id, ts, date_trunc('day', ts) AS frame_ts, {_case(CATEGORY_OF, _case(OTHERS, -1, f"event_id % {OTHERS_OF}"))} AS category_id,
         CASE WHEN value >= 200 THEN 1.0::DOUBLE ELSE value / 200 END AS confidence,
         CAST(({_K} % 10) * 4 AS DOUBLE) AS x1, CAST(({_K} // 10) * 4 AS DOUBLE) AS y1,
         CAST(({_K} % 10) * 4 + 40 + event_id % 7 AS DOUBLE) AS x2, CAST(({_K} // 10) * 4 + 60 + event_id % 11 AS DOUBLE) AS y2,
         CAST(CASE WHEN event_type = 'click' THEN (event_id * 2654435 + {_K} * 40503) % 67108864 ELSE 0 END AS INT) AS attr_bits
     FROM events)"""
-FILTER = "filters AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', {c}, {a}, {o})" for i, n, c, a, o in FILTERS) + ") AS t(filter_id, name, cat_bits, attr_mask, ord))"
-ENABLED = "enabled AS (SELECT filter_id, name, attr_mask, ord, category_id FROM filters, (SELECT unnest(range(63)) AS category_id) WHERE cat_bits >> category_id & 1 = 1)"
+FILTER = "filters AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', {list(c)}, {a}, {o})" for i, n, c, a, o in FILTERS) + ") AS t(filter_id, name, cats, attr_mask, ord))"
+ENABLED = "enabled AS (SELECT filter_id, name, attr_mask, ord, unnest(cats) AS category_id FROM filters)"
 SCORE = "CASE WHEN category_id <> 0 OR attr_mask = 0 THEN 1.0 ELSE bit_count(attr_bits & attr_mask) / bit_count(attr_mask)::DOUBLE END"
 PAIRS = f"pairs AS (SELECT det.*, filter_id, attr_mask, ord, {SCORE} AS attr_score FROM det JOIN enabled USING (category_id))"
 MATCHED = "matched AS (SELECT * FROM pairs WHERE category_id <> 0 OR (attr_bits <> 0 AND attr_score >= 0.75))"

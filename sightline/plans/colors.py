@@ -8,7 +8,7 @@ from sightline.functions import colors
 from sightline.operators import filters, pixels
 from sightline.plans.base import ALL_DET, PIXELS, query
 from sightline.sources import fixtures
-from sightline.vocab import HUES
+from sightline.vocab import HUES, IMAGE_REGIONS
 
 _ID = ("region_id", "r", "g", "b")
 
@@ -100,6 +100,30 @@ def color_requirements(spark, sf_dir):
     return filters.color_requirements(fixtures.filters(spark), asked)
 
 
+#: What filters ask for in the query: (filter_id, category_id, region, r, g, b).
+_WANTED = (("f2", 0, "top", 220, 60, 40), ("f2", 0, "bottom", 30, 40, 200), ("f2", 0, "nowhere", 0, 0, 0), ("f4", 2, "middle-top", 130, 125, 135), ("f3", 15, "nowhere", 1, 2, 3), ("f3", 16, "middle-bottom", 230, 230, 225))
+_PARTS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in IMAGE_REGIONS.items())
+
+
+@query(f"""{ALL_DET}, {PIXELS}, wanted AS (SELECT * FROM (VALUES {', '.join(map(str, _WANTED))}) AS t(filter_id, category_id, region, tr, tg, tb)),
+pictured AS (SELECT * FROM matched WHERE det_id IN (SELECT region_id FROM px)),
+parts AS (SELECT * FROM (VALUES {_PARTS}) AS t(region, a, b)),
+asked AS (SELECT DISTINCT det_id, filter_id, region, tr, tg, tb, 8 * a AS top, 8 * (b - a) AS high FROM pictured JOIN wanted USING (filter_id, category_id) JOIN parts USING (region)),
+close AS (SELECT det_id, filter_id, region, tr, tg, tb, CASE WHEN greatest(tr, tg, tb) - least(tr, tg, tb) < 30
+        THEN greatest(r, g, b) - least(r, g, b) <= 40 AND CASE WHEN (tr + tg + tb) / 3.0 > 200 THEN (r + g + b) / 3.0 >= 100 ELSE abs((r + g + b) / 3.0 - (tr + tg + tb) / 3.0) <= 100 END
+        ELSE sqrt(pow(r - tr, 2) + pow(g - tg, 2) + pow(b - tb, 2)) <= 100 END AS hit
+    FROM asked JOIN px ON px.region_id = det_id WHERE px_y >= top AND px_y < top + high
+    AND pow((px_x - 4.0) / (4.0 * 0.95), 2) + pow((px_y - top - high / 2) / (high / 2 * 0.95), 2) <= 1),
+shown AS (SELECT DISTINCT det_id, filter_id FROM (SELECT det_id, filter_id, avg(CASE WHEN hit THEN 100.0 ELSE 0.0 END) AS pct FROM close GROUP BY det_id, filter_id, region, tr, tg, tb) WHERE pct >= 20)
+SELECT det_id, filter_id FROM pictured WHERE (filter_id, category_id) NOT IN (SELECT (filter_id, category_id) FROM wanted) OR (det_id, filter_id) IN (SELECT (det_id, filter_id) FROM shown)""")
+def color_filter_match(spark, sf_dir):
+    """Detections and filters that match by category, attributes and colours; crops are pixel rows of 8 by 8."""
+    wanted = spark.createDataFrame(list(_WANTED), "filter_id string, category_id int, region string, r int, g int, b int")
+    px = fixtures.pixels(spark, sf_dir).withColumnRenamed("region_id", "det_id")
+    flt = fixtures.filters(spark)
+    return filters.match_colors(filters.match(fixtures.detections(spark, sf_dir), flt), wanted, px, 8, 8).select("det_id", "filter_id")
+
+
 @query(f"WITH {PIXELS} SELECT region_id, r, g, b, '#' || lower(printf('%02x%02x%02x', r, g, b)) AS hex, true AS same FROM px")
 def hex_roundtrip(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).withColumn("hex", colors.to_hex(F.col("r"), F.col("g"), F.col("b")))

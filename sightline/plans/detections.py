@@ -45,19 +45,18 @@ def router_placeholder(spark, sf_dir):
     return out.select("device_id", F.date_format("frame_ts", "yyyy-MM-dd HH:mm:ss").alias("frame"), "det_id", "category_id", _r(F.col("confidence")).alias("confidence"))
 
 
-@query(f"{ALL_DET} SELECT CAST(bit_or(cat_bits) AS BIGINT) AS cat_bits FROM filters")
+@query(f"{ALL_DET} SELECT string_agg(CASE WHEN i IN (SELECT category_id FROM enabled) THEN '1' ELSE '0' END, '' ORDER BY i) AS cat_mask FROM (SELECT unnest(range({len(CATEGORIES)})) AS i)")
 def merged_category_mask(spark, sf_dir):
-    """The merged mask as one number, bit by category; a number beyond 63 bits is an error, not cut."""
-    ids = filters.enabled(F.col("cat_mask"))
-    bits = F.aggregate(ids, F.lit(0).cast("decimal(38,0)"), lambda s, i: (s + F.pow(F.lit(2.0), i).cast("decimal(30,0)")).cast("decimal(38,0)"))
-    return filters.merged_mask(fixtures.filters(spark)).select(bits.cast("long").alias("cat_bits"))
+    """The merged mask, a digit for each category of the vocabulary."""
+    digits = F.transform("cat_mask", lambda on: on.cast("int").cast("string"))
+    return filters.merged_mask(fixtures.filters(spark)).select(F.array_join(digits, "").alias("cat_mask"))
 
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 _ATTRS = "[" + ", ".join(f"'{a}'" for a in ATTRIBUTES) + "]"
 
 
-@query(f"""{ALL_DET} SELECT filter_id, (SELECT string_agg({_NAMES}[i + 1], ',' ORDER BY i) FROM (SELECT unnest(range(63)) AS i) WHERE cat_bits >> i & 1 = 1) AS categories,
+@query(f"""{ALL_DET} SELECT filter_id, (SELECT string_agg({_NAMES}[i + 1], ',' ORDER BY i) FROM (SELECT unnest(cats) AS i)) AS categories,
 coalesce((SELECT string_agg({_ATTRS}[i + 1], ',' ORDER BY i) FROM (SELECT unnest(range(26)) AS i) WHERE attr_mask >> i & 1 = 1), '') AS attributes,
 CAST(bit_count(attr_mask) AS BIGINT) AS n_attributes FROM filters""")
 def mask_to_names(spark, sf_dir):

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from sightline.vocab import CATEGORIES
 
-#: (filter_id, name, category bits, attribute bits, order)
-FILTERS = (("f1", "two attrs", 1, 129, 1), ("f2", "person+car", 5, 0, 2), ("f3", "animals", 98304, 0, 3), ("f4", "car only", 4, 0, 4), ("f5", "four attrs", 1, 5249, 5))
+#: (filter_id, name, categories, attribute bits, order)
+FILTERS = (("f1", "two attrs", (0,), 129, 1), ("f2", "person+car", (0, 2), 0, 2), ("f3", "animals", (15, 16), 0, 3), ("f4", "car only", (2,), 0, 4), ("f5", "four attrs", (0,), 5249, 5), ("f6", "small things", (63, 67, 79), 0, 6))
 CATEGORY_OF = {"click": 0, "view": 2, "purchase": 15, "signup": 16}
+#: Categories of the other events, by the rest of their id.
+OTHERS = {0: 63, 1: 67, 2: 79}
+OTHERS_OF = 5
 SERIES_OF = {"click": "pipeline.fps", "view": "pipeline.duration", "purchase": "memory.track", "signup": "cache.objects"}
 
 
@@ -31,7 +34,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections_of(events: DataFrame) -> DataFrame:
     """One row per detection; the device is the user, a frame is a device's day."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = events.withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = events.withColumns({"k": k, "rest": F.col("event_id") % OTHERS_OF}).withColumn("ts", F.col("ts").cast("timestamp"))
     row = F.floor(F.col("k") / 10).cast("int")
     bits = F.pmod(F.col("event_id") * 2654435 + F.col("k") * 40503, F.lit(67108864))
     return e.select(
@@ -39,7 +42,7 @@ def detections_of(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("device_id"),
         "ts",
         F.date_trunc("day", "ts").alias("frame_ts"),
-        _case("event_type", CATEGORY_OF, -1).alias("category_id"),
+        F.when(F.col("event_type").isin(*CATEGORY_OF), _case("event_type", CATEGORY_OF, -1)).otherwise(_case("rest", OTHERS, -1)).alias("category_id"),
         F.when(F.col("value") >= 200, F.lit(1.0)).otherwise(F.col("value") / 200).alias("confidence"),
         (F.col("k") % 10 * 4).cast("double").alias("x1"),
         (row * 4).cast("double").alias("y1"),
@@ -50,7 +53,7 @@ def detections_of(events: DataFrame) -> DataFrame:
 
 
 def filters(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, [bool(bits >> c & 1) for c in range(len(CATEGORIES))], a, o) for i, n, bits, a, o in FILTERS]
+    rows = [(i, n, [c in on for c in range(len(CATEGORIES))], a, o) for i, n, on, a, o in FILTERS]
     return spark.createDataFrame(rows, "filter_id string, name string, cat_mask array<boolean>, attr_mask int, ord int")
 
 
