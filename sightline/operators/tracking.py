@@ -39,6 +39,11 @@ def iou(a, b) -> float:
     return inner / whole if whole > 0 else 0.0
 
 
+def colors_meet(a, b) -> bool:
+    """Whether two sets of colours share one; nothing is known where one is empty."""
+    return a is None or b is None or not len(a) or not len(b) or bool(set(a) & set(b))
+
+
 def cosine(a: int, b: int) -> float:
     n = a.bit_count() * b.bit_count()
     return (a & b).bit_count() / n**0.5 if n else 0.0
@@ -53,7 +58,7 @@ class Tracker:
     def _find(self, row: dict, now: float) -> dict | None:
         r = self.rules
         for t in self.tracks:
-            if now - t["last_seen"] <= r.ttl and iou(t["box"], row["box"]) >= r.iou and (self.key[2] != PERSON or cosine(t["bits"], row["attr_bits"]) >= r.cosine):
+            if now - t["last_seen"] <= r.ttl and iou(t["box"], row["box"]) >= r.iou and (self.key[2] != PERSON or cosine(t["bits"], row["attr_bits"]) >= r.cosine) and colors_meet(t["colors"], row.get("colors")):
                 return t
         return None
 
@@ -69,7 +74,8 @@ class Tracker:
             name = "_".join(map(str, (*self.key, row["det_id"], now)))
             t = {"id": hashlib.md5(name.encode()).hexdigest()[:16], "state": WATCHING, "first_seen": now, "confirmed": 0.0, "hits": 0, "best": None, "score": 0.0, "attempts": 0}
             self.tracks.append(t)
-        t |= {"box": row["box"], "bits": row["attr_bits"], "last_seen": now}
+        colors = row.get("colors")
+        t |= {"box": row["box"], "bits": row["attr_bits"], "colors": None if colors is None else list(colors), "last_seen": now}
         out = []
         if t["state"] == WATCHING:
             if row["score"] > t["score"]:
@@ -109,8 +115,10 @@ class _Machine(Tracker):
 
 
 def observations(matched: DataFrame) -> DataFrame:
-    """Rows that a tracker reads, from matched detections (det_id, device_id, ts, box, attr_bits, attr_score, vlm_required)."""
-    return matched.where("category_id <> -1").select(*KEYS, "det_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "x1", "y1", "x2", "y2", "attr_bits", F.col("attr_score").alias("score"), "vlm_required")
+    """Rows that a tracker reads, from matched detections (det_id, device_id, ts, box, attr_bits, attr_score, vlm_required, and
+    colors, an array of names, where detections have it)."""
+    colors = ["colors"] if "colors" in matched.columns else []
+    return matched.where("category_id <> -1").select(*KEYS, "det_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "x1", "y1", "x2", "y2", "attr_bits", F.col("attr_score").alias("score"), "vlm_required", *colors)
 
 
 def confirmations(matched: DataFrame, rules: Rules = Rules(), verify=None) -> DataFrame:

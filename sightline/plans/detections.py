@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import attributes, geometry, text
 from sightline.functions.geometry import area, box
 from sightline.operators import clusters, filters, history, spatial
+from sightline.plans import machines
 from sightline.plans.base import ALL_DET, query
 from sightline.sources import fixtures, sinks
 from sightline.vocab import ATTRIBUTES, CATEGORIES, IMAGE_REGIONS, PERSON_REGIONS
@@ -188,7 +189,7 @@ def nms_detections(spark, sf_dir):
     return spatial.suppress(fixtures.detections(spark, sf_dir), FRAME).select("det_id")
 
 
-@query()
+@query(machines.clusters())
 def cluster_detections(spark, sf_dir):
     det, flt = _both(spark, sf_dir)
     out = clusters.cluster(det, [r.asDict() for r in flt.collect()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import filters, routing, tracking
+from sightline.plans import machines
 from sightline.plans.base import POINTS, query
 from sightline.session import new_folder
 from sightline.sources import fixtures
@@ -16,8 +17,17 @@ DAY = 86400.0
 RULES = tracking.Rules(hits=2, window=3 * DAY, cooldown=7 * DAY, ttl=10 * DAY)
 
 
+#: A detection's colours: none of every fourth, else one of three.
+_COLORS = "CASE WHEN det_id % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [['red', 'blue', 'green'][det_id // 4 % 3 + 1]] END"
+
+
+def _with_colors(det):
+    one = F.array(F.element_at(F.array(*map(F.lit, ("red", "blue", "green"))), (F.floor(F.col("det_id") / 4) % 3 + 1).cast("int")))
+    return det.withColumn("colors", F.when(F.col("det_id") % 4 == 0, F.array().cast("array<string>")).otherwise(one))
+
+
 def _matched(spark, sf_dir, required):
-    found = filters.match(fixtures.detections(spark, sf_dir), fixtures.filters(spark))
+    found = filters.match(_with_colors(fixtures.detections(spark, sf_dir)), fixtures.filters(spark))
     return found.withColumn("vlm_required", required)
 
 
@@ -25,12 +35,12 @@ def _shown(events):
     return events.select("device_id", "filter_id", "category_id", F.round("event_ts", 3).alias("event_ts"), F.round("first_seen", 3).alias("first_seen"), "best_det_id", F.round("best_score", 6).alias("best_score"), "hits", "vlm_required")
 
 
-@query()
+@query(machines.tracks(RULES, "false", _COLORS))
 def track_confirmations(spark, sf_dir):
     return _shown(tracking.confirmations(_matched(spark, sf_dir, F.lit(False)), RULES))
 
 
-@query()
+@query(machines.tracks(RULES, "category_id = 0", _COLORS, "best % 3 = 0", "best % 5 <> 0"))
 def verification_feedback(spark, sf_dir):
     """Persons need a verifier, whose answers depend on the detection."""
 
@@ -40,7 +50,7 @@ def verification_feedback(spark, sf_dir):
     return _shown(tracking.confirmations(_matched(spark, sf_dir, F.col("category_id") == 0), RULES, verify))
 
 
-@query()
+@query(machines.routes("SELECT user_id AS device_id, ts AS event_ts, event_id, event_type IN ('click', 'view') AS vlm_required, event_type = 'purchase' AS ready FROM events", 3))
 def route_verification(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events")
     kind = F.col("event_type")
@@ -81,11 +91,11 @@ def stream_windowed_counts(spark, sf_dir):
     return out.select("event_type", F.date_format("begin", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query()
+@query(machines.tracks(RULES, "false", _COLORS))
 def stream_tracker(spark, sf_dir):
     """The tracker as a stream; the same events as track_confirmations."""
     base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet")
-    found = filters.match(fixtures.detections_of(events), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
+    found = filters.match(_with_colors(fixtures.detections_of(events)), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
     live.run_once(live.track(tracking.observations(found), RULES), f"{base}/checkpoint", path=f"{base}/out")
     return _shown(spark.read.schema(tracking.OUT).parquet(f"{base}/out"))
