@@ -40,6 +40,17 @@ def classes(h: Column, s: Column, v: Column) -> dict[str, Column]:
     return out | {n: (s >= 25) & in_hue(h, n) for n in HUES}
 
 
+#: Hues in degrees up to which a colour has this name; red begins again at 345.
+SIMPLE_HUES = ((15, "red"), (45, "orange"), (75, "yellow"), (155, "green"), (200, "cyan"), (260, "blue"), (300, "purple"), (345, "pink"), (361, "red"))
+
+
+def simple_name(h: Column, s: Column, v: Column) -> Column:
+    """A name by hue alone, or for pale colours by brightness (s and v in percent)."""
+    gray = F.when(v > 80, "white").when(v < 30, "black").otherwise("gray")
+    hue = F.coalesce(*(F.when(h < end, F.lit(name)) for end, name in SIMPLE_HUES))
+    return F.when(s < 20, gray).otherwise(hue)
+
+
 def in_range(h: Column, s: Column, v: Column, name: str, least: float = 50) -> Column:
     """Whether a colour lies in a named range."""
     if name in ("white", "black", "gray"):

@@ -57,6 +57,19 @@ def ago(seconds: Column) -> Column:
     return F.when(m < 60, F.concat(m.cast("string"), F.lit("m ago"))).when(h < 24, F.concat(h.cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(h / 24).cast("string"), F.lit("d ago")))
 
 
+def ago_or_date(seconds: Column, ts: Column) -> Column:
+    """Minutes under an hour, hours under a day, else the date."""
+    return F.when(seconds < 86400, ago(seconds)).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+
+
+def last_seen(seconds: Column, ts: Column, hours: bool = False) -> Column:
+    """When a device was seen, in words; the time itself after two hours, or after a day where hours are told too."""
+    many = lambda n, what: F.concat(F.floor(seconds / n).cast("string"), F.lit(f" {what} ago"))
+    out = F.when(seconds.isNull(), "Never").when(seconds < 60, "Just now").when(seconds < 120, "1 minute ago").when(seconds < 3600, many(60, "minutes")).when(seconds < 7200, "1 hour ago")
+    out = out.when(seconds < 86400, many(3600, "hours")) if hours else out
+    return out.otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+
+
 def telemetry(line: Column) -> dict[str, Column]:
     """Typed fields of a board's status line; null where a field is missing."""
     found = lambda p, i=1: F.nullif(F.regexp_extract(line, p, i), F.lit(""))

@@ -34,6 +34,13 @@ def contract(requires: dict[str, str] | None = None, produces: dict[str, str] |
     return of
 
 
+def map_fields(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rename the fields that a step reads or gives; a field that isn't there is a TypeError."""
+    if lost := [n for n in names if n not in df.columns]:
+        raise TypeError(f"no field {', '.join(lost)}")
+    return df.withColumnsRenamed(names)
+
+
 def chain(df: DataFrame, *steps: Step) -> DataFrame:
     return reduce(lambda d, step: d.transform(step), steps, df)
 

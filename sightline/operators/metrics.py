@@ -63,6 +63,22 @@ def instrument_rows(stats: DataFrame, name: str) -> DataFrame:
     return stats.select(F.inline(F.when(F.col("alive").isNotNull(), memory).otherwise(one)))
 
 
+def published(instruments: DataFrame, settings: DataFrame, least: float = 10.0, every: float = 30.0) -> DataFrame:
+    """Instruments (device_id, name, ...) that their device's settings (device_id, enabled, frequency, instruments) publish,
+    with the interval in seconds: at least least, every where none is given. Missing settings publish all; a list of
+    instruments is a whitelist unless it is empty."""
+    both = instruments.join(settings, "device_id", "left").where(F.coalesce("enabled", F.lit(True)))
+    allowed = F.col("instruments").isNull() | (F.size("instruments") == 0) | F.array_contains("instruments", F.col("name"))
+    interval = F.coalesce(F.greatest(F.col("frequency").cast("double"), F.lit(least)), F.lit(every))
+    return both.where(allowed).select(*instruments.columns, interval.alias("interval"))
+
+
+def first_instrument(instruments: Column, suffix: str | None = None, kind: str | None = None) -> Column:
+    """The first of an array of structs (name, type, value) whose name ends so or whose type is this; null if none."""
+    fits = lambda x: F.lit(True) & (F.endswith(x["name"], F.lit(suffix)) if suffix else F.lit(True)) & ((x["type"] == kind) if kind else F.lit(True))
+    return F.get(F.filter(instruments, fits), F.lit(0))
+
+
 def bound(points: DataFrame, key: str, attribute: str) -> DataFrame:
     """Count and average of the points whose attribute has the value that came first for the key."""
     first = points.groupBy(key).agg(F.min_by(attribute, F.struct("ts", "seq")).alias(attribute))

@@ -14,6 +14,27 @@ from pyspark.sql import functions as F
 from sightline.session import new_folder
 
 
+def nested(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """From (id, parent_id, fields) a row (id, payload) of each root: a JSON object with the fields and, as children, the
+    objects of its parts in the order of their ids. A level is folded into the one above it per round, from the deepest."""
+    spark = nodes.sparkSession
+    base = new_folder(spark, "nested")
+    depths = walk(nodes.select("id", "parent_id")).groupBy("id").agg(F.max("depth").alias("depth"))
+    own = nodes.join(depths, "id").select("id", "parent_id", "depth", F.to_json(F.struct(*fields)).alias("own"))
+    own.write.parquet(f"{base}/own")
+    own = spark.read.schema(own.schema).parquet(f"{base}/own")
+    below = own.select(F.col("id").alias("parent_id"), F.lit("").alias("children")).limit(0)
+    for depth in range(own.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
+        level = own.where(F.col("depth") == depth).join(below.withColumnRenamed("parent_id", "id"), "id", "left")
+        body = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        made = level.select("id", "parent_id", body.alias("payload"))
+        made.write.parquet(f"{base}/{depth}")
+        made = spark.read.schema(made.schema).parquet(f"{base}/{depth}")
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("id", "payload"))), lambda x: x["payload"])
+        below = made.where("parent_id is not null").groupBy("parent_id").agg(F.array_join(parts, ",").alias("children"))
+    return made.select("id", "payload")
+
+
 def walk(nodes: DataFrame) -> DataFrame:
     """From (id, parent_id) the rows (id, root, depth) of everything reachable from a node without parent."""
     spark = nodes.sparkSession

@@ -64,7 +64,8 @@ def lifetime_leaks(spark, sf_dir):
 @query(f"""{_W}, s AS (SELECT series, avg(value) AS a, count(*) AS n FROM points GROUP BY 1)
 SELECT series AS name, CASE series WHEN 'pipeline.fps' THEN 'rate' WHEN 'pipeline.duration' THEN 'avg_duration' ELSE 'counter' END AS type,
 round(CASE series WHEN 'pipeline.fps' THEN n / 2592000.0 WHEN 'pipeline.duration' THEN a ELSE n END, 6) AS value FROM s WHERE series <> 'memory.track'
-UNION ALL SELECT 'memory.track.alive', 'memory', n FROM s WHERE series = 'memory.track' UNION ALL SELECT 'memory.track.cleaned', 'memory', 0 FROM s WHERE series = 'memory.track'""")
+UNION ALL SELECT 'memory.track.alive', 'memory', n FROM s WHERE series = 'memory.track' UNION ALL SELECT 'memory.track.cleaned', 'memory', n // 3 FROM s WHERE series = 'memory.track'
+UNION ALL SELECT 'memory.track.leaked', 'memory', n // 10 FROM s WHERE series = 'memory.track' AND n // 10 > 0""")
 def metric_unpivot(spark, sf_dir):
     s = metrics.summary(_points(spark, sf_dir), ["series"])
     when = lambda name, c: F.when(F.col("series") == name, c)
@@ -74,8 +75,8 @@ def metric_unpivot(spark, sf_dir):
         when("pipeline.duration", F.col("avg")).alias("avg"),
         "count",
         when("memory.track", F.col("count")).alias("alive"),
-        when("memory.track", F.lit(0).cast("long")).alias("cleaned"),
-        when("memory.track", F.lit(0).cast("long")).alias("leaked"),
+        when("memory.track", F.floor(F.col("count") / 3)).alias("cleaned"),
+        when("memory.track", F.floor(F.col("count") / 10)).alias("leaked"),
     )
     return _round(metrics.instrument_rows(stats, "series"), "value")
 

@@ -158,10 +158,10 @@ def config_rollback(spark, sf_dir):
     return configs.rollback(_configs(spark, sf_dir), asked, "owner")
 
 
-@query("""WITH asked AS (SELECT DISTINCT lower(split_part(c_name, '#', 1)) || (c_custkey % 97) || '@mail.example' AS email FROM customer),
+@query("""WITH asked AS (SELECT DISTINCT lower(split_part(c_name, '#', 1)) || (c_custkey % 997) || '@mail.example' AS email FROM customer),
 users AS (SELECT 'customer' || s_suppkey || '@mail.example' AS email FROM supplier) SELECT email, split_part(email, '@', 1) AS name FROM asked WHERE email NOT IN (SELECT email FROM users)""")
 def find_or_create(spark, sf_dir):
-    email = F.concat(F.lower(F.split_part("c_name", F.lit("#"), F.lit(1))), (F.col("c_custkey") % 97).cast("string"), F.lit("@mail.example"))
+    email = F.concat(F.lower(F.split_part("c_name", F.lit("#"), F.lit(1))), (F.col("c_custkey") % 997).cast("string"), F.lit("@mail.example"))
     asked = _table(spark, sf_dir, "customer").select(email.alias("email"), F.lit(None).cast("string").alias("name"))
     users = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("customer"), F.col("s_suppkey").cast("string"), F.lit("@mail.example")).alias("email"))
     return devices.find_or_create(asked, users)
@@ -284,13 +284,15 @@ w AS (SELECT label AS watch, sqrt(sum(m * m)) AS norm FROM c GROUP BY 1), e AS (
 n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM e GROUP BY 1), s AS (SELECT vec_id, label AS watch, sum(v * m) AS dot FROM e JOIN c USING (d) GROUP BY 1, 2)
 SELECT vec_id, watch, round(dot / (n.norm * w.norm), 6) AS cosine, dot / (n.norm * w.norm) >= 0.6 AS matched FROM s JOIN n USING (vec_id) JOIN w USING (watch)""")
 def watchlist_cosine(spark, sf_dir):
-    """Every embedding against the mean of each label, by one join on the labels' table."""
+    """Every embedding against the mean of each label, which come in blocks of 256 that the embeddings are joined with."""
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m"))
     watch = means.groupBy(F.col("label").alias("watch")).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m"))
-    all_watches = watch.agg(F.collect_list(F.struct("watch", "m")).alias("w")).scalar()
+    n_blocks = max(1, -(-watch.count() // 256))
+    blocks = watch.groupBy(F.pmod(F.xxhash64("watch"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("watch", "m")).alias("ws"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    each = e.select("vec_id", "v", F.explode(all_watches).alias("w"))
+    placed = e.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    each = placed.join(blocks, "block").select("vec_id", "v", F.explode("ws").alias("w"))
     cosine = dot(F.col("v"), F.col("w.m")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("w.m"), F.col("w.m"))))
     return each.select("vec_id", F.col("w.watch").alias("watch"), F.round(cosine, 6).alias("cosine"), (cosine >= 0.6).alias("matched"))
 

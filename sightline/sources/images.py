@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATTERN = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
+#: Extensions in any letter case.
+PATTERN = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.text import two_decimals
 from sightline.operators.history import last_n, latest
+from sightline.session import delete
 
 SNAPSHOT_CONFIDENCE = 0.01
 
@@ -44,6 +47,35 @@ def crop_name(ts: Column, label: Column, confidence: Column, attributes: Column,
     return F.concat(F.concat_ws("_", F.date_format(ts, "yyyyMMdd_HHmmss"), label, two_decimals(confidence), F.array_join(names, "_"), F.array_join(shades, "_")), F.lit(".jpg"))
 
 
+def heartbeats(devices: DataFrame, begin: Column, end: Column, every: float = 30.0) -> DataFrame:
+    """A message of each device (device_id) at every interval (seconds) from begin until before end."""
+    at = F.explode(F.sequence(begin, end - F.make_dt_interval(secs=F.lit(0.000001)), F.make_dt_interval(secs=F.lit(every)))).alias("at")
+    beat = devices.select("device_id", at)
+    stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.to_json(F.struct("device_id", stamp.alias("timestamp"), F.lit("online").alias("status")))
+    return beat.select(F.concat(F.lit("devices/"), F.col("device_id").cast("string"), F.lit("/heartbeat")).alias("topic"), body.alias("payload"))
+
+
+def to_open_clients(messages: DataFrame, clients: DataFrame) -> DataFrame:
+    """Each message (device_id, payload) for every client (client_id, device_id, state) of its device whose session is open;
+    a payload that is no JSON object is not sent."""
+    valid = messages.where(F.from_json("payload", "map<string,string>").isNotNull())
+    return valid.join(clients.where("state = 'OPEN'").select("client_id", "device_id"), "device_id")
+
+
+def insert(rows: DataFrame, path: str) -> DataFrame:
+    """Append rows to the Parquet table below path, in a part of their own, and return what was written."""
+    part = f"{path}/insert={uuid.uuid4().hex}"
+    rows.write.parquet(part)
+    return rows.sparkSession.read.schema(rows.schema).parquet(part)
+
+
+def flatten(queued: DataFrame, fields: list[str]) -> DataFrame:
+    """Messages of one outbound step: the items of all fields' lists, each with its topic; items without topic or payload are
+    left out. A field is an array of structs (topic, payload)."""
+    return queued.select(F.inline(F.concat(*(F.coalesce(F.col(f), F.array().cast(queued.schema[f].dataType)) for f in fields)))).where("topic is not null and payload is not null")
+
+
 def merge_latest(path: str, keys: list[str], order: list[str], n: int = 1):
     """A foreachBatch function that keeps the n newest rows of each key in versions of a Parquet table below path."""
 
@@ -52,5 +84,7 @@ def merge_latest(path: str, keys: list[str], order: list[str], n: int = 1):
         both = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={epoch - 1}"))
         newest = latest(both, keys, order) if n == 1 else last_n(both, keys, order, n).drop("place")
         newest.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        if epoch > 1:  # the last version stays for a repeated trigger, the ones before it go
+            delete(spark, f"{path}/version={epoch - 2}")
 
     return write
