@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def track_id(*parts: Column) -> Column:
 
 def topic_regex(pattern: str) -> str:
     """A topic pattern ("+" is one level) as an anchored regular expression."""
-    return "^" + "/".join("[^/]+" if p == "+" else p for p in pattern.split("/")) + "$"
+    return "^" + "/".join("[^/]+" if p == "+" else re.escape(p) for p in pattern.split("/")) + "$"
 
 
 def topic_part(topic: Column, i: int) -> Column:

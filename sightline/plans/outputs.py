@@ -8,7 +8,7 @@ from sightline.functions import colors, text
 from sightline.operators import flow, metrics, models, pixels, trees
 from sightline.plans.base import PIXELS, query
 from sightline.session import new_folder
-from sightline.sources import fixtures, sinks
+from sightline.sources import fixtures, schemas, sinks
 
 _BEGIN, _END = "2024-01-01 00:00:00", "2024-01-01 00:05:00"
 
@@ -151,3 +151,28 @@ def injected_attributes(spark, sf_dir):
 
     e = fixtures.table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     return models.apply(e, load, ["value", "user_id"], "score double, hit boolean").select("event_id", F.round("score", 6).alias("score"), "hit")
+
+
+#: Schemas of two kinds of messages.
+_SCHEMAS = {
+    "devices/+/click": {
+        "type": "object", "required": ["id", "kind", "box"], "additionalProperties": False,
+        "properties": {"id": {"type": "integer", "minimum": 0}, "kind": {"enum": ["click", 1]}, "box": {"$ref": "#/definitions/box"}, "note": {"type": ["string", "null"], "maxLength": 5}, "at": {"type": "string", "format": "date-time"}},
+        "definitions": {"box": {"type": "array", "minItems": 4, "maxItems": 4, "items": {"type": "number", "maximum": 100}}},
+    },
+    "devices/+/view": {"type": "object", "oneOf": [{"required": ["a"], "properties": {"a": {"const": "x"}}}, {"required": ["b"]}], "additionalProperties": {"type": "string", "pattern": "^[a-z]+$"}},
+}
+_CLICK = """'{"id": ' || CASE WHEN event_id % 11 = 0 THEN '-1' WHEN event_id % 11 = 1 THEN '1.5' ELSE CAST(event_id AS STRING) END || ', "kind": ' || CASE event_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '"no"' ELSE '"click"' END
+|| ', "box": [1, 2.5, ' || CASE WHEN event_id % 13 = 0 THEN '101' ELSE '3' END || CASE WHEN event_id % 17 = 0 THEN '' ELSE ', 4' END || ']' || CASE event_id % 5 WHEN 0 THEN ', "note": null' WHEN 1 THEN ', "note": "longer"' WHEN 2 THEN ', "more": 1' WHEN 3 THEN ', "at": "2024-01-01T00:00:00Z"' ELSE '' END || '}'"""
+_VIEW = """CASE event_id % 6 WHEN 0 THEN '{"a": "x"}' WHEN 1 THEN '{"a": "x", "b": "y"}' WHEN 2 THEN '{"b": "y", "c": "z"}' WHEN 3 THEN '{"b": "Y"}' WHEN 4 THEN 'no json' ELSE '[]' END"""
+
+
+@query("""SELECT event_id, CASE event_type
+    WHEN 'click' THEN event_id % 11 > 1 AND event_id % 7 <> 1 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 5 NOT IN (1, 2)
+    WHEN 'view' THEN event_id % 6 IN (0, 2) ELSE false END AS valid FROM events""")
+def schema_validate(spark, sf_dir):
+    """Messages checked against the JSON Schema of their topic; topics without one are rejected."""
+    e = fixtures.table(spark, sf_dir, "events")
+    topic = F.concat(F.lit("devices/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+    payload = F.when(F.col("event_type") == "click", F.expr(_CLICK)).when(F.col("event_type") == "view", F.expr(_VIEW)).otherwise(F.col("props"))
+    return schemas.by_topic(e.select("event_id", topic.alias("topic"), payload.alias("payload")), _SCHEMAS).select("event_id", "valid")
