@@ -72,6 +72,21 @@ def last_seen(seconds: Column, ts: Column, hours: bool = False) -> Column:
     return out.otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
 
 
+def prompts(listed: Column) -> Column:
+    """The prompts of a comma-separated list."""
+    return F.transform(F.split(listed, ","), lambda w: F.trim(w))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps in one; where both have a key the second's value counts."""
+    return F.map_zip_with(first, second, lambda _, p, q: F.coalesce(q, p))
+
+
+def numbered(named: Column) -> Column:
+    """A map with text keys by the numbers they are."""
+    return F.transform_keys(named, lambda k, _: k.cast("int"))
+
+
 def telemetry(line: Column) -> dict[str, Column]:
     """Typed fields of a board's status line; null where a field is missing."""
     found = lambda p, i=1: F.nullif(F.regexp_extract(line, p, i), F.lit(""))

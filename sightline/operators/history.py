@@ -7,6 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def ring_by_kind(df: DataFrame, keys: list[str], order: list[str], capacity: Column, most: int) -> DataFrame:
+    """The newest rows of each key up to a capacity that depends on the row (at most most), with their place."""
+    return last_n(df, keys, order, most).where(F.col("place") <= capacity)
+
+
+def confirmed_within(df: DataFrame, keys: list[str], order: list[str], hits: int, seconds: float) -> DataFrame:
+    """The first row of each key that is at least its hits-th and lies within so many seconds of the key's first (by ts, the
+    first column of order); the last column of order is returned."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    each = df.withColumns({"n": F.row_number().over(w), "first": F.first(order[0]).over(w)})
+    soon = (F.unix_micros(order[0]) - F.unix_micros("first")) / 1e6 <= seconds
+    return each.where((F.col("n") >= hits) & soon).groupBy(*keys).agg(F.min(order[-1]).alias(order[-1]))
+
+
+def running_mask(mask: Column, keys: list[str], order: list[str]) -> Column:
+    """How many rows of the key are masked up to this one."""
+    return F.sum(mask.cast("long")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+
+
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The n newest rows of each key with their place (1: newest). Spark cuts every partition to n before the shuffle."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))

@@ -63,6 +63,26 @@ def instrument_rows(stats: DataFrame, name: str) -> DataFrame:
     return stats.select(F.inline(F.when(F.col("alive").isNotNull(), memory).otherwise(one)))
 
 
+def counters(events: DataFrame, kinds: dict[str, Column], distinct: str, measured: Column) -> DataFrame:
+    """One row: events seen, those of each kind, distinct devices, and the average of a measure (0 where there is none)."""
+    return events.agg(F.count("*").alias("seen"), *(F.count_if(c).alias(k) for k, c in kinds.items()), F.count_distinct(distinct).alias("devices"), F.coalesce(F.avg(measured), F.lit(0.0)).alias("avg_inference"))
+
+
+def fps_band(fps: Column, good: float = 25, fair: float = 15) -> Column:
+    return F.when(fps >= good, "good").when(fps >= fair, "fair").otherwise("poor")
+
+
+def frame_seconds(fps: Column) -> Column:
+    """Time between frames; a second where the rate says nothing."""
+    return F.when(fps <= 0, F.lit(1.0)).otherwise(1 / fps)
+
+
+def session_document(points: DataFrame, key: str) -> DataFrame:
+    """A JSON document of each key's session: the day it began, and total and count of its values."""
+    s = points.groupBy(key).agg(F.min("ts").alias("start"), F.sum("value").alias("total"), F.count("*").alias("count"))
+    return s.select(key, F.to_json(F.struct(F.date_format("start", "yyyy-MM-dd").alias("start_day"), F.array(F.struct(F.lit("value").alias("name"), "total", "count")).alias("instruments"))).alias("document"))
+
+
 def published(instruments: DataFrame, settings: DataFrame, least: float = 10.0, every: float = 30.0) -> DataFrame:
     """Instruments (device_id, name, ...) that their device's settings (device_id, enabled, frequency, instruments) publish,
     with the interval in seconds: at least least, every where none is given. Missing settings publish all; a list of

@@ -87,6 +87,13 @@ class Tracker:
         self._expire(now)
         return out
 
+    def either(self, row: dict) -> list[tuple]:
+        """A detection, or an answer if the row names a track."""
+        if isinstance(row.get("track_id"), str):
+            self.answer(row["track_id"], row["seconds"], row["confirmed"], row["valid"])
+            return []
+        return self.detection(row)
+
     def answer(self, track_id: str, now: float, confirmed: bool, valid: bool) -> None:
         """A verifier's answer; one for a track that doesn't wait is stale and ignored."""
         for t in self.tracks:
@@ -99,12 +106,12 @@ class Tracker:
 
 
 class _Machine(Tracker):
-    """Answers come by a function of the event that asks (an injected verifier), at the time of the event."""
+    """Answers come as rows of their own, or by a function of the event that asks (an injected verifier), at its time."""
 
     verify = None
 
     def step(self, row):
-        out = self.detection(row)
+        out = self.either(row)
         for event in out:
             if event[-1] and self.verify:
                 self.answer(event[3], event[4], *self.verify(event))
@@ -121,13 +128,21 @@ def observations(matched: DataFrame) -> DataFrame:
     return matched.where("category_id <> -1").select(*KEYS, "det_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "x1", "y1", "x2", "y2", "attr_bits", F.col("attr_score").alias("score"), "vlm_required", *colors)
 
 
-def confirmations(matched: DataFrame, rules: Rules = Rules(), verify=None) -> DataFrame:
-    """Confirmation events. verify(event) -> (confirmed, valid) answers those that require verification."""
+def with_answers(observed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Observations and a verifier's answers (the keys and track_id of the event that asked, seconds, confirmed, valid) as one
+    input of a tracker, in batch or as a stream; at equal times the answer comes first."""
+    return observed.unionByName(answers.select(*KEYS, "track_id", "seconds", "confirmed", "valid"), allowMissingColumns=True)
+
+
+def confirmations(matched: DataFrame, rules: Rules = Rules(), verify=None, answers: DataFrame | None = None) -> DataFrame:
+    """Confirmation events. Those that require verification are answered by verify(event) -> (confirmed, valid), or by a
+    table of answers."""
     settings = asdict(rules)
+    observed = observations(matched) if answers is None else with_answers(observations(matched), answers)
 
     def start(row):
         machine = _Machine(tuple(row[k] for k in KEYS), Rules(**settings))
         machine.verify = verify
         return machine
 
-    return fold(observations(matched), KEYS, ["seconds", "det_id"], OUT, start)
+    return fold(observed, KEYS, ["seconds", "det_id"], OUT, start)

@@ -86,7 +86,7 @@ round(coalesce(avg(value) FILTER (event_type = 'purchase'), 0), 6) AS avg_infere
 def running_counters(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events")
     of = lambda kind: F.col("event_type") == kind
-    return e.agg(F.count("*").alias("seen"), F.count_if(of("click")).alias("confirmed"), F.count_if(of("error")).alias("rejected"), F.count_distinct("user_id").alias("devices"), F.round(F.coalesce(F.avg(F.when(of("purchase"), F.col("value"))), F.lit(0.0)), 6).alias("avg_inference"))
+    return _round(metrics.counters(e, {"confirmed": of("click"), "rejected": of("error")}, "user_id", F.when(of("purchase"), F.col("value"))), "avg_inference")
 
 
 @query(f"""{_W}, first AS (SELECT device_id, arg_min(series, seq) AS series FROM points GROUP BY 1)
@@ -144,20 +144,14 @@ def drop_newest_first_n(spark, sf_dir):
 def ring_buffer_by_kind(spark, sf_dir):
     """Capacity of a ring buffer that depends on the kind of message."""
     cap = F.when(F.col("series") == "pipeline.fps", 5).otherwise(2)
-    return history.last_n(_points(spark, sf_dir), ["series", "device_id"], ["ts", "seq"], 5).where(F.col("place") <= cap).select("series", "device_id", "seq")
+    return history.ring_by_kind(_points(spark, sf_dir), ["series", "device_id"], ["ts", "seq"], cap, 5).select("series", "device_id", "seq")
 
 
 @query(f"""{_W}, f AS (SELECT series, device_id, seq, ts, min(ts) OVER w AS first, row_number() OVER (PARTITION BY series, device_id ORDER BY seq) AS n FROM points WINDOW w AS (PARTITION BY series, device_id))
 SELECT series, device_id, min(seq) AS seq FROM f WHERE n >= 3 AND epoch(ts) - epoch(first) <= 864000 GROUP BY 1, 2""")
 def confirmation_window(spark, sf_dir):
     """The first point at which a series has three points within ten days of its first."""
-    from pyspark.sql import Window as W
-
-    p = _points(spark, sf_dir)
-    w = W.partitionBy("series", "device_id").orderBy("ts", "seq")
-    each = p.withColumns({"n": F.row_number().over(w), "first": F.first("ts").over(w)})
-    soon = (F.unix_micros("ts") - F.unix_micros("first")) / 1e6 <= 864000
-    return each.where((F.col("n") >= 3) & soon).groupBy("series", "device_id").agg(F.min("seq").alias("seq"))
+    return history.confirmed_within(_points(spark, sf_dir), ["series", "device_id"], ["ts", "seq"], 3, 864000)
 
 
 @query(f"""{_W}, t AS (SELECT device_id, epoch(ts) AS s FROM points),
@@ -178,10 +172,8 @@ def ttl_live_keys(spark, sf_dir):
 @query(f"{_W} SELECT device_id, seq, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY seq) AS BIGINT) - 1 AS position FROM points")
 def mask_positions(spark, sf_dir):
     """Running sum of a mask, less one."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("device_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return _points(spark, sf_dir).select("device_id", "seq", (F.sum((F.col("value") > 50).cast("long")).over(w) - 1).alias("position"))
+    position = history.running_mask(F.col("value") > 50, ["device_id"], ["ts", "seq"]) - 1
+    return _points(spark, sf_dir).select("device_id", "seq", position.alias("position"))
 
 
 @query(f"""WITH {MESSAGES}, e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'error' THEN 40 WHEN 'purchase' THEN 30 WHEN 'signup' THEN 20 ELSE 10 END AS level FROM events)
@@ -197,17 +189,14 @@ def log_rate_cap(spark, sf_dir):
 SELECT device_id, CASE WHEN fps >= 25 THEN 'good' WHEN fps >= 15 THEN 'fair' ELSE 'poor' END AS band, round(least(100, fps), 4) AS pct, round(CASE WHEN fps <= 0 THEN 1 ELSE 1 / fps END, 6) AS frame_seconds FROM s""")
 def fps_bands(spark, sf_dir):
     fps = _points(spark, sf_dir).where("series = 'pipeline.fps'").groupBy("device_id").agg(F.avg("value").alias("fps"))
-    band = F.when(F.col("fps") >= 25, "good").when(F.col("fps") >= 15, "fair").otherwise("poor")
-    seconds = F.when(F.col("fps") <= 0, F.lit(1.0)).otherwise(1 / F.col("fps"))
-    return fps.select("device_id", band.alias("band"), F.round(F.least(F.lit(100.0), F.col("fps")), 4).alias("pct"), F.round(seconds, 6).alias("frame_seconds"))
+    return fps.select("device_id", metrics.fps_band(F.col("fps")).alias("band"), F.round(F.least(F.lit(100.0), F.col("fps")), 4).alias("pct"), F.round(metrics.frame_seconds(F.col("fps")), 6).alias("frame_seconds"))
 
 
 @query(f"""{_W}, s AS (SELECT device_id, min(ts) AS start_time, sum(value) AS total, count(*) AS n FROM points GROUP BY 1)
 SELECT device_id, CAST(start_time AS DATE)::VARCHAR AS start_day, n AS count, round(total, 4) AS total FROM s""")
 def session_export(spark, sf_dir):
     """Totals of a device's session as a JSON document, read back."""
-    s = _points(spark, sf_dir).groupBy("device_id").agg(F.min("ts").alias("start"), F.sum("value").alias("total"), F.count("*").alias("count"))
-    doc = F.to_json(F.struct(F.date_format("start", "yyyy-MM-dd").alias("start_day"), F.array(F.struct(F.lit("value").alias("name"), "total", "count")).alias("instruments")))
-    back = s.select("device_id", F.from_json(doc, "start_day string, instruments array<struct<name string, total double, count long>>").alias("d"))
+    said = metrics.session_document(_points(spark, sf_dir), "device_id")
+    back = said.select("device_id", F.from_json("document", "start_day string, instruments array<struct<name string, total double, count long>>").alias("d"))
     only = F.get("d.instruments", F.lit(0))
     return back.select("device_id", "d.start_day", only["count"].alias("count"), F.round(only["total"], 4).alias("total"))

@@ -313,15 +313,15 @@ def schema_ids(spark, sf_dir):
 def map_merge(spark, sf_dir):
     """Metadata merged with later values over earlier ones, and text keys as numbers."""
     a, b = F.create_map(F.lit("x"), F.lit("a"), F.lit("y"), F.lit("z")), F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("x"), F.lit("b"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    merged = F.map_zip_with(a, b, lambda _, p, q: F.coalesce(q, p))
-    keys = F.transform_keys(F.create_map(F.col("p_size").cast("string"), F.lit(1)), lambda k, _: k.cast("int") + 1)
+    merged = text.merged(a, b)
+    keys = text.numbered(F.create_map((F.col("p_size") + 1).cast("string"), F.lit(1)))
     return _table(spark, sf_dir, "part").select("p_partkey", merged["x"].alias("x"), merged["y"].alias("y"), F.get(F.map_keys(keys), F.lit(0)).alias("k"))
 
 
 @query("SELECT p_partkey, trim(w) AS prompt FROM (SELECT p_partkey, unnest(string_split(p_name || ', ' || p_brand, ',')) AS w FROM part)")
 def prompt_source(spark, sf_dir):
-    parts = F.explode(F.split(F.concat("p_name", F.lit(", "), "p_brand"), ",")).alias("w")
-    return _table(spark, sf_dir, "part").select("p_partkey", parts).select("p_partkey", F.trim("w").alias("prompt"))
+    each = F.explode(text.prompts(F.concat("p_name", F.lit(", "), "p_brand"))).alias("prompt")
+    return _table(spark, sf_dir, "part").select("p_partkey", each)
 
 
 @query("""SELECT 'large' AS label, event_id, user_id FROM events WHERE value > 100 UNION ALL SELECT 'click' AS label, event_id, user_id FROM events WHERE event_type = 'click'""")
@@ -342,15 +342,14 @@ def client_caps(spark, sf_dir):
     parts = F.split("topic", "/")
     rows = fixtures.messages(spark, sf_dir).select("msg_id", "ts", F.get(parts, F.lit(1)).alias("device"), F.get(parts, F.lit(2)).alias("kind"))
     cap = F.when(F.col("kind") == "click", 200).when(F.col("kind") == "view", 50).when(F.col("kind") == "purchase", 20).otherwise(3)
-    return history.last_n(rows, ["device", "kind"], ["ts", "msg_id"], 200).where(F.col("place") <= cap).select("device", "kind", "msg_id", F.col("place").cast("long").alias("place"))
+    return history.ring_by_kind(rows, ["device", "kind"], ["ts", "msg_id"], cap, 200).select("device", "kind", "msg_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT user_id, event_id, CAST(count_if(event_type <> 'view') OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS position FROM events")
 def masked_positions(spark, sf_dir):
     """Positions of the tokens of a sequence: the running sum of its mask."""
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    on = (F.col("event_type") != "view").cast("long")
-    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(on).over(w).alias("position"))
+    position = history.running_mask(F.col("event_type") != "view", ["user_id"], ["event_id"])
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", position.alias("position"))
 
 
 _REGION = """CASE p_partkey % 4 WHEN 0 THEN '[0.1, 0.4]' WHEN 1 THEN '{"start": 0.2, "end": 0.5}' WHEN 2 THEN '{"end": 0.3}' END"""

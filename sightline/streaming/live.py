@@ -33,7 +33,8 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lat
 
 
 def track(observed: DataFrame, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
-    """Confirmation events of a stream of observations (as operators.tracking.observations gives them).
+    """Confirmation events of a stream of observations (as operators.tracking.observations gives them), or of these and a
+    verifier's answers (operators.tracking.with_answers).
 
     The state of a key is its live tracks as JSON, and its rows of a trigger come in any order, so they are sorted; triggers
     are expected in order of time. A key is forgotten when the watermark has passed the last track's ttl."""
@@ -44,8 +45,8 @@ def track(observed: DataFrame, rules: Rules = Rules(), late: str = "1 hour") ->
             state.remove()
             return
         machine = Tracker(tuple(int(k) if not isinstance(k, str) else k for k in key), Rules(**settings), json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(["seconds", "det_id"]).to_dict("records")
-        out = [e for r in rows for e in machine.detection(r)]
+        rows = pd.concat(list(batches)).sort_values(["seconds", "det_id"], na_position="first").to_dict("records")
+        out = [e for r in rows for e in machine.either(r)]
         state.update((json.dumps(machine.tracks),))
         ends = max(r["seconds"] for r in rows) + rules.ttl
         state.setTimeoutTimestamp(max(int(ends * 1000), state.getCurrentWatermarkMs() + 1))

@@ -12,6 +12,7 @@ from sightline.plans.registry import QUERIES
 from sightline.sources import fixtures, images
 
 BOX = {"x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 20.0}
+F_TIME = 1_700_000_000.0
 RULES = Rules(hits=2, window=3, cooldown=120, ttl=300)
 
 
@@ -53,6 +54,25 @@ def test_feedback():
     assert t.tracks[0]["state"] == "suppressed"
 
 
+def test_answers_as_rows(spark):
+    """A no starts the track over, a yes suppresses it, a stale answer counts for nothing."""
+    data = [(i, 1, "f", 2, F_TIME + s, 0, 1.0, True, 0.0, 0.0, 10.0, 20.0) for i, s in enumerate((0, 1, 3, 4, 6, 7))]
+    seen = spark.createDataFrame(data, "det_id long, device_id long, filter_id string, category_id int, at double, attr_bits int, attr_score double, vlm_required boolean, x1 double, y1 double, x2 double, y2 double")
+    seen = seen.withColumn("ts", F.timestamp_seconds("at"))
+    first = tracking.confirmations(seen, RULES).collect()
+    assert [e.event_ts - F_TIME for e in first] == [1]
+    track = first[0].track_id
+
+    def after(*answers):
+        rows = spark.createDataFrame([(1, "f", 2, t, F_TIME + s, yes, good) for t, s, yes, good in answers], "device_id long, filter_id string, category_id int, track_id string, seconds double, confirmed boolean, valid boolean")
+        return [e.event_ts - F_TIME for e in tracking.confirmations(seen, RULES, answers=rows).collect()]
+
+    assert after((track, 2, False, True)) == [1, 4]
+    assert after((track, 2, True, True)) == [1]
+    assert after(("other", 2, False, True)) == [1]
+    assert after((track, 2, False, True), (track, 5, False, False)) == [1, 4, 7]
+
+
 def _route(spark, rows, capacity):
     df = spark.createDataFrame([(1, float(i), i, *r) for i, r in enumerate(rows, 1)], "device_id long, event_ts double, event_id long, vlm_required boolean, ready boolean")
     return [(r.event_id, r.target, r.vlm_status) for r in routing.route(df, capacity=capacity).collect()]
