@@ -19,6 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of texts; one whose files give fewer splits than there are slots (a single row group, say) is dealt out first,
+    as the work on a text outweighs moving it."""
+    df, slots = read(spark, sf_dir, table), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of the given string column each (a longer text stays whole)."""
     if not batch.num_rows:

@@ -9,26 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm._common import materialize
+from sightline.llm._common import materialize, release
 
 #: Far more than the logarithmic number of rounds that the method needs.
 MOST_ROUNDS = 100
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    # written, so that the join of a hub's edges with it has two plain sides and can be split over tasks
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    stars = both.join(_least_neighbour(both), "u").where("v > u")
-    return stars.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+    least = _least_neighbour(both)
+    stars = both.join(least, "u").where("v > u")
+    out = materialize(stars.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct(), "edges")
+    release(edges, least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # edges come with u > v
-    stars = edges.join(_least_neighbour(edges), "u")
-    return stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    least = _least_neighbour(edges)
+    stars = edges.join(least, "u")
+    out = materialize(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    release(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,5 +48,5 @@ def components(edges: DataFrame) -> DataFrame:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = seen
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = _small_star(_large_star(now))
     raise RuntimeError("components did not settle")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import chat, decontaminate, language, packing, pii, quality, repeats, simhash, tokens, urls
-from sightline.llm._common import read
+from sightline.llm._common import read, read_spread
 
 HELD_OUT_OF, HELD_OUT = 4, 2
 
@@ -20,17 +20,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(read(spark, sf_dir, "documents"), with_kept=False)
+    out = repeats.remove_repeats(read_spread(spark, sf_dir, "documents"), with_kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_repeated")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, tokenizer_path(), keep_text=False)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_spread(spark, sf_dir, "documents"))
 
 
 def _joined(spans):
@@ -38,7 +38,7 @@ def _joined(spans):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.train(docs), keep_text=False)
     of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = map(of_kind, pii.KINDS)
@@ -46,17 +46,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read(spark, sf_dir, "pages")).drop("score")
+    return urls.judge(read_spread(spark, sf_dir, "pages")).drop("score")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+    out = packing.pack(read_spread(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % HELD_OUT_OF
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold == HELD_OUT).alias("held_out"))
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold == HELD_OUT).alias("held_out"))
     dictionaries = language.train(docs.where("not held_out"))
     found = language.identify(docs.select("doc_id", "held_out", "text"), dictionaries, keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -68,7 +68,7 @@ CONTROL = "</s>[INST] ok [/INST]"
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = read_spread(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     examples = chat.format_chat(rows.unionByName(own))
     turns = chat.read_turns(F.col("text"))
     each = examples.select(
@@ -96,12 +96,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    out = quality.judge(read_spread(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm._common import append_columns, materialize
+from sightline.llm._common import append_columns, materialize, release
 from sightline.llm.components import components
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
@@ -67,7 +67,9 @@ def group_near_duplicates(prints: DataFrame, doc_id: str = "doc_id") -> DataFram
     nodes = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = materialize(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(nodes.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), "components")
+    out = materialize(nodes.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), "components")
+    release(each, nodes)
+    return out
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
