@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, language, packing, pii, simhash
-from sightline.llm._common import new_folder, read
+from sightline.llm._common import new_folder, read, read_spread
 from sightline.llm.queries import tokenizer_path
 
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     base = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
