@@ -14,7 +14,7 @@
 * Compare adjacent prefixes: equal neighbours in that order are repeats; covered bytes are the union of their strings.
 
 Names are fingerprints, as only equality of neighbours counts here, not which of two texts sorts first: 48 bits and the
-number of the range for the first filter, 80 bits and the range for what decides.
+number of the range for the first filter, 64 bits and the range (up to 16 bits more) for what decides.
 
 The unit is a distinct text: byte-equal documents are recognised by two hashes of the whole text, are covered whole, and
 one of them stands for all against other texts. A name that a task meets several times is settled there and sent once, so
@@ -119,7 +119,7 @@ class Sender:
         k1, k2 = (np.repeat(np.array([p[i] for p in self.parts], kind), sizes) for i, kind in ((0, np.int64), (1, np.int32)))
         pos = np.concatenate([p[2] for p in self.parts]).astype(np.uint32)
         name = np.concatenate([p[3] for p in self.parts]) >> np.uint64(16 - self.bits)
-        check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else np.zeros(len(pos), np.uint32)
+        check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else np.zeros(len(pos), np.uint16)
         with_check = self.parts[0][4] is not None
         self.n, self.parts = 0, []
         order = np.lexsort((check, name)) if with_check else np.argsort(name, kind="stable")
@@ -186,8 +186,8 @@ def _compare(table: pa.Table, leads: bool, bits: int) -> pa.Table:
     slot = np.uint64(table.column("slot")[0].as_py())
     name = slot << np.uint64(48) | _whole(table, "name2", np.uint16).astype(np.uint64) << np.uint64(32) | _whole(table, "name4", np.uint32)
     pos = _whole(table, "pos0", np.uint16).astype(np.uint32) | _whole(table, "pos1", np.uint16).astype(np.uint32) << np.uint32(16)
-    check = _whole(table, "check", np.uint32)
-    check = check if len(check) else np.zeros(len(name), np.uint32)
+    check = _whole(table, "check", np.uint16)
+    check = check if len(check) else np.zeros(len(name), np.uint16)
     of_row = [len(x) // 2 for x in table.column("name2").to_pylist()]
     settled = np.repeat(np.array(table.column("settled").to_pylist(), bool), of_row)
     order = np.lexsort((check, name))
@@ -283,7 +283,7 @@ def _name_sequences(cover: Cover):
                 whole &= pos[at] == pos + k * cover.v
                 a, b = _mix(a * _K1 + name[at]), _mix((b ^ name[at]) * _K1 + _K2)
                 if k + 1 in (cover.inner, cover.outer):
-                    full = sender.add(row["k1"], row["k2"], pos[whole] + mark, a[whole], (b[whole] >> np.uint64(32)).astype(np.uint32))
+                    full = sender.add(row["k1"], row["k2"], pos[whole] + mark, a[whole], (b[whole] >> np.uint64(48)).astype(np.uint16))
                     mark = OUTER
             return full
 
@@ -301,7 +301,7 @@ def _name_remaining(cover: Cover):
             _, unsettled, leads = cover.starts(len(raw), row["sequences"])
             for at, mark in ((unsettled, 0), (leads, STANDS)):
                 both = np.frombuffer(b"".join([h(raw[p : p + cover.length]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
-                full = sender.add(row["k1"], row["k2"], at + mark, both[:, 0], (both[:, 1] >> np.uint64(32)).astype(np.uint32))
+                full = sender.add(row["k1"], row["k2"], at + mark, both[:, 0], (both[:, 1] >> np.uint64(48)).astype(np.uint16))
             return full
 
         return add
