@@ -66,10 +66,28 @@ def _sweep(spark: SparkSession, path: str) -> None:
         delete(spark, path)
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession):
+    """Queries that run inside leave no shuffle files behind (where Spark has the setting)."""
+    before = spark.conf.get(CLEAN_UP, None)
+    if before is not None:
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with own_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
