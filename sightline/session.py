@@ -73,14 +73,15 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextlib.contextmanager
 def own_shuffles(spark: SparkSession):
     """Queries that run inside leave no shuffle files behind (where Spark has the setting)."""
-    before = spark.conf.get(CLEAN_UP, None)
-    if before is not None:
-        spark.conf.set(CLEAN_UP, "true")
+    if not spark.conf.isModifiable(CLEAN_UP):
+        yield
+        return
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
     try:
         yield
     finally:
-        if before is not None:
-            spark.conf.set(CLEAN_UP, before)
+        spark.conf.set(CLEAN_UP, before)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
