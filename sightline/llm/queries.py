@@ -145,7 +145,7 @@ def _oracle_urls() -> str:
 WITH rests AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 ruled AS (SELECT *, {chosen(lambda r: r[1] + r[2])} AS rule, {chosen(lambda r: r[0])} AS ruling,
-    host[1:length(host) - {number(lambda r: len(r[1]))}] || path[{number(lambda r: len(r[2]))} + 1:] AS rest FROM parts),
+    CASE WHEN {number(lambda r: len(r[1]))} > 0 THEN host[1:length(host) - {number(lambda r: len(r[1]))}] ELSE regexp_replace(host, '[^.]*$', '') END || path[greatest(1, {number(lambda r: len(r[2]))}):] AS rest FROM parts),
 folded AS (SELECT row, ruling, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {urls.FOLDS} = 0 AS held,
     '^^' || regexp_replace(translate(rest, '{upper}{string.digits}', '{lower}{'0' * 10}'), '[^a-z0./_-]', '*', 'g') || '$' AS s FROM ruled WHERE host <> ''),
 places AS (SELECT row, ruling, held, s, unnest(range(1, length(s) - 1)) AS i FROM folded),

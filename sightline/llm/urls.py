@@ -1,7 +1,8 @@
 """URL filtering: rules, and for the other URLs a character language-model ratio, in built-in functions only.
 
-Accepted and rejected URLs (those that a rule decides, without the parts of host and path that the rule asks for, as these
-say nothing about URLs that no rule fits) give one Markov model each: characters after contexts of two, one
+What is judged is the host without its last label and the path. Accepted and rejected URLs (those that a rule decides, also
+without the rest of the host and the path that the rule asks for, as these say nothing about URLs that no rule fits) give one
+Markov model each: characters after contexts of two, one
 and no characters, every order smoothed by the next lower one in proportion to the number of different continuations. A
 URL's score is the log-likelihood difference per character. The cut is calibrated on a fold of the accepted URLs that the
 models did not see: at most FALSE_REJECTION of them lie below it. It is the exact score of that rank, found by counting
@@ -47,15 +48,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column, Column, Column]:
-    """Rule (host and path), its verdict, and host and path without what the rule asks for (whole where none fits). Of
-    equally long rules the first listed wins."""
+    """Rule (host and path), its verdict, and what the models see of host and path: not the last label, nor what the rule asks
+    for (but a last "/"). Of equally long rules the first listed wins."""
     rule = verdict = F.lit(None).cast("string")
-    host_rest, path_rest = host, path
+    host_rest, path_rest = F.regexp_replace(host, "[^.]*$", ""), path
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
         host_rest = F.when(fits, F.substr(host, F.lit(1), F.length(host) - len(h))).otherwise(host_rest)
-        path_rest = F.when(fits, F.substr(path, F.lit(len(p) + 1))).otherwise(path_rest)
+        path_rest = F.when(fits, F.substr(path, F.lit(max(1, len(p))))).otherwise(path_rest)
     return rule, verdict, host_rest, path_rest
 
 
@@ -127,6 +128,6 @@ def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES
     counted = materialize(counted, "scores")
     sides = counted.agg(F.bool_or("accepted").alias("yes"), F.bool_or(~F.col("accepted")).alias("no")).first()
     cut = exact_quantile(counted, FALSE_REJECTION) if sides["yes"] and sides["no"] else None
-    scored = pages.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("host") != "", score(grams(F.col("host"), F.col("path")))).alias("score"))
+    scored = pages.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("host") != "", score(grams(F.col("host_rest"), F.col("path_rest")))).alias("score"))
     below = F.coalesce(F.col("score") < F.lit(cut).cast("double"), F.lit(False))
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(below, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
