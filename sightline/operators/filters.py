@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.attributes import all_present, in_mask, score
 from sightline.operators import pixels
-from sightline.vocab import ATTRIBUTE_MATCH, CATEGORIES, PERSON, REMATCH, UNKNOWN
+from sightline.vocab import ATTRIBUTE_MATCH, CATEGORIES, PERSON, PERSON_REGIONS, REMATCH, UNKNOWN
 
 
 def bits_of(mask: Column, size: int) -> Column:
@@ -59,6 +59,13 @@ def all_attributes(det: DataFrame, filters: DataFrame) -> DataFrame:
     return pairs(det, filters).where(all_present(F.col("attr_bits"), F.col("attr_mask")))
 
 
+def any_attributes(det: DataFrame, filters: DataFrame) -> DataFrame:
+    """Detections whose attributes are all that some filter of their category asks for; all of them where there is no filter."""
+    none = filters.agg((F.count("*") == 0).alias("none")).scalar()
+    hit = all_attributes(det.select("det_id", "category_id", "attr_bits"), filters).select("det_id").distinct().withColumn("hit", F.lit(True))
+    return det.join(hit, "det_id", "left").where(F.col("hit").isNotNull() | none).drop("hit")
+
+
 def match(det: DataFrame, filters: DataFrame, threshold: float = ATTRIBUTE_MATCH) -> DataFrame:
     """Pairs that match: a person needs attributes and enough of the required ones."""
     return pairs(det, filters).where((F.col("category_id") != PERSON) | ((F.col("attr_bits") != 0) & (F.col("attr_score") >= threshold)))
@@ -90,6 +97,16 @@ def match_colors(matched: DataFrame, requirements: DataFrame, px: DataFrame, wid
     return free.unionByName(pictured.join(shown, ["det_id", "filter_id"], "left_semi"))
 
 
+def match_attribute_colors(matched: DataFrame, requirements: DataFrame, px: DataFrame, width: int, height: int, least: float = 50.0) -> DataFrame:
+    """Of matched pairs those whose crop shows every colour that the filter asks for by attribute (in the attribute's region);
+    a filter that asks for none takes all. requirements: filter_id, attribute, r, g, b; px as for match_colors."""
+    asked = requirements.select("filter_id", F.col("attribute").alias("region"), F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue")).distinct()
+    wanted = matched.select("det_id", "filter_id").join(asked, "filter_id")
+    met = pixels.regions_met(px, wanted, width, height, least, PERSON_REGIONS)
+    missed = wanted.join(met, ["det_id", "region", "red", "green", "blue"], "left_anti").select("det_id", "filter_id").distinct()
+    return matched.join(missed, ["det_id", "filter_id"], "left_anti")
+
+
 def details(matched: DataFrame, filters: DataFrame) -> DataFrame:
     """A row per matched filter id with the filter's columns."""
     return matched.select("det_id", F.explode("matched_filters").alias("filter_id")).join(filters, "filter_id")

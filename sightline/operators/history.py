@@ -37,6 +37,12 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
     return df.withColumn("place", place).where(F.col("place") <= n)
 
 
+def offered(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Every row with kept (whether it is among the first n of its key) and accepted, which such a buffer always answers."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumns({"kept": place <= n, "accepted": F.lit(True)})
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key, by a grouped maximum with partial results."""
     others = [c for c in df.columns if c not in keys]

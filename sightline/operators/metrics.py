@@ -128,6 +128,13 @@ def ewma(points: DataFrame, keys: list[str], alpha: float = 0.2) -> DataFrame:
     return folded.select(*keys, F.aggregate(rest, start, lambda acc, x: acc * (1 - alpha) + x * alpha).alias("ewma"))
 
 
+def completion(ewma: Column, started: Column, budget: Column) -> Column:
+    """When a task that starts at this time (seconds) will be done: by its average duration (ms), else by its budget, else
+    after a second."""
+    duration = F.coalesce(ewma, F.nullif(budget, F.lit(0).cast("double")), F.lit(1000.0))
+    return started + duration / 1000
+
+
 def pivot_latest(points: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """Newest value of chosen series as columns."""
     newest = lambda s: F.max_by(F.when(F.col("series") == s, F.col("value")), F.when(F.col("series") == s, F.struct("ts", "seq")))

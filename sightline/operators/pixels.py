@@ -63,11 +63,11 @@ def meets_any(px: DataFrame, targets: list[tuple[int, int, int]], width: int, he
     return px.where(inside).groupBy("region_id").agg((F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("pct")).withColumn("met", F.col("pct") >= least)
 
 
-def regions_met(px: DataFrame, asked: DataFrame, width: int, height: int, least: float = 20.0) -> DataFrame:
+def regions_met(px: DataFrame, asked: DataFrame, width: int, height: int, least: float = 20.0, regions: dict[str, tuple[float, float]] = IMAGE_REGIONS) -> DataFrame:
     """Of asked rows (det_id, region, red, green, blue) those that the detection's crop shows: enough of the pixels inside the
     ellipse of the region's part of the crop are like the colour. px has det_id in place of region_id; unknown regions and
     detections without pixels give nothing."""
-    part = lambda k: F.coalesce(*(F.when(F.col("region") == name, F.lit(ends[k])) for name, ends in IMAGE_REGIONS.items())) * height
+    part = lambda k: F.coalesce(*(F.when(F.col("region") == name, F.lit(ends[k])) for name, ends in regions.items())) * height
     want = asked.select("det_id", "region", "red", "green", "blue", part(0).alias("top"), part(1).alias("bottom")).where("top is not null").distinct()
     inside = (F.col("px_y") >= F.col("top")) & (F.col("px_y") < F.col("bottom")) & colors.in_ellipse(F.col("px_x"), F.col("px_y") - F.col("top"), F.lit(float(width)), F.col("bottom") - F.col("top"))
     hit = colors.like_rgb(_rgb(), (F.col("red"), F.col("green"), F.col("blue")))

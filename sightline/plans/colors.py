@@ -8,7 +8,7 @@ from sightline.functions import colors
 from sightline.operators import filters, pixels
 from sightline.plans.base import ALL_DET, PIXELS, query
 from sightline.sources import fixtures
-from sightline.vocab import HUES, IMAGE_REGIONS
+from sightline.vocab import HUES, IMAGE_REGIONS, PERSON_REGIONS
 
 _ID = ("region_id", "r", "g", "b")
 
@@ -124,6 +124,29 @@ def color_filter_match(spark, sf_dir):
     return filters.match_colors(filters.match(fixtures.detections(spark, sf_dir), flt), wanted, px, 8, 8).select("det_id", "filter_id")
 
 
+#: Colours by attribute: (filter_id, attribute, r, g, b).
+_WORN = (("f2", "UpperStride", 220, 60, 40), ("f2", "Trousers", 130, 125, 135), ("f1", "ShortSleeve", 200, 120, 120))
+_WORN_PARTS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in PERSON_REGIONS.items())
+
+
+@query(f"""{ALL_DET}, {PIXELS}, worn AS (SELECT * FROM (VALUES {', '.join(map(str, _WORN))}) AS t(filter_id, region, tr, tg, tb)),
+parts AS (SELECT * FROM (VALUES {_WORN_PARTS}) AS t(region, a, b)),
+persons AS (SELECT det_id, filter_id FROM matched WHERE category_id = 0),
+asked AS (SELECT DISTINCT det_id, filter_id, region, tr, tg, tb, 8 * a AS top, 8 * b - 8 * a AS high FROM persons JOIN worn USING (filter_id) JOIN parts USING (region)),
+close AS (SELECT asked.*, CASE WHEN greatest(tr, tg, tb) - least(tr, tg, tb) < 30
+        THEN greatest(r, g, b) - least(r, g, b) <= 40 AND abs((r + g + b) / 3.0 - (tr + tg + tb) / 3.0) <= 100 ELSE sqrt(pow(r - tr, 2) + pow(g - tg, 2) + pow(b - tb, 2)) <= 100 END AS hit
+    FROM asked JOIN px ON px.region_id = det_id WHERE px_y >= top AND px_y < top + high AND pow((px_x - 4.0) / (4.0 * 0.95), 2) + pow((px_y - top - high / 2) / (high / 2 * 0.95), 2) <= 1),
+shown AS (SELECT det_id, filter_id, region, tr, tg, tb FROM close GROUP BY ALL HAVING avg(CASE WHEN hit THEN 100.0 ELSE 0.0 END) >= 50),
+missed AS (SELECT det_id, filter_id FROM asked ANTI JOIN shown USING (det_id, filter_id, region, tr, tg, tb))
+SELECT det_id, filter_id FROM persons WHERE (det_id, filter_id) NOT IN (SELECT (det_id, filter_id) FROM missed)""")
+def attribute_color_match(spark, sf_dir):
+    """Persons that show every colour a filter asks for by attribute."""
+    worn = spark.createDataFrame(list(_WORN), "filter_id string, attribute string, r int, g int, b int")
+    px = fixtures.pixels(spark, sf_dir).withColumnRenamed("region_id", "det_id")
+    persons = filters.match(fixtures.detections(spark, sf_dir), fixtures.filters(spark)).where("category_id = 0").select("det_id", "filter_id")
+    return filters.match_attribute_colors(persons, worn, px, 8, 8).select("det_id", "filter_id")
+
+
 @query(f"WITH {PIXELS} SELECT region_id, r, g, b, '#' || lower(printf('%02x%02x%02x', r, g, b)) AS hex, true AS same FROM px")
 def hex_roundtrip(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).withColumn("hex", colors.to_hex(F.col("r"), F.col("g"), F.col("b")))

@@ -70,6 +70,18 @@ def attribute_all_match(spark, sf_dir):
     return filters.all_attributes(*_both(spark, sf_dir)).select("det_id", "filter_id")
 
 
+@query(f"{ALL_DET} SELECT DISTINCT det_id FROM pairs WHERE attr_bits & attr_mask = attr_mask")
+def attribute_any_filter(spark, sf_dir):
+    return filters.any_attributes(*_both(spark, sf_dir)).select("det_id")
+
+
+@query(f"{ALL_DET} SELECT det_id FROM det")
+def attribute_no_filters(spark, sf_dir):
+    """Without filters every detection passes."""
+    det, flt = _both(spark, sf_dir)
+    return filters.any_attributes(det, flt.limit(0)).select("det_id")
+
+
 @query(f"{ALL_DET} SELECT det_id, filter_id, round(attr_score, 6) AS attr_score FROM pairs")
 def attribute_score(spark, sf_dir):
     return filters.pairs(*_both(spark, sf_dir)).select("det_id", "filter_id", _r(F.col("attr_score")).alias("attr_score"))

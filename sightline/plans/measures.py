@@ -113,6 +113,18 @@ def ewma_duration(spark, sf_dir):
     return _round(metrics.ewma(_points(spark, sf_dir), ["series", "device_id"]), "ewma", digits=4)
 
 
+@query(f"""{_W}, ranked AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq) AS n FROM points WHERE series = 'pipeline.duration'),
+run AS (SELECT device_id, n, value AS e FROM ranked WHERE n = 1 UNION ALL
+    SELECT r.device_id, r.n, run.e * 0.8::DOUBLE + r.value * 0.2::DOUBLE FROM run JOIN ranked r ON r.device_id = run.device_id AND r.n = run.n + 1),
+last AS (SELECT device_id, arg_max(e, n) AS ewma FROM run GROUP BY 1)
+SELECT c_custkey AS device_id, round(100 + coalesce(ewma, nullif(c_custkey % 3 * 250.0, 0), 1000.0) / 1000, 6) AS done FROM customer LEFT JOIN last ON device_id = c_custkey""")
+def predicted_completion(spark, sf_dir):
+    """When each device's next run, begun at second 100, will be done."""
+    past = metrics.ewma(_points(spark, sf_dir).where("series = 'pipeline.duration'"), ["device_id"])
+    tasks = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), (F.col("c_custkey") % 3 * 250.0).cast("double").alias("budget"))
+    return tasks.join(past, "device_id", "left").select("device_id", F.round(metrics.completion(F.col("ewma"), F.lit(100.0), F.col("budget")), 6).alias("done"))
+
+
 @query(f"""{_W} SELECT device_id, arg_max(value, seq) FILTER (series = 'pipeline.fps') AS fps, arg_max(value, seq) FILTER (series = 'pipeline.duration') AS avg_duration,
 arg_max(value, seq) FILTER (series = 'cache.objects') AS cache_objects, arg_max(value, seq) FILTER (series = 'cache.references') AS cache_references FROM points WHERE series <> 'memory.track' GROUP BY 1""")
 def metrics_pivot_latest(spark, sf_dir):
@@ -140,6 +152,11 @@ def drop_newest_first_n(spark, sf_dir):
     return history.first_n(_points(spark, sf_dir), ["device_id"], ["ts", "seq"], 4).select("device_id", "seq")
 
 
+@query(f"{_W} SELECT device_id, seq, row_number() OVER (PARTITION BY device_id ORDER BY seq) <= 4 AS kept, true AS accepted FROM points")
+def drop_newest_flags(spark, sf_dir):
+    return history.offered(_points(spark, sf_dir), ["device_id"], ["ts", "seq"], 4).select("device_id", "seq", "kept", "accepted")
+
+
 @query(f"{_W} SELECT series, device_id, seq FROM points QUALIFY row_number() OVER (PARTITION BY series, device_id ORDER BY seq DESC) <= CASE series WHEN 'pipeline.fps' THEN 5 ELSE 2 END")
 def ring_buffer_by_kind(spark, sf_dir):
     """Capacity of a ring buffer that depends on the kind of message."""

@@ -9,7 +9,7 @@ from sightline.plans import machines
 from sightline.plans.base import POINTS, query
 from sightline.session import new_folder
 from sightline.sources import fixtures
-from sightline.sources.sinks import merge_latest
+from sightline.sources.sinks import merge_latest, read_state
 from sightline.streaming import live
 
 DAY = 86400.0
@@ -74,11 +74,7 @@ def stream_last_n(spark, sf_dir):
     events = live.read_table(spark, f"{sf_dir}/events.parquet", per_trigger=1)
     points = fixtures.datapoints_of(events)
     live.run_once(points, f"{base}/checkpoint", foreach=merge_latest(f"{base}/state", ["device_id", "series"], ["ts", "seq"]))
-    from sightline.operators.history import latest
-
-    state = spark.read.parquet(f"{base}/state")
-    newest = state.agg(F.max("version")).first()[0]
-    return latest(state.where(F.col("version") == newest).drop("version"), ["device_id", "series"], ["ts", "seq"]).select("device_id", "series", "seq")
+    return read_state(spark, f"{base}/state", points.schema).select("device_id", "series", "seq")
 
 
 @query("SELECT event_type, strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts < date_trunc('day', (SELECT max(ts) FROM events)) GROUP BY 1, 2")

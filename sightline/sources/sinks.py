@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sightline.functions.text import two_decimals
 from sightline.operators.history import last_n, latest
@@ -76,15 +77,40 @@ def flatten(queued: DataFrame, fields: list[str]) -> DataFrame:
     return queued.select(F.inline(F.concat(*(F.coalesce(F.col(f), F.array().cast(queued.schema[f].dataType)) for f in fields)))).where("topic is not null and payload is not null")
 
 
-def merge_latest(path: str, keys: list[str], order: list[str], n: int = 1):
-    """A foreachBatch function that keeps the n newest rows of each key in versions of a Parquet table below path."""
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """The versions of each bucket of a state table, oldest first, before a given one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or ()
+    out: dict[int, list[tuple[int, str]]] = {}
+    for f in found:
+        folder = f.getPath().toString()
+        version, bucket = (int(part.partition("=")[2]) for part in folder.split("/")[-2:])
+        if below is None or version < below:
+            out.setdefault(bucket, []).append((version, folder))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def merge_latest(path: str, keys: list[str], order: list[str], n: int = 1, buckets: int = 32):
+    """A foreachBatch function that keeps the n newest rows of each key in a Parquet table below path (see read_state).
+
+    Keys are dealt over buckets, and a trigger rewrites those that it touches alone, as new versions of them. A bucket keeps
+    its last two versions, so that a repeated trigger finds what it had before."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        both = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={epoch - 1}"))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # at most buckets rows
+        before = {b: v for b, v in _versions(spark, path, epoch).items() if b in touched}
+        both = batch.unionByName(spark.read.schema(batch.schema).parquet(*(v[-1][1] for v in before.values()))) if before else batch
         newest = latest(both, keys, order) if n == 1 else last_n(both, keys, order, n).drop("place")
-        newest.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-        if epoch > 1:  # the last version stays for a repeated trigger, the ones before it go
-            delete(spark, f"{path}/version={epoch - 2}")
+        newest.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/version={epoch}")
+        for old in (folder for v in before.values() for _, folder in v[:-1]):
+            delete(spark, old)
 
     return write
+
+
+def read_state(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The newest version of each bucket that merge_latest wrote."""
+    return spark.read.schema(schema).parquet(*(v[-1][1] for v in _versions(spark, path).values()))
