@@ -60,13 +60,17 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict, host_rest, path_rest
 
 
-def grams(host: Column, path: Column) -> Column:
-    """Codes (0 to SIZE**3 - 1) of all windows of three symbols of the folded host and path."""
+def symbols(host: Column, path: Column) -> Column:
+    """The folded characters as numbers, between two begins and an end."""
     low = F.translate(F.concat(host, path), string.ascii_uppercase + string.digits, string.ascii_lowercase + "0" * 10)
     folded = F.regexp_replace(low, "[^a-z0./_-]", "*")
-    symbols = F.transform(F.split(F.concat(F.lit("^^"), folded, F.lit("$")), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    symbols = F.filter(symbols, lambda c: c >= 0)
-    return F.transform(F.slice(symbols, F.lit(1), F.size(symbols) - 2), lambda c, i: (c * SIZE + F.get(symbols, i + 1)) * SIZE + F.get(symbols, i + 2))
+    numbers = F.transform(F.split(F.concat(F.lit("^^"), folded, F.lit("$")), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.filter(numbers, lambda c: c >= 0)
+
+
+def grams(s: Column) -> Column:
+    """Codes (0 to SIZE**3 - 1) of all windows of three symbols; s must be a column, as every window looks into it."""
+    return F.transform(F.slice(s, F.lit(1), F.size(s) - 2), lambda c, i: (c * SIZE + F.get(s, i + 1)) * SIZE + F.get(s, i + 2))
 
 
 def held_out(url: Column) -> Column:
@@ -119,8 +123,8 @@ def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES
     host, path = split_url(F.col("url"))
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict, host_rest, path_rest = apply_rules(F.col("host"), F.col("path"), rules)
-    pages = pages.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"), host_rest.alias("host_rest"), path_rest.alias("path_rest"))
-    known = pages.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), held_out(F.col("url")).alias("held"), grams(F.col("host_rest"), F.col("path_rest")).alias("g"))
+    pages = pages.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"), symbols(host_rest, path_rest).alias("s"))
+    known = pages.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), held_out(F.col("url")).alias("held"), grams(F.col("s")).alias("g"))
     model = log_ratios(known.where("not held").select("accepted", F.explode("g").alias("code")))
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in model.first()["m"])), ",").cast("array<double>")
     score = lambda g: F.round(F.aggregate(g, F.lit(0.0), lambda s, code: s + F.get(ratios, code)) / F.size(g), 9)
@@ -128,6 +132,7 @@ def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES
     counted = materialize(counted, "scores")
     sides = counted.agg(F.bool_or("accepted").alias("yes"), F.bool_or(~F.col("accepted")).alias("no")).first()
     cut = exact_quantile(counted, FALSE_REJECTION) if sides["yes"] and sides["no"] else None
-    scored = pages.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("host") != "", score(grams(F.col("host_rest"), F.col("path_rest")))).alias("score"))
+    with_grams = pages.select("page_id", "host", "path", "rule", "ruled", grams(F.col("s")).alias("g"))
+    scored = with_grams.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("host") != "", score(F.col("g"))).alias("score"))
     below = F.coalesce(F.col("score") < F.lit(cut).cast("double"), F.lit(False))
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(below, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
