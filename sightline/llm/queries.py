@@ -117,7 +117,7 @@ QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3
 
 
 def _oracle_repeats() -> str:
-    n = repeats.LENGTH
+    n, cover = repeats.LENGTH, repeats.Cover(repeats.LENGTH, repeats.SHORT)
     part = lambda a, z: f"CASE WHEN {z} >= {a} THEN hex(b[{a}:{z}]) ELSE '' END"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -129,10 +129,15 @@ numbered AS (SELECT row, i, count_if(opens) OVER (PARTITION BY row ORDER BY i RO
 spans AS (SELECT row, min(i) AS a, max(i) + {n - 1} AS z FROM numbered GROUP BY row, span),
 gaps AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) + 1 AS since FROM spans),
 cut AS (SELECT row, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) + 1 AS rest, string_agg({part('since', '(a - 1)')}, '' ORDER BY a) AS before
-    FROM gaps JOIN docs USING (row) GROUP BY row)
+    FROM gaps JOIN docs USING (row) GROUP BY row),
+texts AS (SELECT b, count(*) AS copies, min(row) AS id FROM docs WHERE octet_length(b) >= {cover.short} GROUP BY b),
+samples AS (SELECT id, p, md5(b[p + 1:p + {cover.w}]) AS triple FROM (SELECT id, b, unnest(range(0, octet_length(b) - {cover.w} + 1)) AS p FROM texts) WHERE p % {cover.v} IN {tuple(cover.residues.tolist())}),
+recurring AS (SELECT id, p FROM samples QUALIFY count(*) OVER (PARTITION BY triple) > 1),
+noticed AS (SELECT id, sum(own) AS n FROM (SELECT id, least({cover.w}, coalesce(lead(p) OVER (PARTITION BY id ORDER BY p) - p, {cover.w})) AS own FROM recurring) GROUP BY id)
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-    CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(before || {part('rest', 'octet_length(b)')})) END AS kept_sha256
-FROM docs LEFT JOIN cut USING (row)"""
+    CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(before || {part('rest', 'octet_length(b)')})) END AS kept_sha256,
+    CAST(CASE WHEN copies > 1 THEN octet_length(b) ELSE coalesce(noticed.n, 0) END AS BIGINT) AS n_repeated
+FROM docs LEFT JOIN cut USING (row) LEFT JOIN texts USING (b) LEFT JOIN noticed USING (id)"""
 
 
 def _oracle_urls() -> str:
