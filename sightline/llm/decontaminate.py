@@ -35,9 +35,14 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
+def fold(text: str | None) -> bytes:
+    """The text in lower case (A-Z only), with a space for all that is in no word."""
+    return (text or "").encode().translate(_FOLD)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z only): runs of ASCII letters, digits and everything beyond ASCII."""
-    return (text or "").encode().translate(_FOLD).split()
+    """Words in lower case: runs of ASCII letters, digits and everything beyond ASCII."""
+    return fold(text).split()
 
 
 class Patterns:

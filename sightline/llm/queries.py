@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, language, packing, pii, quality, repeats, simhash, tokens, urls
-from sightline.llm._common import read, read_spread
+from sightline.llm import audit, chat, decontaminate, importance, language, packing, pii, quality, repeats, simhash, tokenfiles, tokens, urls
+from sightline.llm._common import new_folder, read, read_spread
 
 HELD_OUT_OF, HELD_OUT = 4, 2
 
@@ -113,7 +114,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_simhash_near_dedup, op4_pii, op5_url_filters, op6_packing, op7_language_id, op8_chat_formatting, op9_quality_rules, op10_benchmark_decontamination)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, read(spark, sf_dir, "benchmark").select("text"), keep_text=False)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    tokenfiles.write(read_spread(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_spread(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_simhash_near_dedup, op4_pii, op5_url_filters, op6_packing, op7_language_id, op8_chat_formatting, op9_quality_rules, op10_benchmark_decontamination, op11_importance_resampling, op12_token_files, op13_filter_audit)}
 
 
 def _oracle_repeats() -> str:
@@ -251,10 +268,68 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)"""
 
 
+def _oracle_importance() -> str:
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    n = importance.BUCKETS
+    words = "regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(upper, lower)
+    # CRC-32 by its table, which eight shifts make from the reflected polynomial
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = "CAST('0x' || hex(encode(word))[2 * i - 1:2 * i] AS BIGINT)"
+    return f"""
+WITH RECURSIVE shifted AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, {step}, k + 1 FROM shifted WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM shifted WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+goal AS (SELECT {words} AS w FROM benchmark),
+said AS (SELECT word, count(*) AS s FROM (SELECT unnest(w) AS word FROM docs) GROUP BY word),
+aimed AS (SELECT word, count(*) AS t FROM (SELECT unnest(w) AS word FROM goal) GROUP BY word),
+vocabulary AS (SELECT word FROM said UNION SELECT word FROM aimed),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(word)) + 1), lambda i: {byte})),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {n} AS bucket FROM vocabulary, tab),
+met AS (SELECT bucket, CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t FROM hashed LEFT JOIN said USING (word) LEFT JOIN aimed USING (word) GROUP BY bucket),
+whole AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM met),
+gains AS (SELECT word, CAST(floor(1000 * ln((t + 1) * (all_s + {n}) / ((s + 1) * (all_t + {n})))) AS BIGINT) AS gain FROM hashed JOIN met USING (bucket), whole),
+paths AS (SELECT row, unnest(w) AS word FROM docs),
+weights AS (SELECT row, CAST(count(*) AS BIGINT) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM paths JOIN gains USING (word) GROUP BY row),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM docs LEFT JOIN weights USING (row)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {importance.MIN_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    count(*) OVER (PARTITION BY n_features >= {importance.MIN_WORDS}) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance.MIN_WORDS} AND place <= {importance.PERCENT} * n // 100 THEN place END AS rank FROM placed"""
+
+
+def _oracle_audit() -> str:
+    letters = r"[\x20\x09-\x0D]+"
+    steps = ", ".join(f"('{''.join(p)}', {s + 1}, {1 << audit.FILTERS.index(p[s])}, {sum(1 << audit.FILTERS.index(f) for f in p[:s])})" for p in permutations(audit.FILTERS) for s in range(len(audit.FILTERS)))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, list_filter(regexp_split_to_array(text, '{letters}'), lambda x: x <> '') AS w FROM docs),
+said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < {audit.MIN_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {audit.MIN_DISTINCT} * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITALS} * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) THEN 16 ELSE 0 END AS mask
+    FROM words LEFT JOIN said USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM judged GROUP BY part, mask),
+steps AS (SELECT * FROM (VALUES {steps}) AS t(filter_order, step, own, before)),
+shares AS (SELECT mask, own, count(*) AS orders FROM (SELECT mask, filter_order, arg_min(own, step) AS own FROM (SELECT DISTINCT mask FROM cells), steps WHERE mask & own <> 0 GROUP BY mask, filter_order) GROUP BY mask, own)
+SELECT part, filter_order, step,
+    CAST(sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+    CAST(sum(n * coalesce(orders, 0)) AS BIGINT) AS shapley
+FROM cells CROSS JOIN steps LEFT JOIN shares USING (mask, own) GROUP BY part, filter_order, step"""
+
+
 ORACLE_SQL = {
     "op1_suffix_array_dedup": _oracle_repeats(),
     "op5_url_filters": _oracle_urls(),
     "op8_chat_formatting": _oracle_chat(),
     "op9_quality_rules": _oracle_quality(),
     "op10_benchmark_decontamination": _oracle_decontamination(),
+    "op11_importance_resampling": _oracle_importance(),
+    "op13_filter_audit": _oracle_audit(),
 }
