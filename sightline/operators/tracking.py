@@ -1,7 +1,11 @@
 """Tracks of detections over time: confirmation, suppression and expiry, with a verifier's answers fed back.
 
-Tracks of one device, filter and category never meet others, so that is the key. Time is event time: every "now" is the
-row's ts. The machine holds live tracks alone. Batch and stream share it.
+Tracks of one device, filter and category never meet others, so that is the key; what they share is the device's clock: after
+each message of the device, whatever it holds, tracks that are out of date go. Such a clean-up is the same whether it is done
+after each message or once, as of the last message before the next row of the key, so that every row carries the time of the
+device's message before its own (`previous_times`), and the machine first expires as of then. All rows of one device and time
+are one message. Time is event time: every "now" is the row's ts. The machine holds live tracks alone. Batch and stream share
+it.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.fold import fold
@@ -62,7 +66,10 @@ class Tracker:
                 return t
         return None
 
-    def _expire(self, now: float) -> None:
+    def expire(self, now: float | None) -> None:
+        """The clean-up after a message at this time (none yet: null)."""
+        if now is None or now != now:
+            return
         r = self.rules
         self.tracks = [t for t in self.tracks if now - t["last_seen"] <= r.ttl and not (t["state"] == SUPPRESSED and now - t["confirmed"] > r.cooldown)]
 
@@ -84,11 +91,11 @@ class Tracker:
             if t["hits"] >= r.hits and now - t["first_seen"] <= r.window:
                 out.append((*self.key, t["id"], now, t["first_seen"], t["best"], t["score"], t["hits"], row["vlm_required"]))
                 t |= {"state": VERIFYING if row["vlm_required"] else SUPPRESSED, "confirmed": now}
-        self._expire(now)
         return out
 
     def either(self, row: dict) -> list[tuple]:
-        """A detection, or an answer if the row names a track."""
+        """A detection, or an answer if the row names a track, after what earlier messages of the device have expired."""
+        self.expire(row.get("since"))
         if isinstance(row.get("track_id"), str):
             self.answer(row["track_id"], row["seconds"], row["confirmed"], row["valid"])
             return []
@@ -128,17 +135,41 @@ def observations(matched: DataFrame) -> DataFrame:
     return matched.where("category_id <> -1").select(*KEYS, "det_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "x1", "y1", "x2", "y2", "attr_bits", F.col("attr_score").alias("score"), "vlm_required", *colors)
 
 
+def message_times(messages: DataFrame) -> DataFrame:
+    """(device_id, seconds) of every message; messages: a row or more per message (device_id, ts), such as all detections,
+    whether a filter matches them or not, and messages without any."""
+    return messages.select("device_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds")).distinct()
+
+
+def previous_times(rows: DataFrame, times: DataFrame, slot: float = 3600.0) -> DataFrame:
+    """Rows (device_id, seconds, ...) with since, the time of the device's last message before them.
+
+    The lag runs within slots of time and then over the slots' last times, so that a device of very many messages is dealt
+    over its slots; rows that are no message themselves (answers) take part in the lag without being counted."""
+    at = F.floor(F.col("seconds") / slot)
+    points = times.select("device_id", "seconds", F.lit(True).alias("told")).union(rows.select("device_id", "seconds", F.lit(False)))
+    points = points.groupBy("device_id", "seconds").agg(F.bool_or("told").alias("told")).withColumn("slot", at)
+    told = F.when(F.col("told"), F.col("seconds"))
+    inner = Window.partitionBy("device_id", "slot").orderBy("seconds").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = points.groupBy("device_id", "slot").agg(F.max(told).alias("last"))
+    outer = Window.partitionBy("device_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select("device_id", "slot", F.max("last").over(outer).alias("before"))
+    clock = points.select("device_id", "seconds", "slot", F.max(told).over(inner).alias("within")).join(before, ["device_id", "slot"])
+    return rows.join(clock.select("device_id", "seconds", F.coalesce("within", "before").alias("since")), ["device_id", "seconds"])
+
+
 def with_answers(observed: DataFrame, answers: DataFrame) -> DataFrame:
     """Observations and a verifier's answers (the keys and track_id of the event that asked, seconds, confirmed, valid) as one
     input of a tracker, in batch or as a stream; at equal times the answer comes first."""
     return observed.unionByName(answers.select(*KEYS, "track_id", "seconds", "confirmed", "valid"), allowMissingColumns=True)
 
 
-def confirmations(matched: DataFrame, rules: Rules = Rules(), verify=None, answers: DataFrame | None = None) -> DataFrame:
-    """Confirmation events. Those that require verification are answered by verify(event) -> (confirmed, valid), or by a
-    table of answers."""
+def confirmations(matched: DataFrame, messages: DataFrame, rules: Rules = Rules(), verify=None, answers: DataFrame | None = None) -> DataFrame:
+    """Confirmation events of matched detections. messages has the device_id and ts of all messages of the devices. Events that
+    require verification are answered by verify(event) -> (confirmed, valid), or by a table of answers."""
     settings = asdict(rules)
     observed = observations(matched) if answers is None else with_answers(observations(matched), answers)
+    observed = previous_times(observed, message_times(messages))
 
     def start(row):
         machine = _Machine(tuple(row[k] for k in KEYS), Rules(**settings))

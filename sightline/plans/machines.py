@@ -6,42 +6,47 @@ from sightline.operators.tracking import SUPPRESSED, WATCHING, Rules
 from sightline.plans.base import ALL_DET
 from sightline.vocab import MAX_CLUSTERS, MAX_MERGES, MERGE_THRESHOLD, PERSON, WEIGHTS
 
-_TRACK = "STRUCT(state VARCHAR, first_seen DOUBLE, confirmed DOUBLE, hits INT, best BIGINT, score DOUBLE, attempts INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, bits INT, colors VARCHAR[], last_seen DOUBLE)"
+_TRACK = "STRUCT(flt VARCHAR, kind INT, state VARCHAR, first_seen DOUBLE, confirmed DOUBLE, hits INT, best BIGINT, score DOUBLE, attempts INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, bits INT, colors VARCHAR[], last_seen DOUBLE)"
 
 
-def tracks(rules: Rules, required: str, colors: str, confirmed: str = "false", valid: str = "false") -> str:
-    """Confirmation events of the tracker. required and colors: expressions of a detection; confirmed and valid: the
-    verifier's answer in terms of best (the event's best detection)."""
+def tracks(rules: Rules, required: str, colors: str, confirmed: str = "false", valid: str = "false", until: str = "true") -> str:
+    """Confirmation events of the tracker, by the device's messages one after the other: the detections of a message first, then
+    a clean-up of all tracks of the device. required and colors: expressions of a detection; confirmed and valid: the verifier's
+    answer in terms of best (the event's best detection); until: which events are returned."""
     inner = "(greatest(0.0, least(t.x2, r) - greatest(t.x1, l)) * greatest(0.0, least(t.y2, d) - greatest(t.y1, u)))"
     whole = f"((t.x2 - t.x1) * (t.y2 - t.y1) + (r - l) * (d - u) - {inner})"
     alike = f"(kind <> {PERSON} OR (t.bits <> 0 AND has <> 0 AND bit_count(t.bits & has) / sqrt(bit_count(t.bits)::DOUBLE * bit_count(has)) >= {rules.cosine!r}))"
-    fits = f"now - t.last_seen <= {rules.ttl!r} AND {whole} > 0 AND {inner} / {whole} >= {rules.iou!r} AND {alike} AND (len(t.colors) = 0 OR len(shown) = 0 OR list_has_any(t.colors, shown))"
+    fits = f"t.flt = filter_id AND t.kind = kind AND now - t.last_seen <= {rules.ttl!r} AND {whole} > 0 AND {inner} / {whole} >= {rules.iou!r} AND {alike} AND (len(t.colors) = 0 OR len(shown) = 0 OR list_has_any(t.colors, shown))"
     box = "'x1': l, 'y1': u, 'x2': r, 'y2': d, 'bits': has, 'colors': shown, 'last_seen': now"
+    named = "'flt': filter_id, 'kind': kind"
     return f"""{ALL_DET},
-obs AS (SELECT device_id, filter_id, category_id, category_id AS kind, det_id, epoch_us(ts) / 1e6 AS now, x1 AS l, y1 AS u, x2 AS r, y2 AS d, attr_bits AS has, attr_score AS found,
-    ({required}) AS asks, ({colors}) AS shown, row_number() OVER (PARTITION BY device_id, filter_id, category_id ORDER BY ts, det_id) AS step FROM matched WHERE category_id <> -1),
+seen AS (SELECT device_id, filter_id, category_id AS kind, det_id, ord, ts, x1 AS l, y1 AS u, x2 AS r, y2 AS d, attr_bits AS has, attr_score AS found,
+    ({required}) AS asks, ({colors}) AS shown, false AS ends FROM matched WHERE category_id <> -1),
+ended AS (SELECT DISTINCT device_id, ts, true AS ends FROM det),
+steps AS (SELECT *, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY device_id ORDER BY ts, ends, det_id, ord) AS step FROM (SELECT * FROM seen UNION ALL BY NAME SELECT * FROM ended)),
 run AS (
-    SELECT DISTINCT device_id, filter_id, category_id, CAST(0 AS BIGINT) AS n, CAST([] AS {_TRACK}[]) AS tracks, false AS fired, 0.0::DOUBLE AS event_ts,
-        0.0::DOUBLE AS first_seen, CAST(NULL AS BIGINT) AS best, 0.0::DOUBLE AS score, CAST(0 AS INT) AS hits, false AS req FROM obs
+    SELECT DISTINCT device_id, CAST(NULL AS VARCHAR) AS by_filter, CAST(NULL AS INT) AS by_kind, CAST(0 AS BIGINT) AS n, CAST([] AS {_TRACK}[]) AS tracks, false AS fired, 0.0::DOUBLE AS event_ts,
+        0.0::DOUBLE AS first_seen, CAST(NULL AS BIGINT) AS best, 0.0::DOUBLE AS score, CAST(0 AS INT) AS hits, false AS req FROM steps
     UNION ALL
-    SELECT device_id, filter_id, category_id, step, CAST(list_filter(list_transform(known, lambda t, i: CASE WHEN i = place THEN {{
+    SELECT device_id, filter_id, kind, step, CAST(CASE WHEN ends THEN list_filter(tracks,
+            lambda t: now - t.last_seen <= {rules.ttl!r} AND NOT (t.state = '{SUPPRESSED}' AND now - t.confirmed > {rules.cooldown!r}))
+        ELSE list_transform(known, lambda t, i: CASE WHEN i = place THEN {{{named},
             'state': CASE WHEN NOT fires THEN was.state WHEN again THEN '{WATCHING}' ELSE '{SUPPRESSED}' END,
             'first_seen': CASE WHEN again THEN now ELSE was.first_seen END, 'confirmed': CASE WHEN fires THEN now ELSE was.confirmed END,
             'hits': CASE WHEN again THEN 0 ELSE count END, 'best': CASE WHEN again THEN NULL ELSE best END, 'score': CASE WHEN again THEN 0.0 ELSE top END,
-            'attempts': CASE WHEN fires AND asks THEN tries ELSE was.attempts END, {box}}} ELSE t END),
-        lambda t: now - t.last_seen <= {rules.ttl!r} AND NOT (t.state = '{SUPPRESSED}' AND now - t.confirmed > {rules.cooldown!r})) AS {_TRACK}[]),
-        fires, now, was.first_seen, best, top, CAST(count AS INT), asks
+            'attempts': CASE WHEN fires AND asks THEN tries ELSE was.attempts END, {box}}} ELSE t END) END AS {_TRACK}[]),
+        fires AND NOT ends, now, was.first_seen, best, top, CAST(count AS INT), asks
     FROM (SELECT *, fires AND asks AND NOT ({confirmed}) AND tries < {rules.attempts} AS again FROM (
         SELECT *, was.attempts + CASE WHEN ({valid}) AND NOT ({confirmed}) THEN 1 ELSE 0 END AS tries, was.state = '{WATCHING}' AND count >= {rules.hits} AND now - was.first_seen <= {rules.window!r} AS fires FROM (
         SELECT *, was.hits + CASE WHEN was.state = '{WATCHING}' THEN 1 ELSE 0 END AS count,
             CASE WHEN was.state = '{WATCHING}' AND found > was.score THEN det_id ELSE was.best END AS best,
             CASE WHEN was.state = '{WATCHING}' AND found > was.score THEN found ELSE was.score END AS top FROM (
         SELECT *, known[place] AS was FROM (
-        SELECT *, CAST(CASE WHEN place > len(tracks) THEN list_append(tracks, CAST({{'state': '{WATCHING}', 'first_seen': now, 'confirmed': 0.0, 'hits': 0, 'best': NULL, 'score': 0.0, 'attempts': 0, {box}}} AS {_TRACK})) ELSE tracks END AS {_TRACK}[]) AS known FROM (
-        SELECT obs.*, tracks, coalesce(list_position(list_transform(tracks, lambda t: {fits}), true), len(tracks) + 1) AS place
-        FROM run JOIN obs ON obs.device_id = run.device_id AND obs.filter_id = run.filter_id AND obs.category_id = run.category_id AND obs.step = run.n + 1)))))))
-SELECT device_id, filter_id, category_id, round(event_ts, 3) AS event_ts, round(first_seen, 3) AS first_seen, best AS best_det_id, round(score, 6) AS best_score, hits, req AS vlm_required
-FROM run WHERE fired"""
+        SELECT *, CAST(CASE WHEN place > len(tracks) AND NOT ends THEN list_append(tracks, CAST({{{named}, 'state': '{WATCHING}', 'first_seen': now, 'confirmed': 0.0, 'hits': 0, 'best': NULL, 'score': 0.0, 'attempts': 0, {box}}} AS {_TRACK})) ELSE tracks END AS {_TRACK}[]) AS known FROM (
+        SELECT steps.*, tracks, CASE WHEN ends THEN 0 ELSE coalesce(list_position(list_transform(tracks, lambda t: {fits}), true), len(tracks) + 1) END AS place
+        FROM run JOIN steps ON steps.device_id = run.device_id AND steps.step = run.n + 1)))))))
+SELECT device_id, by_filter AS filter_id, by_kind AS category_id, round(event_ts, 3) AS event_ts, round(first_seen, 3) AS first_seen, best AS best_det_id, round(score, 6) AS best_score, hits, req AS vlm_required
+FROM run WHERE fired AND {until}"""
 
 
 def routes(events: str, capacity: int) -> str:

@@ -27,8 +27,10 @@ def _with_colors(det):
 
 
 def _matched(spark, sf_dir, required):
-    found = filters.match(_with_colors(fixtures.detections(spark, sf_dir)), fixtures.filters(spark))
-    return found.withColumn("vlm_required", required)
+    """Matched detections, and all messages."""
+    det = fixtures.detections(spark, sf_dir)
+    found = filters.match(_with_colors(det), fixtures.filters(spark))
+    return found.withColumn("vlm_required", required), det.select("device_id", "ts")
 
 
 def _shown(events):
@@ -37,7 +39,7 @@ def _shown(events):
 
 @query(machines.tracks(RULES, "false", _COLORS))
 def track_confirmations(spark, sf_dir):
-    return _shown(tracking.confirmations(_matched(spark, sf_dir, F.lit(False)), RULES))
+    return _shown(tracking.confirmations(*_matched(spark, sf_dir, F.lit(False)), RULES))
 
 
 @query(machines.tracks(RULES, "category_id = 0", _COLORS, "best % 3 = 0", "best % 5 <> 0"))
@@ -47,7 +49,7 @@ def verification_feedback(spark, sf_dir):
     def verify(event):
         return event[6] % 3 == 0, event[6] % 5 != 0
 
-    return _shown(tracking.confirmations(_matched(spark, sf_dir, F.col("category_id") == 0), RULES, verify))
+    return _shown(tracking.confirmations(*_matched(spark, sf_dir, F.col("category_id") == 0), RULES, verify))
 
 
 @query(machines.routes("SELECT user_id AS device_id, ts AS event_ts, event_id, event_type IN ('click', 'view') AS vlm_required, event_type = 'purchase' AS ready FROM events", 3))
@@ -87,11 +89,13 @@ def stream_windowed_counts(spark, sf_dir):
     return out.select("event_type", F.date_format("begin", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query(machines.tracks(RULES, "false", _COLORS))
+@query(machines.tracks(RULES, "false", _COLORS, until="floor(event_ts * 1000) + 1 < (SELECT epoch_ms(max(ts)) FROM det)"))
 def stream_tracker(spark, sf_dir):
-    """The tracker as a stream; the same events as track_confirmations."""
+    """The tracker as a stream: the events of track_confirmations that the watermark has passed (all but the last millisecond)."""
     base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet")
-    found = filters.match(_with_colors(fixtures.detections_of(events)), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
-    live.run_once(live.track(tracking.observations(found), RULES), f"{base}/checkpoint", path=f"{base}/out")
+    det = fixtures.detections_of(events)
+    found = filters.match(_with_colors(det), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
+    with live.keyed_state(spark):
+        live.run_once(live.track(tracking.observations(found), det.select("device_id", "ts"), RULES, "0 seconds"), f"{base}/checkpoint", path=f"{base}/out")
     return _shown(spark.read.schema(tracking.OUT).parquet(f"{base}/out"))

@@ -1,17 +1,16 @@
-"""Streaming twins: bounded histories, and the tracker with its tracks as state."""
+"""Streaming twins: bounded histories, and the tracker with its tracks as keyed state."""
 
 from __future__ import annotations
 
-import json
+import contextlib
+import math
 from collections.abc import Iterator
-from dataclasses import asdict
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sightline.operators.tracking import KEYS, OUT, Rules, Tracker
+from sightline.operators.tracking import OUT, Rules, Tracker
 
 
 def read_table(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -32,29 +31,97 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lat
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-def track(observed: DataFrame, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
+_BOX = ["x1", "y1", "x2", "y2"]
+_TRACK = "filter_id string, category_id int, id string, state string, first_seen double, confirmed double, hits int, best long, score double, attempts int, x1 double, y1 double, x2 double, y2 double, bits int, colors array<string>, last_seen double"
+_WAITING = "seconds double, det_id long, filter_id string, category_id int, x1 double, y1 double, x2 double, y2 double, attr_bits int, score double, vlm_required boolean, colors array<string>, track_id string, confirmed boolean, valid boolean"
+_WAITING_NAMES = [c.split()[0] for c in _WAITING.split(", ")]
+_TRACK_NAMES = [c.split()[0] for c in _TRACK.split(", ")]
+_OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+
+
+class _DeviceTracks(StatefulProcessor):
+    """The tracks of one device over all filters and categories. State: the live tracks, rows whose time the watermark has not
+    passed, and the time of the last message. Rows wait for the watermark, so that the order in which files or triggers bring
+    them doesn't matter; the timer of the earliest wakes the device. One more timer ends the state of a silent device."""
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tracks = handle.getListState("tracks", _TRACK)
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.last = handle.getValueState("last", "seconds double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(r[c] for c in _WAITING_NAMES) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(_after(min(r[0] for r in new)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [dict(zip(_WAITING_NAMES, r, strict=True)) for r in self.waiting.get()]
+        due = sorted((r for r in rows if _after(r["seconds"]) < now), key=lambda r: (r["seconds"], r["track_id"] is None, r["det_id"] or 0))
+        rest = [r for r in rows if _after(r["seconds"]) >= now]
+        machines: dict[tuple, Tracker] = {}
+        for t in self.tracks.get():
+            t = dict(zip(_TRACK_NAMES, t, strict=True))
+            k = (key[0], t.pop("filter_id"), t.pop("category_id"))
+            t["box"] = [t.pop(c) for c in _BOX]
+            machines.setdefault(k, Tracker(k, self.rules)).tracks.append(t)
+        last = self.last.get()[0] if self.last.exists() else None
+        out, since = [], last
+        for r in due:
+            if r["track_id"] is None and r["seconds"] != last:  # a new message
+                since, last = last, r["seconds"]
+            if r["filter_id"] is not None:
+                k = (key[0], r["filter_id"], r["category_id"])
+                before = last if r["track_id"] is not None else since
+                out += machines.setdefault(k, Tracker(k, self.rules)).either(r | {"since": before})
+        for m in machines.values():
+            m.expire(last)
+        tracks = [(k[1], k[2], *(t[c] for c in _TRACK_NAMES[2:10]), *t["box"], t["bits"], t["colors"], t["last_seen"]) for k, m in machines.items() for t in m.tracks]
+        ends = _after(max(t[-1] for t in tracks) + self.rules.ttl) if tracks else 0
+        if not rest and ends < now:
+            self.tracks.clear(), self.waiting.clear(), self.last.clear()
+        else:
+            self.tracks.put(tracks) if tracks else self.tracks.clear()
+            self.waiting.put([tuple(r.values()) for r in rest]) if rest else self.waiting.clear()
+            if last is not None:
+                self.last.update((last,))
+            self.handle.registerTimer(_after(min(r["seconds"] for r in rest)) if rest else ends)
+        return (Row(**dict(zip(_OUT_NAMES, e, strict=True))) for e in out)
+
+
+def _after(seconds: float) -> int:
+    """The first whole millisecond after a time; a row is due when the watermark is beyond it."""
+    return math.floor(seconds * 1000) + 1
+
+
+def track(observed: DataFrame, messages: DataFrame, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
     """Confirmation events of a stream of observations (as operators.tracking.observations gives them), or of these and a
-    verifier's answers (operators.tracking.with_answers).
-
-    The state of a key is its live tracks as JSON, and its rows of a trigger come in any order, so they are sorted; triggers
-    are expected in order of time. A key is forgotten when the watermark has passed the last track's ttl."""
-    settings = asdict(rules)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = Tracker(tuple(int(k) if not isinstance(k, str) else k for k in key), Rules(**settings), json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(["seconds", "det_id"], na_position="first").to_dict("records")
-        out = [e for r in rows for e in machine.either(r)]
-        state.update((json.dumps(machine.tracks),))
-        ends = max(r["seconds"] for r in rows) + rules.ttl
-        state.setTimeoutTimestamp(max(int(ends * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    timed = observed.withColumn("at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long"))).withWatermark("at", late)
-    return timed.groupBy(*KEYS).applyInPandasWithState(step, OUT, "tracks string", "append", GroupStateTimeout.EventTimeTimeout)
+    verifier's answers (operators.tracking.with_answers); messages is a stream with device_id and ts of all messages. The query
+    needs the state store of `keyed_state`. An event comes when the watermark has passed it."""
+    ticks = messages.select("device_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    names = [f.split() for f in _WAITING.split(", ")]
+    both = observed.unionByName(ticks, allowMissingColumns=True)
+    both = both.select("device_id", *((F.col(c) if c in both.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names))
+    timed = both.withColumn("at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long"))).withWatermark("at", late)
+    return timed.groupBy("device_id").transformWithState(_DeviceTracks(rules), OUT, "append", "eventTime")
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that start inside keep their state where keyed state with timers can be kept."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def run_once(stream: DataFrame, checkpoint: str, mode: str = "append", **sink) -> None:

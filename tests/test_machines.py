@@ -17,8 +17,10 @@ RULES = Rules(hits=2, window=3, cooldown=120, ttl=300)
 
 
 def events(times, rules=RULES, required=False, **more):
+    """Each time is a message of its own."""
     t = Tracker((1, "f", 2), rules)
-    return [(s, e[4], e[6]) for i, s in enumerate(times) for e in t.detection({"seconds": s, "det_id": i, "attr_bits": 0, "score": 1.0, "vlm_required": required} | BOX | more)]
+    row = lambda i, s: {"since": times[i - 1] if i else None, "seconds": s, "det_id": i, "attr_bits": 0, "score": 1.0, "vlm_required": required} | BOX | more
+    return [(s, e[4], e[6]) for i, s in enumerate(times) for e in t.either(row(i, s))]
 
 
 def test_tracker():
@@ -54,18 +56,58 @@ def test_feedback():
     assert t.tracks[0]["state"] == "suppressed"
 
 
+SEEN = "det_id long, device_id long, filter_id string, category_id int, at double, attr_bits int, attr_score double, vlm_required boolean, x1 double, y1 double, x2 double, y2 double"
+
+
+def seen(spark, rows, required=False):
+    """Matched detections from (time, category)."""
+    data = [(i, 1, "f", c, F_TIME + s, 1, 1.0, required, 0.0, 0.0, 10.0, 20.0) for i, (s, c) in enumerate(rows)]
+    return spark.createDataFrame(data, SEEN).withColumn("ts", F.timestamp_seconds("at"))
+
+
+def fired(df, messages=None, rules=Rules(hits=1, window=3, cooldown=120, ttl=300)):
+    out = tracking.confirmations(df, df if messages is None else messages, rules).collect()
+    return sorted((e.event_ts - F_TIME, e.category_id, e.best_det_id) for e in out)
+
+
+def test_clean_up_follows_a_message(spark):
+    """Two detections of one message meet the same tracks; the suppressed one goes after both."""
+    assert fired(seen(spark, [(0, 2), (125, 2), (125, 2), (130, 2)])) == [(0, 2, 0), (130, 2, 3)]
+
+
+def test_clean_up_by_other_messages(spark):
+    """A car's message, or one without any match, ends a person's suppression before the next person comes."""
+    persons = [(0, 0), (125, 0)]
+    assert fired(seen(spark, persons)) == [(0, 0, 0)]
+    assert fired(seen(spark, [(0, 0), (121, 2), (125, 0)])) == [(0, 0, 0), (121, 2, 1), (125, 0, 2)]
+    df = seen(spark, persons)
+    assert fired(df, seen(spark, [*persons, (121, -1)])) == [(0, 0, 0), (125, 0, 1)]
+    assert fired(df, seen(spark, [*persons, (119, -1), (125, 5)])) == [(0, 0, 0)]
+
+
+def test_time_to_live_by_messages(spark):
+    """A track too old to be found stays until a message cleans it up, and is found by nothing meanwhile."""
+    rules = Rules(hits=2, window=1000, cooldown=120, ttl=300)
+    assert fired(seen(spark, [(0, 2), (301, 2), (302, 2)]), rules=rules) == [(302, 2, 1)]
+
+
+def test_previous_times_over_slots(spark):
+    times = spark.createDataFrame([(1, float(s)) for s in (0, 5, 5, 9, 100, 250)] + [(2, 7.0)], "device_id long, seconds double")
+    rows = spark.createDataFrame([(1, float(s), s) for s in (0, 5, 6, 100, 101, 250, 999)] + [(2, 7.0, 7), (2, 8.0, 8)], "device_id long, seconds double, n int")
+    got = {(r.device_id, r.n): r.since for r in tracking.previous_times(rows, times.distinct(), slot=10.0).collect()}
+    assert got == {(1, 0): None, (1, 5): 0, (1, 6): 5, (1, 100): 9, (1, 101): 100, (1, 250): 100, (1, 999): 250, (2, 7): None, (2, 8): 7}
+
+
 def test_answers_as_rows(spark):
     """A no starts the track over, a yes suppresses it, a stale answer counts for nothing."""
-    data = [(i, 1, "f", 2, F_TIME + s, 0, 1.0, True, 0.0, 0.0, 10.0, 20.0) for i, s in enumerate((0, 1, 3, 4, 6, 7))]
-    seen = spark.createDataFrame(data, "det_id long, device_id long, filter_id string, category_id int, at double, attr_bits int, attr_score double, vlm_required boolean, x1 double, y1 double, x2 double, y2 double")
-    seen = seen.withColumn("ts", F.timestamp_seconds("at"))
-    first = tracking.confirmations(seen, RULES).collect()
+    df = seen(spark, [(s, 2) for s in (0, 1, 3, 4, 6, 7)], required=True)
+    first = tracking.confirmations(df, df, RULES).collect()
     assert [e.event_ts - F_TIME for e in first] == [1]
     track = first[0].track_id
 
     def after(*answers):
         rows = spark.createDataFrame([(1, "f", 2, t, F_TIME + s, yes, good) for t, s, yes, good in answers], "device_id long, filter_id string, category_id int, track_id string, seconds double, confirmed boolean, valid boolean")
-        return [e.event_ts - F_TIME for e in tracking.confirmations(seen, RULES, answers=rows).collect()]
+        return [e.event_ts - F_TIME for e in tracking.confirmations(df, df, RULES, answers=rows).collect()]
 
     assert after((track, 2, False, True)) == [1, 4]
     assert after((track, 2, True, True)) == [1]
@@ -130,11 +172,6 @@ def test_grid_pairs_do_not_depend_on_the_cell(spark, sf):
     assert one(7.0) == one(64.0) == one(1e6)
 
 
-def test_stream_equals_batch(spark, sf):
-    rows = lambda name: sorted(map(str, QUERIES[name](spark, sf).collect()))
-    assert rows("stream_tracker") == rows("track_confirmations")
-
-
 def test_buffers(spark):
     df = spark.createDataFrame([("a", i) for i in range(1, 7)], "k string, id int")
     ids = lambda out: sorted(r.id for r in out.collect())
@@ -166,7 +203,7 @@ def test_no_filters_and_no_detections(spark, sf):
     assert filters.route_by_category(det, flt.limit(0)).count() == 0
     assert filters.matched_list(det.limit(0), flt).count() == 0
     assert clusters.cluster(det, []).count() == det.count()
-    assert tracking.confirmations(filters.match(det.limit(0), flt).withColumn("vlm_required", F.lit(False))).count() == 0
+    assert tracking.confirmations(filters.match(det.limit(0), flt).withColumn("vlm_required", F.lit(False)), det).count() == 0
 
 
 def test_image_folder_order(spark, tmp_path):
