@@ -14,14 +14,19 @@
 * Compare adjacent prefixes: equal neighbours in that order are repeats; covered bytes are the union of their strings.
 
 Names are fingerprints, as only equality of neighbours counts here, not which of two texts sorts first: 48 bits and the
-number of the range for the first filter, 64 bits and the range (up to 16 bits more) for what decides.
+number of the range (64 bits at most) for the first filter, 16 bits more for what decides.
+
+There are as many ranges as keep one of them near RANGE_BYTES of text (some 4.6 million samples), whatever the input's size;
+beyond FIRST_RANGES a task deals its names to groups of ranges, and the groups are dealt to their ranges by a second shuffle,
+so that rows stay long. A range holds a name once for every HELD samples of a task, however often it occurs: positions whose
+name a task met twice are settled there and travel by their text, not by their name.
 
 The unit is a distinct text: byte-equal documents are recognised by two hashes of the whole text, are covered whole, and
 one of them stands for all against other texts. A name that a task meets several times is settled there and sent once, so
 that a passage in a third of all documents gives one row a flush, not one a document.
 
-A null text is empty; texts under `length` bytes are kept whole; a long text is one row of many samples; repeated rows are
-copies of each other; an empty table gives an empty one; only id and text are read, so that no other column can clash.
+A null text is empty; texts under `length` bytes are kept whole; a long text's names are sent while it is read (a task needs some
+30 bytes for each of its bytes); repeated rows are copies of each other; an empty table gives an empty one; only id and text are read, so that no other column can clash.
 """
 
 from __future__ import annotations
@@ -43,12 +48,16 @@ from sightline.llm._common import materialize, release, slices
 LENGTH, SHORT = 400, 256
 #: Perfect difference sets by modulus (every non-zero residue is the difference of exactly one pair).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
-#: Samples that a task holds before it sends them.
-HELD = 1_000_000
+#: Samples that a task holds before it sends them, and how many of a text are named at a time.
+HELD, AT_ONCE = 1_000_000, 1 << 18
+#: Bytes of text whose samples make one range, and ranges that a task deals its names to at once.
+RANGE_BYTES, FIRST_RANGES = 32 << 20, 1 << 11
 #: Added to the positions of long sequences, and of starts that stand for others; texts are shorter.
 OUTER = STANDS = 1 << 31
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("settled", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "name4", "name2", "check", "pos0", "pos1"))])
+#: What a row of names holds: one position of each name, of those that the task met once or twice; or all positions of these.
+ONCE, TWICE, SETTLED = 0, 1, 2
+_PACKED = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "name4", "name2", "check", "pos0", "pos1"))])
 _PARTS = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("k1", "k2", "n", "pos", "name"))])
 _FOUND = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("pos", T.BinaryType()), T.StructField("name", T.BinaryType())])
 _SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
@@ -118,35 +127,89 @@ class Sender:
         sizes = [len(p[2]) for p in self.parts]
         k1, k2 = (np.repeat(np.array([p[i] for p in self.parts], kind), sizes) for i, kind in ((0, np.int64), (1, np.int32)))
         pos = np.concatenate([p[2] for p in self.parts]).astype(np.uint32)
-        name = np.concatenate([p[3] for p in self.parts]) >> np.uint64(16 - self.bits)
-        check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else np.zeros(len(pos), np.uint16)
-        with_check = self.parts[0][4] is not None
+        name = np.concatenate([p[3] for p in self.parts]) >> np.uint64(max(0, 16 - self.bits))
+        check = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else None
         self.n, self.parts = 0, []
-        order = np.lexsort((check, name)) if with_check else np.argsort(name, kind="stable")
-        new = _new(name[order], check[order])
-        many = np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1
-        settled = np.zeros(len(pos), bool)
-        settled[order] = np.repeat(many, np.diff(np.r_[np.flatnonzero(new), len(new)]))
-        sent = np.zeros(len(pos), bool)
-        sent[order[new]] = True  # one of each name
-        rows: list[tuple] = []
-        for which, done in ((sent, False), (settled, True)):
+        order = np.argsort(name, kind="stable") if check is None else np.lexsort((check, name))
+        new = _new(name[order], check[order] if check is not None else None)
+        many = np.diff(np.r_[np.flatnonzero(new), len(new)])
+        twice = np.zeros(len(pos), bool)
+        twice[order] = np.repeat(many > 1, many)
+        one = np.zeros(len(pos), bool)
+        one[order[new]] = True
+        by_name = _slot(name, self.bits)
+        by_text = (k1.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        for kind, which, slot in ((ONCE, one & ~twice, by_name), (TWICE, one & twice, by_name), (SETTLED, twice, by_text)):
             at = np.flatnonzero(which)
-            slot = (name[at] >> np.uint64(48)).astype(np.int32)
-            at = at[np.argsort(slot, kind="stable")]
-            slot = (name[at] >> np.uint64(48)).astype(np.int32)
-            for k, i in zip(*_runs(slot, at), strict=True):
-                first, low = np.flatnonzero(_cut(_texts(k1[i], k2[i]))), name[i]
-                rows.append((k, done, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), check[i].tobytes() if with_check else b"", pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
-                if len(rows) == 256:
-                    yield _batch(rows, _PACKED)
-                    rows = []
-        if rows:
+            yield from _packed(kind, slot[at], k1[at], k2[at], pos[at], name[at], None if check is None else check[at])
+
+
+def _slot(name: np.ndarray, bits: int) -> np.ndarray:
+    """The range of a name: its highest bits; with fewer than 16 of them a name is shorter."""
+    return (name >> np.uint64(48 if bits <= 16 else 64 - bits)).astype(np.int64)
+
+
+def _packed(kind: int, slot: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, name: np.ndarray, check: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind by slot, names as two columns of 32 and 16 bits, as the slot tells the rest (32 bits for SETTLED)."""
+    order = np.argsort(slot, kind="stable")
+    rows: list[tuple] = []
+    for k, i in zip(*_runs(slot[order], order), strict=True):
+        first, own = np.flatnonzero(_cut(_texts(k1[i], k2[i]))), name[i]
+        high = (own >> np.uint64(32)).astype(np.uint32 if kind == SETTLED else np.uint16)
+        rows.append((k, kind, k1[i][first].tobytes(), k2[i][first].tobytes(), np.diff(np.r_[first, len(i)]).astype(np.uint16).tobytes(), own.astype(np.uint32).tobytes(), high.tobytes(), b"" if check is None or kind == SETTLED else check[i].tobytes(), pos[i].astype(np.uint16).tobytes(), (pos[i] >> np.uint32(16)).astype(np.uint16).tobytes()))
+        if len(rows) == 256:
             yield _batch(rows, _PACKED)
+            rows = []
+    if rows:
+        yield _batch(rows, _PACKED)
+
+
+def _unpacked(table: pa.Table, kind: int, bits: int) -> tuple[np.ndarray, ...]:
+    """(k1, k2, pos, name, check or None) of the rows of one kind."""
+    table = table.filter(pa.compute.equal(table.column("kind"), kind))
+    n = _whole(table, "n", np.uint16)
+    k1, k2 = np.repeat(_whole(table, "k1", np.int64), n), np.repeat(_whole(table, "k2", np.int32), n)
+    pos = _whole(table, "pos0", np.uint16).astype(np.uint32) | _whole(table, "pos1", np.uint16).astype(np.uint32) << np.uint32(16)
+    high = _whole(table, "name2", np.uint32 if kind == SETTLED else np.uint16).astype(np.uint64)
+    name = high << np.uint64(32) | _whole(table, "name4", np.uint32)
+    if kind != SETTLED:
+        top = np.array(table.column("slot").to_pylist(), np.uint64) >> np.uint64(max(0, bits - 16))
+        name |= np.repeat(top, np.array([len(x) // 4 for x in table.column("name4").to_pylist()], np.int64)) << np.uint64(48)
+    check = _whole(table, "check", np.uint16)
+    return k1, k2, pos, name, check if len(check) else None
 
 
-def _new(name: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return np.r_[True, (name[1:] != name[:-1]) | (check[1:] != check[:-1])] if len(name) else np.zeros(0, bool)
+def _deal(coarse: int, bits: int) -> Callable:
+    """From rows of a group of ranges (coarse bits) rows of its ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            for kind in (ONCE, TWICE, SETTLED):
+                k1, k2, pos, name, check = _unpacked(table, kind, coarse)
+                slot = (k1.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if kind == SETTLED else _slot(name, bits)
+                yield from _packed(kind, slot, k1, k2, pos, name, check)
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row has HELD names at most
+                held.append(batch.slice(i, 1))
+                n += len(batch.column("name4")[i].as_py()) // 4
+                if n >= HELD:
+                    yield from send()
+                    held, n = [], 0
+        if held:
+            yield from send()
+
+    return run
+
+
+def _new(name: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    if not len(name):
+        return np.zeros(0, bool)
+    return np.r_[True, (name[1:] != name[:-1]) | (False if check is None else check[1:] != check[:-1])]
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -180,30 +243,27 @@ def _runs(key: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarr
 def _compare(table: pa.Table, leads: bool, bits: int) -> pa.Table:
     """Sort one range of names and compare neighbours: the positions whose name another position has too, with their names
     or, for leads, 1 for one position of each name and 0 for others; a row for each of as many parts of the texts as there
-    are ranges."""
-    n = _whole(table, "n", np.uint16)
-    k1, k2 = np.repeat(_whole(table, "k1", np.int64), n), np.repeat(_whole(table, "k2", np.int32), n)
-    slot = np.uint64(table.column("slot")[0].as_py())
-    name = slot << np.uint64(48) | _whole(table, "name2", np.uint16).astype(np.uint64) << np.uint64(32) | _whole(table, "name4", np.uint32)
-    pos = _whole(table, "pos0", np.uint16).astype(np.uint32) | _whole(table, "pos1", np.uint16).astype(np.uint32) << np.uint32(16)
-    check = _whole(table, "check", np.uint16)
-    check = check if len(check) else np.zeros(len(name), np.uint16)
-    of_row = [len(x) // 2 for x in table.column("name2").to_pylist()]
-    settled = np.repeat(np.array(table.column("settled").to_pylist(), bool), of_row)
+    are ranges. Settled positions pass through."""
+    once, twice = (_unpacked(table, kind, bits) for kind in (ONCE, TWICE))
+    k1, k2, pos, name = (np.concatenate([a, b]) for a, b in zip(once[:4], twice[:4], strict=True))
+    checks = [c if c is not None else np.zeros(len(x[0]), np.uint16) for x in (once, twice) for c in (x[4],)]
+    check = np.concatenate(checks)
+    known = np.r_[np.zeros(len(once[0]), bool), np.ones(len(twice[0]), bool)]
     order = np.lexsort((check, name))
     new = _new(name[order], check[order])
     begins, run = np.flatnonzero(new), np.cumsum(new) - 1
-    lead = order[begins][run]
-    other = (k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (pos[order] != pos[lead])
-    found, first_sent = settled.copy(), np.zeros(len(pos), bool)
+    found, first = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
     if len(begins):
-        found[order] |= np.logical_or.reduceat(other | settled[order], begins)[run]
-        sent = order[~settled[order]]
-        first_sent[sent[_new(name[sent], check[sent])]] = True
-    value = first_sent.astype(np.uint64) if leads else name
+        lead = order[begins][run]
+        other = (k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (pos[order] != pos[lead])
+        found[order] = np.logical_or.reduceat(other | known[order], begins)[run]
+        first[order[begins]] = True
+    value = first.astype(np.uint64) if leads else name
+    past = _unpacked(table, SETTLED, bits)
     at = np.flatnonzero(found)
-    at = at[np.lexsort((~first_sent[at], pos[at], k2[at], k1[at].view(np.uint64)))]
-    at = at[_texts(k1[at], k2[at]) | np.r_[True, pos[at][1:] != pos[at][:-1]]] if len(at) else at
+    k1, k2, pos = (np.concatenate([x[at], y]) for x, y in zip((k1, k2, pos), past[:3], strict=True))
+    value = np.concatenate([value[at], np.zeros(len(past[3]), np.uint64) if leads else past[3]])
+    at = np.lexsort((pos, k2, k1.view(np.uint64)))
     part = (k1[at].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
     rows = []
     for k, i in zip(*_runs(part, at), strict=True):
@@ -213,33 +273,43 @@ def _compare(table: pa.Table, leads: bool, bits: int) -> pa.Table:
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """The positions of each text of a part of the texts, from all ranges, sorted."""
+    """The positions of each text of a part of the texts, from all ranges, sorted; of one that came twice the larger value."""
     n = _whole(table, "n", np.uint16)
     k1, k2 = np.repeat(_whole(table, "k1", np.int64), n), np.repeat(_whole(table, "k2", np.int32), n)
     pos, name = _whole(table, "pos", np.uint32), _whole(table, "name", np.uint64)
-    order = np.lexsort((pos, k2, k1))
+    order = np.lexsort((~name, pos, k2, k1))
+    order = order[_texts(k1[order], k2[order]) | np.r_[True, pos[order][1:] != pos[order][:-1]]] if len(order) else order
     new = _texts(k1[order], k2[order])
     rows = [(int(k1[i[0]]), int(k2[i[0]]), pos[i].tobytes(), name[i].tobytes()) for i in np.split(order, np.flatnonzero(new)[1:])] if len(order) else []
     return pa.Table.from_batches([_batch(rows, _FOUND)] if rows else [], to_arrow_schema(_FOUND))
 
 
-def _repeated(df: DataFrame, make: Callable[[Sender], Callable[[dict], bool]], label: str, leads: bool = False) -> DataFrame:
-    """make(sender) gives a function that adds the names of a row's positions; the repeated of these, a row (k1, k2, label)
-    per text, where label has sorted positions and their names."""
-    bits = min(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
+def range_bits(total: int, least: int) -> int:
+    """Bits of the number of ranges for texts of total bytes; at least as many ranges as this."""
+    return max(1, min(30, max(least.bit_length(), (total // RANGE_BYTES).bit_length())))
+
+
+def _repeated(df: DataFrame, bits: int, make: Callable[[Sender], Callable[[dict], Iterator[bool]]], label: str, leads: bool = False) -> DataFrame:
+    """make(sender) gives a function that adds the names of a row's positions, and says in between whether it is time to send;
+    the repeated of these, a row (k1, k2, label) per text, where label has sorted positions and their names."""
     columns, large = df.columns, "text" if "text" in df.columns else None
+    coarse = min(bits, max(1, FIRST_RANGES.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(bits)
+        sender = Sender(coarse)
         add = make(sender)
         for batch in batches:
             for part in slices(batch, large) if large else [batch]:
                 for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
-                    if add(dict(zip(columns, row, strict=True))):
-                        yield from sender.flush()
+                    for full in add(dict(zip(columns, row, strict=True))):
+                        if full:
+                            yield from sender.flush()
         yield from sender.flush()
 
-    parts = df.mapInArrow(run, _PACKED).groupBy("slot").applyInArrow(lambda t: _compare(t, leads, bits), _PARTS)
+    packed = df.mapInArrow(run, _PACKED)
+    if bits > coarse:
+        packed = packed.repartition("slot").mapInArrow(_deal(coarse, bits), _PACKED)
+    parts = packed.groupBy("slot").applyInArrow(lambda t: _compare(t, leads, bits), _PARTS)
     found = parts.groupBy("part").applyInArrow(_gather, _FOUND)
     return materialize(found.select("k1", "k2", F.struct("pos", "name").alias(label)), label)
 
@@ -251,21 +321,25 @@ def _positions(found: dict | None) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(found["pos"], np.uint32).astype(np.int64), np.frombuffer(found["name"], np.uint64)
 
 
+def _some(at: np.ndarray) -> Iterator[np.ndarray]:
+    return (at[i : i + AT_ONCE] for i in range(0, len(at), AT_ONCE))
+
+
 def _name_triples(cover: Cover):
     def make(sender: Sender):
         h = xxhash.xxh3_64_intdigest
         seen: set[tuple[int, int]] = set()
 
-        def add(row: dict) -> bool:
+        def add(row: dict) -> Iterator[bool]:
             if not sender.parts:
                 seen.clear()
             if (row["k1"], row["k2"]) in seen:
-                return False
+                return
             seen.add((row["k1"], row["k2"]))
             raw, w = row["text"].encode(), cover.w
-            at = cover.sample(len(raw))
-            names = np.fromiter((h(raw[p : p + w]) for p in at.tolist()), np.uint64, len(at))
-            return sender.add(row["k1"], row["k2"], at, names)
+            for at in _some(cover.sample(len(raw))):
+                names = np.fromiter((h(raw[p : p + w]) for p in at.tolist()), np.uint64, len(at))
+                yield sender.add(row["k1"], row["k2"], at, names)
 
         return add
 
@@ -274,18 +348,18 @@ def _name_triples(cover: Cover):
 
 def _name_sequences(cover: Cover):
     def make(sender: Sender):
-        def add(row: dict) -> bool:
+        def add(row: dict) -> Iterator[bool]:
             pos, name = _positions(row["named"])
-            full, whole, mark = False, np.ones(len(pos), bool), 0
+            whole, mark = np.ones(len(pos), bool), 0
             a, b = np.full(len(pos), _K1), np.full(len(pos), _K2)
             for k in range(cover.outer):
                 at = np.minimum(np.searchsorted(pos, pos + k * cover.v), len(pos) - 1)
                 whole &= pos[at] == pos + k * cover.v
                 a, b = _mix(a * _K1 + name[at]), _mix((b ^ name[at]) * _K1 + _K2)
                 if k + 1 in (cover.inner, cover.outer):
-                    full = sender.add(row["k1"], row["k2"], pos[whole] + mark, a[whole], (b[whole] >> np.uint64(48)).astype(np.uint16))
+                    for i in _some(np.flatnonzero(whole)):
+                        yield sender.add(row["k1"], row["k2"], pos[i] + mark, a[i], (b[i] >> np.uint64(48)).astype(np.uint16))
                     mark = OUTER
-            return full
 
         return add
 
@@ -296,13 +370,13 @@ def _name_remaining(cover: Cover):
     def make(sender: Sender):
         h = xxhash.xxh3_128_digest
 
-        def add(row: dict) -> bool:
-            raw, full = row["text"].encode(), False
+        def add(row: dict) -> Iterator[bool]:
+            raw = row["text"].encode()
             _, unsettled, leads = cover.starts(len(raw), row["sequences"])
-            for at, mark in ((unsettled, 0), (leads, STANDS)):
-                both = np.frombuffer(b"".join([h(raw[p : p + cover.length]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
-                full = sender.add(row["k1"], row["k2"], at + mark, both[:, 0], (both[:, 1] >> np.uint64(48)).astype(np.uint16))
-            return full
+            for every, mark in ((unsettled, 0), (leads, STANDS)):
+                for at in _some(every):
+                    both = np.frombuffer(b"".join([h(raw[p : p + cover.length]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
+                    yield sender.add(row["k1"], row["k2"], at + mark, both[:, 0], (both[:, 1] >> np.uint64(48)).astype(np.uint16))
 
         return add
 
@@ -327,13 +401,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.octet_length("text").cast("long").alias("size"))
     long = docs.where(F.col("size") >= short)
     key = ["k1", "k2"]
-    named = _repeated(long.select("k1", "k2", "text"), _name_triples(cover), "named")
-    sequences = _repeated(named, _name_sequences(cover), "sequences", leads=True)
+    total = long.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = range_bits(int(total), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = _repeated(long.select("k1", "k2", "text"), bits, _name_triples(cover), "named")
+    sequences = _repeated(named, bits, _name_sequences(cover), "sequences", leads=True)
     twice = materialize(long.groupBy(key).agg(F.count("*").alias("copies"), F.first("size").alias("size")).where("copies > 1"), "copies")
-    # one text of each group of copies, with what is known of its samples
-    one = long.groupBy(key).agg(F.first("text").alias("text"))
+    # one text of each group of copies that has sequences, with what is known of its samples
+    one = long.join(sequences.select(key), key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
     work = materialize(one.join(named.join(sequences, key), key), "work")
-    merged = _repeated(work.select("k1", "k2", "text", "sequences"), _name_remaining(cover), "merged")
+    merged = _repeated(work.select("k1", "k2", "text", "sequences"), bits, _name_remaining(cover), "merged")
 
     schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 int, n_removed long").fields, T.StructField("spans", _SPAN), *T.StructType.fromDDL("kept_sha256 string, n_repeated long, kept binary").fields])
 
