@@ -1,15 +1,15 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a few megabytes of documents. Its words are projected on the benchmark's vocabulary: every other word can't be
-part of a match, and a stretch of them becomes one separator, like a document's end. Over that sequence of symbols an
-FM-index is built - suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, a sample of the
-suffix positions. All benchmark windows are searched backward at once, their places are found by walking to the next
-sampled position, and overlapping places are merged to spans.
+A shard is a few megabytes of documents. Its words are projected on the benchmark's vocabulary (known by hashes): every other
+word can't be part of a match, and a stretch of them becomes one separator, like a document's end. Over that sequence of
+symbols an FM-index is built once - suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, a sample
+of the suffix positions. All benchmark windows are searched backward, block by block and all of a block at once, their places
+are found by walking to the next sampled position, and overlapping places are merged to spans.
 
-Windows are n consecutive words of an item; a shorter item is one window; an item without words has none. The benchmark
-is used in blocks of about BLOCK_BYTES of text (some 45 MB of windows), one after the other, so that what every task
-receives is bounded. With several blocks each reads the texts but writes the rows with hits alone (row number, hits, items),
-which are joined to the documents once, after the last.
+Windows are n consecutive words of an item; a shorter item is one window; an item without words has none. Blocks of about
+BLOCK_BYTES of benchmark text are made by Spark, a row each, and reach the tasks as files (long items are dealt over blocks, in
+pieces that overlap), so that neither the driver nor a task holds the benchmark; a task holds one block and 8 bytes for every
+word of the vocabulary. The texts are read once, however many blocks there are.
 
 Null and empty texts have no words; long texts are a shard of their own; repeated rows are judged each for itself; items
 with equal ids count as one item, and a null item id is written as an empty string; empty tables on either side give no
@@ -19,16 +19,24 @@ hits; columns that clash with the added ones are replaced.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable, Iterator
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sightline.llm._common import append_columns, materialize
+from sightline.llm._common import append_columns, new_folder, slices
 
-WINDOW, BLOCK_BYTES = 10, 4 << 20
+#: Words of a window, bytes of benchmark text in a block, and words of an item in one piece.
+WINDOW, BLOCK_BYTES, PIECE_WORDS = 10, 4 << 20, 100_000
 #: Every SAMPLE-th text position keeps its place in the suffix array.
 SAMPLE = 16
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -46,30 +54,39 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Patterns:
-    """The windows of a block of benchmark items, numbered; symbols count from 1."""
+    """The windows of a block of benchmark items, numbered; symbols count from 1, as the words do."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.symbol: dict[bytes, int] = {}
+        symbol: dict[bytes, int] = {}
         numbers: dict[tuple, int] = {}
-        owners: list[tuple[int, int]] = []
+        owners: set[tuple[int, int]] = set()
         self.items = sorted({key for key, words in items if words})
         rank = {key: i for i, key in enumerate(self.items)}
         for key, words in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words]
+            ids = [symbol.setdefault(w, len(symbol) + 1) for w in words]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.append((numbers.setdefault(tuple(ids[i : i + window]), len(numbers)), rank[key]))
-        self.length = np.array([len(w) for w in numbers], np.int64)
-        self.symbols = np.zeros((len(numbers), window), np.int64)
+                owners.add((numbers.setdefault(tuple(ids[i : i + window]), len(numbers)), rank[key]))
+        self.words = list(symbol)
+        self.length = np.array([len(w) for w in numbers], np.int32)
+        self.symbols = np.zeros((len(numbers), window), np.int32)
         for w, k in numbers.items():
             self.symbols[k, : len(w)] = w
-        own = np.array(sorted(set(owners)), np.int64).reshape(-1, 2)
-        self.owner = own[:, 1]
-        self.owner_from = np.searchsorted(own[:, 0], np.arange(len(numbers) + 1))
+        own = np.array(sorted(owners), np.int32).reshape(-1, 2)
+        self.owner = own[:, 1].copy()
+        self.owner_from = np.searchsorted(own[:, 0], np.arange(len(numbers) + 1)).astype(np.int32)
+
+    def row(self) -> dict:
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        arrays = {k: getattr(self, k).tobytes() for k in ("length", "symbols", "owner", "owner_from")}
+        return {"words": b"\n".join(self.words), "hashes": hashes.tobytes(), "items": self.items, **arrays}
 
     @classmethod
-    def of(cls, state: dict) -> Patterns:
+    def of(cls, row: dict) -> Patterns:
         out = cls.__new__(cls)
-        out.__dict__.update(state)
+        out.words, out.items = row["words"].split(b"\n") if row["words"] else [], row["items"]
+        for k in ("length", "symbols", "owner", "owner_from"):
+            setattr(out, k, np.frombuffer(row[k], np.int32))
+        out.symbols = out.symbols.reshape(len(out.length), -1)
         return out
 
 
@@ -193,47 +210,70 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Finds a block's windows in the documents of a shard."""
-
-    def __init__(self, patterns: Patterns):
-        self.p = patterns
+    """Finds the windows of all blocks in the documents of a shard. hashes: of the benchmark's words, sorted; blocks: gives
+    the blocks one after the other."""
+
+    def __init__(self, hashes: np.ndarray, blocks: Callable[[], Iterator[Patterns]]):
+        self.hashes, self.blocks = hashes, blocks
+        self.ids: dict[bytes, int] = {}
+
+    def _number(self, docs: list[list[bytes]]) -> None:
+        """Numbers from 1 for words of the vocabulary that were not met before."""
+        new = [w for w in set(chain.from_iterable(docs)) if w not in self.ids]
+        if new and len(self.hashes):
+            h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            for i in np.flatnonzero(self.hashes[at] == h).tolist():
+                self.ids[new[i]] = len(self.ids) + 1
 
     def __call__(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, list[str]]]:
         """Per document the numbers of the hit words and the ids of the items found."""
+        self._number(docs)
         sizes = np.array([len(w) for w in docs], np.int64)
         begin = np.r_[0, np.cumsum(sizes + 1)]
         text = np.zeros(int(begin[-1]), np.int64)
-        get = self.p.symbol.get
+        get = self.ids.get
         for words, b in zip(docs, begin.tolist(), strict=False):
             text[b : b + len(words)] = [get(w, 0) for w in words]
         keep = np.flatnonzero((text != 0) | np.r_[True, text[:-1] != 0][: len(text)])
-        nothing = np.zeros(0, np.int64)
-        out: list[tuple[np.ndarray, list[str]]] = [(nothing, []) for _ in docs]
-        short = text[keep]
-        if not short.any() or not len(self.p.length):
-            return out
-        index = FMIndex(short, len(self.p.symbol) + 1)
-        lo, hi = index.search(self.p.symbols, self.p.length)
-        found = np.flatnonzero(lo < hi)
-        if not len(found):
+        out: list[tuple[np.ndarray, list[str]]] = [(np.zeros(0, np.int64), []) for _ in docs]
+        own, short = np.unique(np.r_[0, text[keep]], return_inverse=True)
+        short = short[1:]
+        if len(own) < 2:
             return out
+        index = FMIndex(short, len(own))
+        place_of = np.zeros(len(self.ids) + 1, np.int64)
+        place_of[own] = np.arange(len(own))
         ends = np.zeros(len(short) + 1, np.int64)
-        pairs = []
-        for part in np.array_split(found, 1 + int((hi - lo)[found].sum()) // 1_000_000):
-            rows, which = _ranges(lo[part], hi[part])
-            place, window = index.locate(rows), part[which]
-            ends += np.bincount(place, minlength=len(ends)) - np.bincount(place + self.p.length[window], minlength=len(ends))
-            pairs.append(np.unique(np.searchsorted(begin, keep[place], "right") - 1 << 32 | window))
+        items: dict[int, set[str]] = {}
+        for block in self.blocks():
+            self._search(block, index, place_of, ends, keep, begin, items)
         hit = keep[np.cumsum(ends)[:-1] > 0]
         owner = np.searchsorted(begin, hit, "right") - 1
         for d, at in zip(*_groups(owner, hit), strict=True):
-            out[d] = (at - begin[d], out[d][1])
+            out[d] = (at - begin[d], sorted(items[d]))
+        return out
+
+    def _search(self, block: Patterns, index: FMIndex, place_of: np.ndarray, ends: np.ndarray, keep: np.ndarray, begin: np.ndarray, items: dict[int, set[str]]) -> None:
+        """Add the places of a block's windows to ends (+1 where one begins, -1 after it) and the items to the documents'."""
+        of_block = place_of[[0, *(self.ids.get(w, 0) for w in block.words)]]
+        symbols, length = of_block[block.symbols], block.length.astype(np.int64)
+        there = np.flatnonzero((symbols > 0).sum(1) == length)
+        lo, hi = index.search(symbols[there], length[there])
+        met = np.flatnonzero(lo < hi)
+        if not len(met):
+            return
+        pairs = []
+        for part in np.array_split(met, 1 + int((hi - lo)[met].sum()) // 1_000_000):
+            rows, which = _ranges(lo[part], hi[part])
+            place, window = index.locate(rows), there[part[which]]
+            ends += np.bincount(place, minlength=len(ends)) - np.bincount(place + length[window], minlength=len(ends))
+            pairs.append(np.unique(np.searchsorted(begin, keep[place], "right") - 1 << 32 | window))
         pair = np.unique(np.concatenate(pairs))
-        members, which = _ranges(self.p.owner_from[pair & 0xFFFFFFFF], self.p.owner_from[(pair & 0xFFFFFFFF) + 1])
-        mine = np.unique((pair >> 32)[which] << 32 | self.p.owner[members])
+        members, which = _ranges(block.owner_from[pair & 0xFFFFFFFF].astype(np.int64), block.owner_from[(pair & 0xFFFFFFFF) + 1].astype(np.int64))
+        mine = np.unique((pair >> 32)[which] << 32 | block.owner[members])
         for d, k in zip(*_groups(mine >> 32, mine & 0xFFFFFFFF), strict=True):
-            out[d] = (out[d][0], [self.p.items[i] for i in k.tolist()])
-        return out
+            items.setdefault(d, set()).update(block.items[i] for i in k.tolist())
 
 
 def _groups(key: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -252,61 +292,84 @@ def merge_spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"begin": places[r[0]][0], "end": places[r[-1]][1]} for r in np.split(hit, cut)]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[DataFrame]:
-    """The benchmark's items (item, text) in blocks of about limit bytes."""
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) // limit))
-    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+_BLOCK = "words binary, hashes binary, items array<string>, length binary, symbols binary, owner binary, owner_from binary"
 
 
-def _search(docs: DataFrame, block: DataFrame, text: str, window: int, fields: list[T.StructField], drop: tuple = ()) -> DataFrame:
-    """Add the fields (of n_words, hits, items and spans) for one block of items."""
-    items = [(r["item"], words_of(r["text"])) for r in block.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(vars(Patterns(items, window)))
-    wanted = [f.name for f in fields]
+def _pieces(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """(item, words), the words joined by spaces; a long item has several pieces, which overlap by less than a window."""
+    schema = T.StructType.fromDDL("item string, words binary")
+    arrow = to_arrow_schema(schema)
+    size = max(PIECE_WORDS, 2 * window)
 
-    def make():
-        shard = Shard(Patterns.of(sent.value))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for item, value in zip(*(part.column(c).to_pylist() for c in ("item", "text")), strict=True):
+                    words = words_of(value)
+                    for at in range(0, len(words), size - window + 1):
+                        if at == 0 or len(words) - at >= window:
+                            rows.append((item, b" ".join(words[at : at + size])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-        def work(texts):
-            words = [words_of(t) for t in texts]
-            found = shard(words)
-            what = {
-                "n_words": lambda: [len(w) for w in words],
-                "hits": lambda: [h.tolist() for h, _ in found],
-                "items": lambda: [i for _, i in found],
-                "spans": lambda: [merge_spans(t or "", h) for t, (h, _) in zip(texts, found, strict=True)],
-            }
-            return [what[name]() for name in wanted]
+    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).mapInArrow(run, schema)
 
-        return work
 
-    return append_columns(docs, text, fields, make, drop)
+def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> str:
+    """Write the windows of a benchmark in blocks of about limit bytes of text, for tasks to read; returns their folder's name."""
+    spark = benchmark.sparkSession
+    pieces = _pieces(benchmark, item_id, text, window)
+    total = int(pieces.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0])
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, -(-total // limit))))
+    schema = T.StructType.fromDDL(_BLOCK)
+
+    def build(group: pa.Table) -> pa.Table:
+        items = [(i, w.split()) for i, w in zip(*(group.column(c).to_pylist() for c in ("item", "words")), strict=True)]
+        return pa.Table.from_pylist([Patterns(items, window).row()], to_arrow_schema(schema))
+
+    path = new_folder(spark, "windows")
+    pieces.withColumn("block", block).groupBy("block").applyInArrow(build, schema).write.parquet(path)
+    spark.sparkContext.addFile(path, recursive=True)
+    return path.rpartition("/")[2]
+
+
+class Blocks:
+    """The blocks that write_blocks has left, as a task reads them; a single one is kept."""
+
+    def __init__(self, folder: str):
+        self.files = [pq.ParquetFile(f) for f in sorted(Path(SparkFiles.get(folder)).glob("*.parquet"))]
+        found = [np.frombuffer(h.as_buffer(), np.uint64) for f in self.files for b in f.iter_batches(1, columns=["hashes"]) for h in b.column(0)]
+        self.hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.only = list(self._read()) if len(found) == 1 else None
+
+    def _read(self) -> Iterator[Patterns]:
+        for f in self.files:
+            for batch in f.iter_batches(1):
+                yield Patterns.of(batch.to_pylist()[0])
+
+    def __call__(self) -> Iterator[Patterns]:
+        return iter(self.only) if self.only else self._read()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_words, hits (numbers of the hit words), items (ids as strings, sorted) and spans (character spans)."""
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    n_words, hits, items, spans = (T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span))
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    if len(blocks) == 1:
-        return _search(docs, blocks[0], text, window, [n_words, hits, items, spans])
-    added = {"n_words", "hits", "items", "spans", "row_"}
-    rows = docs.select(*(c for c in docs.columns if c.lower() not in added)).withColumn("row_", F.monotonically_increasing_id())
-    rows = materialize(rows, "rows")
-    found = [materialize(_search(rows.select("row_", text), b, text, window, [hits, items], (text,)).where("size(hits) > 0"), "hits") for b in blocks]
-    each = reduce(DataFrame.unionByName, found)
-    joined = each.groupBy("row_").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")))
-    both = rows.join(materialize(joined, "hits"), "row_", "left").drop("row_")
-    both = both.withColumns({c.name: F.coalesce(c.name, F.array().cast(c.dataType)) for c in (hits, items)})
-
-    def make_words():
-        return lambda texts: [[len(words_of(t)) for t in texts]]
-
-    show = F.pandas_udf(lambda t, h: t.combine(h, lambda a, b: merge_spans(a or "", np.array(b, np.int64))), span)
-    counted = append_columns(both, text, [n_words], make_words)
-    return counted.withColumn("spans", F.when(F.size("hits") > 0, show(F.col(text), F.col("hits"))).otherwise(F.array().cast(span)))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)]
+    folder = write_blocks(benchmark, item_id, item_text, window, block_bytes)
+
+    def make():
+        blocks = Blocks(folder)
+        shard = Shard(blocks.hashes, blocks)
+
+        def work(texts):
+            words = [words_of(t) for t in texts]
+            found = shard(words)
+            return [[len(w) for w in words], [h.tolist() for h, _ in found], [i for _, i in found], [merge_spans(t or "", h) for t, (h, _) in zip(texts, found, strict=True)]]
+
+        return work
+
+    return append_columns(docs, text, fields, make)
 
 
 def remove_spans(text, spans):

@@ -56,6 +56,22 @@ def test_random_words(spark):
             assert r.rest == (r.text if r.text is None else cut(r.text, set(r.hits)))
 
 
+def test_many_blocks_read_the_texts_once(spark, monkeypatch):
+    """Some twenty blocks, and items of several pieces."""
+    monkeypatch.setattr(D, "PIECE_WORDS", 12)
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices([f"w{i}" for i in range(30)], k=n))
+    items = [(i % 25, say(rng.randint(1, 60))) for i in range(60)]
+    texts = [say(rng.randint(0, 40)) + " " + rng.choice(items)[1][10:] for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces = D._pieces(bench, "item_id", "text", 5)
+    assert pieces.count() > 120
+    out = D.find_contamination(docs, bench, window=5, block_bytes=400)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.n_words, tuple(r.hits), tuple(r.items)) for r in out.orderBy("doc_id").collect()] == brute(texts, items, 5)
+
+
 def test_hard_rows(spark, hard):
     bench = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (2, "it the quick brown fox jumps over it the quick")], "item_id long, text string")
     rows = hard.collect()
