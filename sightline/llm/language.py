@@ -12,8 +12,8 @@ an empty table, columns that clash with the added ones are replaced. Without any
 from __future__ import annotations
 
 import re
-from functools import reduce
 
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm._common import append_columns, materialize
+from sightline.llm._common import append_columns, materialize, release
 
 #: Training documents per language at most, bytes of dictionary per language, and of all dictionaries together: with very
 #: many languages each has a smaller one.
@@ -39,38 +39,47 @@ def plain(text: str) -> bytes:
     return _BETWEEN.sub(" ", text.lower()).encode()
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries from a bounded sample: per language the docs texts of least hash, cut to size bytes together.
+def shares(sizes: list[int], whole: int) -> list[int]:
+    """How much of each text to take, whole together at most: equal shares, and long texts take what short ones leave."""
+    share = max(1, whole // max(1, len(sizes)))
+    spare = max(0, whole - sum(min(n, share) for n in sizes))
+    out = []
+    for n in sizes:
+        out.append(min(n, share + spare))
+        spare -= max(0, out[-1] - share)
+    return out
 
-    Languages come in order of their number of training texts. All dictionaries together have at most ALL_BYTES; of a text
-    no more is fetched than a dictionary holds."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    keyed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
-    keyed = materialize(keyed, "languages")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    least = keyed.select("lang", "h", rank.alias("r")).where(F.col("r") <= docs).groupBy("lang").agg(F.max("h").alias("last"))
-    chosen = keyed.groupBy("lang").agg(F.sum("n").alias("n")).join(least, "lang").orderBy(F.desc("n"), "lang").collect()
-    if not chosen:
-        return {}
-    size = min(size, ALL_BYTES // len(chosen))
+
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = DICT_BYTES) -> tuple[dict[str, int], DataFrame | None]:
+    """A bounded sample: the size of dictionary of every language, in order of their number of training texts, and the rows (lang,
+    text) to make them of. Each language's texts are those of least hash; of a text no more is read than its share, so that
+    all rows together have at most ALL_BYTES characters."""
+    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    keyed = materialize(rows.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars")), "languages")
+    names = [r["lang"] for r in keyed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").select("lang").toLocalIterator()]
+    if not names:
+        return {}, None
+    size = max(1, min(size, ALL_BYTES // len(names)))
     docs = min(docs, max(1, size // 1024))
-    pick = reduce(lambda a, b: a | b, ((F.col("lang") == r["lang"]) & (F.xxhash64("text") <= r["last"]) for r in chosen))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    least = keyed.select("lang", "h", "chars", rank.alias("r")).where(F.col("r") <= docs).orderBy("lang", "h").toArrow()
+    release(keyed)
+    of_lang: dict[str, list[tuple[int, int]]] = {}
+    for name, h, chars in zip(*(least.column(c).to_pylist() for c in ("lang", "h", "chars")), strict=True):
+        of_lang.setdefault(name, []).append((h, chars))
+    takes = [(name, h, n) for name, own in of_lang.items() for (h, _), n in zip(own, shares([c for _, c in own], size), strict=True)]
+    wanted = pa.table([pa.array(c, kind) for c, kind in zip(zip(*takes, strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)], ["lang", "h", "take"])
+    found = rows.join(labelled.sparkSession.createDataFrame(wanted), ["lang", "h"])
+    return dict.fromkeys(names, size), found.select("lang", F.substring("text", F.lit(1), F.col("take")).alias("text")).distinct()
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
+    """Dictionaries by language, of a bounded sample."""
+    sizes, rows = sample(labelled, text, lang, docs, size)
     found: dict[str, set[str]] = {}
-    for r in rows.where(pick).select("lang", F.substring("text", 1, max(size, 1)).alias("text")).distinct().collect():
+    for r in rows.collect() if sizes else ():
         found.setdefault(r["lang"], set()).add(r["text"])
-    out = {}
-    for name in (r["lang"] for r in chosen):
-        texts = found[name]
-        share = max(1, size // len(texts))
-        raw = [plain(t) for t in sorted(texts)]
-        spare = size - sum(min(len(t), share) for t in raw)
-        parts = []
-        for t in raw:  # long texts take what short ones leave
-            take = min(len(t), share + max(0, spare))
-            spare -= max(0, take - share)
-            parts.append(t[:take])
-        out[name] = b"\n".join(parts)[-size:]
-    return out
+    return {name: b"\n".join(map(plain, sorted(found[name])))[-n:] for name, n in sizes.items()}
 
 
 class Compressors:

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from sightline.llm._common import append_columns
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the weights are learned from, at most.
-TRAIN_DOCS = 2000
+#: Documents that the weights are learned from, at most, and characters of each.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 8000
 ROUNDS, DAMPING, SURE = 10, 0.5, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -324,12 +324,15 @@ class Field:
 
 
 def train(df: DataFrame, text: str = "text", docs: int = TRAIN_DOCS) -> Field | None:
-    """Learn from the docs texts of least hash among those that may hold personal data."""
-    rows = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9]{3}[^@]*|@"))
+    """Learn from the docs texts of least hash among those that may hold personal data, TRAIN_CHARS characters of each from a
+    tenth of them before the first place that may."""
+    rows = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9]{3}|@"))
     bound = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(docs).agg(F.max("h")).first()[0]
     if bound is None:
         return None
-    return Field.learn([r["text"] for r in rows.where(F.xxhash64("text") <= bound).distinct().collect()])
+    first = F.regexp_instr("text", F.lit("[0-9]{3}|@"))
+    around = F.substring("text", F.greatest(F.lit(1), first - TRAIN_CHARS // 10), F.lit(TRAIN_CHARS)).alias("text")
+    return Field.learn([r["text"] for r in rows.where(F.xxhash64("text") <= bound).select(around).distinct().collect()])
 
 
 def find(df: DataFrame, field: Field | None, text: str = "text", keep_text: bool = True) -> DataFrame:

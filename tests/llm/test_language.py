@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from sightline.llm import language, queries
 
 
@@ -33,22 +35,24 @@ def test_letters_are_of_category_l(spark):
     assert [got[i] for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
 
 
-def test_against_plain_compression(docs):
-    """The same choice by a compressor made anew for every text and block."""
-    import zstandard
+def by_plain_compression(dictionaries, text):
+    """(language, score) by a compressor made anew for every text and block."""
+    raw = language.plain(text)
+    sizes = []
+    for d in dictionaries.values():
+        content = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes.append(sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)))
+    best, second = sorted(sizes)[:2]
+    return list(dictionaries)[sizes.index(best)], (second - best) / second
 
+
+def test_against_plain_compression(docs):
     dictionaries = language.train(docs)
     for r in language.identify(docs.limit(60), dictionaries).collect():
         if not r.text or not any(c.isalpha() for c in r.text):
             continue
-        raw = language.plain(r.text)
-        sizes = []
-        for d in dictionaries.values():
-            content = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            sizes.append(sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)))
-        best, second = sorted(sizes)[:2]
-        assert r.lang_pred == list(dictionaries)[sizes.index(best)]
-        assert abs(r.score - (second - best) / second) < 1e-12 and r.rejected == ((second - best) / second < language.MIN_MARGIN)
+        name, score = by_plain_compression(dictionaries, r.text)
+        assert r.lang_pred == name and abs(r.score - score) < 1e-12 and r.rejected == (score < language.MIN_MARGIN)
 
 
 def test_many_languages_share_the_dictionary_bytes(spark, monkeypatch):
@@ -56,3 +60,19 @@ def test_many_languages_share_the_dictionary_bytes(spark, monkeypatch):
     rows = [(f"l{i:03}", f"word{i} " * 400 + str(k)) for i in range(200) for k in range(3)]
     found = language.train(spark.createDataFrame(rows, "lang string, text string"))
     assert len(found) == 200 and sum(map(len, found.values())) <= 64_000
+
+
+def test_what_the_driver_gets_is_bounded(spark, monkeypatch):
+    """200 languages of long texts: the rows that are fetched have as many characters as all dictionaries have bytes."""
+    monkeypatch.setattr(language, "ALL_BYTES", 256_000)
+    rows = [(f"l{i:03}", f"word{i} " * 3000 + str(k)) for i in range(200) for k in range(3)]
+    sizes, fetched = language.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(sizes) == 200 and set(sizes.values()) == {1280}
+    got = fetched.collect()
+    assert {r.lang for r in got} == set(sizes) and 200_000 < sum(len(r.text) for r in got) <= 256_000
+
+
+def test_shares():
+    assert language.shares([10, 100, 100], 60) == [10, 30, 20]
+    assert language.shares([5, 5], 60) == [5, 5]
+    assert sum(language.shares([1000] * 7, 100)) <= 100
