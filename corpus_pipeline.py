@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, language, packing, pii, simhash
 from sightline.llm._common import new_folder, read, read_spread
 from sightline.llm.queries import tokenizer_path
+from sightline.session import delete
 
 
-def _as_documents(df: DataFrame, docs: DataFrame, text) -> DataFrame:
-    """The columns of documents, with a new text; n_chars follows it."""
-    changed = df.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+OTHERS = "other_columns_"
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """What operators read (doc_id, text, lang), and all other columns in one, so that no name can clash with an operator's."""
+    own = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return docs.select(*own, F.struct(*(c for c in docs.columns if c not in own)).alias(OTHERS))
+
+
+def _as_documents(df: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of documents again, with a new text if one is given; n_chars follows it."""
+    of = {c: F.col(OTHERS)[c] if c in df.schema[OTHERS].dataType.names else F.col(c) for c in docs.columns}
+    if text is not None:
+        df, of["text"] = df.withColumn("new_text_", text), F.col("new_text_")
+        if "n_chars" in of:
+            of["n_chars"] = F.length("new_text_").cast(docs.schema["n_chars"].dataType)
+    return df.select(*(of[c].alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that no language's dictionary compresses clearly best."""
-    return language.identify(docs, language.train(docs)).where("not rejected").select(*docs.columns)
+    return _as_documents(language.identify(_held(docs), language.train(docs)).where("not rejected"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+    return _as_documents(simhash.drop_near_duplicates(_held(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out of the texts."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(_held(docs), read(spark, sf_dir, "benchmark"))
     return _as_documents(found, docs, decontaminate.remove_spans(F.col("text"), F.col("spans")))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
-    return _as_documents(pii.find(docs, pii.train(docs)), docs, pii.mask(F.col("text"), F.col("spans")))
+    return _as_documents(pii.find(_held(docs), pii.train(docs)), docs, pii.mask(F.col("text"), F.col("spans")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_spread(spark, sf_dir, "documents")
+    """All stages over documents; what a stage has read is deleted when its own rows are written."""
+    docs, before = read_spread(spark, sf_dir, "documents"), None
     base = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -1,11 +1,12 @@
 from array import array
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from compare import database  # noqa: F401
 from sightline.llm import language
 from test_decontaminate import brute, cut
+from test_language import by_plain_compression
 from test_pii import base
 from test_simhash import fingerprint, groups
 
@@ -14,8 +15,9 @@ def test_stages_against_brute_force(spark, sf, docs, rows, path):
     stage = dict(P.STAGES)
     columns = docs.columns
 
-    found = language.identify(docs, language.train(docs))
-    want = {r.doc_id for r in found.collect() if not r.rejected}
+    dictionaries = language.train(docs)
+    clear = lambda t: t and any(c.isalpha() for c in t) and by_plain_compression(dictionaries, t)[1] >= language.MIN_MARGIN
+    want = {r.doc_id for r in rows if clear(r.text)}
     first = stage["language_id"](spark, docs, sf).cache()
     assert {r.doc_id for r in first.collect()} == want and first.columns == columns
     assert len(want) > 0.8 * len(rows)
@@ -52,3 +54,14 @@ def test_stages_against_brute_force(spark, sf, docs, rows, path):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0 and P.ORACLE_SQL is None
+
+
+def test_no_documents_and_clashing_columns(spark, sf, docs):
+    """Stages keep the columns that they are given, whatever their names, and stand an empty table."""
+    clash = docs.withColumns({c: F.lit("clash") for c in ("spans", "score", "hits", "fp", "rejected", "n_words", "items")})
+    for of in (clash.limit(0), clash.limit(40)):
+        for name, stage in P.STAGES[:-1]:
+            of = stage(spark, of, sf)
+            assert of.columns == clash.columns, name
+            assert {tuple(r) for r in of.select("spans", "score", "hits", "rejected", "items").distinct().collect()} <= {("clash",) * 5}
+    assert P.pack(spark, docs.limit(0), sf).count() == 0
