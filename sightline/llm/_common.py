@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sightline.session import materialize, new_folder, release  # noqa: F401
+from sightline.session import materialize, new_folder, own_shuffles, release  # noqa: F401
 
 #: Bytes of text that one slice of an Arrow batch may hold before Python objects are made from it.
 SLICE_BYTES = 4 << 20

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -43,14 +44,21 @@ class Encoder:
         import tiktoken
 
         self.split = Splitter(path)
-        vocab = self.split.spec["model"]["vocab"]
-        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in self.split.spec["model"]["merges"]]
+        model, self.split.spec = self.split.spec["model"], None
+        vocab = model["vocab"]
+        made = [vocab[m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)] for m in model["merges"]]
         if made != sorted(made):
             raise ValueError("merges must come in the order of their ids")
-        byte_of = {c: i for i, c in enumerate(byte_symbols())}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.split.added}
-        self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-        self.one = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        as_bytes = {ord(c): i for i, c in enumerate(byte_symbols())}
+        self.ranks = {token.translate(as_bytes).encode("latin-1"): i for token, i in vocab.items() if token not in self.split.added}
+        self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def one(self):
+        """Takes all of a text as one pre-token."""
+        import tiktoken
+
+        return tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=self.ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
         out, at = [], 0

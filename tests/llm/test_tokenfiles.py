@@ -43,17 +43,25 @@ def test_no_room():
         tokenfiles.code_lengths(np.ones(5, np.int64), 2)
 
 
-@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 512, 1000, 70_001])
+@pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 256, 1000, 70_001])
 def test_round_trip(n):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % 50_257).astype(np.uint32)
     kinds, counts = np.unique(ids, return_counts=True)
     code = tokenfiles.Code(kinds, tokenfiles.code_lengths(counts))
-    payload, marks = code.encoder()(ids)
-    assert (code.decoder()(payload, marks, n) == ids).all()
+    payload, long, marks, lanes = code.encoder()(ids, np.array([n]))
+    assert (code.decoder()(payload, marks, np.array([n])) == ids).all()
     bits = dict(zip(code.ids.tolist(), code.bits.tolist(), strict=True))
-    assert len(payload) == (sum(bits[i] for i in ids.tolist()) + 7) // 8
-    assert len(marks) == (n + 255) // 256
+    assert len(payload) == long.sum() == (sum(bits[i] for i in ids.tolist()) + 7) // 8
+    assert len(marks) == lanes.sum() == -(-n // tokenfiles.MARK)
+    # several runs of one payload, each from a whole byte on
+    runs = [ids[: n // 3 + 1], ids[n // 3 :], ids[:1]]
+    sizes = np.array(list(map(len, runs)))
+    payload, long, marks, lanes = code.encoder()(np.concatenate(runs), sizes)
+    whole = marks + np.repeat(8 * (np.cumsum(long) - long), lanes)
+    assert (code.decoder()(payload, whole, sizes) == np.concatenate(runs)).all()
+    for r, one in zip(runs, np.split(np.frombuffer(payload, np.uint8), np.cumsum(long)[:-1]), strict=True):
+        assert one.tobytes() == code.encoder()(r, np.array([len(r)]))[0]
 
 
 def test_codes_are_canonical():
