@@ -1,7 +1,10 @@
 """Search filters applied to detections.
 
 A filter is a row (filter_id, cat_mask, attr_mask, ord), cat_mask an array with a boolean for each category of the
-vocabulary (as requests.lower makes it); a detection has category_id and attr_bits. Filters are exploded to their categories, so that matching is an equi-join that Catalyst may broadcast or not by the measured size.
+vocabulary (as requests.lower makes it); a detection has category_id and attr_bits. Filters are exploded to their categories,
+so that matching is an equi-join. Up to MOST_FILTERS filters (a few megabytes with their masks) are turned into rows of known
+size, whatever they come from, so that Spark broadcasts them below its threshold and detections stay where they are; more of
+them are joined as they are, by the sizes that Catalyst knows.
 """
 
 from __future__ import annotations
@@ -11,8 +14,11 @@ from pyspark.sql import functions as F
 
 from sightline.functions.attributes import all_present, in_mask, score
 from sightline.operators import pixels
+from sightline.session import small
 from sightline.vocab import ATTRIBUTE_MATCH, CATEGORIES, PERSON, PERSON_REGIONS, REMATCH, UNKNOWN
 
+MOST_FILTERS = 10_000
+
 
 def bits_of(mask: Column, size: int) -> Column:
     """Numbers of the set bits of a mask."""
@@ -31,7 +37,9 @@ def merged_mask(filters: DataFrame) -> DataFrame:
 
 
 def by_category(filters: DataFrame) -> DataFrame:
-    return filters.select("*", F.explode(enabled(F.col("cat_mask"))).alias("category_id"))
+    """A row per filter and category that it enables, without the mask."""
+    others = [c for c in filters.columns if c != "cat_mask"]
+    return small(filters, MOST_FILTERS).select(*others, F.explode(enabled(F.col("cat_mask"))).alias("category_id"))
 
 
 def route_by_category(det: DataFrame, filters: DataFrame) -> DataFrame:
@@ -44,8 +52,18 @@ def with_placeholders(det: DataFrame, filters: DataFrame, frame: list[str]) -> D
     kept = in_mask(F.col("category_id"), merged_mask(filters).scalar())
     marked = det.withColumn("kept", kept)
     empty = marked.groupBy(*frame).agg(F.bool_or("kept").alias("any")).where("not any").drop("any")
-    blank = empty.withColumns({"category_id": F.lit(UNKNOWN), "confidence": F.lit(0.0)})
-    return marked.where("kept").drop("kept").unionByName(blank, allowMissingColumns=True)
+    return marked.where("kept").drop("kept").unionByName(_blank(empty), allowMissingColumns=True)
+
+
+def _blank(frames: DataFrame) -> DataFrame:
+    return frames.withColumns({"category_id": F.lit(UNKNOWN), "confidence": F.lit(0.0)})
+
+
+def keep_frames(kept: DataFrame, det: DataFrame, frame: list[str]) -> DataFrame:
+    """What a filter kept, and a detection of unknown category without confidence for each frame of det that it kept nothing of,
+    so that the frame goes on."""
+    lost = det.select(*frame).distinct().join(kept.select(*frame).distinct(), frame, "left_anti")
+    return kept.unionByName(_blank(lost), allowMissingColumns=True)
 
 
 def pairs(det: DataFrame, filters: DataFrame) -> DataFrame:

@@ -8,26 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.text import answer
+from sightline.operators.asof import as_of
 from sightline.operators.fold import fold
 
 CAPACITY = 10
 
 
-def route(events: DataFrame, key: str = "device_id", order: tuple[str, ...] = ("event_ts", "event_id"), capacity: int = CAPACITY) -> DataFrame:
-    """From events (key, order..., event_id, vlm_required, ready) the rows (key, event_id, at, target, vlm_status).
+def route(events: DataFrame, key: str = "device_id", order: tuple[str, ...] = ("event_ts", "event_id"), capacity: int = CAPACITY, message: str = "event_id") -> DataFrame:
+    """From events (key, order..., event_id, vlm_required, ready, and the message that they came in) the rows (key, event_id,
+    at, target, vlm_status). Events of a message follow each other in the order.
 
-    With a ready verifier a waiting event goes to it first. An event that needs no verification becomes an alert; else it
-    goes to a ready verifier or waits, and a full queue gives up its oldest as an alert that timed out. What still
-    waits at the end is returned as queued. at is the event that caused the routing."""
+    With a ready verifier one waiting event goes to it before each message. An event that needs no verification becomes an
+    alert; else it goes to a ready verifier or waits, and a full queue gives up its oldest as an alert that timed out. What
+    still waits at the end is returned as queued. at is the event that caused the routing."""
     kind = events.schema[key].dataType.simpleString()
 
     class Router:
         def __init__(self, row):
-            self.key, self.queue, self.last = row[key], deque(), None
+            self.key, self.queue, self.last, self.message = row[key], deque(), None, None
 
         def step(self, row):
             at = self.last = row["event_id"]
-            if self.queue and row["ready"]:
+            opens, self.message = self.message is None or row[message] != self.message[0], (row[message],)
+            if opens and self.queue and row["ready"]:
                 yield self.key, self.queue.popleft(), at, "verify", None
             if not row["vlm_required"]:
                 yield self.key, at, at, "alerts", None
@@ -45,6 +48,27 @@ def route(events: DataFrame, key: str = "device_id", order: tuple[str, ...] = ("
     return fold(events, [key], list(order), f"{key} {kind}, event_id long, at long, target string, vlm_status string", Router)
 
 
+def with_ready(events: DataFrame, runs: DataFrame, key: str = "device_id", at: str = "seconds") -> DataFrame:
+    """Events with ready: whether the verifier is free at their time. runs are the verifier's own (key, started, finished, in
+    the unit of at); it takes one at a time, so that the last one begun tells. It is free again at the moment it finishes."""
+    busy = runs.select(key, F.col("started").alias(at), "finished")
+    found = as_of(events, busy, [key], at)
+    return found.withColumn("ready", F.coalesce(F.col("found.finished") <= F.col(at), F.lit(True))).drop("found")
+
+
+def counters(routed: DataFrame) -> DataFrame:
+    """One row: what a router has counted, from its own rows."""
+    gone = F.col("target") != "queued"
+    late = F.coalesce(F.col("vlm_status") == "timeout", F.lit(False))
+    return routed.agg(
+        F.count_if((F.col("target") == "alerts") & ~late).alias("routed_to_alerts"),
+        F.count_if(F.col("target") == "verify").alias("routed_to_verifier"),
+        F.count_if(~gone | late | ((F.col("target") == "verify") & (F.col("at") != F.col("event_id")))).alias("queued"),
+        F.count_if(late).alias("timeouts"),
+        F.count_if(~gone).alias("still_waiting"),
+    )
+
+
 def outcome(response: Column, has_crop: Column) -> tuple[Column, Column]:
     """(status, published) of a verifier's response: a plain no is not published; without a crop it is invalid."""
     confirmed, valid = answer(response)

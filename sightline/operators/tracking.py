@@ -13,9 +13,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.asof import as_of
 from sightline.operators.fold import fold
 from sightline.vocab import PERSON, TRACK_COSINE, TRACK_IOU
 
@@ -142,20 +143,9 @@ def message_times(messages: DataFrame) -> DataFrame:
 
 
 def previous_times(rows: DataFrame, times: DataFrame, slot: float = 3600.0) -> DataFrame:
-    """Rows (device_id, seconds, ...) with since, the time of the device's last message before them.
-
-    The lag runs within slots of time and then over the slots' last times, so that a device of very many messages is dealt
-    over its slots; rows that are no message themselves (answers) take part in the lag without being counted."""
-    at = F.floor(F.col("seconds") / slot)
-    points = times.select("device_id", "seconds", F.lit(True).alias("told")).union(rows.select("device_id", "seconds", F.lit(False)))
-    points = points.groupBy("device_id", "seconds").agg(F.bool_or("told").alias("told")).withColumn("slot", at)
-    told = F.when(F.col("told"), F.col("seconds"))
-    inner = Window.partitionBy("device_id", "slot").orderBy("seconds").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = points.groupBy("device_id", "slot").agg(F.max(told).alias("last"))
-    outer = Window.partitionBy("device_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = lasts.select("device_id", "slot", F.max("last").over(outer).alias("before"))
-    clock = points.select("device_id", "seconds", "slot", F.max(told).over(inner).alias("within")).join(before, ["device_id", "slot"])
-    return rows.join(clock.select("device_id", "seconds", F.coalesce("within", "before").alias("since")), ["device_id", "seconds"])
+    """Rows (device_id, seconds, ...) with since, the time of the device's last message before them."""
+    found = as_of(rows, times, ["device_id"], "seconds", strict=True, slot=slot)
+    return found.withColumn("since", F.col("found.seconds")).drop("found")
 
 
 def with_answers(observed: DataFrame, answers: DataFrame) -> DataFrame:

@@ -100,12 +100,21 @@ def color_requirements(spark, sf_dir):
     return filters.color_requirements(fixtures.filters(spark), asked)
 
 
+@query("""WITH asked AS (SELECT CAST(l_partkey AS VARCHAR) AS filter_id, CAST(l_suppkey % 80 AS INT) AS category_id, l_returnflag AS region, CAST(l_linenumber * 30 AS INT) AS r, CAST(l_quantity AS INT) AS g, 0 AS b FROM lineitem),
+enabled AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS filter_id, unnest([p_partkey % 37, p_size + 20]) AS category_id FROM part)
+SELECT DISTINCT category_id, region, r, g, b FROM asked JOIN enabled USING (filter_id, category_id)""")
+def stored_color_requirements(spark, sf_dir):
+    """What filters that are rows of a table ask for by category and region."""
+    asked = fixtures.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("filter_id"), (F.col("l_suppkey") % 80).cast("int").alias("category_id"), F.col("l_returnflag").alias("region"), (F.col("l_linenumber") * 30).cast("int").alias("r"), F.col("l_quantity").cast("int").alias("g"), F.lit(0).alias("b"))
+    return filters.color_requirements(fixtures.stored_filters(spark, sf_dir), asked)
+
+
 #: What filters ask for in the query: (filter_id, category_id, region, r, g, b).
 _WANTED = (("f2", 0, "top", 220, 60, 40), ("f2", 0, "bottom", 30, 40, 200), ("f2", 0, "nowhere", 0, 0, 0), ("f4", 2, "middle-top", 130, 125, 135), ("f3", 15, "nowhere", 1, 2, 3), ("f3", 16, "middle-bottom", 230, 230, 225))
 _PARTS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in IMAGE_REGIONS.items())
 
 
-@query(f"""{ALL_DET}, {PIXELS}, wanted AS (SELECT * FROM (VALUES {', '.join(map(str, _WANTED))}) AS t(filter_id, category_id, region, tr, tg, tb)),
+_SHOWN = f"""{ALL_DET}, {PIXELS}, wanted AS (SELECT * FROM (VALUES {', '.join(map(str, _WANTED))}) AS t(filter_id, category_id, region, tr, tg, tb)),
 pictured AS (SELECT * FROM matched WHERE det_id IN (SELECT region_id FROM px)),
 parts AS (SELECT * FROM (VALUES {_PARTS}) AS t(region, a, b)),
 asked AS (SELECT DISTINCT det_id, filter_id, region, tr, tg, tb, 8 * a AS top, 8 * (b - a) AS high FROM pictured JOIN wanted USING (filter_id, category_id) JOIN parts USING (region)),
@@ -114,8 +123,11 @@ close AS (SELECT det_id, filter_id, region, tr, tg, tb, CASE WHEN greatest(tr, t
         ELSE sqrt(pow(r - tr, 2) + pow(g - tg, 2) + pow(b - tb, 2)) <= 100 END AS hit
     FROM asked JOIN px ON px.region_id = det_id WHERE px_y >= top AND px_y < top + high
     AND pow((px_x - 4.0) / (4.0 * 0.95), 2) + pow((px_y - top - high / 2) / (high / 2 * 0.95), 2) <= 1),
-shown AS (SELECT DISTINCT det_id, filter_id FROM (SELECT det_id, filter_id, avg(CASE WHEN hit THEN 100.0 ELSE 0.0 END) AS pct FROM close GROUP BY det_id, filter_id, region, tr, tg, tb) WHERE pct >= 20)
-SELECT det_id, filter_id FROM pictured WHERE (filter_id, category_id) NOT IN (SELECT (filter_id, category_id) FROM wanted) OR (det_id, filter_id) IN (SELECT (det_id, filter_id) FROM shown)""")
+shown AS (SELECT DISTINCT det_id, filter_id FROM (SELECT det_id, filter_id, avg(CASE WHEN hit THEN 100.0 ELSE 0.0 END) AS pct FROM close GROUP BY det_id, filter_id, region, tr, tg, tb) WHERE pct >= 20)"""
+_FITS = """(filter_id, category_id) NOT IN (SELECT (filter_id, category_id) FROM wanted) OR (det_id, filter_id) IN (SELECT (det_id, filter_id) FROM shown)"""
+
+
+@query(f"{_SHOWN} SELECT det_id, filter_id FROM pictured WHERE {_FITS}")
 def color_filter_match(spark, sf_dir):
     """Detections and filters that match by category, attributes and colours; crops are pixel rows of 8 by 8."""
     wanted = spark.createDataFrame(list(_WANTED), "filter_id string, category_id int, region string, r int, g int, b int")
@@ -124,6 +136,19 @@ def color_filter_match(spark, sf_dir):
     return filters.match_colors(filters.match(fixtures.detections(spark, sf_dir), flt), wanted, px, 8, 8).select("det_id", "filter_id")
 
 
+@query(f"""{_SHOWN}, kept AS (SELECT DISTINCT device_id, frame_ts, det_id, category_id FROM pictured WHERE {_FITS})
+SELECT device_id, strftime(frame_ts, '%Y-%m-%d') AS frame, det_id, category_id FROM kept
+UNION ALL SELECT DISTINCT device_id, strftime(frame_ts, '%Y-%m-%d'), NULL, -1 FROM det WHERE (device_id, frame_ts) NOT IN (SELECT (device_id, frame_ts) FROM kept)""")
+def color_filter_placeholder(spark, sf_dir):
+    """Detections that match a filter with its colours; a frame that loses all of its own goes on with a placeholder."""
+    wanted = spark.createDataFrame(list(_WANTED), "filter_id string, category_id int, region string, r int, g int, b int")
+    px = fixtures.pixels(spark, sf_dir).withColumnRenamed("region_id", "det_id")
+    det = fixtures.detections(spark, sf_dir)
+    found = filters.match_colors(filters.match(det, fixtures.filters(spark)), wanted, px, 8, 8)
+    kept = found.select("device_id", "frame_ts", "det_id", "category_id").distinct()
+    return filters.keep_frames(kept, det, ["device_id", "frame_ts"]).select("device_id", F.date_format("frame_ts", "yyyy-MM-dd").alias("frame"), "det_id", "category_id")
+
+
 #: Colours by attribute: (filter_id, attribute, r, g, b).
 _WORN = (("f2", "UpperStride", 220, 60, 40), ("f2", "Trousers", 130, 125, 135), ("f1", "ShortSleeve", 200, 120, 120))
 _WORN_PARTS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in PERSON_REGIONS.items())

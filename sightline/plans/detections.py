@@ -53,6 +53,17 @@ def merged_category_mask(spark, sf_dir):
     return filters.merged_mask(fixtures.filters(spark)).select(F.array_join(digits, "").alias("cat_mask"))
 
 
+#: Filters that are rows of a table.
+_STORED = f"stored AS (SELECT CAST(p_partkey AS VARCHAR) AS filter_id, [p_partkey % 37, p_size + 20] AS cats, CAST(p_partkey * 40503 % 67108864 AS INT) AS attr_mask FROM part)"  # noqa: F541
+
+
+@query(f"WITH {_STORED}, used AS (SELECT DISTINCT unnest(cats) AS c FROM stored) SELECT string_agg(CASE WHEN i IN (SELECT c FROM used) THEN '1' ELSE '0' END, '' ORDER BY i) AS cat_mask FROM (SELECT unnest(range({len(CATEGORIES)})) AS i)")
+def stored_category_mask(spark, sf_dir):
+    """The merged mask of filters that are rows of a table."""
+    digits = F.transform("cat_mask", lambda on: on.cast("int").cast("string"))
+    return filters.merged_mask(fixtures.stored_filters(spark, sf_dir)).select(F.array_join(digits, "").alias("cat_mask"))
+
+
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 _ATTRS = "[" + ", ".join(f"'{a}'" for a in ATTRIBUTES) + "]"
 
@@ -65,6 +76,13 @@ def mask_to_names(spark, sf_dir):
     return fixtures.filters(spark).select("filter_id", name(filters.enabled(F.col("cat_mask")), CATEGORIES).alias("categories"), name(filters.bits_of(F.col("attr_mask"), 26), ATTRIBUTES).alias("attributes"), F.bit_count("attr_mask").cast("long").alias("n_attributes"))
 
 
+@query(f"""WITH {_STORED} SELECT filter_id, (SELECT string_agg({_NAMES}[i + 1], ',' ORDER BY i) FROM (SELECT DISTINCT unnest(cats) AS i)) AS categories,
+coalesce((SELECT string_agg({_ATTRS}[i + 1], ',' ORDER BY i) FROM (SELECT unnest(range(26)) AS i) WHERE attr_mask >> i & 1 = 1), '') AS attributes FROM stored""")
+def stored_filter_names(spark, sf_dir):
+    name = lambda ids, words: F.array_join(F.transform(ids, lambda i: F.get(F.array(*map(F.lit, words)), i)), ",")
+    return fixtures.stored_filters(spark, sf_dir).select("filter_id", name(filters.enabled(F.col("cat_mask")), CATEGORIES).alias("categories"), name(filters.bits_of(F.col("attr_mask"), 26), ATTRIBUTES).alias("attributes"))
+
+
 @query(f"{ALL_DET} SELECT det_id, filter_id FROM pairs WHERE attr_bits & attr_mask = attr_mask")
 def attribute_all_match(spark, sf_dir):
     return filters.all_attributes(*_both(spark, sf_dir)).select("det_id", "filter_id")

@@ -50,16 +50,17 @@ FROM run WHERE fired AND {until}"""
 
 
 def routes(events: str, capacity: int) -> str:
-    """Routing to alerts or a busy verifier; events is a query with device_id, event_ts, event_id, vlm_required and ready."""
+    """Routing to alerts or a busy verifier; events is a query with device_id, event_ts, event_id, message, vlm_required and ready."""
     given = "STRUCT(event_id BIGINT, target VARCHAR, vlm_status VARCHAR)[]"
     one = lambda e, target, status="NULL": f"[{{'event_id': {e}, 'target': '{target}', 'vlm_status': {status}}}]"
-    return f"""WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY event_ts, event_id) AS step FROM ({events})),
+    return f"""WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY event_ts, event_id) AS step,
+    row_number() OVER (PARTITION BY device_id, message ORDER BY event_ts, event_id) = 1 AS opens FROM ({events})),
 run AS (
     SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS cause, CAST([] AS BIGINT[]) AS queue, CAST([] AS {given}) AS out FROM ev
     UNION ALL
     SELECT device_id, step, event_id, CASE WHEN NOT vlm_required OR ready THEN rest WHEN len(rest) >= {capacity} THEN list_append(rest[2:], event_id) ELSE list_append(rest, event_id) END,
         CAST(first || CASE WHEN NOT vlm_required THEN {one("event_id", "alerts")} WHEN ready THEN {one("event_id", "verify")} WHEN len(rest) >= {capacity} THEN {one("rest[1]", "alerts", "'timeout'")} ELSE [] END AS {given})
-    FROM (SELECT ev.*, CASE WHEN ready THEN queue[2:] ELSE queue END AS rest, CAST(CASE WHEN ready AND len(queue) > 0 THEN {one("queue[1]", "verify")} ELSE [] END AS {given}) AS first
+    FROM (SELECT ev.*, CASE WHEN ready AND opens THEN queue[2:] ELSE queue END AS rest, CAST(CASE WHEN ready AND opens AND len(queue) > 0 THEN {one("queue[1]", "verify")} ELSE [] END AS {given}) AS first
         FROM run JOIN ev ON ev.device_id = run.device_id AND ev.step = run.n + 1)),
 gone AS (SELECT device_id, cause, unnest(out) AS o FROM run),
 waiting AS (SELECT device_id, cause, unnest(queue) AS event_id FROM run QUALIFY n = max(n) OVER (PARTITION BY device_id))

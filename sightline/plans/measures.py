@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.operators import history, metrics, routing
+from sightline.operators import history, instruments, metrics, queues, routing
 from sightline.plans.base import MESSAGES, POINTS, query
 from sightline.sources import fixtures
 
@@ -202,6 +202,34 @@ def log_rate_cap(spark, sf_dir):
     return history.rate_cap(logs.where("level >= 20"), ["device_id"], "ts", ["msg_id"], 86_400_000, 2).select("device_id", "msg_id", "level")
 
 
+#: A device's log queue: room for three records, one of which leaves at the end of each tick of twelve hours.
+_ROOM, _TICK_MS = 3, 43_200_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS device_id, event_id AS msg_id, CAST(epoch_us(ts) // {_TICK_MS * 1000} AS BIGINT) AS tick FROM events WHERE event_type <> 'error'),
+came AS (SELECT device_id, tick, count(*) AS n, row_number() OVER (PARTITION BY device_id ORDER BY tick) AS i FROM e GROUP BY 1, 2),
+run AS (SELECT device_id, tick, n, i, CAST(0 AS BIGINT) AS waiting, least(n, {_ROOM}) AS accepted FROM came WHERE i = 1
+    UNION ALL SELECT device_id, c.tick, c.n, c.i, left_over, least(c.n, {_ROOM} - left_over)
+    FROM (SELECT run.device_id, c, greatest(0, run.waiting + run.accepted - (c.tick - run.tick)) AS left_over FROM run JOIN came AS c ON c.device_id = run.device_id AND c.i = run.i + 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY device_id, tick ORDER BY msg_id) AS nth FROM e)
+SELECT device_id, msg_id, tick, nth <= accepted AS kept, CASE WHEN nth <= accepted THEN tick + waiting + nth - 1 END AS sent_tick FROM placed JOIN run USING (device_id, tick)""")
+def log_queue(spark, sf_dir):
+    """Log records of a level or above in a bounded queue: which find room, and when those leave."""
+    logs = fixtures.table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("user_id").alias("device_id"), F.col("event_id").alias("msg_id"), "ts")
+    return queues.bounded(logs, ["device_id"], "ts", ["msg_id"], capacity=_ROOM, drain=1, tick_ms=_TICK_MS, slot_ticks=16).drop("ts")
+
+
+_SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(f"""{_W}, b AS (SELECT series, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.01 / 0.99)) END AS k, count(*) AS n FROM points WHERE value IS NOT NULL GROUP BY 1, 2),
+ranked AS (SELECT series, k, sum(n) OVER (PARTITION BY series ORDER BY k NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY series) AS total FROM b)
+SELECT series, CAST(max(total) AS BIGINT) AS n, {', '.join(f"round(coalesce(2 * pow(1.01 / 0.99, min(k) FILTER (upto > floor({q} * (total - 1)))) / (1.01 / 0.99 + 1), 0), 6) AS {name}" for name, q in _SHARES.items())} FROM ranked GROUP BY series""")
+def metric_quantiles(spark, sf_dir):
+    """Quantiles of each series within one percent, by a pluggable instrument."""
+    return _round(instruments.measure(_points(spark, sf_dir), ["series"], instruments.Quantiles(_SHARES, 0.01)), *_SHARES)
+
+
 @query(f"""{_W}, s AS (SELECT device_id, avg(value) AS fps, count(*) AS n FROM points WHERE series = 'pipeline.fps' GROUP BY 1)
 SELECT device_id, CASE WHEN fps >= 25 THEN 'good' WHEN fps >= 15 THEN 'fair' ELSE 'poor' END AS band, round(least(100, fps), 4) AS pct, round(CASE WHEN fps <= 0 THEN 1 ELSE 1 / fps END, 6) AS frame_seconds FROM s""")
 def fps_bands(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import text
 from sightline.operators import configs, devices, flow, history, requests, trees
 from sightline.plans.base import MESSAGES, query
-from sightline.sources import bus, fixtures
+from sightline.sources import bus, fixtures, images
 from sightline.vocab import ATTRIBUTES, CATEGORIES
 
 _AS_OF = "2024-01-31 00:00:00"
@@ -335,6 +335,35 @@ def flow_fork_merge(spark, sf_dir):
     return flow.merge([forked, again], ["event_id"]).select("label", "event_id", "user_id")
 
 
+_LIMIT = 50_000
+_HALVED = f"h AS (SELECT o_orderkey, CAST(greatest(0, ceil(log2(o_totalprice / {_LIMIT}))) AS INT) AS need FROM orders)"
+
+
+@query(f"""WITH {_HALVED}, rounds AS (SELECT k, count_if(need > k) AS above, count(*) AS n FROM h, (SELECT unnest(range(64)) AS k) GROUP BY k),
+ends AS (SELECT 'broken' AS loop, min(k) FILTER (20 * above < n) AS rounds, 1 AS code FROM rounds UNION ALL SELECT 'settled', min(k) FILTER (above = 0) + 1, 0 FROM rounds)
+SELECT loop, CAST(rounds AS INT) AS rounds, CAST(code AS INT) AS code, least(need, CAST(rounds AS INT)) AS halvings, count(*) AS n FROM h, ends GROUP BY ALL""")
+def flow_loop(spark, sf_dir):
+    """Halve the totals above a limit, once until nothing changes and once until few are above it (a break with a code)."""
+    start = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("total"), F.lit(0).alias("halvings"))
+    above = F.col("total") > _LIMIT
+    step = lambda df, n: df.select("o_orderkey", F.when(above, F.col("total") / 2).otherwise(F.col("total")).alias("total"), (F.col("halvings") + above.cast("int")).alias("halvings"))
+    runs = {"settled": flow.loop(start, step), "broken": flow.loop(start, step, breaks={1: F.count_if(above) * 20 < F.count("*")})}
+    shown = lambda name, r: r.rows.groupBy("halvings").agg(F.count("*").alias("n")).select(F.lit(name).alias("loop"), F.lit(r.rounds).alias("rounds"), F.lit(r.code).alias("code"), "halvings", "n")
+    return shown("settled", runs["settled"]).unionByName(shown("broken", runs["broken"]))
+
+
+_PATH = "'root/' || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_type || '/' ELSE p_type || '/' || p_brand || '/' END || p_partkey || '.jpg'"
+
+
+@query(f"""WITH files AS (SELECT p_partkey, {_PATH} AS path FROM part), parts AS (SELECT *, string_split(path, '/') AS s FROM files)
+SELECT p_partkey, path, row_number() OVER (ORDER BY list_transform(s, lambda x, i: CASE WHEN i = len(s) THEN '0' ELSE '1' END || x)) AS place FROM parts""")
+def image_reading_order(spark, sf_dir):
+    """Paths of pictures in the order in which a folder is read: its files first, then its subfolders, each by name."""
+    brand = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.concat("p_type", F.lit("/"))).otherwise(F.concat("p_type", F.lit("/"), "p_brand", F.lit("/")))
+    files = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("root/"), brand, F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("path"))
+    return images.numbered(files, "path")
+
+
 @query(f"""WITH {MESSAGES}, placed AS (SELECT msg_id, topic, split_part(topic, '/', 2) AS device, split_part(topic, '/', 3) AS kind, row_number() OVER (PARTITION BY topic ORDER BY ts DESC, msg_id DESC) AS place FROM messages)
 SELECT device, kind, msg_id, place FROM placed WHERE place <= CASE kind WHEN 'click' THEN 200 WHEN 'view' THEN 50 WHEN 'purchase' THEN 20 ELSE 3 END""")
 def client_caps(spark, sf_dir):

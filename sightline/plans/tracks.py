@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.operators import filters, routing, tracking
@@ -52,7 +53,7 @@ def verification_feedback(spark, sf_dir):
     return _shown(tracking.confirmations(*_matched(spark, sf_dir, F.col("category_id") == 0), RULES, verify))
 
 
-@query(machines.routes("SELECT user_id AS device_id, ts AS event_ts, event_id, event_type IN ('click', 'view') AS vlm_required, event_type = 'purchase' AS ready FROM events", 3))
+@query(machines.routes("SELECT user_id AS device_id, ts AS event_ts, event_id, event_id AS message, event_type IN ('click', 'view') AS vlm_required, event_type = 'purchase' AS ready FROM events", 3))
 def route_verification(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events")
     kind = F.col("event_type")
@@ -60,6 +61,38 @@ def route_verification(spark, sf_dir):
     return routing.route(events, capacity=3)
 
 
+#: A device's day is one message at noon; each purchase keeps the verifier busy for as many hours as its value, or
+#: until the next begins.
+_NOON = "epoch_us(date_trunc('day', ts)) / 1e6 + 43200"
+_RUNS = "runs AS (SELECT user_id AS device_id, epoch_us(ts) / 1e6 AS started, least(epoch_us(ts) / 1e6 + floor(value) * 3600, coalesce(lead(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id), 1e18)) AS finished FROM events WHERE event_type = 'purchase')"
+_BUSY = f"""WITH {_RUNS}, told AS (SELECT user_id AS device_id, event_id, {_NOON} AS event_ts, {_NOON} AS message, event_type IN ('click', 'view') AS vlm_required FROM events)
+SELECT told.*, coalesce(finished <= event_ts, true) AS ready FROM told ASOF LEFT JOIN runs ON told.device_id = runs.device_id AND told.event_ts >= runs.started"""
+
+
+def _routed_by_messages(spark, sf_dir):
+    e = fixtures.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    noon = (seconds(F.date_trunc("day", "ts")) + 43200).alias("event_ts")
+    events = e.select(F.col("user_id").alias("device_id"), "event_id", noon, F.col("event_type").isin("click", "view").alias("vlm_required"))
+    runs = e.where("event_type = 'purchase'").select(F.col("user_id").alias("device_id"), seconds(F.col("ts")).alias("started"), (F.floor("value") * 3600).alias("took"), "event_id")
+    begins = F.lead("started").over(W.partitionBy("device_id").orderBy("started", "event_id"))
+    runs = runs.select("device_id", "started", F.least(F.col("started") + F.col("took"), begins).alias("finished"))
+    return routing.route(routing.with_ready(events, runs, at="event_ts"), capacity=2, message="event_ts")
+
+
+@query(machines.routes(_BUSY, 2))
+def route_by_messages(spark, sf_dir):
+    """Messages of several events, of which only one waiting event is taken each; readiness follows from the verifier's runs."""
+    return _routed_by_messages(spark, sf_dir)
+
+
+@query(f"""SELECT count(*) FILTER (target = 'alerts' AND vlm_status IS NULL) AS routed_to_alerts, count(*) FILTER (target = 'verify') AS routed_to_verifier,
+count(*) FILTER (target = 'queued' OR vlm_status IS NOT NULL OR (target = 'verify' AND "at" <> event_id)) AS queued, count(*) FILTER (vlm_status = 'timeout') AS timeouts, count(*) FILTER (target = 'queued') AS still_waiting
+FROM ({machines.routes(_BUSY, 2)})""")
+def router_counters(spark, sf_dir):
+    return routing.counters(_routed_by_messages(spark, sf_dir))
+
+
 _SAID = "CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no.' WHEN 2 THEN '?' ELSE 'YES' END"
 
 
@@ -69,6 +102,25 @@ def verifier_outcomes(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "events").where(published).select("event_id", status.alias("vlm_status"))
 
 
+_TABLES = {"alerts": "event_type = 'purchase'", "heartbeats": "event_type = 'view'", "registrations": "event_type = 'signup'"}
+_REASON = "CASE WHEN coalesce(value, 0) <= 0 OR value >= 150 THEN 'invalid' WHEN user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) THEN 'orphan' END"
+_CHOICE = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for t, c in _TABLES.items()) + " END"
+
+
+@query(f"""WITH told AS (SELECT event_id, {_REASON} AS fault, {_CHOICE} AS choice FROM events)
+SELECT CASE WHEN fault IS NULL AND choice IS NOT NULL THEN choice ELSE 'dead' END AS kept_in, CASE WHEN fault IS NOT NULL THEN fault WHEN choice IS NULL THEN 'no table' END AS reason,
+count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM told GROUP BY 1, 2""")
+def stream_split(spark, sf_dir):
+    """One stream of messages dealt over several tables, with orphans and invalid ones as dead letters."""
+    base = new_folder(spark, "stream")
+    events = live.read_table(spark, f"{sf_dir}/events.parquet")
+    devices = lambda s: fixtures.table(s, sf_dir, "customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("user_id"))
+    write = live.split_tables(f"{base}/out", {t: F.expr(c) for t, c in _TABLES.items()}, {"invalid": F.expr("value > 0 and value < 150")}, devices, "user_id")
+    live.run_once(events, f"{base}/checkpoint", foreach=write)
+    out = live.read_split(spark, f"{base}/out", events.schema)
+    return out.groupBy(F.col("table").alias("kept_in"), "reason").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(f"WITH {POINTS} SELECT device_id, series, max(seq) AS seq FROM points GROUP BY 1, 2")
 def stream_last_n(spark, sf_dir):
     """Newest point by device and series, kept by a stream over all that is there."""

@@ -94,6 +94,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df as rows whose size Spark knows, so that joins with it are planned by that, if there are at most so many (it is
+    computed for this); else df as it is."""
+    found = df.limit(rows + 1).toArrow()
+    return df if found.num_rows > rows else df.sparkSession.createDataFrame(found, df.schema)
+
+
 def release(*written: DataFrame) -> None:
     """Delete tables that materialize wrote and nothing will read again."""
     for df in written:

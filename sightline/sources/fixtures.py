@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,16 @@ def detections_of(events: DataFrame) -> DataFrame:
 
 def filters(spark: SparkSession) -> DataFrame:
     rows = [(i, n, [c in on for c in range(len(CATEGORIES))], a, o) for i, n, on, a, o in FILTERS]
-    return spark.createDataFrame(rows, "filter_id string, name string, cat_mask array<boolean>, attr_mask int, ord int")
+    kinds = {"filter_id": pa.string(), "name": pa.string(), "cat_mask": pa.list_(pa.bool_()), "attr_mask": pa.int32(), "ord": pa.int32()}
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds)))
+
+
+def stored_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters as rows of a table: each part enables two categories and asks for some attributes."""
+    p = table(spark, sf_dir, "part")
+    slots = F.sequence(F.lit(0), F.lit(len(CATEGORIES) - 1))
+    on = F.transform(slots, lambda i: (i == F.col("p_partkey") % 37) | (i == F.col("p_size") + 20))
+    return p.select(F.col("p_partkey").cast("string").alias("filter_id"), F.col("p_name").alias("name"), on.alias("cat_mask"), (F.col("p_partkey") * 40503 % 67108864).cast("int").alias("attr_mask"), F.col("p_partkey").cast("int").alias("ord"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.operators.ordered import numbered as in_order
+
 #: Extensions in any letter case.
 PATTERN = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 
@@ -23,3 +25,8 @@ def reading_order(path: Column) -> Column:
     """Sort key of a depth-first walk that reads a folder's files before its subfolders, each by name."""
     parts = F.split(path, "/")
     return F.transform(parts, lambda p, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), p))
+
+
+def numbered(files: DataFrame, path: str) -> DataFrame:
+    """files with their place (from 1) in the reading order of all paths."""
+    return in_order(files.withColumn("order_", reading_order(F.col(path))), ["order_"], "place").drop("order_")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from sightline.operators.tracking import OUT, Rules, Tracker
 
@@ -124,6 +125,40 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def split_tables(path: str, tables: dict[str, Column], checks: dict[str, Column] | None = None, known: Callable[[SparkSession], DataFrame] | None = None, key: str = "device_id"):
+    """A foreachBatch function that deals messages over tables below path, and what none takes over to a dead-letter table.
+
+    tables: the condition of each table, of which the first that holds counts; checks: reasons with the conditions of a good
+    message; known: the devices that exist (read anew for each batch), of which others' messages are orphans. A dead letter
+    has its reason: that of the first check that fails, "orphan", or "no table". Each batch is written under its epoch, over what
+    an earlier try has left there, so that a repeated epoch changes nothing; read_split reads the tables."""
+    choice = F.lit(None).cast("string")
+    for name, condition in reversed(tables.items()):
+        choice = F.when(condition, F.lit(name)).otherwise(choice)
+    fault = F.lit(None).cast("string")
+    for reason, good in reversed((checks or {}).items()):
+        fault = F.when(~F.coalesce(good, F.lit(False)), F.lit(reason)).otherwise(fault)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch.withColumn("reason", fault)
+        if known is not None:
+            there = known(batch.sparkSession).select(key, F.lit(True).alias("there_")).distinct()
+            rows = rows.join(there, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("there_").isNull(), F.lit("orphan")))).drop("there_")
+        placed = rows.withColumn("table", F.when(F.col("reason").isNull(), choice))
+        placed = placed.withColumn("reason", F.when(F.col("table").isNull(), F.coalesce("reason", F.lit("no table"))))
+        placed = placed.withColumn("table", F.coalesce("table", F.lit("dead")))
+        # one write for all tables: the committed epoch has all of them or none
+        placed.write.partitionBy("table").mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def read_split(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """What split_tables wrote: the messages (of this schema) with their table, reason and epoch."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(StructType([*schema.fields, *StructType.fromDDL("reason string, table string, epoch long").fields])).parquet(path)
+
+
 def run_once(stream: DataFrame, checkpoint: str, mode: str = "append", **sink) -> None:
     """Run a stream over all that is there; sink is foreach=function or path=folder."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -240,3 +240,17 @@ def test_region_settings(spark):
     rows = spark.createDataFrame([("[0.1, 0.2]",), ('{"start": 0.3}',), (None,), ("nonsense",), ("[]",)], "s string")
     begin, end = configs.region(F.col("s"))
     assert [tuple(r) for r in rows.select(begin, end).collect()] == [(0.1, 0.2), (0.3, 1.0), (0.0, 1.0), (0.0, 1.0), (0.0, 1.0)]
+
+
+def test_loop_ends(spark):
+    start = spark.createDataFrame([(1, 0), (2, 5), (3, 9)], "id int, left int")
+    down = lambda df, n: df.select("id", F.greatest(F.lit(0), F.col("left") - 1).alias("left"))
+    done = flow.loop(start, down)
+    assert (done.rounds, done.code) == (10, 0) and {r.left for r in done.rows.collect()} == {0}
+    few = flow.loop(start, down, breaks={3: F.max("left") < -1, 7: F.count_if(F.col("left") > 0) < 2})
+    assert (few.rounds, few.code) == (5, 7) and sorted(r.left for r in few.rows.collect()) == [0, 0, 4]
+    sums = flow.loop(start, down, settled=lambda df: F.count_if(F.col("left") > 6))
+    assert sums.rounds == 1
+    assert flow.loop(start.limit(0), down).code == 0
+    with pytest.raises(RuntimeError, match="did not settle in 4 rounds"):
+        flow.loop(start, down, most=4)

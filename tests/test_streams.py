@@ -85,3 +85,19 @@ def test_tracks_over_triggers_and_a_restart(spark, tmp_path):
 
 def test_newest_of_unsorted_files(spark, sf, eight):
     assert same_rows(QUERIES["stream_last_n"](spark, eight), ORACLE_SQL["stream_last_n"], database(sf)) > 0
+
+
+def test_a_repeated_epoch_changes_nothing(spark, tmp_path):
+    schema = "device_id long, kind string, value int"
+    known = lambda s: s.createDataFrame([(1,), (2,)], "device_id long")
+    write = live.split_tables(str(tmp_path / "out"), {"a": F.col("kind") == "a", "late": F.col("kind").startswith("a"), "b": F.col("kind") == "b"}, {"no value": F.col("value").isNotNull(), "negative": F.col("value") >= 0}, known)
+    first = spark.createDataFrame([(1, "a", 1), (1, "ab", 2), (2, "b", None), (2, "b", -1), (3, "b", 5), (None, "a", 1), (1, "c", 1), (1, None, 1)], schema)
+    second = spark.createDataFrame([(2, "b", 7)], schema)
+    rows = lambda: sorted((r.epoch, r.table, r.reason or "", r.kind or "", -9 if r.value is None else r.value) for r in live.read_split(spark, str(tmp_path / "out"), schema).collect())
+    write(first, 0)
+    want = [(0, "a", "", "a", 1), (0, "dead", "negative", "b", -1), (0, "dead", "no table", "", 1), (0, "dead", "no table", "c", 1), (0, "dead", "no value", "b", -9), (0, "dead", "orphan", "a", 1), (0, "dead", "orphan", "b", 5), (0, "late", "", "ab", 2)]
+    assert rows() == want
+    write(second, 1)
+    write(first, 0)
+    write(second, 1)
+    assert rows() == [*want, (1, "b", "", "b", 7)]
