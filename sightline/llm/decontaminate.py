@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -316,8 +315,8 @@ def _pieces(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataF
     return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> str:
-    """Write the windows of a benchmark in blocks of about limit bytes of text, for tasks to read; returns their folder's name."""
+def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> list[str]:
+    """Write the windows of a benchmark in blocks of about limit bytes of text, for tasks to read; returns the names of files."""
     spark = benchmark.sparkSession
     pieces = _pieces(benchmark, item_id, text, window)
     total = int(pieces.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0])
@@ -330,15 +329,17 @@ def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
 
     path = new_folder(spark, "windows")
     pieces.withColumn("block", block).groupBy("block").applyInArrow(build, schema).write.parquet(path)
-    spark.sparkContext.addFile(path, recursive=True)
-    return path.rpartition("/")[2]
+    files = spark.read.parquet(path).inputFiles()
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rpartition("/")[2] for f in files]
 
 
 class Blocks:
     """The blocks that write_blocks has left, as a task reads them; a single one is kept."""
 
-    def __init__(self, folder: str):
-        self.files = [pq.ParquetFile(f) for f in sorted(Path(SparkFiles.get(folder)).glob("*.parquet"))]
+    def __init__(self, files: list[str]):
+        self.files = [pq.ParquetFile(SparkFiles.get(f)) for f in files]
         found = [np.frombuffer(h.as_buffer(), np.uint64) for f in self.files for b in f.iter_batches(1, columns=["hashes"]) for h in b.column(0)]
         self.hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         self.only = list(self._read()) if len(found) == 1 else None
@@ -356,10 +357,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """Add n_words, hits (numbers of the hit words), items (ids as strings, sorted) and spans (character spans)."""
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)]
-    folder = write_blocks(benchmark, item_id, item_text, window, block_bytes)
+    files = write_blocks(benchmark, item_id, item_text, window, block_bytes)
 
     def make():
-        blocks = Blocks(folder)
+        blocks = Blocks(files)
         shard = Shard(blocks.hashes, blocks)
 
         def work(texts):
