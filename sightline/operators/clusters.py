@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sightline.operators.filters import MOST_FILTERS, enabled
 from sightline.operators.fold import fold
 from sightline.vocab import MAX_CLUSTERS, MAX_MERGES, MERGE_THRESHOLD, PERSON, WEIGHTS
 
@@ -45,29 +48,46 @@ def similarity(a: Node, b: Node, mask: int, w: dict[str, float] = WEIGHTS) -> fl
 
 
 def agglomerate(nodes: list[Node], mask: int, threshold: float, most: int) -> list[Node]:
-    """Merge the most similar two of disjoint categories (the first of equals) while they are similar enough."""
-    for _ in range(MAX_MERGES):
-        best = None
-        for i, j in combinations(range(len(nodes)), 2):
-            if not nodes[i].kinds & nodes[j].kinds:
-                s = similarity(nodes[i], nodes[j], mask)
-                if best is None or s > best[0]:
-                    best = (s, i, j)
-        if best is None or best[0] < threshold:
+    """Merge the most similar two of disjoint categories (the first of equals) while they are similar enough.
+
+    Pairs that are similar enough wait in a heap; those of a node that was merged are passed over when they come up."""
+    alive = dict(enumerate(nodes))
+
+    def pair(i: int, j: int) -> list[tuple[float, int, int]]:
+        if alive[i].kinds & alive[j].kinds:
+            return []
+        s = similarity(alive[i], alive[j], mask)
+        return [(-s, i, j)] if s >= threshold else []
+
+    heap = [p for i, j in combinations(alive, 2) for p in pair(i, j)]
+    heapify(heap)
+    for new in range(len(nodes), len(nodes) + MAX_MERGES):
+        while heap and not (heap[0][1] in alive and heap[0][2] in alive):
+            heappop(heap)
+        if not heap:
             break
-        s, i, j = best
-        merged = nodes[i].joined(nodes[j], s)
-        nodes = [n for k, n in enumerate(nodes) if k not in (i, j)] + [merged]
-    return sorted(nodes, key=lambda n: -n.cost)[:most] if len(nodes) > most else nodes
-
-
-def cluster(det: DataFrame, filters: list[dict], threshold: float = MERGE_THRESHOLD, most: int = MAX_CLUSTERS) -> DataFrame:
+        s, i, j = heappop(heap)
+        others = [k for k in alive if k not in (i, j)]
+        alive[new] = alive[i].joined(alive[j], -s)
+        for k in others:
+            for p in pair(k, new):
+                heappush(heap, p)
+        del alive[i], alive[j]
+    left = list(alive.values())
+    return sorted(left, key=lambda n: -n.cost)[:most] if len(left) > most else left
+
+
+def cluster(det: DataFrame, filters: DataFrame, threshold: float = MERGE_THRESHOLD, most: int = MAX_CLUSTERS) -> DataFrame:
     """Clusters of every frame (device_id, frame_ts): filters in their order claim the detections of their categories if they
     enable two or more and two or more are there; what none claimed is returned by itself with a null filter.
 
     Beyond most clusters the costliest stay (lone detections cost 1); the others of that filter are lost, as specified.
-    A frame is one picture, whose detections the detector bounds."""
-    filters = sorted(filters, key=lambda f: f["ord"])
+    A frame is one picture, whose detections the detector bounds; its rows are held together. Filters travel with the code:
+    those of two or more categories alone, MOST_FILTERS at most."""
+    several = filters.where(F.size(enabled(F.col("cat_mask"))) >= 2).select("filter_id", "cat_mask", "attr_mask", "ord").limit(MOST_FILTERS + 1).collect()
+    if len(several) > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} filters of several categories")
+    asked = sorted(((r["ord"], r["filter_id"], {c for c, on in enumerate(r["cat_mask"]) if on}, r["attr_mask"]) for r in several), key=lambda f: f[:2])
 
     class Frame:
         def __init__(self, row):
@@ -79,13 +99,12 @@ def cluster(det: DataFrame, filters: list[dict], threshold: float = MERGE_THRESH
 
         def close(self):
             free = self.rows
-            for f in filters:
-                wanted = lambda r, mask=f["cat_mask"]: 0 <= r["category_id"] < len(mask) and mask[r["category_id"]]
-                claimed = [r for r in free if wanted(r)]
-                if sum(map(bool, f["cat_mask"])) >= 2 and len(claimed) >= 2:
-                    free = [r for r in free if not wanted(r)]
-                    for n in agglomerate([Node.of(r) for r in claimed], f["attr_mask"], threshold, most):
-                        yield *self.key, f["filter_id"], n.members, n.category, *n.box, n.confidence, n.cost
+            for _, filter_id, wanted, mask in asked:
+                claimed = [r for r in free if r["category_id"] in wanted]
+                if len(claimed) >= 2:
+                    free = [r for r in free if r["category_id"] not in wanted]
+                    for n in agglomerate([Node.of(r) for r in claimed], mask, threshold, most):
+                        yield *self.key, filter_id, n.members, n.category, *n.box, n.confidence, n.cost
             for r in free:
                 n = Node.of(r)
                 yield *self.key, None, n.members, n.category, *n.box, n.confidence, n.cost

@@ -1,8 +1,8 @@
 """State machines over the ordered rows of a key.
 
 Rows are hash-partitioned by key and sorted (both by Spark, which spills); a task streams through them and holds the
-state of one key at a time. A hot key keeps one task busy, but not its memory: what a machine holds is bounded by its own
-rules (live tracks, queue capacity, the detections of one picture).
+state of one key at a time. A hot key keeps one task busy, but not its memory as long as what its machine holds is bounded by
+rules of its own (live tracks, queue capacity); the clusterer alone holds all rows of its key, the detections of one picture.
 """
 
 from __future__ import annotations

@@ -11,32 +11,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import new_folder
+from sightline.operators.fold import fold
+from sightline.session import delete, new_folder
 
 
 def nested(nodes: DataFrame, fields: list[str]) -> DataFrame:
     """From (id, parent_id, fields) a row (id, payload) of each root: a JSON object with the fields and, as children, the
-    objects of its parts in the order of their ids. A level is folded into the one above it per round, from the deepest."""
-    spark = nodes.sparkSession
-    base = new_folder(spark, "nested")
-    depths = walk(nodes.select("id", "parent_id")).groupBy("id").agg(F.max("depth").alias("depth"))
-    own = nodes.join(depths, "id").select("id", "parent_id", "depth", F.to_json(F.struct(*fields)).alias("own"))
-    own.write.parquet(f"{base}/own")
-    own = spark.read.schema(own.schema).parquet(f"{base}/own")
-    below = own.select(F.col("id").alias("parent_id"), F.lit("").alias("children")).limit(0)
-    for depth in range(own.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
-        level = own.where(F.col("depth") == depth).join(below.withColumnRenamed("parent_id", "id"), "id", "left")
-        body = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
-        made = level.select("id", "parent_id", body.alias("payload"))
-        made.write.parquet(f"{base}/{depth}")
-        made = spark.read.schema(made.schema).parquet(f"{base}/{depth}")
-        parts = F.transform(F.sort_array(F.collect_list(F.struct("id", "payload"))), lambda x: x["payload"])
-        below = made.where("parent_id is not null").groupBy("parent_id").agg(F.array_join(parts, ",").alias("children"))
-    return made.select("id", "payload")
-
-
-def walk(nodes: DataFrame) -> DataFrame:
-    """From (id, parent_id) the rows (id, root, depth) of everything reachable from a node without parent."""
+    objects of its parts in the order of their ids.
+
+    The paths from the roots are walked, rows are dealt by root and sorted by path, and a task writes each root's text from top to
+    bottom in one pass. It holds the text of one root, which is a row of the result."""
+    own = nodes.groupBy("id").agg(F.min(F.to_json(F.struct(*fields))).alias("own"))
+    rows = walk(nodes.select("id", "parent_id"), paths=True).join(own, "id")
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    class Writer:
+        def __init__(self, row):
+            self.root, self.open, self.text = row["root"], 0, []
+
+        def step(self, row):
+            depth = row["depth"]
+            self.text.append("]}" * (self.open - depth) + ("," if self.text and self.open > depth else "") + row["own"][:-1] + ',"children":[')
+            self.open = depth + 1
+            return ()
+
+        def close(self):
+            yield self.root, "".join(self.text) + "]}" * self.open
+
+    return fold(rows, ["root"], ["path"], f"id {kind}, payload string", Writer)
+
+
+def walk(nodes: DataFrame, paths: bool = False) -> DataFrame:
+    """From (id, parent_id) the rows (id, root, depth) of everything reachable from a node without parent; with paths also the
+    ids from the root to the node."""
     spark = nodes.sparkSession
     base = new_folder(spark, "walk")
 
@@ -44,18 +51,21 @@ def walk(nodes: DataFrame) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    found = stored(nodes.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "roots")
-    up = stored(nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("top")), "up0")
+    path = [F.array("id").alias("path")] if paths else []
+    found = stored(nodes.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), *path), "roots")
+    up = stored(nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("top"), *path), "up0")
     total, steps, k = up.count(), 1, 0
     while True:
-        above = found.select(F.col("id").alias("top"), "root", (F.col("depth") + F.lit(steps)).alias("depth"))
-        more = stored(up.join(above, "top").select("id", "root", "depth"), f"found{k}")
+        longer = [F.concat("above", "path").alias("path")] if paths else []
+        above = found.select(F.col("id").alias("top"), "root", (F.col("depth") + F.lit(steps)).alias("depth"), *([F.col("path").alias("above")] if paths else []))
+        more = stored(up.join(above, "top").select("id", "root", "depth", *longer), f"found{k}")
         # the paths of a length are the paths one longer without their first step: where none ends here, none is longer
         if more.isEmpty():
             return found
         if steps > total:
             raise ValueError("a node reachable from a root is its own ancestor")
         found = found.union(more)
-        further = up.select(F.col("id").alias("top"), F.col("top").alias("next"))
-        up = stored(up.join(further, "top").select("id", F.col("next").alias("top")), f"up{k + 1}")
+        further = up.select(F.col("id").alias("top"), F.col("top").alias("next"), *([F.col("path").alias("above")] if paths else []))
+        up, old = stored(up.join(further, "top").select("id", F.col("next").alias("top"), *longer), f"up{k + 1}"), f"{base}/up{k}"
+        delete(spark, old)
         steps, k = 2 * steps, k + 1

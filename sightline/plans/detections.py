@@ -222,21 +222,15 @@ def nms_detections(spark, sf_dir):
 @query(machines.clusters())
 def cluster_detections(spark, sf_dir):
     det, flt = _both(spark, sf_dir)
-    out = clusters.cluster(det, [r.asDict() for r in flt.collect()])
+    out = clusters.cluster(det, flt)
     return out.select("device_id", F.date_format("frame_ts", "yyyy-MM-dd").alias("frame"), "filter_id", F.array_join("members", ",").alias("members"), "category_id", *spatial.BOX, _r(F.col("confidence")).alias("confidence"), _r(F.col("cost")).alias("cost"))
 
 
-@query(f"""{ALL_DET}, multi AS (SELECT filter_id FROM enabled GROUP BY filter_id HAVING count(*) >= 2),
-several AS (SELECT device_id, frame_ts, filter_id FROM pairs JOIN multi USING (filter_id) GROUP BY ALL HAVING count(*) >= 2)
-SELECT det_id FROM det WHERE det_id NOT IN (SELECT det_id FROM pairs JOIN several USING (device_id, frame_ts, filter_id))""")
+@query(f"{ALL_DET}, {machines.claims()} SELECT det_id FROM unclaimed")
 def unclaimed_detections(spark, sf_dir):
-    """What no filter of several categories can cluster: the anti-join that clustering leaves as it is. (No two such filters of
-    the fixture share a category.)"""
-    det, flt = _both(spark, sf_dir)
-    pairs = filters.pairs(det, flt.where(F.size(filters.enabled(F.col("cat_mask"))) >= 2))
-    several = pairs.groupBy(*FRAME, "filter_id").agg(F.count("*").alias("n")).where("n >= 2")
-    claimed = pairs.join(several, [*FRAME, "filter_id"], "left_semi")
-    return det.join(claimed.select("det_id"), "det_id", "left_anti").select("det_id")
+    """What no filter of several categories takes into its clusters."""
+    alone = clusters.cluster(*_both(spark, sf_dir)).where("filter_id is null")
+    return alone.select(F.explode("members").alias("det_id"))
 
 
 @query(f"""{ALL_DET} SELECT det_id, filter_id, round(CASE WHEN category_id = 0 THEN attr_score WHEN det_id % 3 = 0 THEN 1.0 ELSE (det_id % 2) / (det_id % 3)::DOUBLE END, 6) AS quality FROM pairs""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sightline.operators.tracking import SUPPRESSED, WATCHING, Rules
 from sightline.plans.base import ALL_DET
+from sightline.sources.fixtures import FILTERS
 from sightline.vocab import MAX_CLUSTERS, MAX_MERGES, MERGE_THRESHOLD, PERSON, WEIGHTS
 
 _TRACK = "STRUCT(flt VARCHAR, kind INT, state VARCHAR, first_seen DOUBLE, confirmed DOUBLE, hits INT, best BIGINT, score DOUBLE, attempts INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, bits INT, colors VARCHAR[], last_seen DOUBLE)"
@@ -68,9 +69,20 @@ SELECT device_id, o.event_id AS event_id, cause AS "at", o.target AS target, o.v
 UNION ALL SELECT device_id, event_id, cause, 'queued', NULL FROM waiting"""
 
 
+def claims() -> str:
+    """claimed (detections with the filter that takes them and its mask) and unclaimed: filters of several categories take what is
+    still free of theirs in a frame, one after the other, if it is two or more."""
+    several = [f for f in sorted(FILTERS, key=lambda f: f[4]) if len(f[2]) >= 2]
+    steps = ["free0 AS (SELECT * FROM det)"]
+    for k, (filter_id, _, cats, mask, _) in enumerate(several):
+        steps.append(f"claim{k} AS (SELECT *, '{filter_id}' AS filter_id, {mask} AS mask FROM free{k} WHERE category_id IN {cats} QUALIFY count(*) OVER (PARTITION BY device_id, frame_ts) >= 2)")
+        steps.append(f"free{k + 1} AS (SELECT * FROM free{k} WHERE det_id NOT IN (SELECT det_id FROM claim{k}))")
+    every = " UNION ALL ".join(f"SELECT * FROM claim{k}" for k in range(len(several)))
+    return ", ".join([*steps, f"claimed AS ({every})", f"unclaimed AS (SELECT * FROM free{len(several)})"])
+
+
 def clusters(threshold: float = MERGE_THRESHOLD) -> str:
-    """Agglomerated detections of each frame and filter of several categories (no two such filters share a category), and the
-    detections that none claims."""
+    """Agglomerated detections of each frame and filter of several categories, and the detections that none claims."""
     node = "STRUCT(members BIGINT[], x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, area DOUBLE, category INT, kinds INT[], bits INT, confidence DOUBLE, cost DOUBLE)"
     w = WEIGHTS
     room = "((greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)))"
@@ -83,9 +95,9 @@ def clusters(threshold: float = MERGE_THRESHOLD) -> str:
     merged = f"""{{'members': a.members || b.members, 'x1': least(a.x1, b.x1), 'y1': least(a.y1, b.y1), 'x2': greatest(a.x2, b.x2), 'y2': greatest(a.y2, b.y2), 'area': a.area + b.area,
         'category': CASE WHEN a.area > b.area THEN a.category ELSE b.category END, 'kinds': a.kinds || b.kinds, 'bits': CASE WHEN b.bits <> 0 THEN b.bits ELSE a.bits END, 'confidence': greatest(a.confidence, b.confidence), 'cost': best.s}}"""
     first = "{'members': [det_id], 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': (x2 - x1) * (y2 - y1), 'category': category_id, 'kinds': [category_id], 'bits': attr_bits, 'confidence': confidence, 'cost': 1.0}"
-    return f"""{ALL_DET}, multi AS (SELECT filter_id, any_value(attr_mask) AS mask, list(category_id) AS cats FROM enabled GROUP BY filter_id HAVING count(*) >= 2),
+    return f"""{ALL_DET}, {claims()},
 groups AS (SELECT device_id, frame_ts, filter_id, any_value(mask) AS mask, CAST(list({first} ORDER BY det_id) AS {node}[]) AS nodes
-    FROM det JOIN multi ON list_contains(cats, category_id) GROUP BY device_id, frame_ts, filter_id HAVING count(*) >= 2),
+    FROM claimed GROUP BY device_id, frame_ts, filter_id),
 run AS (
     SELECT *, 0 AS n FROM groups
     UNION ALL
@@ -94,7 +106,6 @@ run AS (
 done AS (SELECT * FROM run QUALIFY n = max(n) OVER (PARTITION BY device_id, frame_ts, filter_id)),
 placed AS (SELECT device_id, frame_ts, filter_id, unnest(nodes) AS c, unnest(range(1, len(nodes) + 1)) AS k FROM done),
 kept AS (SELECT device_id, frame_ts, filter_id, c FROM placed QUALIFY row_number() OVER (PARTITION BY device_id, frame_ts, filter_id ORDER BY c.cost DESC, k) <= {MAX_CLUSTERS}),
-claimed AS (SELECT device_id, frame_ts, unnest(list_transform(nodes, lambda x: x.members[1])) AS det_id FROM groups),
 every AS (SELECT device_id, frame_ts, filter_id, array_to_string(c.members, ',') AS members, c.category AS category_id, c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2, c.confidence AS confidence, c.cost AS cost FROM kept
-    UNION ALL SELECT device_id, frame_ts, NULL, CAST(det_id AS VARCHAR), category_id, x1, y1, x2, y2, confidence, 1.0 FROM det WHERE det_id NOT IN (SELECT det_id FROM claimed))
+    UNION ALL SELECT device_id, frame_ts, NULL, CAST(det_id AS VARCHAR), category_id, x1, y1, x2, y2, confidence, 1.0 FROM unclaimed)
 SELECT device_id, strftime(frame_ts, '%Y-%m-%d') AS frame, filter_id, members, category_id, x1, y1, x2, y2, round(confidence, 6) AS confidence, round(cost, 6) AS cost FROM every"""

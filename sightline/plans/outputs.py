@@ -52,13 +52,14 @@ def insert_returning(spark, sf_dir):
     return sinks.insert(rows.where("id % 2 = 0"), path)
 
 
-@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 4 END AS parent_id, p_size FROM part),
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 20 <> 0 THEN p_partkey - p_partkey % 20 + p_partkey % 20 // 3 END AS parent_id, p_size FROM part),
 t AS (SELECT id, p_size, id AS root, 0 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, n.p_size, t.root, t.depth + 1 FROM t JOIN n ON n.parent_id = t.id)
 SELECT root AS id, count(*) AS n_objects, CAST(sum(p_size) AS BIGINT) AS sizes, CAST(max(depth) AS BIGINT) + 1 AS levels FROM t GROUP BY root""")
 def detection_json(spark, sf_dir):
-    """Detections within detections as nested JSON, counted in what it says."""
+    """Detections within detections as nested JSON, one text for each of many roots, counted in what it says."""
     part = fixtures.table(spark, sf_dir, "part")
-    parent = F.when(F.col("p_partkey") != 0, F.floor(F.col("p_partkey") / 4).cast(part.schema["p_partkey"].dataType))
+    place = F.col("p_partkey") % 20
+    parent = F.when(place != 0, F.col("p_partkey") - place + F.floor(place / 3)).cast(part.schema["p_partkey"].dataType)
     roots = trees.nested(part.select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), F.col("p_size").alias("size")), ["id", "size"])
     sizes = F.aggregate(F.regexp_extract_all("payload", F.lit('"size":([0-9]+)'), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
     open_now = F.aggregate(F.split(F.regexp_replace("payload", "[^\\[\\]]", ""), ""), F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")),

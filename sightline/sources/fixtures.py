@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sightline.vocab import CATEGORIES
 
 #: (filter_id, name, categories, attribute bits, order)
-FILTERS = (("f1", "two attrs", (0,), 129, 1), ("f2", "person+car", (0, 2), 0, 2), ("f3", "animals", (15, 16), 0, 3), ("f4", "car only", (2,), 0, 4), ("f5", "four attrs", (0,), 5249, 5), ("f6", "small things", (63, 67, 79), 0, 6))
+FILTERS = (("f1", "two attrs", (0,), 129, 1), ("f2", "person+car", (0, 2), 0, 2), ("f3", "animals", (15, 16), 0, 3), ("f4", "car only", (2,), 0, 4), ("f5", "four attrs", (0,), 5249, 5), ("f6", "small things", (63, 67, 79), 0, 6), ("f7", "person+animal", (0, 15), 0, 7), ("f8", "car+thing", (2, 63, 67), 5, 8))
 CATEGORY_OF = {"click": 0, "view": 2, "purchase": 15, "signup": 16}
 #: Categories of the other events, by the rest of their id.
 OTHERS = {0: 63, 1: 67, 2: 79}

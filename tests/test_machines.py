@@ -1,6 +1,7 @@
 """Golden cases of the order-dependent operators."""
 
 import math
+import random
 from itertools import combinations
 
 import pytest
@@ -140,7 +141,7 @@ def test_similarity_of_the_worked_example():
 def test_clusters_agree_with_the_relational_first_round(spark, sf):
     """Every detection is in one cluster; the first merge of a frame's only filter is its best pair."""
     det, flt = fixtures.detections(spark, sf), fixtures.filters(spark)
-    out = clusters.cluster(det, [r.asDict() for r in flt.collect()])
+    out = clusters.cluster(det, flt)
     members = [m for r in out.collect() for m in r.members]
     assert sorted(members) == sorted(r.det_id for r in det.collect())
     two = det.where("category_id in (0, 2)")
@@ -202,7 +203,7 @@ def test_no_filters_and_no_detections(spark, sf):
     det, flt = fixtures.detections(spark, sf), fixtures.filters(spark)
     assert filters.route_by_category(det, flt.limit(0)).count() == 0
     assert filters.matched_list(det.limit(0), flt).count() == 0
-    assert clusters.cluster(det, []).count() == det.count()
+    assert clusters.cluster(det, flt.limit(0)).count() == det.count()
     assert tracking.confirmations(filters.match(det.limit(0), flt).withColumn("vlm_required", F.lit(False)), det).count() == 0
 
 
@@ -215,6 +216,27 @@ def test_image_folder_order(spark, tmp_path):
     assert [r.path.rpartition(f"{tmp_path.name}/")[2] for r in got] == names
 
 
+def test_heap_against_scoring_all_pairs_anew():
+    """The same merges as by scoring all pairs after each, ties included."""
+
+    def plain(nodes, mask, threshold):
+        for _ in range(clusters.MAX_MERGES):
+            pairs = [(clusters.similarity(a, b, mask), -i, -j) for (i, a), (j, b) in combinations(enumerate(nodes), 2) if not a.kinds & b.kinds]
+            if not pairs or max(pairs)[0] < threshold:
+                break
+            s, i, j = max(pairs)
+            nodes = [n for k, n in enumerate(nodes) if k not in (-i, -j)] + [nodes[-i].joined(nodes[-j], s)]
+        return [(n.members, n.cost) for n in nodes]
+
+    rng = random.Random(1)
+    for _ in range(60):
+        boxes = [(x := rng.randint(0, 3) * 10.0, y := rng.randint(0, 3) * 10.0, x + rng.choice((10.0, 20.0)), y + 10.0) for _ in range(rng.randint(0, 14))]
+        row = lambda i, b: {"det_id": i, "category_id": rng.randint(0, 6), "attr_bits": rng.randint(0, 7), "confidence": 0.5} | dict(zip(("x1", "y1", "x2", "y2"), b, strict=True))  # noqa: B023, E731
+        nodes = [clusters.Node.of(row(i, b)) for i, b in enumerate(boxes)]
+        for threshold in (0.0, 0.6, 0.8):
+            assert [(n.members, n.cost) for n in clusters.agglomerate(nodes, 5, threshold, 99)] == plain(nodes, 5, threshold)
+
+
 def test_disjoint_categories_only():
     nodes = [clusters.Node([i], (0.0, 0.0, 10.0, 10.0), 100.0, 0, {0}, 1, 0.5) for i in range(4)]
     assert len(clusters.agglomerate(nodes, 0, 0.0, 10)) == 4 and len(list(combinations(nodes, 2))) == 6

@@ -1,5 +1,7 @@
 """Forests that are deep, have more nodes than a recursive query may give rows, or have odd nodes."""
 
+import json
+
 import pytest
 
 from sightline.operators import trees
@@ -22,3 +24,15 @@ def test_odd_nodes(spark):
     assert _walk(spark, [(20, 21), (21, 20)]) == []
     with pytest.raises(ValueError):
         _walk(spark, [(1, None), (2, 1), (2, 3), (3, 2)])
+
+
+def test_nested_texts(spark):
+    """Children in the order of their ids, below each of their parents; a text of any depth."""
+    rows = [(1, None, "a"), (12, 1, "b"), (3, 1, 'c"'), (40, 3, None), (41, 3, "e"), (41, 12, "e"), (7, None, "f"), (99, 98, "lost")]
+    found = {r.id: json.loads(r.payload) for r in trees.nested(spark.createDataFrame(rows, "id long, parent_id long, t string"), ["id", "t"]).collect()}
+    leaf = lambda i, t, *c: {"id": i, "t": t, "children": list(c)} if t else {"id": i, "children": list(c)}
+    assert found == {1: leaf(1, "a", leaf(3, 'c"', leaf(40, None), leaf(41, "e")), leaf(12, "b", leaf(41, "e"))), 7: leaf(7, "f")}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "id long, parent_id long")
+    text = trees.nested(chain, ["id"]).first().payload
+    assert text == "".join(f'{{"id":{i},"children":[' for i in range(300)) + "]}" * 300
+    assert trees.nested(chain.limit(0), ["id"]).count() == 0
