@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sightline.functions import colors, text
 from sightline.operators import flow, metrics, models, pixels, trees
 from sightline.plans.base import PIXELS, query
 from sightline.session import new_folder
-from sightline.sources import fixtures, schemas, sinks
+from sightline.sources import fixtures, schemas, sinks, tables
 
 _BEGIN, _END = "2024-01-01 00:00:00", "2024-01-01 00:05:00"
 
@@ -52,6 +54,23 @@ def insert_returning(spark, sf_dir):
     return sinks.insert(rows.where("id % 2 = 0"), path)
 
 
+@query("""WITH first AS (SELECT c_custkey AS id, c_nationkey AS owner, c_name AS name FROM customer WHERE c_custkey % 3 <> 0),
+added AS (SELECT c_custkey AS id, c_nationkey AS owner, c_name AS name FROM customer WHERE c_custkey % 3 = 0),
+whole AS (SELECT id, owner, CASE WHEN id % 5 = 0 AND id % 2 = 0 THEN 'renamed' ELSE name END AS name FROM (SELECT * FROM first UNION ALL SELECT * FROM added))
+SELECT 'inserted' AS change, id, owner, name FROM added UNION ALL SELECT 'updated', id, owner, name FROM whole WHERE id % 5 = 0
+UNION ALL SELECT 'deleted', id, owner, name FROM whole WHERE id % 7 = 0 AND owner = 3 UNION ALL SELECT 'left', id, owner, name FROM whole WHERE NOT (id % 7 = 0 AND owner = 3)""")
+def stored_changes(spark, sf_dir):
+    """What an insert of rows partly there, an update and a delete by owner return, and what the stored table then holds."""
+    c = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("owner"), F.col("c_name").alias("name"))
+    t = tables.StoredTable(spark, new_folder(spark, "stored"), c.schema, "id", buckets=8)
+    t.insert(c.where("id % 3 <> 0"))
+    added = t.insert(c)
+    updated = t.update(c.where("id % 5 = 0").select("id", F.when(F.col("id") % 2 == 0, "renamed").otherwise("").alias("name")))
+    deleted = t.remove(c.where("id % 7 = 0").select("id", F.lit(3).cast(c.schema["owner"].dataType).alias("owner")))
+    parts = {"inserted": added, "updated": updated, "deleted": deleted, "left": t.read()}
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("change"), "id", "owner", "name") for name, df in parts.items()])
+
+
 @query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 20 <> 0 THEN p_partkey - p_partkey % 20 + p_partkey % 20 // 3 END AS parent_id, p_size FROM part),
 t AS (SELECT id, p_size, id AS root, 0 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, n.p_size, t.root, t.depth + 1 FROM t JOIN n ON n.parent_id = t.id)
 SELECT root AS id, count(*) AS n_objects, CAST(sum(p_size) AS BIGINT) AS sizes, CAST(max(depth) AS BIGINT) + 1 AS levels FROM t GROUP BY root""")

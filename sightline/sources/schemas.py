@@ -1,8 +1,9 @@
 """JSON Schemas as predicates on variants, so that payloads are checked inside Spark's own plan.
 
-Keywords: type, enum, const, minimum, maximum, minLength, maxLength, pattern, format (date-time, date, email, uuid, ipv4),
-items, minItems, maxItems, properties, required, additionalProperties, oneOf, anyOf, allOf and $ref within the document.
-Others only annotate.
+Keywords: type, enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, minLength, maxLength, pattern,
+format (date-time, date, email, uuid, ipv4, uri), items, minItems, maxItems, uniqueItems, properties, required,
+minProperties, maxProperties, additionalProperties, oneOf, anyOf, allOf, not and $ref within the document. NOTES annotate
+alone; any other keyword or format is an error while the predicate is built, so that no assertion passes without notice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,14 @@ FORMATS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "ipv4": r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.|$)){4}$",
+    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]+$",
 }
+#: Keywords that say nothing about what fits.
+NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "definitions", "$defs"}
+KEYWORDS = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format", "items", "minItems",
+    "maxItems", "uniqueItems", "properties", "required", "minProperties", "maxProperties", "additionalProperties", "oneOf", "anyOf", "allOf", "not", "$ref",
+}
 _TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "null": "^VOID$"}
 
 
@@ -45,13 +53,19 @@ def fits(v: Column, schema: dict | bool, root: dict | None = None) -> Column:
     if isinstance(schema, bool):
         return F.lit(schema)
     root = schema if root is None else root
+    if lost := set(schema) - KEYWORDS - NOTES:
+        raise ValueError(f"keywords that can't be checked: {', '.join(sorted(lost))}")
+    if "format" in schema and schema["format"] not in FORMATS:
+        raise ValueError(f"format that can't be checked: {schema['format']}")
     if "$ref" in schema:
         target: dict = root
         for part in schema["$ref"].removeprefix("#").strip("/").split("/"):
             target = target[part] if part else target
         return fits(v, target, root)
     kind = F.schema_of_variant(v)
-    is_a = lambda name: kind.rlike(_TYPES[name])
+    number, string = _get(v, "$", "double"), _get(v, "$", "string")
+    whole = kind.rlike(_TYPES["number"]) & F.coalesce(number == F.floor(number), F.lit(False))  # 1.0 and 1e2 too
+    is_a = lambda name: kind.rlike(_TYPES[name]) | whole if name == "integer" else kind.rlike(_TYPES[name])
     only = lambda name, test: ~is_a(name) | F.coalesce(test, F.lit(False))  # noqa: E731  a keyword binds values of its type
     tests = []
     if "type" in schema:
@@ -61,11 +75,17 @@ def fits(v: Column, schema: dict | bool, root: dict | None = None) -> Column:
         tests.append(reduce(lambda a, b: a | b, (_same(v, x) for x in schema["enum"])))
     if "const" in schema:
         tests.append(_same(v, schema["const"]))
-    number, string = _get(v, "$", "double"), _get(v, "$", "string")
     if "minimum" in schema:
         tests.append(only("number", number >= schema["minimum"]))
     if "maximum" in schema:
         tests.append(only("number", number <= schema["maximum"]))
+    if "exclusiveMinimum" in schema:
+        tests.append(only("number", number > schema["exclusiveMinimum"]))
+    if "exclusiveMaximum" in schema:
+        tests.append(only("number", number < schema["exclusiveMaximum"]))
+    if "multipleOf" in schema:
+        part = _get(v, "$", "decimal(38,12)") % F.lit(str(schema["multipleOf"])).cast("decimal(38,12)")
+        tests.append(only("number", part == 0))
     if "minLength" in schema:
         tests.append(only("string", F.length(string) >= schema["minLength"]))
     if "maxLength" in schema:
@@ -78,18 +98,28 @@ def fits(v: Column, schema: dict | bool, root: dict | None = None) -> Column:
         tests.append(only("array", F.size(items) >= schema["minItems"]))
     if "maxItems" in schema:
         tests.append(only("array", F.size(items) <= schema["maxItems"]))
+    if schema.get("uniqueItems"):
+        texts = F.transform(items, lambda x: F.to_json(x))
+        tests.append(only("array", F.size(F.array_distinct(texts)) == F.size(texts)))
     if "items" in schema:
         tests.append(only("array", F.forall(items, lambda x: fits(x, schema["items"], root))))
     named = schema.get("properties", {})
     child = lambda name: _get(v, f"$['{name}']", "variant")
     tests += [only("object", child(name).isNotNull()) for name in schema.get("required", ())]
     tests += [only("object", child(name).isNull() | fits(child(name), part, root)) for name, part in named.items()]
+    size = F.size(_get(v, "$", "map<string,variant>"))
+    if "minProperties" in schema:
+        tests.append(only("object", size >= schema["minProperties"]))
+    if "maxProperties" in schema:
+        tests.append(only("object", size <= schema["maxProperties"]))
     more = schema.get("additionalProperties", True)
     if more is not True:
         others = F.map_filter(_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*named) if named else F.lit(True))
         tests.append(only("object", (F.size(others) == 0) if more is False else F.forall(F.map_values(others), lambda x: fits(x, more, root))))
     for part in schema.get("allOf", ()):
         tests.append(fits(v, part, root))
+    if "not" in schema:
+        tests.append(~fits(v, schema["not"], root))
     if "anyOf" in schema:
         tests.append(reduce(lambda a, b: a | b, (fits(v, p, root) for p in schema["anyOf"])))
     if "oneOf" in schema:
