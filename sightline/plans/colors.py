@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import colors
-from sightline.operators import filters, pixels
+from sightline.operators import filters, frames, pixels
 from sightline.plans.base import ALL_DET, PIXELS, query
 from sightline.sources import fixtures
 from sightline.vocab import HUES, IMAGE_REGIONS, PERSON_REGIONS
@@ -177,3 +177,23 @@ def hex_roundtrip(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).withColumn("hex", colors.to_hex(F.col("r"), F.col("g"), F.col("b")))
     r, g, b = colors.from_hex(F.col("hex"))
     return px.select(*_ID, "hex", ((r == F.col("r")) & (g == F.col("g")) & (b == F.col("b"))).alias("same"))
+
+
+@query(f"""WITH {PIXELS}, one AS (SELECT region_id, px_x, px_y, max({{'r': r, 'g': g, 'b': b}}) AS c FROM px GROUP BY ALL),
+pictures AS (SELECT DISTINCT region_id FROM px),
+full_grid AS (SELECT grid.region_id, x, y, coalesce(c.r, 0)::DOUBLE AS r, coalesce(c.g, 0)::DOUBLE AS g, coalesce(c.b, 0)::DOUBLE AS b
+    FROM (SELECT region_id, x, y FROM pictures, (SELECT unnest(range(8)) AS x), (SELECT unnest(range(8)) AS y)) AS grid LEFT JOIN one ON one.region_id = grid.region_id AND px_x = x AND px_y = y),
+ax AS (SELECT i, least(greatest((i + 0.5::DOUBLE) * 8 / 5 - 0.5, 0), 7) AS mid FROM (SELECT unnest(range(5)) AS i)),
+w AS (SELECT i, CAST(floor(mid) AS INT) AS lo, least(CAST(floor(mid) AS INT) + 1, 7) AS hi, mid - floor(mid) AS f FROM ax),
+places AS (SELECT wx.i AS nx, wy.i - 1 AS ny, wx.lo AS x0, wx.hi AS x1, wx.f AS fx, wy.lo AS y0, wy.hi AS y1, wy.f AS fy FROM w AS wx, w AS wy WHERE wy.i BETWEEN 1 AND 3),
+made AS (SELECT a.region_id, nx, ny, {', '.join(f"CAST(floor((a.{k} * (1 - fx) + b.{k} * fx) * (1 - fy) + (c.{k} * (1 - fx) + d.{k} * fx) * fy + 0.5) AS BIGINT) AS {k}" for k in 'rgb')}
+    FROM places JOIN full_grid a ON a.x = x0 AND a.y = y0 JOIN full_grid b ON b.region_id = a.region_id AND b.x = x1 AND b.y = y0
+    JOIN full_grid c ON c.region_id = a.region_id AND c.x = x0 AND c.y = y1 JOIN full_grid d ON d.region_id = a.region_id AND d.x = x1 AND d.y = y1)
+SELECT region_id AS picture_id, CAST(sum((nx + 5 * ny + 1) * (r + 3 * g + 7 * b)) AS BIGINT) AS digest FROM made GROUP BY region_id""")
+def resampled_frames(spark, sf_dir):
+    """Pictures of 8 by 8 pixels as frames of 5 by 3, told by a weighted sum of their channels."""
+    pictures = frames.assemble(fixtures.pixels(spark, sf_dir), "region_id", 8, 8)
+    made = frames.resample(pictures, 5, 3)
+    byte = lambda i: F.conv(F.substring(F.hex("pixels"), 2 * i + 1, 2), 16, 10).cast("long")
+    total = sum((F.lit(i // 3 + 1) * (1, 3, 7)[i % 3] * byte(i) for i in range(1, 45)), byte(0))
+    return made.select("picture_id", total.alias("digest"))
