@@ -26,6 +26,7 @@ def description(has, color) -> Column:
         shade = F.coalesce(*(F.nullif(color(p), F.lit("")) for p in parts), F.lit(None).cast("string"))
         return F.concat_ws(" ", shade, F.lit(what))
 
+    # The words of alerts and their order.
     phrases = [
         F.when(has("Female"), "female"),
         F.when(has("AgeOver60"), "elderly").when(has("AgeLess18"), "young"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def versions(saves: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -29,3 +30,32 @@ def region(setting: Column, default: tuple[float, float] = (0.0, 1.0)) -> tuple[
     is_pair = F.startswith(F.ltrim(setting), F.lit("["))
     bound = lambda i, name: F.coalesce(F.when(is_pair, F.get(pair, F.lit(i))).otherwise(named[name]), F.lit(default[i]))
     return bound(0, "start"), bound(1, "end")
+
+
+def loaded(text: Column, defaults: dict) -> Column:
+    """A configuration in JSON as a struct of the defaults' fields (nested dicts, numbers, booleans, strings, lists of strings):
+    what is given counts, and a field that is left out, null or of another type has its default, at every level. Fields without
+    a default are left out; a text that is no JSON object gives the defaults alone."""
+
+    def kind(value) -> T.DataType:
+        if isinstance(value, dict):
+            return T.StructType([T.StructField(k, kind(v)) for k, v in value.items()])
+        if isinstance(value, list):
+            return T.ArrayType(T.StringType())
+        for own, t in ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType())):
+            if isinstance(value, own):
+                return t
+        return T.StringType()
+
+    def filled(v: Column, value, path: str) -> Column:
+        if isinstance(value, dict):
+            return F.struct(*(filled(v, inner, f"{path}.{k}").alias(k) for k, inner in value.items()))
+        wanted = kind(value)
+        # numbers and texts are not made of each other
+        fits = {T.BooleanType: "^BOOLEAN$", T.StringType: "^STRING$", T.ArrayType: "^ARRAY"}.get(type(wanted), "^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        part = F.try_variant_get(v, path, "variant")
+        found = F.when(F.schema_of_variant(part).rlike(fits), F.try_variant_get(v, path, wanted.simpleString()))
+        default = F.array(*map(F.lit, value)).cast(wanted) if isinstance(value, list) else F.lit(value).cast(wanted)
+        return F.coalesce(found, default)
+
+    return filled(F.try_parse_json(text), defaults, "$")

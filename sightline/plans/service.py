@@ -392,6 +392,20 @@ def region_settings(spark, sf_dir):
     return settings.select("p_partkey", begin.alias("region_begin"), end.alias("region_end"))
 
 
+#: A configuration's fields and defaults; what the texts of the query give is left out, null, of another type or nested.
+_DEFAULTS = {"name": "camera", "fps": 10, "tracking": {"iou": 0.3, "keep": True}, "classes": ["person"]}
+_GIVEN = """CASE p_partkey % 5 WHEN 0 THEN '{"fps": ' || p_size || ', "tracking": {"iou": 0.' || p_size || '}}' WHEN 1 THEN '{"name": "' || p_name || '", "fps": "fast", "tracking": {"keep": false, "other": 1}}'
+WHEN 2 THEN '{"classes": ["car", "' || p_brand || '"], "name": null}' WHEN 3 THEN 'no json' END"""
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 THEN p_name ELSE 'camera' END AS name, CAST(CASE WHEN p_partkey % 5 = 0 THEN p_size ELSE 10 END AS BIGINT) AS fps,
+CASE WHEN p_partkey % 5 = 0 THEN CAST('0.' || p_size AS DOUBLE) ELSE 0.3 END::DOUBLE AS iou, p_partkey % 5 <> 1 AS keep, CASE WHEN p_partkey % 5 = 2 THEN 'car,' || p_brand ELSE 'person' END AS classes FROM part""")
+def config_defaults(spark, sf_dir):
+    """Configurations as given, over their defaults at every level."""
+    c = _table(spark, sf_dir, "part").select("p_partkey", configs.loaded(F.expr(_GIVEN), _DEFAULTS).alias("c"))
+    return c.select("p_partkey", "c.name", "c.fps", "c.tracking.iou", "c.tracking.keep", F.array_join("c.classes", ",").alias("classes"))
+
+
 @query(f"WITH {_CFG} SELECT owner, save_id, CAST(version AS INT) AS version FROM cfg WHERE owner = 7 ORDER BY version DESC LIMIT 10")
 def config_history_page(spark, sf_dir):
     """The newest versions of one owner's configuration."""

@@ -276,3 +276,11 @@ def test_loop_ends(spark):
     assert flow.loop(start.limit(0), down).code == 0
     with pytest.raises(RuntimeError, match="did not settle in 4 rounds"):
         flow.loop(start, down, most=4)
+
+
+def test_configuration_over_defaults(spark):
+    defaults = {"a": 1, "b": {"c": 0.5, "d": {"e": True}}, "f": "x", "g": ["p", "q"]}
+    texts = ['{"a": 7, "b": {"c": 2, "d": {"e": false}}, "f": "", "g": []}', '{"a": "7", "b": {"c": true}, "f": 3, "g": "p", "z": 1}', '{"b": 4}', "[1]", "nonsense", None, '{"a": null, "b": null}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c.asDict(recursive=True) for r in df.select("i", configs.loaded(F.col("t"), defaults).alias("c")).collect()}
+    assert got == {0: {"a": 7, "b": {"c": 2.0, "d": {"e": False}}, "f": "", "g": []}} | dict.fromkeys(range(1, 7), defaults)
