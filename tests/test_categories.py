@@ -28,6 +28,6 @@ def test_categories_beyond_62(spark):
     mask = filters.merged_mask(flt).first().cat_mask
     assert len(mask) == len(CATEGORIES) and [i for i, on in enumerate(mask) if on] == [63, 67, 79]
     assert not any(filters.merged_mask(flt.limit(0)).first().cat_mask)
-    found = clusters.cluster(det, [r.asDict() for r in flt.collect()]).collect()
+    found = clusters.cluster(det, flt).collect()
     assert [sorted(r.members) for r in found if r.filter_id == "desk"] == [[1, 2]]
     assert det.where(in_mask(F.col("category_id"), F.array(*map(F.lit, mask)))).count() == 3
