@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions import colors, text
@@ -71,19 +72,22 @@ def stored_changes(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("change"), "id", "owner", "name") for name, df in parts.items()])
 
 
-@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 20 <> 0 THEN p_partkey - p_partkey % 20 + p_partkey % 20 // 3 END AS parent_id, p_size FROM part),
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 4 END AS parent_id, p_size FROM part),
 t AS (SELECT id, p_size, id AS root, 0 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, n.p_size, t.root, t.depth + 1 FROM t JOIN n ON n.parent_id = t.id)
 SELECT root AS id, count(*) AS n_objects, CAST(sum(p_size) AS BIGINT) AS sizes, CAST(max(depth) AS BIGINT) + 1 AS levels FROM t GROUP BY root""")
 def detection_json(spark, sf_dir):
-    """Detections within detections as nested JSON, one text for each of many roots, counted in what it says."""
+    """Detections within detections as nested JSON, all in one tree, counted in what its text says. The text comes in pieces; the
+    levels are the most brackets open within a piece after those that the pieces before it (some numbers each) leave open."""
     part = fixtures.table(spark, sf_dir, "part")
-    place = F.col("p_partkey") % 20
-    parent = F.when(place != 0, F.col("p_partkey") - place + F.floor(place / 3)).cast(part.schema["p_partkey"].dataType)
-    roots = trees.nested(part.select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), F.col("p_size").alias("size")), ["id", "size"])
+    parent = F.when(F.col("p_partkey") != 0, F.floor(F.col("p_partkey") / 4).cast(part.schema["p_partkey"].dataType))
+    texts = trees.pieces(part.select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), F.col("p_size").alias("size")), ["id", "size"])
     sizes = F.aggregate(F.regexp_extract_all("payload", F.lit('"size":([0-9]+)'), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    open_now = F.aggregate(F.split(F.regexp_replace("payload", "[^\\[\\]]", ""), ""), F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")),
-        lambda a, c: F.struct((a["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).cast("long").alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "[", 1).otherwise(0)).cast("long").alias("most")), lambda a: a["most"])
-    return roots.select("id", F.size(F.regexp_extract_all("payload", F.lit('"id":'), F.lit(0))).cast("long").alias("n_objects"), sizes.alias("sizes"), open_now.alias("levels"))
+    brackets = F.aggregate(F.split(F.regexp_replace("payload", "[^\\[\\]]", ""), ""), F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")),
+        lambda a, c: F.struct((a["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).cast("long").alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "[", 1).otherwise(0)).cast("long").alias("most")))
+    counts = texts.select("id", "place", F.size(F.regexp_extract_all("payload", F.lit('"id":'), F.lit(0))).cast("long").alias("n"), sizes.alias("sizes"), brackets.alias("b"))
+    before = F.coalesce(F.sum("b.now").over(W.partitionBy("id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    levels = counts.select("id", "n", "sizes", (before + F.col("b.most")).alias("levels"))
+    return levels.groupBy("id").agg(F.sum("n").alias("n_objects"), F.sum("sizes").alias("sizes"), F.max("levels").alias("levels"))
 
 
 @query("SELECT event_id AS id, event_type AS label, value AS score FROM events")

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from sightline.operators import trees
+from sightline.plans.registry import ORACLE_SQL, QUERIES
 
 
 def _walk(spark, rows):
@@ -36,3 +37,32 @@ def test_nested_texts(spark):
     text = trees.nested(chain, ["id"]).first().payload
     assert text == "".join(f'{{"id":{i},"children":[' for i in range(300)) + "]}" * 300
     assert trees.nested(chain.limit(0), ["id"]).count() == 0
+
+
+def test_pieces_of_one_tree(spark):
+    """A tree's text is written by several tasks in pieces of bounded size, and is the same text."""
+    rows = [(i, (i - 1) // 3 if i else None) for i in range(2000)] + [(i, (i - 1 if i % 50 else None)) for i in range(5000, 5200)]
+    df = spark.createDataFrame(rows, "id long, parent_id long")
+    whole = {r.id: r.payload for r in trees.nested(df, ["id"]).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = trees.pieces(df, ["id"], 300).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.id: "".join(x.payload for x in sorted((x for x in found if x.id == r.id), key=lambda x: x.place)) for r in found} == whole
+    assert len({r.place >> 33 for r in found if r.id == 0}) > 1 and max(len(r.payload) for r in found) < 500
+
+    def nodes(x):
+        return [x["id"], *(y for c in x["children"] for y in nodes(c))]
+
+    assert sorted(i for t in whole.values() for i in nodes(json.loads(t))) == [i for i, _ in rows]
+
+
+def test_detection_json_nests_the_whole_table(spark, sf):
+    """One tree of all parts, whose depth grows with the table."""
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    depth, last = 1, n - 1
+    while last:
+        depth, last = depth + 1, last // 4
+    assert [tuple(r)[:2] + (r.levels,) for r in QUERIES["detection_json"](spark, sf).collect()] == [(0, n, depth)]
+    assert "%" not in ORACLE_SQL["detection_json"]
