@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm._common import append_columns, materialize, release
+from sightline.llm._common import append_columns
 
 #: Training documents per language at most, bytes of dictionary per language, and of all dictionaries together: with very
 #: many languages each has a smaller one.
@@ -55,15 +55,15 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: in
     text) to make them of. Each language's texts are those of least hash; of a text no more is read than its share, so that
     all rows together have at most ALL_BYTES characters."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    keyed = materialize(rows.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars")), "languages")
-    names = [r["lang"] for r in keyed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").select("lang").toLocalIterator()]
+    # nothing is written on the way: an executor starts three processes a file (chmod), which count its memory twice for a moment
+    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select("lang").toLocalIterator()]
     if not names:
         return {}, None
     size = max(1, min(size, ALL_BYTES // len(names)))
     docs = min(docs, max(1, size // 1024))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    keyed = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("chars"))
     least = keyed.select("lang", "h", "chars", rank.alias("r")).where(F.col("r") <= docs).orderBy("lang", "h").toArrow()
-    release(keyed)
     of_lang: dict[str, list[tuple[int, int]]] = {}
     for name, h, chars in zip(*(least.column(c).to_pylist() for c in ("lang", "h", "chars")), strict=True):
         of_lang.setdefault(name, []).append((h, chars))

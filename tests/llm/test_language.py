@@ -2,6 +2,7 @@ import zlib
 
 import zstandard
 
+from sightline import session
 from sightline.llm import language, queries
 
 
@@ -76,3 +77,14 @@ def test_shares():
     assert language.shares([10, 100, 100], 60) == [10, 30, 20]
     assert language.shares([5, 5], 60) == [5, 5]
     assert sum(language.shares([1000] * 7, 100)) <= 100
+
+
+def test_training_writes_no_table(docs, monkeypatch):
+    """Every file that an executor writes makes it start processes, which share its memory until they run."""
+    want = language.train(docs)
+
+    def refuse(spark):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(session, "shared_dir", refuse)
+    assert language.train(docs) == want and want
