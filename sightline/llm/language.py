@@ -12,6 +12,7 @@ an empty table, columns that clash with the added ones are replaced. Without any
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -56,21 +57,31 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: in
     all rows together have at most ALL_BYTES characters."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # nothing is written on the way: an executor starts three processes a file (chmod), which count its memory twice for a moment
-    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select("lang").toLocalIterator()]
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").toArrow()
+    names = counts["lang"].to_pylist()
     if not names:
         return {}, None
     size = max(1, min(size, ALL_BYTES // len(names)))
     docs = min(docs, max(1, size // 1024))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    keyed = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("chars"))
-    least = keyed.select("lang", "h", "chars", rank.alias("r")).where(F.col("r") <= docs).orderBy("lang", "h").toArrow()
+    # hashes below a share of their range are enough to find the least, twice as many as are wanted; a language with fewer has all
+    tried = {name: min(1.0, 2 * docs / max(1, n)) for name, n in zip(names, counts["texts"].to_pylist(), strict=True)}
+    while True:
+        below = pa.table([pa.array(names, pa.string()), pa.array([min((1 << 63) - 1, int(t * (1 << 64)) - (1 << 63)) for t in tried.values()], pa.int64())], ["lang", "most"])
+        near = rows.join(labelled.sparkSession.createDataFrame(below), "lang").where("h <= most").groupBy("lang", "h").agg(F.max(F.length("text")).alias("chars"))
+        rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+        least = near.select("lang", "h", "chars", rank.alias("r")).where(F.col("r") <= docs).orderBy("lang", "h").toArrow()
+        found = Counter(least["lang"].to_pylist())
+        short = [name for name in names if found[name] < docs and tried[name] < 1]
+        if not short:
+            break
+        tried |= {name: min(1.0, 8 * tried[name]) for name in short}
     of_lang: dict[str, list[tuple[int, int]]] = {}
     for name, h, chars in zip(*(least.column(c).to_pylist() for c in ("lang", "h", "chars")), strict=True):
         of_lang.setdefault(name, []).append((h, chars))
     takes = [(name, h, n) for name, own in of_lang.items() for (h, _), n in zip(own, shares([c for _, c in own], size), strict=True)]
     wanted = pa.table([pa.array(c, kind) for c, kind in zip(zip(*takes, strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)], ["lang", "h", "take"])
-    found = rows.join(labelled.sparkSession.createDataFrame(wanted), ["lang", "h"])
-    return dict.fromkeys(names, size), found.select("lang", F.substring("text", F.lit(1), F.col("take")).alias("text")).distinct()
+    chosen = rows.join(labelled.sparkSession.createDataFrame(wanted), ["lang", "h"])
+    return dict.fromkeys(names, size), chosen.select("lang", F.substring("text", F.lit(1), F.col("take")).alias("text")).distinct()
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
