@@ -18,7 +18,6 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,28 +55,29 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: in
     text) to make them of. Each language's texts are those of least hash; of a text no more is read than its share, so that
     all rows together have at most ALL_BYTES characters."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # nothing is written on the way: an executor starts three processes a file (chmod), which count its memory twice for a moment
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").toArrow()
-    names = counts["lang"].to_pylist()
+    limits = lambda names: (n := max(1, min(size, ALL_BYTES // max(1, names))), min(docs, max(1, n // 1024)))
+    # Nothing is written on the way: an executor starts three processes a file (chmod), which count its memory twice for a moment.
+    counts = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).toArrow().to_pylist()
+    # Of n hashes four times as many as are wanted lie below a share of their range; a language with too many copies is tried again.
+    tried = {r["lang"]: min(1.0, 4 * limits(len(counts))[1] / r["n"]) for r in counts}
+    short = list(tried)
+    while short:
+        below = pa.table([pa.array(tried, pa.string()), pa.array([min((1 << 63) - 1, int(t * (1 << 64)) - (1 << 63)) for t in tried.values()], pa.int64())], ["lang", "most"])
+        hashes = rows.select("lang", "h", F.length("text").alias("chars")).join(labelled.sparkSession.createDataFrame(below), "lang")
+        near = hashes.groupBy("lang", F.when(F.col("h") <= F.col("most"), F.col("h")).alias("h")).agg(F.count("*").alias("n"), F.max("chars").alias("chars")).toArrow().to_pylist()
+        total: Counter[str] = Counter()
+        least: dict[str, list[tuple[int, int]]] = {}
+        for r in near:
+            total[r["lang"]] += r["n"]
+            if r["h"] is not None:
+                least.setdefault(r["lang"], []).append((r["h"], r["chars"]))
+        share, most = limits(len(total))
+        short = [name for name in total if len(least.get(name, ())) < most and tried[name] < 1]
+        tried |= {name: min(1.0, 8 * tried[name]) for name in short}
+    names = sorted(total, key=lambda name: (-total[name], name)) if counts else []
     if not names:
         return {}, None
-    size = max(1, min(size, ALL_BYTES // len(names)))
-    docs = min(docs, max(1, size // 1024))
-    # hashes below a share of their range are enough to find the least, twice as many as are wanted; a language with fewer has all
-    tried = {name: min(1.0, 2 * docs / max(1, n)) for name, n in zip(names, counts["texts"].to_pylist(), strict=True)}
-    while True:
-        below = pa.table([pa.array(names, pa.string()), pa.array([min((1 << 63) - 1, int(t * (1 << 64)) - (1 << 63)) for t in tried.values()], pa.int64())], ["lang", "most"])
-        near = rows.join(labelled.sparkSession.createDataFrame(below), "lang").where("h <= most").groupBy("lang", "h").agg(F.max(F.length("text")).alias("chars"))
-        rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-        least = near.select("lang", "h", "chars", rank.alias("r")).where(F.col("r") <= docs).orderBy("lang", "h").toArrow()
-        found = Counter(least["lang"].to_pylist())
-        short = [name for name in names if found[name] < docs and tried[name] < 1]
-        if not short:
-            break
-        tried |= {name: min(1.0, 8 * tried[name]) for name in short}
-    of_lang: dict[str, list[tuple[int, int]]] = {}
-    for name, h, chars in zip(*(least.column(c).to_pylist() for c in ("lang", "h", "chars")), strict=True):
-        of_lang.setdefault(name, []).append((h, chars))
+    size, of_lang = share, {name: sorted(least[name])[:most] for name in names}
     takes = [(name, h, n) for name, own in of_lang.items() for (h, _), n in zip(own, shares([c for _, c in own], size), strict=True)]
     wanted = pa.table([pa.array(c, kind) for c, kind in zip(zip(*takes, strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)], ["lang", "h", "take"])
     chosen = rows.join(labelled.sparkSession.createDataFrame(wanted), ["lang", "h"])
