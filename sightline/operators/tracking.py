@@ -79,8 +79,7 @@ class Tracker:
         row["box"] = [row[c] for c in ("x1", "y1", "x2", "y2")]
         t = self._find(row, now)
         if t is None:
-            name = "_".join(map(str, (*self.key, row["det_id"], now)))
-            t = {"id": hashlib.md5(name.encode()).hexdigest()[:16], "state": WATCHING, "first_seen": now, "confirmed": 0.0, "hits": 0, "best": None, "score": 0.0, "attempts": 0}
+            t = {"id": None, "began": (row["det_id"], now), "state": WATCHING, "first_seen": now, "confirmed": 0.0, "hits": 0, "best": None, "score": 0.0, "attempts": 0}
             self.tracks.append(t)
         colors = row.get("colors")
         t |= {"box": row["box"], "bits": row["attr_bits"], "colors": None if colors is None else list(colors), "last_seen": now}
@@ -90,6 +89,8 @@ class Tracker:
                 t |= {"best": row["det_id"], "score": row["score"]}
             t["hits"] += 1
             if t["hits"] >= r.hits and now - t["first_seen"] <= r.window:
+                # most tracks never confirm, and until then nobody asks for their names
+                t["id"] = t["id"] or hashlib.md5("_".join(map(str, (*self.key, *t["began"]))).encode()).hexdigest()[:16]
                 out.append((*self.key, t["id"], now, t["first_seen"], t["best"], t["score"], t["hits"], row["vlm_required"]))
                 t |= {"state": VERIFYING if row["vlm_required"] else SUPPRESSED, "confirmed": now}
         return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.functions.attributes import in_mask
 from sightline.operators import filters, routing, tracking
 from sightline.plans import machines
 from sightline.plans.base import POINTS, query
@@ -12,6 +13,7 @@ from sightline.session import new_folder
 from sightline.sources import fixtures
 from sightline.sources.sinks import merge_latest, read_state
 from sightline.streaming import live
+from sightline.vocab import PERSON
 
 DAY = 86400.0
 #: Frames are a day apart in the fixture.
@@ -147,7 +149,10 @@ def stream_tracker(spark, sf_dir):
     base = new_folder(spark, "stream")
     events = live.read_table(spark, f"{sf_dir}/events.parquet")
     det = fixtures.detections_of(events)
-    found = filters.match(_with_colors(det), fixtures.filters(spark)).withColumn("vlm_required", F.lit(False))
+    flt = fixtures.filters(spark)
+    found = filters.match(_with_colors(det), flt).withColumn("vlm_required", F.lit(False))
+    # a detection that some filter matches says when its message came; of other than persons the category decides
+    sure = in_mask(F.col("category_id"), filters.merged_mask(flt).scalar()) & (F.col("category_id") != PERSON)
     with live.keyed_state(spark):
-        live.run_once(live.track(tracking.observations(found), det.select("device_id", "ts"), RULES, "0 seconds"), f"{base}/checkpoint", path=f"{base}/out")
+        live.run_once(live.track(tracking.observations(found), det.where(~sure).select("device_id", "ts"), RULES, "0 seconds"), f"{base}/checkpoint", path=f"{base}/out")
     return _shown(spark.read.schema(tracking.OUT).parquet(f"{base}/out"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -32,68 +37,122 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lat
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-_BOX = ["x1", "y1", "x2", "y2"]
-_TRACK = "filter_id string, category_id int, id string, state string, first_seen double, confirmed double, hits int, best long, score double, attempts int, x1 double, y1 double, x2 double, y2 double, bits int, colors array<string>, last_seen double"
-_WAITING = "seconds double, det_id long, filter_id string, category_id int, x1 double, y1 double, x2 double, y2 double, attr_bits int, score double, vlm_required boolean, colors array<string>, track_id string, confirmed boolean, valid boolean"
-_WAITING_NAMES = [c.split()[0] for c in _WAITING.split(", ")]
-_TRACK_NAMES = [c.split()[0] for c in _TRACK.split(", ")]
-_OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+_ROW = "seconds double, det_id long, filter_id string, category_id int, x1 double, y1 double, x2 double, y2 double, attr_bits int, score double, vlm_required boolean, colors array<string>, track_id string, confirmed boolean, valid boolean"
+_ROW_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_ANSWERS = _ROW_NAMES.index("track_id") - 4
+#: Packs of rows in one value of state, at most.
+_PACKS = 10_000
+
+
+def _plain(column: pa.Array) -> list:
+    """A column's values as Python has them."""
+    if pa.types.is_nested(column.type):
+        return [None if v is None else v.tolist() for v in column.to_numpy(zero_copy_only=False)]
+    if column.null_count and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return np.where(column.is_valid().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy(), None).tolist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _packed(timed: DataFrame) -> DataFrame:
+    """Rows of one device and time that come one after the other as one row with their bytes."""
+    kept = ["device", "at", "seconds"]
+    schema = StructType([*(timed.schema[c] for c in kept), *StructType.fromDDL("pack binary").fields])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = [b.column(c).dictionary_encode("encode").indices.to_numpy() for c in kept[:2]]
+            starts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1).tolist()]
+            rows = list(zip(*(_plain(b.column(c)) for c in _ROW_NAMES), strict=True))
+            packs = [pickle.dumps(rows[i:j], 5) for i, j in zip(starts, [*starts[1:], len(rows)], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(starts)) for c in kept), pa.array(packs, pa.binary())], names=schema.names)
+
+    return timed.mapInArrow(pack, schema)
+
+
+def _unpacked(events: DataFrame) -> DataFrame:
+    """The events of devices as rows."""
+    schema = StructType.fromDDL(OUT)
+    arrow = to_arrow_schema(schema)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if rows := [e for p in b.column(0).to_pylist() for e in pickle.loads(p)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return events.mapInArrow(unpack, schema)
 
 
 class _DeviceTracks(StatefulProcessor):
-    """The tracks of one device over all filters and categories. State: the live tracks, rows whose time the watermark has not
-    passed, and the time of the last message. Rows wait for the watermark, so that the order in which files or triggers bring
-    them doesn't matter; the timer of the earliest wakes the device. One more timer ends the state of a silent device."""
+    """The tracks of one device over all filters and categories. State: the live tracks with the time of the last message, and
+    rows whose time the watermark has not passed. Rows wait for the watermark, so that the order in which files or triggers bring
+    them doesn't matter; the timer of the earliest wakes the device. One more timer ends the state of a silent device.
+
+    Rows and tracks are kept as bytes, many in one value, rows come as frames, and a device's events go as one value: Spark sends
+    the schema along with every value of state that Python reads, makes single rows a cell at a time, and frames a column at a time."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tracks = handle.getListState("tracks", _TRACK)
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.last = handle.getValueState("last", "seconds double")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in _WAITING_NAMES) for r in rows]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(_after(min(r[0] for r in new)))
+        self.tracks = handle.getValueState("tracks", "tracks binary, seconds double")
+        self.waiting = handle.getListState("waiting", "packs binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = math.inf
+        for some in rows:
+            self.waiting.appendValue((pickle.dumps(some["pack"].tolist(), 5),))
+            first = min(first, some["seconds"].min())
+        self.handle.registerTimer(_after(first))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [dict(zip(_WAITING_NAMES, r, strict=True)) for r in self.waiting.get()]
-        due = sorted((r for r in rows if _after(r["seconds"]) < now), key=lambda r: (r["seconds"], r["track_id"] is None, r["det_id"] or 0))
-        rest = [r for r in rows if _after(r["seconds"]) >= now]
-        machines: dict[tuple, Tracker] = {}
-        for t in self.tracks.get():
-            t = dict(zip(_TRACK_NAMES, t, strict=True))
-            k = (key[0], t.pop("filter_id"), t.pop("category_id"))
-            t["box"] = [t.pop(c) for c in _BOX]
-            machines.setdefault(k, Tracker(k, self.rules)).tracks.append(t)
-        last = self.last.get()[0] if self.last.exists() else None
+        due, rest = [], []
+        for (packs,) in self.waiting.get():
+            for p in pickle.loads(packs):
+                rows = pickle.loads(p)  # all of one time
+                if _after(rows[0][0]) < now:
+                    due += rows
+                else:
+                    rest.append((rows[0][0], p))
+        due.sort(key=_turn)
+        tracks, last = self.tracks.get() or (None, None)
+        device = int(key[0]) if key[0] else None
+        machines = {(device, *k): Tracker((device, *k), self.rules, live) for k, live in (pickle.loads(tracks) if tracks else ())}
         out, since = [], last
-        for r in due:
-            if r["track_id"] is None and r["seconds"] != last:  # a new message
-                since, last = last, r["seconds"]
-            if r["filter_id"] is not None:
-                k = (key[0], r["filter_id"], r["category_id"])
-                before = last if r["track_id"] is not None else since
-                out += machines.setdefault(k, Tracker(k, self.rules)).either(r | {"since": before})
+        for seconds, det_id, filter_id, category_id, *others in due:
+            answers = others[_ANSWERS] is not None
+            if not answers and seconds != last:  # a new message
+                since, last = last, seconds
+            if filter_id is not None:
+                k = (device, filter_id, category_id)
+                if k not in machines:
+                    machines[k] = Tracker(k, self.rules)
+                row = dict(zip(_ROW_NAMES, (seconds, det_id, filter_id, category_id, *others), strict=True))
+                row["since"] = last if answers else since
+                out += machines[k].either(row)
         for m in machines.values():
             m.expire(last)
-        tracks = [(k[1], k[2], *(t[c] for c in _TRACK_NAMES[2:10]), *t["box"], t["bits"], t["colors"], t["last_seen"]) for k, m in machines.items() for t in m.tracks]
-        ends = _after(max(t[-1] for t in tracks) + self.rules.ttl) if tracks else 0
+        live = [(k[1:], m.tracks) for k, m in machines.items() if m.tracks]
+        ends = _after(max(t["last_seen"] for _, of in live for t in of) + self.rules.ttl) if live else 0
         if not rest and ends < now:
-            self.tracks.clear(), self.waiting.clear(), self.last.clear()
+            self.tracks.clear(), self.waiting.clear()
         else:
-            self.tracks.put(tracks) if tracks else self.tracks.clear()
-            self.waiting.put([tuple(r.values()) for r in rest]) if rest else self.waiting.clear()
-            if last is not None:
-                self.last.update((last,))
-            self.handle.registerTimer(_after(min(r["seconds"] for r in rest)) if rest else ends)
-        return (Row(**dict(zip(_OUT_NAMES, e, strict=True))) for e in out)
+            self.tracks.update((pickle.dumps(live, 5), last))
+            if rest:
+                self.waiting.put([(pickle.dumps([p for _, p in rest[i : i + _PACKS]], 5),) for i in range(0, len(rest), _PACKS)])
+            else:
+                self.waiting.clear()
+            self.handle.registerTimer(_after(min(at for at, _ in rest)) if rest else ends)
+        return iter([pd.DataFrame({"events": [pickle.dumps(out, 5)]})] if out else [])
+
+
+def _turn(row: tuple) -> tuple:
+    """Rows of a device in their order: by time, and answers before detections by their numbers."""
+    return row[0], row[4 + _ANSWERS] is None, row[1] or 0
 
 
 def _after(seconds: float) -> int:
@@ -103,14 +162,17 @@ def _after(seconds: float) -> int:
 
 def track(observed: DataFrame, messages: DataFrame, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
     """Confirmation events of a stream of observations (as operators.tracking.observations gives them), or of these and a
-    verifier's answers (operators.tracking.with_answers); messages is a stream with device_id and ts of all messages. The query
-    needs the state store of `keyed_state`. An event comes when the watermark has passed it."""
+    verifier's answers (operators.tracking.with_answers); messages is a stream with device_id and ts of all messages, of which
+    those of an observation may be left out. The query needs the state store of `keyed_state`. An event comes when the watermark
+    has passed it."""
     ticks = messages.select("device_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
-    names = [f.split() for f in _WAITING.split(", ")]
+    names = [f.split() for f in _ROW.split(", ")]
     both = observed.unionByName(ticks, allowMissingColumns=True)
     both = both.select("device_id", *((F.col(c) if c in both.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names))
-    timed = both.withColumn("at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long"))).withWatermark("at", late)
-    return timed.groupBy("device_id").transformWithState(_DeviceTracks(rules), OUT, "append", "eventTime")
+    # a key that is never null, as frames would make numbers beside a null inexact
+    device = F.coalesce(F.col("device_id").cast("long").cast("string"), F.lit(""))
+    timed = both.withColumns({"device": device, "at": F.timestamp_micros((F.col("seconds") * 1e6).cast("long"))})
+    return _unpacked(_packed(timed).withWatermark("at", late).groupBy("device").transformWithStateInPandas(_DeviceTracks(rules), "events binary", "append", "eventTime"))
 
 
 @contextlib.contextmanager
